@@ -18,7 +18,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -63,31 +62,69 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class WordHashes(dict):
-    """64-bit hash of each word; forgets everything when it grows beyond ``limit``."""
+SEGMENT = 1 << 20
+_P = 0x9E3779B97F4A7C15 | 1
 
-    def __init__(self, limit: int = 300_000):
-        super().__init__()
-        self.limit = limit
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base % 2**64, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
 
+class WordHasher:
+    """64-bit hashes of the words ``[^\\x20\\x09-\\x0D]+`` of ASCII-lowered UTF-8 bytes.
 
-def shingle_set(text: str | None, words: int, hashes: WordHashes) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the text's word shingles (bytes.lower and bytes.split are ASCII only)."""
-    found = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not found:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(hashes.__getitem__, found), np.uint64, len(found))
+    A word's hash is a polynomial in its bytes modulo 2**64, taken from prefix
+    sums over the whole text and mixed. Long texts are cut at white space into
+    segments of about SEGMENT bytes, so that the arrays stay small.
+    """
+
+    def __init__(self):
+        self.up = self.down = np.empty(0, np.uint64)
+
+    def _grow(self, n: int) -> None:
+        if len(self.up) < n:
+            n = max(n, 1 << 16)
+            self.up, self.down = _powers(_P, n), _powers(pow(_P, -1, 2**64), n)
+
+    def words(self, text: bytes) -> np.ndarray:
+        text = text.lower()
+        if len(text) <= SEGMENT:
+            return self._segment(text)
+        parts, at = [], 0
+        while at < len(text):
+            end = at + SEGMENT
+            while end < len(text) and text[end] != 32 and not 9 <= text[end] <= 13:
+                end += 1
+            parts.append(self._segment(text[at:end]))
+            at = end
+        return np.concatenate(parts)
+
+    def _segment(self, text: bytes) -> np.ndarray:
+        c = np.frombuffer(text, np.uint8)
+        n = len(c)
+        edge = np.zeros(n + 2, np.int8)
+        edge[1:-1] = (c != 32) & ((c < 9) | (c > 13))
+        turn = np.flatnonzero(edge[1:] != edge[:-1])
+        start, end = turn[::2], turn[1::2]
+        self._grow(n + 1)
+        total = np.zeros(n + 1, np.uint64)
+        np.cumsum((c.astype(np.uint64) + np.uint64(1)) * self.up[:n], out=total[1:])
+        return _mix((total[end] - total[start]) * self.down[start])
+
+
+def shingle_set(text: bytes | None, words: int, hasher: WordHasher) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the text's word shingles; of all its words as one if they are fewer."""
+    h = hasher.words(text or b"")
+    if not len(h):
+        return h
     k = min(words, len(h))
     out = np.full(len(h) - k + 1, k, np.uint64)
     for i in range(k):
         out = _mix(out * np.uint64(0x9E3779B97F4A7C15) + h[i : len(h) - k + 1 + i])
-    return np.unique(out)
+    out.sort()
+    return out[np.append(True, out[1:] != out[:-1])]
 
 
 def _samplers(cfg: Config) -> tuple[np.ndarray, np.ndarray]:
@@ -100,12 +137,10 @@ def minhash(shingles: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """One least value for each of the hash functions, in blocks of bounded size."""
     x = (shingles >> np.uint64(32)).astype(np.uint32) ^ shingles.astype(np.uint32)
     low = np.full(len(a), 0xFFFFFFFF, np.uint32)
-    for i in range(0, len(x), 1024):
-        v = x[i : i + 1024]
-        block = np.multiply.outer(a, v)
-        block += b[:, None]
-        block ^= block >> np.uint32(15)
-        np.minimum(low, block.min(axis=1), out=low)
+    for i in range(0, len(x), 64):
+        block = np.multiply.outer(x[i : i + 64], a)
+        block += b
+        np.minimum(low, block.min(axis=0), out=low)
     return low
 
 
@@ -119,14 +154,14 @@ def odd_sketch(samples: np.ndarray, longs: int) -> np.ndarray:
 def _signer(cfg: Config):
     def sign(batches):
         a, b = _samplers(cfg)
-        hashes = WordHashes()
+        hasher = WordHasher()
         salt = np.arange(cfg.bands, dtype=np.uint64)
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
                 ns, d0, d1, bands, sketches = [], [], [], [], []
                 for text in part.column(1):
-                    s = shingle_set(text.as_py(), cfg.words, hashes)
+                    s = shingle_set(text.as_py(), cfg.words, hasher)
                     ns.append(len(s))
                     if not len(s):
                         d0.append(0)
@@ -152,13 +187,13 @@ def _signer(cfg: Config):
 
 def signatures(docs: DataFrame, cfg: Config, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n (set size), d0 and d1 (128-bit digest of the set), bands, sketch; both null for an empty set."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"))
     return rows.mapInArrow(_signer(cfg), "id long, n long, d0 long, d1 long, bands array<long>, sketch array<long>")
 
 
 def _confirmer(cfg: Config):
     def confirm(batches):
-        hashes = WordHashes()
+        hasher = WordHasher()
         last, own = None, None
         for batch in batches:
             a, b, ta, tb = (batch.column(i) for i in range(4))
@@ -166,8 +201,8 @@ def _confirmer(cfg: Config):
             for i in range(batch.num_rows):
                 key = (a[i].as_py(), ta[i].as_py())
                 if key != last:
-                    last, own = key, shingle_set(key[1], cfg.words, hashes)
-                other = shingle_set(tb[i].as_py(), cfg.words, hashes)
+                    last, own = key, shingle_set(key[1], cfg.words, hasher)
+                other = shingle_set(tb[i].as_py(), cfg.words, hasher)
                 both = len(np.intersect1d(own, other, assume_unique=True))
                 union = len(own) + len(other) - both
                 keep.append(union > 0 and 100 * both >= cfg.percent * union)
@@ -202,7 +237,7 @@ def near_duplicates(docs: DataFrame, cfg: Config, id_col: str = "doc_id", text_c
     component is null and it is kept. Rows that repeat an id are one document:
     all of them are returned, with the links of any. Other columns are ignored.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"))
     sig = materialize(signatures(docs, cfg, id_col, text_col), "signatures")
     real = sig.filter("n > 0 and id is not null")
     classes = real.groupBy("d0", "d1", "n").agg(F.min("id").alias("rep"))
