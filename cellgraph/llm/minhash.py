@@ -7,7 +7,7 @@ of two bitmaps estimates how many samples differ. Candidates whose estimate
 stays well below the threshold are dropped, all others are compared on their
 full sets. Documents with equal sets are one class from the start, so that a
 large group of copies costs one row. Within a bucket every document is compared
-with the bucket's smallest one; only documents that are then still in different
+with the bucket's hub, the one with most company in all its buckets; only documents that are then still in different
 components are compared with each other, so no link between components is
 lost and no group emits all its pairs.
 """
@@ -227,6 +227,84 @@ def _confirmed(pairs: DataFrame, reps: DataFrame, texts: DataFrame, cfg: Config)
     return out
 
 
+def _linked(rows: list, cfg: Config, hasher: WordHasher) -> list[tuple[int, int]]:
+    """Linked pairs of different components in one bucket, or between two blocks of it.
+
+    A row is (id, component, side, band, bands, sketch, text). Odd sketches come
+    first; if any pair passes, the intersections of all full sets are counted at
+    once, by products of incidence matrices over the shingles that are shared.
+    A pair is left out if an earlier band has both in one bucket.
+    """
+    comp = np.array([r[1] for r in rows])
+    side = np.array([r[2] for r in rows], np.int8)
+    wanted = np.triu(comp[:, None] != comp[None, :], 1)
+    if side.any():
+        wanted = (comp[:, None] != comp[None, :]) & (side[:, None] < side[None, :])
+    bits = np.unpackbits(np.array([r[5] for r in rows], np.int64).view(np.uint8), axis=1).astype(np.float32)
+    on = bits.sum(1)
+    wanted &= on[:, None] + on[None, :] - 2 * (bits @ bits.T) <= cfg.max_differing_bits
+    bands = np.array([r[4] for r in rows], np.int64)
+    for k in range(rows[0][3]):
+        if not wanted.any():
+            return []
+        wanted &= bands[:, None, k] != bands[None, :, k]
+    if not wanted.any():
+        return []
+    sets = [shingle_set(r[6], cfg.words, hasher) for r in rows]
+    sizes = np.array([len(x) for x in sets])
+    every, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(every, kind="stable")
+    every, owner = every[order], owner[order]
+    start = np.append(True, every[1:] != every[:-1])
+    column = np.cumsum(start) - 1
+    shared = np.bincount(column)[column] > 1
+    column, owner = np.unique(column[shared], return_inverse=True)[1], owner[shared]
+    both = np.zeros((len(rows), len(rows)))
+    at = np.searchsorted(column, np.arange(0, (column[-1] if len(column) else 0) + 2049, 2048))
+    for lo, hi in zip(at[:-1], at[1:]):
+        m = np.zeros((len(rows), 2048), np.float32)
+        m[owner[lo:hi], column[lo:hi] % 2048] = 1
+        both += m @ m.T
+    linked = wanted & (100 * both >= cfg.percent * (sizes[:, None] + sizes[None, :] - both))
+    return [(rows[i][0], rows[j][0]) for i, j in zip(*np.nonzero(linked))]
+
+
+def _bucket_linker(cfg: Config):
+    def run(batches):
+        hasher, held, grp = WordHasher(), [], None
+        for batch in batches:
+            found = []
+            columns = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
+            for key, *row in zip(*columns):
+                if key != grp:
+                    if len(held) > 1:
+                        found += _linked(held, cfg, hasher)
+                    held, grp = [], key
+                held.append(row)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
+        if len(held) > 1 and (found := _linked(held, cfg, hasher)):
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
+
+    return run
+
+
+def _linked_in_buckets(held: DataFrame, reps: DataFrame, texts: DataFrame, cfg: Config, block: int = 300) -> DataFrame:
+    """All links between documents of different components (key, id, c) that share a bucket; buckets are compared in pairs of blocks."""
+    ids = materialize(held.select("id").distinct(), "ids")
+    size = held.groupBy("key").agg(F.count(F.lit(1)).alias("m"))
+    rows = held.join(size, "key").withColumn("blocks", F.ceil(F.col("m") / F.lit(block)).cast("int"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("id", F.lit(3)), F.col("blocks")).cast("int"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("own")).alias("lo"), F.greatest(o, F.col("own")).alias("hi"), (F.col("own") > o).cast("int").alias("side")))
+    rows = rows.select("key", "id", "c", F.explode(pairs).alias("p")).select("key", "id", "c", F.xxhash64("key", "p.lo", "p.hi").alias("grp"), F.col("p.side").alias("side"))
+    full = within_ids(texts, ids, "id").join(within_ids(reps, ids, "id"), "id")
+    rows = rows.join(full, "id").withColumn("band", F.array_position("bands", F.col("key")).cast("int") - 1)
+    rows = rows.select("grp", "id", "c", "side", "band", "bands", "sketch", "text").repartition("grp").sortWithinPartitions("grp")
+    out = materialize(rows.mapInArrow(_bucket_linker(cfg), "a long, b long").distinct(), "links")
+    release(ids)
+    return out
+
+
 def near_duplicates(docs: DataFrame, cfg: Config, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Group near-duplicate documents.
 
@@ -245,20 +323,19 @@ def near_duplicates(docs: DataFrame, cfg: Config, id_col: str = "doc_id", text_c
     reps = materialize(real.join(classes.withColumnRenamed("rep", "id"), ["d0", "d1", "n", "id"], "left_semi").dropDuplicates(["id", "d0", "d1", "n"]).select("id", "bands", "sketch"), "reps")
     release(sig)
     keys = reps.select("id", F.explode("bands").alias("key"))
-    hubs = materialize(keys.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("top")).filter("hub < top").select("key", "hub"), "hubs")
-    buckets = materialize(keys.join(hubs, "key").select("key", "id", "hub").distinct(), "buckets")
-    first = buckets.filter("hub <> id").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
+    counts = keys.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
+    buckets = materialize(keys.join(counts, "key").select("key", "id", "m"), "buckets")
+    # the hub of a bucket: the document whose buckets hold the most others, so that copies altered in different places meet their common source
+    weight = buckets.groupBy("id").agg(F.sum("m").alias("w"))
+    hubs = buckets.join(weight, "id").groupBy("key").agg(F.max(F.struct("w", (-F.col("id")).alias("neg"))).alias("top")).select("key", (-F.col("top.neg")).alias("hub"))
+    first = materialize(buckets.join(hubs, "key").filter("hub <> id").select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b")).distinct(), "pairs")
     links = _confirmed(first, reps, texts, cfg)
     comp = materialize(connected_components(links), "components")
     held = buckets.select("key", "id").join(comp, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
     mixed = held.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("key")
     held = materialize(held.join(mixed, "key", "left_semi"), "mixed")
-    left = held.select("key", F.col("id").alias("a"), F.col("c").alias("ca"))
-    right = held.select("key", F.col("id").alias("b"), F.col("c").alias("cb"))
-    rest = left.join(right, "key").filter("a < b and ca <> cb").select("a", "b").distinct()
-    rest = rest.join(first, ["a", "b"], "left_anti")
-    more = _confirmed(rest, reps, texts, cfg)
-    release(comp, held, hubs, buckets, reps)
+    more = _linked_in_buckets(held, reps, texts, cfg)
+    release(comp, held, buckets, reps, first)
     comp = connected_components(links.union(more))
     out = member.join(comp.withColumnRenamed("id", "rep"), "rep", "left")
     component = F.coalesce("component", "rep", "id")
