@@ -44,8 +44,12 @@ def _range_of(bounds: list) -> Column:
     if not bounds:
         return F.lit(0).cast("long")
     step = max(1, int(len(bounds) ** 0.5))
-    arr = F.array(*[F.struct(F.lit(k).cast("long").alias("k"), F.lit(i).cast("long").alias("id"), F.lit(t).cast("long").alias("tie")) for k, i, t in bounds])
-    heads = F.array(*[F.struct(F.lit(k).cast("long").alias("k"), F.lit(i).cast("long").alias("id"), F.lit(t).cast("long").alias("tie")) for k, i, t in bounds[::step]])
+
+    def fixed(some) -> Column:
+        value = lambda x: "cast(null as bigint)" if x is None else f"cast({x} as bigint)"
+        return F.expr("array(" + ",".join(f"named_struct('k', {value(k)}, 'id', {value(i)}, 'tie', {value(t)})" for k, i, t in some) + ")")
+
+    arr, heads = fixed(bounds), fixed(bounds[::step])
     block = F.size(F.filter(heads, lambda b: b <= _key()))
     inside = F.slice(arr, F.greatest(block - 1, F.lit(0)) * step + 1, F.lit(step))
     return (F.greatest(block - 1, F.lit(0)) * step + F.size(F.filter(inside, lambda b: b <= _key()))).cast("long")
