@@ -90,15 +90,15 @@ def filter_urls(
     leaves = leaves.withColumn("template", F.when(F.col("children") > max_children, F.concat("parent", F.lit("/*"))).otherwise(F.col("literal")))
     nodes = leaves.groupBy("host", "template").agg(F.sum("n").alias("n"), F.sum("m").alias("m"), F.sum("g").alias("g"))
     hosts = nodes.groupBy("host").agg(F.sum("m").alias("hm"), F.sum("g").alias("hg"))
-    every = hosts.agg(F.sum("hm").alias("am"), F.sum("hg").alias("ag")).select(F.when(F.col("am") > 0, F.col("ag") / F.col("am")).otherwise(1.0).alias("p0")).first()
+    every = hosts.agg(F.sum("hm").alias("am"), F.sum("hg").alias("ag")).select(F.coalesce(F.try_divide(F.col("ag"), F.col("am")), F.lit(1.0)).alias("p0")).first()
     p0 = every[0]
     nodes = nodes.join(hosts, "host")
     p_host = (F.col("hg") + prior * p0) / (F.col("hm") + prior)
     # a sibling that differs from the others by more than z standard errors keeps its own branch
     rest = F.col("hm") - F.col("m")
-    p_all = F.col("hg") / F.col("hm")
-    se = F.sqrt(p_all * (1 - p_all) * (1 / F.col("m") + 1 / rest))
-    apart = (F.col("m") > 0) & (rest > 0) & (F.abs(F.col("g") / F.col("m") - (F.col("hg") - F.col("g")) / rest) > z * se)
+    p_all = F.try_divide(F.col("hg"), F.col("hm"))
+    se = F.sqrt(p_all * (1 - p_all) * (F.try_divide(F.lit(1.0), F.col("m")) + F.try_divide(F.lit(1.0), rest)))
+    apart = F.abs(F.try_divide(F.col("g"), F.col("m")) - F.try_divide(F.col("hg") - F.col("g"), rest)) > z * se  # null without labels on either side
     nodes = nodes.withColumn("branch", F.when(F.coalesce(apart, F.lit(False)), F.col("template")).otherwise(F.lit("~merged"))).withColumn("ph", p_host)
     branches = nodes.groupBy("host", "branch").agg(F.sum("m").alias("bm"), F.sum("g").alias("bg"), F.first("ph").alias("ph"))
     branches = branches.withColumn("purity", (F.col("bg") + prior * F.col("ph")) / (F.col("bm") + prior))
@@ -117,7 +117,7 @@ def filter_urls(
 def page_labels(pages: DataFrame, labels: DataFrame) -> DataFrame:
     """Labels of pages through the document number that ends their path: good is quality 1 and not toxic."""
     number = F.regexp_extract(path_of(F.col("url")), r"/([0-9]{1,18})(?:\.[a-z]+)?/?\z", 1)
-    keyed = pages.select("page_id", F.expr("try_cast(n as bigint)").alias("doc_id")) if "n" in pages.columns else pages.select("page_id", F.when(number != "", number).cast("long").alias("doc_id"))
+    keyed = pages.select("page_id", F.when(number != "", number).cast("long").alias("doc_id"))
     judged = labels.groupBy("doc_id").agg(F.min(((F.col("quality") == 1) & (F.col("toxic") == 0)).cast("int")).alias("good"))
     return keyed.join(judged, "doc_id").groupBy(F.col("page_id").alias("page")).agg(F.min("good").alias("good"))
 
