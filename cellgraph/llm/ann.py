@@ -198,7 +198,7 @@ def _visits(cfg: Config, cells: Cells):
 
 
 def _searcher(cfg: Config):
-    def run(keys, table: pa.Table):
+    def run(keys, table):
         cols = {c: table.column(c) for c in table.column_names}
         is_q = np.array(cols["q"].to_pylist(), bool)
         v = np.array(cols["v"].to_pylist(), np.float64)
