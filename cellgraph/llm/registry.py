@@ -2,16 +2,26 @@
 
 from __future__ import annotations
 
-from . import minhash
+from . import ann, bpe, embdup, grulm, langid, minhash, sharding, urls
 
 
 def queries() -> dict:
     """One query for each operator, over its whole table, with production parameters."""
     return {
+        "op1_stable_projections": ann.op1_stable_projections,
+        "op2_template_tree": urls.op2_template_tree,
+        "op4_bpe_trie": bpe.op4_bpe_trie,
+        "op5_language_families": langid.op5_language_families,
+        "op6_hyperplane_tables": embdup.op6_hyperplane_tables,
         "op7_minhash_odd_sketches": minhash.op7_minhash_odd_sketches,
+        "op9_gru": grulm.op9_gru,
+        "op10_sampled_splitters": sharding.op10_sampled_splitters,
     }
 
 
 def oracle_sql() -> dict:
     """DuckDB statements for the operators that SQL can express."""
-    return {}
+    return {
+        "op2_template_tree": urls.OP2_SQL,
+        "op6_hyperplane_tables": embdup.OP6_SQL,
+    }
