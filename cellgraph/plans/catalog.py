@@ -1,11 +1,558 @@
-"""Registry of the engine's queries and their SQL oracles."""
+"""Registry of the engine's queries and their SQL oracles.
+
+Each query applies one operator to the facts of :mod:`cellgraph.plans.facts`.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import types as ty
+from ..operators import alias, callgraph, graph, memssa, simulate, stats
+from ..operators.fixpoint import components, weighted_components
+from ..schema import FLAG
+from ..sources import export, libc
+from .facts import Facts, with_clause
+
+QUERIES: dict = {}
+SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None, *facts: str, recursive: bool = False):
+    """Register a query and, unless SQL cannot express it, its oracle over the facts named."""
+
+    def add(f):
+        QUERIES[name] = lambda spark, sf_dir: f(Facts(spark, sf_dir))
+        if sql is not None:
+            SQL[name] = (with_clause(*facts, recursive=recursive) + (", " if sql.lstrip().startswith("+") else " ") if facts else "") + sql.lstrip().removeprefix("+")
+        return f
+
+    return add
+
+
+def _lab(f: Facts) -> DataFrame:
+    """The class of every vertex of the points-to relation."""
+    edges = f["points_to"].select(F.col("ptr").alias("a"), F.col("obj").alias("b"))
+    return components(edges)
+
+
+LAB = """+ pairs AS (SELECT ptr AS a, obj AS b FROM points_to UNION SELECT obj, ptr FROM points_to),
+reach AS (SELECT node AS id, node AS other FROM vertex UNION SELECT reach.id, pairs.b FROM reach JOIN pairs ON pairs.a = reach.other),
+lab AS (SELECT id, min(other) AS rep FROM reach GROUP BY id) """
+
+
+@query("unify_components", LAB + "SELECT id, rep FROM lab", "points_to", "vertex", recursive=True)
+def unify_components(f):
+    """Classes of cells that one unification of every points-to pair makes (GR-1, GR-3, GR-22)."""
+    return _lab(f).select("id", "rep")
+
+
+@query("unify_flags", LAB + f"SELECT rep, bit_or(flags) & ~{FLAG['foreign']} AS flags, max(size) AS size FROM node JOIN lab ON node.node = lab.id GROUP BY rep", "points_to", "vertex", "node", recursive=True)
+def unify_flags(f):
+    """Joined flags and sizes of the classes."""
+    return graph.merged_nodes(f["node"], _lab(f)).select("rep", "flags", "size")
+
+
+@query("unify_alloc_sites", LAB + "SELECT rep, count(DISTINCT val) AS n_sites, min(val) AS first_site, max(val) AS last_site FROM site JOIN lab ON site.node = lab.id GROUP BY rep", "points_to", "vertex", "site", recursive=True)
+def unify_alloc_sites(f):
+    """Alloc-site sets of the classes (GR-15)."""
+    rows = graph.merged_sets(f["site"], _lab(f), "val")
+    return rows.groupBy("rep").agg(F.count(F.lit(1)).alias("n_sites"), F.min("val").alias("first_site"), F.max("val").alias("last_site"))
+
+
+@query("accessed_types", LAB + "SELECT DISTINCT rep, type FROM accessed JOIN lab ON accessed.node = lab.id", "points_to", "vertex", "accessed", recursive=True)
+def accessed_types(f):
+    """Accessed types of the classes (GR-12, GR-13)."""
+    return graph.merged_sets(f["accessed"], _lab(f), "type")
+
+
+@query(
+    "congruence_links",
+    """+ least AS (SELECT node, off, min({'d': dst, 'x': dst_off}) AS m FROM field GROUP BY node, off)
+SELECT DISTINCT m.d AS n1, m.x AS o1, dst AS n2, dst_off AS o2 FROM field JOIN least USING (node, off) WHERE NOT (dst = m.d AND dst_off = m.x)""",
+    "field",
+)
+def congruence_links(f):
+    """Equations that fields with several targets give (GR-4)."""
+    return graph.congruence(f["field"])
+
+
+@query("omni_links", "SELECT DISTINCT t.node, t.off, CASE WHEN o.node IS NOT NULL THEN 'omni' ELSE ftype END AS ftype, dst, dst_off FROM typed_field t LEFT JOIN (SELECT DISTINCT node, off FROM typed_field WHERE ftype = 'omni') o USING (node, off)", "typed_field")
+def omni_links(f):
+    """Omni links swallow the typed links at their offset (GR-5)."""
+    return graph.absorb_omni(f["typed_field"]).select("node", "off", "ftype", "dst", "dst_off")
+
+
+@query(
+    "get_links",
+    """+ uniq AS (SELECT node, off, ftype, min(dst) AS dst, min(dst_off) AS dst_off FROM typed_field GROUP BY node, off, ftype),
+wanted AS (SELECT DISTINCT node, off, 'Brand#11' AS ftype FROM uniq)
+SELECT w.node, w.off, w.ftype, coalesce(e.dst, o.dst) AS dst, CASE WHEN e.dst IS NOT NULL THEN e.dst_off ELSE o.dst_off END AS dst_off
+FROM wanted w LEFT JOIN uniq e ON e.node = w.node AND e.off = w.off AND e.ftype = w.ftype LEFT JOIN uniq o ON o.node = w.node AND o.off = w.off AND o.ftype = 'omni'""",
+    "typed_field",
+)
+def get_links(f):
+    """Links by exact type, else the omni link (GR-6)."""
+    uniq = f["typed_field"].groupBy("node", "off", "ftype").agg(F.min("dst").alias("dst"), F.min("dst_off").alias("dst_off"))
+    return graph.get_link(uniq.select("node", "off").distinct().withColumn("ftype", F.lit("Brand#11")), uniq)
+
+
+ADJUST = "CASE WHEN flags & {oc} <> 0 THEN 0 WHEN flags & {ar} <> 0 THEN off % stride ELSE off END"
+
+
+@query(
+    "offset_adjust",
+    "SELECT l_orderkey AS ptr, l_linenumber::BIGINT AS line, (CASE WHEN l_returnflag = 'A' THEN 0 WHEN l_linestatus = 'O' THEN (8 * l_linenumber + l_partkey) % (8 + l_suppkey % 32) ELSE 8 * l_linenumber + l_partkey END)::BIGINT AS off FROM lineitem",
+)
+def offset_adjust(f):
+    """Offsets in collapsed, array and plain nodes (GR-8)."""
+    off = F.col("l_linenumber") * F.lit(8).cast("long") + F.col("l_partkey")
+    return f["lineitem"].select(F.col("l_orderkey").alias("ptr"), F.col("l_linenumber").cast("long").alias("line"), graph.offset_adjust(off, F.col("l_returnflag") == "A", F.col("l_linestatus") == "O", 8 + F.col("l_suppkey") % 32).alias("off"))
+
+
+@query(
+    "grow_size",
+    f"""+ need AS (SELECT node, max(off + bytes) AS need FROM accessed GROUP BY node),
+nd AS (SELECT node, flags | CASE WHEN node % 3 = 0 THEN {FLAG['array']} ELSE 0 END AS flags, size FROM node),
+j AS (SELECT nd.node, size, coalesce(need, 0) AS need, flags & {FLAG['array']} <> 0 AND coalesce(need, 0) > size AS collapsed FROM nd LEFT JOIN need USING (node))
+SELECT node, CASE WHEN collapsed THEN 1 ELSE greatest(size, need) END AS size, collapsed FROM j""",
+    "node", "accessed",
+)
+def grow_size(f):
+    """Sizes after accesses; arrays that would grow collapse (GR-9)."""
+    nodes = f["node"].withColumn("flags", F.col("flags").bitwiseOR(F.when(F.col("node") % 3 == 0, F.lit(FLAG["array"])).otherwise(F.lit(0))))
+    return graph.grow_size(f["accessed"], nodes)
+
+
+@query("collapse_offsets", "SELECT DISTINCT node, CASE WHEN node % 5 = 0 THEN 0 ELSE off END AS off, dst, dst_off FROM field", "field")
+def collapse_offsets(f):
+    """All links of collapsed nodes in one field (GR-10)."""
+    return graph.collapse_offsets(f["field"], f["field"].filter("node % 5 = 0").select("node").distinct()).select("node", "off", "dst", "dst_off")
+
+
+@query("gep_offset_gcd", "SELECT l_orderkey AS dst, sum(8 * l_linenumber)::BIGINT AS const_off, list_reduce(list_prepend(0::BIGINT, list(l_partkey + 12)), lambda a, b: gcd(a, b))::BIGINT AS stride FROM lineitem GROUP BY l_orderkey")
+def gep_offset_gcd(f):
+    """Constant part and common stride of pointer arithmetic (LO-7)."""
+    g = f["lineitem"].groupBy(F.col("l_orderkey").alias("dst")).agg(F.sum(8 * F.col("l_linenumber")).cast("long").alias("const_off"), F.sort_array(F.collect_set(F.col("l_partkey") + 12)).alias("strides"))
+    return g.select("dst", "const_off", ty.gcd(F.col("strides")).alias("stride"))
+
+
+REACH = """+ reach AS (SELECT tag, id FROM roots UNION SELECT reach.tag, o.dst FROM reach JOIN object_link o ON o.node = reach.id) """
+
+
+@query("reachable_nodes", "+ roots AS (SELECT DISTINCT node % 3 AS tag, node AS id FROM object_link WHERE node % 40 = 1), " + REACH[2:] + "SELECT tag, id FROM reach", "object_link", recursive=True)
+def reachable_nodes(f):
+    """Nodes reachable from arguments, globals and returns (GR-30)."""
+    roots = f["object_link"].filter("node % 40 = 1").select((F.col("node") % 3).alias("tag"), F.col("node").alias("id")).distinct()
+    return graph.reachable_nodes(roots, f["object_link"])
+
+
+NODES = "all_nodes AS (SELECT node FROM object_link UNION SELECT dst FROM object_link)"
+
+
+def _nodes(f):
+    return f["object_link"].select("node").union(f["object_link"].select("dst")).distinct()
+
+
+@query("remove_dead", f"+ {NODES}, roots AS (SELECT 'live' AS tag, node AS id FROM all_nodes WHERE node % 30 = 3), " + REACH[2:] + "SELECT node FROM all_nodes WHERE node IN (SELECT id FROM reach)", "object_link", recursive=True)
+def remove_dead(f):
+    """Nodes that cells keep alive (GR-23)."""
+    nodes = _nodes(f)
+    return graph.remove_dead(nodes, nodes.filter("node % 30 = 3"), f["object_link"])
+
+
+@query("remove_links", "SELECT node, off, dst, dst_off FROM object_link WHERE dst % 7 <> 0", "object_link")
+def remove_links(f):
+    """Links without those to doomed nodes (GR-24)."""
+    return graph.remove_links(f["object_link"], _nodes(f).filter("node % 7 = 0")).select("node", "off", "dst", "dst_off")
+
+
+@query(
+    "remove_nodes",
+    f"""+ {NODES}, left_link AS (SELECT * FROM object_link WHERE dst % 7 <> 0 AND node % 7 <> 0),
+reach AS (SELECT node AS id FROM all_nodes WHERE node % 30 = 3 AND node % 7 <> 0 UNION SELECT o.dst FROM reach JOIN left_link o ON o.node = reach.id)
+SELECT node FROM all_nodes WHERE node % 7 <> 0 AND node IN (SELECT id FROM reach)""",
+    "object_link", recursive=True,
+)
+def remove_nodes(f):
+    """What stays when nodes and everything only they reach are removed (GR-25)."""
+    nodes = _nodes(f)
+    return graph.remove_nodes(nodes, nodes.filter("node % 30 = 3"), f["object_link"], nodes.filter("node % 7 = 0"))
+
+
+@query("unique_scalars", "SELECT node, min(val) AS val FROM cell GROUP BY node HAVING count(DISTINCT val) = 1 AND max(off) = 0", "cell")
+def unique_scalars(f):
+    """Nodes with one scalar (GR-17, SM-17)."""
+    return graph.unique_scalars(f["cell"])
+
+
+@query(
+    "merge_alloc_sites",
+    """+ pair AS (SELECT node AS n1, dst AS n2 FROM object_link WHERE node % 4 = 1 UNION SELECT dst, node FROM object_link WHERE node % 4 = 1),
+reach AS (SELECT node, val FROM site UNION SELECT pair.n2, reach.val FROM reach JOIN pair ON pair.n1 = reach.node) SELECT node, val FROM reach""",
+    "object_link", "site", recursive=True,
+)
+def merge_alloc_sites(f):
+    """Alloc sites merged both ways along simulated links (GR-16, IP-16)."""
+    return graph.merge_along(f["object_link"].filter("node % 4 = 1").select(F.col("node").alias("n1"), F.col("dst").alias("n2")), f["site"])
+
+
+@query("flat_memory", "SELECT 0::BIGINT AS node, bit_or(flags) AS flags, max(size) AS size, count(*) AS merged, (SELECT count(DISTINCT type) FROM accessed) AS types FROM node", "node", "accessed")
+def flat_memory(f):
+    """All memory as one node (IP-2)."""
+    return graph.flat_memory(f["node"], f["accessed"])
+
+
+FORMALS = """formals AS (SELECT s_suppkey AS func, k AS idx, s_suppkey * 10 + k AS val FROM supplier, (SELECT unnest([1, 2]) AS k)),
+actuals AS (SELECT cs, k AS idx, 1000000 + (cs * k) % 500 AS val FROM call, (SELECT unnest([1, 2]) AS k)),
+eq AS (SELECT DISTINCT actuals.val AS a, formals.val AS b FROM call JOIN actuals USING (cs) JOIN formals ON formals.func = call.callee AND formals.idx = actuals.idx)"""
+
+
+def _arguments(f):
+    k = F.explode(F.array(F.lit(1), F.lit(2))).alias("idx")
+    formals = f["supplier"].select(F.col("s_suppkey").alias("func"), k).withColumn("val", F.col("func") * 10 + F.col("idx"))
+    actuals = f["call"].select("cs", k).withColumn("val", 1_000_000 + F.col("cs") * F.col("idx") % 500)
+    return callgraph.positional(actuals, formals, f["call"].select("cs", "callee"))
+
+
+@query(
+    "resolve_arguments_ci",
+    f"""+ {FORMALS}, pairs AS (SELECT a, b FROM eq UNION SELECT b, a FROM eq), ends AS (SELECT a AS id FROM pairs),
+reach AS (SELECT id, id AS other FROM ends UNION SELECT reach.id, pairs.b FROM reach JOIN pairs ON pairs.a = reach.other)
+SELECT id, min(other) AS rep FROM reach GROUP BY id""",
+    "call", recursive=True,
+)
+def resolve_arguments_ci(f):
+    """Context-insensitive classes of actual and formal values (IP-1)."""
+    return components(_arguments(f)).select("id", "rep")
+
+
+CALLS = """+ edge AS (SELECT DISTINCT caller, callee FROM call),
+reach AS (SELECT func AS a, func AS b FROM func UNION SELECT reach.a, edge.callee FROM reach JOIN edge ON edge.caller = reach.b),
+comp AS (SELECT x.a AS func, min(x.b) AS scc FROM reach x JOIN reach y ON x.a = y.b AND x.b = y.a GROUP BY x.a) """
+
+
+@query("callgraph_scc", CALLS + "SELECT func, scc FROM comp", "call", "func", recursive=True)
+def callgraph_scc(f):
+    """Strongly connected components of the call graph (CG-9)."""
+    return callgraph.scc(f["func"].select("func"), f["call"]).select("func", "scc")
+
+
+@query(
+    "callgraph_levels",
+    """+ edge AS (SELECT DISTINCT caller, callee FROM downcall), walk AS (SELECT func, 0::BIGINT AS level FROM func UNION SELECT e.caller, level + 1 FROM walk JOIN edge e ON e.callee = walk.func)
+SELECT func, func AS scc, max(level) AS level FROM walk GROUP BY func""",
+    "downcall", "func", recursive=True,
+)
+def callgraph_levels(f):
+    """Bottom-up levels of the condensed call graph (CG-9)."""
+    funcs = f["func"].select("func")
+    return callgraph.levels(funcs, f["downcall"], callgraph.scc(funcs, f["downcall"]))
+
+
+@query("callgraph_uses_defs", CALLS + """, u AS (SELECT scc, count(DISTINCT cs) AS u FROM call JOIN comp ON comp.func = callee GROUP BY scc), d AS (SELECT scc, count(DISTINCT cs) AS d FROM call JOIN comp ON comp.func = caller GROUP BY scc)
+SELECT func, coalesce(u, 0) AS n_uses, coalesce(d, 0) AS n_defs FROM comp LEFT JOIN u USING (scc) LEFT JOIN d USING (scc)""", "call", "func", recursive=True)
+def callgraph_uses_defs(f):
+    """Uses and definitions of functions, shared by a component (CG-10)."""
+    return callgraph.uses_and_defs(f["call"], callgraph.scc(f["func"].select("func"), f["call"]))
+
+
+RESOLVED = """sites AS (SELECT cs, caller, cs % 1000 AS node, cs % 4 AS signature FROM call WHERE NOT direct),
+targets AS (SELECT DISTINCT l_partkey % 1000 AS node, l_suppkey AS callee FROM lineitem WHERE l_quantity >= 49),
+found AS (SELECT DISTINCT s.cs, s.caller, t.callee FROM sites s JOIN targets t USING (node) JOIN func f ON f.func = t.callee AND f.signature = s.signature)"""
+
+
+def _resolved(f):
+    sites = f["call"].filter("not direct").select("cs", "caller", (F.col("cs") % 1000).alias("node"), (F.col("cs") % 4).alias("signature"))
+    targets = f["lineitem"].filter("l_quantity >= 49").select((F.col("l_partkey") % 1000).alias("node"), F.col("l_suppkey").alias("callee")).distinct()
+    return callgraph.resolve_indirect(sites, targets, f["func"].select(F.col("func").alias("callee"), F.col("signature").alias("callee_signature")))
+
+
+@query("callgraph_edges_resolved", f"+ {RESOLVED} SELECT cs, caller, callee FROM found", "call", "func")
+def callgraph_edges_resolved(f):
+    """Edges of indirect calls from function alloc sites with a fitting signature (CG-2)."""
+    return _resolved(f)
+
+
+@query(
+    "callgraph_stats",
+    f"""+ {RESOLVED}, r AS (SELECT DISTINCT cs FROM found)
+SELECT count(*) AS total, count(*) FILTER (direct AND NOT is_asm) AS direct, count(*) FILTER (is_asm) AS asm,
+count(*) FILTER (NOT direct AND NOT is_asm AND r.cs IS NOT NULL) AS indirect_resolved, count(*) FILTER (NOT direct AND NOT is_asm AND r.cs IS NULL) AS indirect_unresolved FROM call LEFT JOIN r USING (cs)""",
+    "call", "func",
+)
+def callgraph_stats(f):
+    """Counts of direct, asm and indirect calls (CG-8)."""
+    done = _resolved(f).select("cs", F.lit(True).alias("resolved")).distinct()
+    return callgraph.statistics(f["call"].join(done, "cs", "left").withColumn("resolved", F.coalesce("resolved", F.lit(False))))
+
+
+@query("call_placeholders_left", f"+ {RESOLVED} SELECT cs, caller FROM sites WHERE cs NOT IN (SELECT cs FROM found)", "call", "func")
+def call_placeholders_left(f):
+    """Indirect call sites whose placeholder edge stays (CG-6)."""
+    return f["call"].filter("not direct").join(_resolved(f).select("cs").distinct(), "cs", "left_anti").select("cs", "caller")
+
+
+@query(
+    "alloc_wrappers",
+    "+ e AS (SELECT DISTINCT caller, callee FROM call WHERE direct AND NOT (cs % 5 = 0)), w AS (SELECT func FROM func WHERE func % 25 = 0 UNION SELECT e.caller FROM w JOIN e ON e.callee = w.func) SELECT func FROM w",
+    "call", "func", recursive=True,
+)
+def alloc_wrappers(f):
+    """Allocators and the functions that wrap them (AL-1 to AL-4)."""
+    calls = f["call"].select("caller", "callee", F.col("direct").alias("returned"), (F.col("cs") % 5 == 0).alias("stored"))
+    return callgraph.alloc_wrappers(f["func"].filter("func % 25 = 0"), calls)
+
+
+@query(
+    "modref_closure",
+    "+ own AS (SELECT DISTINCT l_suppkey AS func, l_partkey % 50 AS region, CASE WHEN l_returnflag = 'R' THEN 'mod' ELSE 'ref' END AS op FROM lineitem WHERE l_quantity >= 49), m AS (SELECT func, region, op FROM own UNION SELECT c.caller, m.region, m.op FROM m JOIN (SELECT DISTINCT caller, callee FROM call) c ON c.callee = m.func) SELECT func, region, op FROM m",
+    "call", recursive=True,
+)
+def modref_closure(f):
+    """Effects of functions and all they call (SM-13)."""
+    own = f["lineitem"].filter("l_quantity >= 49").select(F.col("l_suppkey").alias("func"), (F.col("l_partkey") % 50).alias("region"), F.when(F.col("l_returnflag") == "R", "mod").otherwise("ref").alias("op")).distinct()
+    return callgraph.mod_ref(own, f["call"])
+
+
+SIM = "sim AS (SELECT DISTINCT l_suppkey AS cs, l_partkey % 300 AS n1, l_partkey % 250 AS n2, (8 * (l_linenumber % 2))::BIGINT AS off FROM lineitem WHERE l_quantity >= 49)"
+
+
+def _sim(f):
+    return f["lineitem"].filter("l_quantity >= 49").select(F.col("l_suppkey").alias("cs"), (F.col("l_partkey") % 300).alias("n1"), (F.col("l_partkey") % 250).alias("n2"), (8 * (F.col("l_linenumber") % 2)).cast("long").alias("off")).distinct()
+
+
+@query("sim_is_function", f"WITH {SIM} SELECT cs, n1, count(DISTINCT (n2, off)) AS images FROM sim GROUP BY cs, n1 HAVING count(DISTINCT (n2, off)) > 1")
+def sim_is_function(f):
+    """Where a simulation relation is no function (SI-3)."""
+    return simulate.not_functions(_sim(f))
+
+
+@query("sim_is_injective", f"WITH {SIM} SELECT cs, n2, off, count(DISTINCT n1) AS sources FROM sim WHERE n2 % 2 = 0 GROUP BY cs, n2, off HAVING count(DISTINCT n1) > 1")
+def sim_is_injective(f):
+    """Where modified targets have several sources (SI-4)."""
+    return simulate.not_injective(_sim(f), f.spark.range(0, 250, 2).withColumnRenamed("id", "node"))
+
+
+@query(
+    "sim_closure",
+    """+ seeds AS (SELECT DISTINCT node % 10 AS cs, node AS n1, node AS n2 FROM object_link WHERE node % 50 = 1),
+reach AS (SELECT cs, n1, n2 FROM seeds UNION SELECT reach.cs, a.dst, b.dst FROM reach JOIN object_link a ON a.node = reach.n1 JOIN object_link b ON b.node = reach.n2 AND b.off = a.off) SELECT cs, n1, n2, 0::BIGINT AS off FROM reach""",
+    "object_link", recursive=True,
+)
+def sim_closure(f):
+    """Simulation pairs along equal fields from seeds (SI-2, SI-6)."""
+    links = f["object_link"].withColumn("ftype", F.lit("?"))
+    seeds = f["object_link"].filter("node % 50 = 1").select((F.col("node") % 10).alias("cs"), F.col("node").alias("n1"), F.col("node").alias("n2"), F.lit(0).cast("long").alias("off")).distinct()
+    return simulate.simulate(seeds, links, links)[0]
+
+
+@query(
+    "may_alias_pairs",
+    f"""+ sz AS (SELECT node, off, CASE WHEN min(bytes) = max(bytes) THEN min(bytes) END AS size FROM accessed GROUP BY node, off),
+c AS (SELECT l_orderkey AS val, l_partkey * 2 + 1 AS node, min(8 * l_linenumber)::BIGINT AS off FROM lineitem WHERE l_quantity >= 49 GROUP BY 1, 2),
+p AS (SELECT a.val AS v1, b.val AS v2, a.node, a.off AS off1, b.off AS off2, nd.flags | CASE WHEN a.node % 11 = 0 THEN {FLAG['inttoptr']} ELSE 0 END AS flags, a.node % 13 = 0 AS collapsed FROM c a JOIN c b ON a.node = b.node AND a.val < b.val JOIN node nd ON nd.node = a.node)
+SELECT v1, v2, CASE WHEN flags & {alias.UNSURE} <> 0 THEN 'may' WHEN collapsed THEN 'may' WHEN size IS NULL THEN 'may' WHEN least(off1, off2) + size >= greatest(off1, off2) THEN 'may' ELSE 'no' END AS verdict
+FROM p LEFT JOIN sz ON sz.node = p.node AND sz.off = least(off1, off2)""",
+    "node", "accessed",
+)
+def may_alias_pairs(f):
+    """Alias verdicts of pointers into one node (OP-ALIAS, OP-MAY, TY-6)."""
+    size = alias.common_size(f["accessed"])
+    c = f["lineitem"].filter("l_quantity >= 49").groupBy(F.col("l_orderkey").alias("val"), (F.col("l_partkey") * 2 + 1).alias("node")).agg(F.min(8 * F.col("l_linenumber")).cast("long").alias("off"))
+    a, b = c.select(F.col("val").alias("v1"), "node", F.col("off").alias("off1")), c.select(F.col("val").alias("v2"), "node", F.col("off").alias("off2"))
+    p = a.join(b, "node").filter("v1 < v2").join(f["node"].select("node", "flags"), "node")
+    p = p.withColumn("flags", F.col("flags").bitwiseOR(F.when(F.col("node") % 11 == 0, F.lit(FLAG["inttoptr"])).otherwise(F.lit(0)))).withColumn("collapsed", F.col("node") % 13 == 0)
+    p = p.withColumn("off", F.least("off1", "off2")).join(size.withColumnRenamed("size", "low_size"), ["node", "off"], "left").withColumn("node1", F.col("node")).withColumn("node2", F.col("node"))
+    return alias.may_alias(p).select("v1", "v2", "verdict")
+
+
+@query("node_access_counts", "SELECT node, accesses FROM access_total", "access_total")
+def node_access_counts(f):
+    """Accesses of each node (ST-2)."""
+    return stats.access_counts(f["access_log"])
+
+
+@query("total_accesses", "SELECT sum(accesses)::BIGINT AS accesses FROM access_total", "access_total")
+def total_accesses(f):
+    """All accesses (ST-6)."""
+    return stats.access_counts(f["access_log"]).agg(F.sum("accesses").alias("accesses"))
+
+
+@query("topk_nodes", "SELECT node, accesses, (accesses * 100 // (SELECT sum(accesses) FROM access_total))::BIGINT AS percent FROM access_total ORDER BY accesses DESC, node LIMIT 20", "access_total")
+def topk_nodes(f):
+    """The most accessed nodes (ST-7)."""
+    return stats.topk_nodes(stats.access_counts(f["access_log"]))
+
+
+LIVE = f"flags & {FLAG['read'] | FLAG['modified']} <> 0"
+
+
+@query("live_nodes", f"SELECT node FROM node WHERE {LIVE}", "node")
+def live_nodes(f):
+    """Nodes read or modified (ST-1, ST-3)."""
+    return stats.live_nodes(f["node"]).select("node")
+
+
+@query("alloc_site_ids", "+ m AS (SELECT val, min({'n': node, 's': name}) AS first_at FROM site GROUP BY val) SELECT val, row_number() OVER (ORDER BY first_at, val) AS site_id FROM m", "site")
+def alloc_site_ids(f):
+    """Dense ids of alloc sites (ST-4)."""
+    return stats.alloc_site_ids(f["site"])
+
+
+@query("alloc_site_lookup", "+ m AS (SELECT val, min({'n': node, 's': name}) AS first_at FROM site GROUP BY val), i AS (SELECT val, row_number() OVER (ORDER BY first_at, val) AS site_id FROM m) SELECT p_partkey AS val, coalesce(site_id, 0) AS site_id FROM part LEFT JOIN i ON i.val = p_partkey", "site")
+def alloc_site_lookup(f):
+    """Site ids of all values, 0 where there is none (ST-5)."""
+    ids = stats.alloc_site_ids(f["site"])
+    return f["part"].select(F.col("p_partkey").alias("val")).join(ids, "val", "left").select("val", F.coalesce("site_id", F.lit(0)).alias("site_id"))
+
+
+@query("node_kinds", f"+ t AS (SELECT DISTINCT node FROM accessed WHERE node % 3 <> 0), n AS (SELECT node, node % 17 = 0 AS collapsed FROM node WHERE {LIVE}) SELECT count(*) AS live, count(t.node) AS typed, count(*) FILTER (t.node IS NULL AND NOT collapsed) AS untyped, count(*) FILTER (collapsed) AS collapsed_nodes FROM n LEFT JOIN t USING (node)", "node", "accessed")
+def node_kinds(f):
+    """Counts of live, typed, untyped and collapsed nodes (ST-8, GR-28)."""
+    return stats.node_kinds(f["node"].withColumn("collapsed", F.col("node") % 17 == 0), f["accessed"].filter("node % 3 <> 0"))
+
+
+@query("graph_fanout", "+ n AS (SELECT vertex.node, count(field.node) AS n FROM vertex LEFT JOIN field USING (node) GROUP BY vertex.node) SELECT count(*) AS nodes, sum(n)::BIGINT AS links, max(n) AS max_fan_out, (sum(n) * 1000 // count(*))::BIGINT AS avg_fan_out_milli FROM n", "vertex", "field")
+def graph_fanout(f):
+    """Fan-out of nodes (ST-9)."""
+    return stats.fan_out(f["vertex"], f["field"])
+
+
+@query(
+    "orphan_nodes",
+    """+ n AS (SELECT node, count(DISTINCT val) AS n FROM site GROUP BY node)
+SELECT coalesce(sum(n), 0)::BIGINT AS sites, coalesce(max(n), 0)::BIGINT AS max_sites, count(*) FILTER (n IS NULL) AS orphan_nodes, coalesce(sum(accesses) FILTER (n IS NULL), 0)::BIGINT AS orphan_accesses
+FROM node LEFT JOIN n USING (node) LEFT JOIN access_total a USING (node)""",
+    "node", "site", "access_total",
+)
+def orphan_nodes(f):
+    """Nodes without an alloc site (ST-10)."""
+    return stats.orphans(f["node"], f["site"], stats.access_counts(f["access_log"]))
+
+
+@query("type_disparity_topk", "SELECT node % 97 AS node, count(DISTINCT type) AS types FROM site GROUP BY 1 ORDER BY types DESC, 1 LIMIT 20", "site")
+def type_disparity_topk(f):
+    """Nodes whose alloc sites differ most in type (ST-11)."""
+    return stats.type_disparity(f["site"].withColumn("node", F.col("node") % 97))
+
+
+@query("alloc_site_csv", "SELECT concat(name, ',', node::VARCHAR) AS line FROM site", "site")
+def alloc_site_csv(f):
+    """Lines of the alloc-site CSV (SNK-4)."""
+    return export.csv_lines(f["site"])
+
+
+@query("alloc_site_text", "SELECT val, concat('[', string_agg(node::VARCHAR, ',' ORDER BY node), ']') AS nodes FROM (SELECT DISTINCT val % 50 AS val, node FROM site) GROUP BY val", "site")
+def alloc_site_text(f):
+    """Node sets of alloc sites (SNK-5)."""
+    return export.site_sets(f["site"].withColumn("val", F.col("val") % 50))
+
+
+@query(
+    "dot_nodes",
+    """SELECT node, concat('n', node::VARCHAR, ' [shape=record,label="{void}:', """ + " || ".join(f"CASE WHEN flags & {FLAG[n]} <> 0 THEN '{x}' ELSE '' END" for n, x in (("heap", "H"), ("modified", "M"), ("read", "R"))) + """, '"];') AS line FROM node""",
+    "node",
+)
+def dot_nodes(f):
+    """DOT statements of untyped nodes (SNK-1)."""
+    return export.dot_nodes(f["node"])
+
+
+@query("dot_edges", "SELECT concat('n', node::VARCHAR, ' -> n', dst::VARCHAR, ' [label=\"', off::VARCHAR, ', ', dst_off::VARCHAR, '\"];') AS line FROM field", "field")
+def dot_edges(f):
+    """DOT statements of links (SNK-1)."""
+    return export.dot_edges(f["field"])
+
+
+@query("callgraph_dot", "SELECT DISTINCT concat('\"', a.name, '\" -> \"', b.name, '\";') AS line FROM call JOIN func a ON a.func = caller JOIN func b ON b.func = callee", "call", "func")
+def callgraph_dot(f):
+    """DOT statements of the call graph (SNK-7, CG-11)."""
+    return export.callgraph_dot(f["call"], f["func"])
+
+
+@query("region_ids", "+ u AS (SELECT l_partkey AS node, min(l_orderkey * 8 + l_linenumber) AS first_use, max(l_linenumber * 8)::BIGINT AS size FROM lineitem GROUP BY 1) SELECT node, greatest(size, 1) AS span, (sum(greatest(size, 1)) OVER (ORDER BY first_use, node) - greatest(size, 1))::BIGINT AS region FROM u", "fcount")
+def region_ids(f):
+    """Consecutive region ids in order of first use (SM-1)."""
+    u = f["lineitem"].groupBy(F.col("l_partkey").alias("node")).agg(F.min(F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("first_use"), F.max(F.col("l_linenumber") * 8).cast("long").alias("size"))
+    return memssa.region_ids(u)
+
+
+ACC = "SELECT l_suppkey AS func, l_partkey % 40 AS region, l_orderkey * 8 + l_linenumber AS acc, max(l_returnflag) = 'R' AS is_def FROM lineitem GROUP BY 1, 2, 3"
+
+
+@query("reaching_def", f"WITH a AS ({ACC}), w AS (SELECT *, coalesce(last_value(CASE WHEN is_def THEN acc END IGNORE NULLS) OVER (PARTITION BY func, region ORDER BY acc ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS reaching FROM a) SELECT func, region, acc, reaching FROM w WHERE NOT is_def")
+def reaching_def(f):
+    """Last definition before each use in straight-line code (SM-9)."""
+    a = f["lineitem"].groupBy(F.col("l_suppkey").alias("func"), (F.col("l_partkey") % 40).alias("region"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("acc")).agg((F.max("l_returnflag") == "R").alias("is_def"))
+    return memssa.reaching_definitions(a)
+
+
+@query(
+    "may_clobber",
+    """+ d AS (SELECT l_orderkey AS id, l_partkey AS part, (8 * l_linenumber)::BIGINT AS off, (1 + l_suppkey % 16)::BIGINT AS size, l_returnflag = 'A' AS is_init FROM lineitem WHERE l_quantity >= 49)
+SELECT a.id AS def_id, b.id AS use_id, CASE WHEN a.is_init THEN true WHEN a.off + a.size <= b.off OR b.off + b.size <= a.off THEN false WHEN a.id % 3 <> b.id % 3 THEN false ELSE true END AS clobbers FROM d a JOIN d b ON a.part = b.part AND a.id < b.id""",
+    "fcount",
+)
+def may_clobber(f):
+    """Whether definitions clobber later uses of their node (SM-11)."""
+    d = f["lineitem"].filter("l_quantity >= 49").select(F.col("l_orderkey").alias("id"), F.col("l_partkey").alias("part"), (8 * F.col("l_linenumber")).cast("long").alias("off"), (1 + F.col("l_suppkey") % 16).alias("size"), (F.col("l_returnflag") == "A").alias("is_init"), F.array(F.col("l_orderkey") % 3).alias("sites"))
+    a = d.select(F.col("id").alias("def_id"), "part", F.col("off").alias("def_off"), F.col("size").alias("def_size"), "is_init", F.col("sites").alias("def_sites"))
+    b = d.select(F.col("id").alias("use_id"), "part", F.col("off").alias("use_off"), F.col("size").alias("use_size"), F.col("sites").alias("use_sites"))
+    return memssa.may_clobber(a.join(b, "part").filter("def_id < use_id")).select("def_id", "use_id", "clobbers")
+
+
+@query(
+    "call_effects",
+    f"""+ {SIM}, n AS (SELECT DISTINCT l_partkey % 250 AS node, l_partkey % 250 % 3 <> 0 AS is_read, l_partkey % 250 % 4 = 0 AS is_modified, l_partkey % 250 % 5 = 0 AS only_ret FROM lineitem),
+h AS (SELECT DISTINCT cs, n2 AS node FROM sim)
+SELECT cs, node, CASE WHEN only_ret THEN 'NEW' WHEN is_modified THEN 'MOD' ELSE 'REF' END AS op, row_number() OVER (PARTITION BY cs ORDER BY node) AS idx FROM h JOIN n USING (node) WHERE is_read OR is_modified""",
+    "fcount",
+)
+def call_effects(f):
+    """REF, MOD and NEW regions of calls (SM-7)."""
+    k = F.col("l_partkey") % 250
+    n = f["lineitem"].select(k.alias("node"), (k % 3 != 0).alias("is_read"), (k % 4 == 0).alias("is_modified"), (k % 5 == 0).alias("only_ret")).distinct()
+    sim = _sim(f).select("cs", F.col("n2").alias("node")).distinct()
+    return memssa.call_effects(sim.select("cs").distinct(), sim, n)
+
+
+@query("type_leaves", "WITH t AS (SELECT l_orderkey AS type, l_linenumber::BIGINT AS idx, max(1 + l_suppkey % 8)::BIGINT AS bytes FROM lineitem GROUP BY 1, 2) SELECT type, idx, bytes, (coalesce(sum(bytes) OVER (PARTITION BY type ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS off FROM t")
+def type_leaves(f):
+    """Leaves of aggregates with running offsets (TY-4)."""
+    return ty.leaves(f["lineitem"].groupBy(F.col("l_orderkey").alias("type"), F.col("l_linenumber").cast("long").alias("idx")).agg(F.max(1 + F.col("l_suppkey") % 8).alias("bytes")))
+
+
+@query("field_types", "SELECT DISTINCT p_type AS type, CASE WHEN p_size % 4 = 0 THEN 'omni' ELSE p_type || '*' END AS ftype FROM part")
+def field_types(f):
+    """Field types of pointers, with byte pointers as omni (TY-2, TY-3)."""
+    t = F.when(F.col("p_size") % 4 == 0, "i8*").otherwise(ty.pointer_to(F.col("p_type")))
+    return f["part"].select(F.col("p_type").alias("type"), ty.field_type(t).alias("ftype")).distinct()
+
+
+@query("common_sizes", "SELECT node, off, CASE WHEN min(bytes) = max(bytes) THEN min(bytes) END AS size FROM accessed GROUP BY node, off", "accessed")
+def common_sizes(f):
+    """The one size of the types at an offset (TY-6)."""
+    return alias.common_size(f["accessed"])
+
+
+@query("libc_spec", libc.sql())
+def libc_spec(f):
+    """Actions of library functions on their arguments (SRC-4)."""
+    return libc.spec(f.spark)
+
+
+@query("weighted_unify")
+def weighted_unify(f):
+    """Classes with relative offsets and conflicts (GR-2)."""
+    eq = f["field"].select(F.col("node").alias("n1"), F.col("off").alias("o1"), F.col("dst").alias("n2"), F.col("dst_off").alias("o2"))
+    return weighted_components(f["vertex"], eq)
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(SQL)
