@@ -1,8 +1,73 @@
-"""Corpus pipeline (being built)."""
+"""Corpus pipeline: language, near duplicates, PII, mixture, tokens.
 
-STAGES = []
+Each stage takes what the one before it kept, as Parquet; all but the last
+return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cellgraph.llm import bpe, common, langid, minhash, mixing, pii
+
+#: Documents whose language is less certain than this are rejected; so are those without a letter.
+LEAST_SCORE = 0.5
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep documents in a language that is known with some certainty; ``lang`` becomes the language predicted."""
+    model = langid.fit_documents(docs)
+    out = langid.identify(docs.select("doc_id", "text", "source", "n_chars", F.col("text").alias("whole")), model, text_col="whole", keep=("doc_id", "text", "source", "n_chars"))
+    kept = out.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
+    return kept.select("doc_id", "text", F.col("lang_pred").alias("lang"), "source", "n_chars")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates (five words, similarity 0.8) stays: the one with the smallest id."""
+    groups = minhash.near_duplicates(docs, minhash.for_similarity(5, 80))
+    gone = common.materialize(groups.filter("not kept").select("doc_id").distinct(), "gone")
+    return common.within_ids(docs, gone, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data becomes surrogates."""
+    return pii.replace_pii(docs.select(*COLUMNS)).select(*COLUMNS)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sample documents to the target shares of sources, languages and topics."""
+    out = mixing.mix(docs.select(*COLUMNS), keep=COLUMNS)
+    return out.filter("sampled").select(*[F.col("in_" + c).alias(c) for c in COLUMNS])
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of the ids and of what they decode to."""
+    return bpe.digests(bpe.encode_decode(docs))
+
+
+STAGES = [
+    ("language", language),
+    ("near_duplicates", near_duplicates),
+    ("surrogates", surrogates),
+    ("mixture", mixture),
+    ("tokens", tokens),
+]
+
+#: SQL cannot express language ID, candidate search and BPE.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each written to the shared folder and read again by the next."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            path = f"{common.shared_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
+            docs.write.parquet(path)
+            docs = spark.read.parquet(path)
+    return docs
