@@ -46,6 +46,7 @@ def entities(text: Column) -> Column:
 
 
 def type_of(e: Column) -> Column:
+    """email, name, ip, ssn, iban, secret, phone or card."""
     digits = F.length(F.regexp_replace(e, "[^0-9]", ""))
     return (
         F.when(e.contains("@") & e.rlike(f"^(?:{EMAIL})$"), "email").when(e.rlike(f"^{TITLE} "), "name").when(e.rlike(f"^{OCTET}(?:\\.{OCTET}){{3}}$"), "ip")
@@ -54,9 +55,8 @@ def type_of(e: Column) -> Column:
     )
 
 
-def normal_form(e: Column) -> Column:
-    """What makes two mentions one entity: the type, and digits, case-folded text or gender and name."""
-    kind, digits = type_of(e), F.regexp_replace(e, "[^0-9]", "")
+def _normal(e: Column, kind: Column) -> Column:
+    digits = F.regexp_replace(e, "[^0-9]", "")
     gender = F.when(e.rlike(f"^(?:{FEMALE})[. ]"), "f").otherwise("m")
     body = (
         F.when(kind == "email", F.lower(e)).when(kind == "phone", F.substring(digits, -10, 10)).when(kind.isin("ssn", "card"), digits)
@@ -65,87 +65,109 @@ def normal_form(e: Column) -> Column:
     return F.concat(kind, F.lit("|"), body)
 
 
-def _letters(e: Column, byte, keep_from: Column, keep_upto: Column) -> Column:
-    """Each letter and digit by another of its kind, but for positions before keep_upto or from keep_from on."""
-    hexa = e.rlike("^[0-9a-f]+$")
+def described(found: Column) -> Column:
+    """For each entity (e, kind, key): key is what makes two mentions one entity, its type with digits, case-folded text or gender and name.
+
+    Each step is a transform of its own: later ones refer to its result, so that nothing is computed twice.
+    """
+    typed = F.transform(found, lambda e: F.struct(e.alias("e"), type_of(e).alias("kind")))
+    return F.transform(typed, lambda s: F.struct(s["e"].alias("e"), s["kind"].alias("kind"), _normal(s["e"], s["kind"]).alias("key")))
+
+
+def _letters(s: Column) -> Column:
+    """Each letter and digit by another of its kind, but for positions outside [s.low, s.high)."""
 
     def char(c: Column, i: Column) -> Column:
-        pick = lambda first, n: F.char(F.lit(first) + byte(i) % n)
-        new = F.when(c.rlike("[0-9]"), pick(48, 10)).when(c.rlike("[a-z]"), F.when(hexa, pick(97, 6)).otherwise(pick(97, 26))).when(c.rlike("[A-Z]"), pick(65, 26)).otherwise(c)
-        return F.when((i < keep_upto) | (i >= keep_from), c).otherwise(new)
-
-    return F.array_join(F.transform(F.split(e, ""), char), "")
-
-
-def _digits(e: Column, kind: Column, byte) -> Column:
-    """Digits by digits, counted from the right; a phone keeps its country code, a card its first digit and its check."""
-    old = F.transform(F.reverse(F.split(F.regexp_replace(e, "[^0-9]", ""), "")), lambda c: c.cast("int"))
-    n = F.size(old)
-
-    def luhn(a: Column) -> Column:
-        twice = lambda x: F.when(x > 4, 2 * x - 9).otherwise(2 * x)
-        return F.aggregate(F.transform(a, lambda x, i: F.when(i % 2 == 0, x).otherwise(twice(x))), F.lit(0), lambda s, x: s + x) % 10
-
-    card = kind == "card"
-    raw = F.transform(
-        old,
-        lambda d, i: F.when((card & (i == n - 1)) | ((kind == "phone") & (i >= 10)), d)
-        .when(card & (i == 0), F.lit(0))
-        .when((kind == "phone") & i.isin(6, 9), 2 + byte(i) % 8)
-        .otherwise(byte(i) % 10)
-        .cast("int"),
-    )
-    last = F.when(luhn(old) == 0, (10 - luhn(raw)) % 10).otherwise(byte(F.lit(0)) % 10)
-    new = F.when(card, F.transform(raw, lambda d, i: F.when(i == 0, last).otherwise(d).cast("int"))).otherwise(raw)
-    chars = F.split(e, "")
-    return F.array_join(
-        F.transform(chars, lambda c, i: F.when(c.rlike("[0-9]"), F.element_at(new, 1 + F.length(F.regexp_replace(F.substring(e, i + 2, F.length(e)), "[^0-9]", ""))).cast("string")).otherwise(c)), ""
-    )
+        byte = F.element_at(s["bytes"], i % 64 + 1)
+        code = F.ascii(c)
+        new = (
+            F.when(code.between(48, 57), F.char(48 + byte % 10)).when(code.between(97, 122), F.char(97 + byte % F.when(s["hexa"], 6).otherwise(26)))
+            .when(code.between(65, 90), F.char(65 + byte % 26)).otherwise(c)
+        )
+        return F.when((i < s["low"]) | (i >= s["high"]), c).otherwise(new)
 
+    return F.array_join(F.transform(F.split(s["e"], ""), char), "")
 
-def _name(e: Column, byte) -> Column:
-    """The title, then made-up names of as many words; the ending tells the gender, the letters the script."""
-    title = F.regexp_extract(e, f"^({TITLE} )", 1)
-    female, cyrillic = e.rlike(f"^(?:{FEMALE})[. ]"), e.rlike(r"\p{IsCyrillic}")
 
-    def syllable(i: int) -> Column:
-        pick = lambda a, b, at: F.when(cyrillic, F.substring(F.lit(b), at + 1, F.lit(1))).otherwise(F.substring(F.lit(a), at + 1, F.lit(1)))
-        b = byte(F.lit(i)) + 256 * byte(F.lit(i + 20))
-        return F.concat(pick(CONSONANTS, CYRILLIC_CONSONANTS, (b % 14).cast("int")), pick(VOWELS, CYRILLIC_VOWELS, (F.floor(b / 14) % 5).cast("int")))
+def _luhn(a: Column) -> Column:
+    """Check sum of digits counted from the right."""
+    return F.aggregate(F.transform(a, lambda x, i: F.when(i % 2 == 0, x).when(x > 4, 2 * x - 9).otherwise(2 * x)), F.lit(0), lambda t, x: t + x) % 10
+
+
+def _digits(rows: Column) -> Column:
+    """Digits by digits, counted from the right; a phone keeps its country code, a card its first digit and a valid check digit."""
+    old = F.transform(rows, lambda s: F.struct(s["e"].alias("e"), s["kind"].alias("kind"), s["bytes"].alias("bytes"), F.transform(F.reverse(F.split(F.regexp_replace(s["e"], "[^0-9]", ""), "")), lambda c: c.try_cast("int")).alias("old")))
+
+    def raw(s: Column) -> Column:
+        card, phone, n = s["kind"] == "card", s["kind"] == "phone", F.size(s["old"])
+
+        def digit(d: Column, i: Column) -> Column:
+            byte = F.element_at(s["bytes"], i % 64 + 1)
+            return F.when((card & (i == n - 1)) | (phone & (i >= 10)), d).when(card & (i == 0), F.lit(0)).when(phone & i.isin(6, 9), 2 + byte % 8).otherwise(byte % 10).cast("int")
 
+        return F.struct(s["e"].alias("e"), s["kind"].alias("kind"), s["bytes"].alias("bytes"), s["old"].alias("old"), F.transform(s["old"], digit).alias("raw"))
+
+    def last(s: Column) -> Column:
+        check = F.when(_luhn(s["old"]) == 0, (10 - _luhn(s["raw"])) % 10).otherwise(F.element_at(s["bytes"], 1) % 10)
+        first = F.when(s["kind"] == "card", check).otherwise(F.element_at(s["raw"], 1)).cast("int")
+        return F.struct(s["e"].alias("e"), F.concat(F.array(first), F.slice(s["raw"], 2, F.greatest(F.size(s["raw"]) - 1, F.lit(0)))).alias("new"))
+
+    def woven(s: Column) -> Column:
+        rest = F.aggregate(
+            F.split(s["e"], ""),
+            F.struct(F.lit("").alias("out"), F.size(s["new"]).alias("at")),
+            lambda t, c: F.when(F.ascii(c).between(48, 57), F.struct(F.concat(t["out"], F.element_at(s["new"], t["at"]).cast("string")).alias("out"), (t["at"] - 1).alias("at"))).otherwise(F.struct(F.concat(t["out"], c).alias("out"), t["at"].alias("at"))),
+        )
+        return rest["out"]
+
+    return F.transform(F.transform(F.transform(old, raw), last), woven)
+
+
+def _name(s: Column) -> Column:
+    """The title, then made-up names of as many words; the ending tells the gender, the letters the script."""
+    e, female, cyrillic = s["e"], s["female"], s["cyrillic"]
+    syllables = F.transform(
+        F.sequence(F.lit(1), F.lit(6)),
+        lambda k: F.concat(
+            F.substring(F.when(cyrillic, CYRILLIC_CONSONANTS).otherwise(CONSONANTS), F.element_at(s["bytes"], k) % 14 + 1, F.lit(1)),
+            F.substring(F.when(cyrillic, CYRILLIC_VOWELS).otherwise(VOWELS), F.element_at(s["bytes"], k + 20) % 5 + 1, F.lit(1)),
+        ),
+    )
     ending = F.when(cyrillic, F.when(female, "на").otherwise("н")).otherwise(F.when(female, "na").otherwise("n"))
-    first = F.initcap(F.concat(syllable(0), syllable(1), ending))
-    family = F.initcap(F.concat(*[syllable(i) for i in range(2, 6)], F.when(cyrillic, "к").otherwise("k")))
-    return F.concat(title, F.when(F.regexp_replace(e, f"^{TITLE} ", "").contains(" "), F.concat(first, F.lit(" "), family)).otherwise(F.initcap(F.concat(*[syllable(i) for i in range(2, 6)], ending))))
+    part = lambda lo, n: F.array_join(F.slice(syllables, lo, n), "")
+    two = F.concat(F.initcap(F.concat(part(1, 2), ending)), F.lit(" "), F.initcap(F.concat(part(3, 4), F.when(cyrillic, "к").otherwise("k"))))
+    title = F.regexp_extract(e, f"^({TITLE} )", 1)
+    return F.concat(title, F.when(F.size(F.split(e, " ")) > 2, two).otherwise(F.initcap(F.concat(part(3, 4), ending))))
 
 
-def surrogate(e: Column, attempt: Column, secret: str) -> Column:
-    """The replacement of one mention of an entity."""
-    kind = type_of(e)
-    seed = F.concat(F.lit(secret), F.lit("|"), normal_form(e), F.lit("|"), attempt.cast("string"))
-    stream = F.concat(F.sha2(F.concat(seed, F.lit("|0")), 256), F.sha2(F.concat(seed, F.lit("|1")), 256))
+def surrogates(rows: Column, attempt, secret: str) -> Column:
+    """Replacements of entities (e, kind, key); ``attempt`` gives the attempt of a key."""
+    hashed = F.transform(rows, lambda s: F.struct(s["e"].alias("e"), s["kind"].alias("kind"), F.concat(F.lit(secret), F.lit("|"), s["key"], F.lit("|"), attempt(s["key"]).cast("string")).alias("seed")))
+    hexes = F.transform(hashed, lambda s: F.struct(s["e"].alias("e"), s["kind"].alias("kind"), F.concat(F.sha2(F.concat(s["seed"], F.lit("|0")), 256), F.sha2(F.concat(s["seed"], F.lit("|1")), 256)).alias("hex")))
+    full = F.transform(hexes, lambda s: F.struct(s["e"].alias("e"), s["kind"].alias("kind"), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.conv(F.substring(s["hex"], 2 * i + 1, F.lit(2)), 16, 10).cast("int")).alias("bytes")))
 
-    def byte(i: Column) -> Column:
-        return F.conv(F.substring(stream, 2 * (i % 64) + 1, F.lit(2)), 16, 10).cast("int")
+    def marked(s: Column) -> Column:
+        e, kind = s["e"], s["kind"]
+        domain = F.length(F.regexp_extract(e, r"((?i:\.example)?\.[A-Za-z]+)$", 1))
+        low = F.when((kind == "secret") & e.startswith("AKIA"), 4).when(kind == "iban", 2).otherwise(0)
+        return F.struct(e.alias("e"), kind.alias("kind"), s["bytes"].alias("bytes"), low.alias("low"), (F.length(e) - F.when(kind == "email", domain).otherwise(0)).alias("high"), e.rlike("^[0-9a-f]+$").alias("hexa"), e.rlike(f"^(?:{FEMALE})[. ]").alias("female"), e.rlike(r"\p{IsCyrillic}").alias("cyrillic"))
 
-    end = F.length(e)
-    keep_domain = F.when(e.rlike(r"(?i)\.example\.(com|net|org)$"), F.length(F.regexp_extract(e, r"(?i)(\.example\.[a-z]+)$", 1))).otherwise(F.length(F.regexp_extract(e, r"(\.[A-Za-z]+)$", 1)))
-    address = F.array_join(F.transform(F.split(e, r"\."), lambda o, i: (1 + byte(i) % 254).cast("string")), ".")
-    return (
-        F.when(kind == "email", _letters(e, byte, end - keep_domain, F.lit(0)))
-        .when(kind == "name", _name(e, byte)).when(kind == "ip", address)
-        .when(kind.isin("secret", "iban"), _letters(e, byte, end, F.when(e.startswith("AKIA"), 4).when(kind == "iban", 2).otherwise(0)))
-        .otherwise(_digits(e, kind, byte))
-    )
+    def one(s: Column, digits: Column) -> Column:
+        address = F.array_join(F.transform(F.split(s["e"], r"\."), lambda o, i: (1 + F.element_at(s["bytes"], i + 1) % 254).cast("string")), ".")
+        return F.when(s["kind"].isin("email", "secret", "iban"), _letters(s)).when(s["kind"] == "name", _name(s)).when(s["kind"] == "ip", address).otherwise(digits)
+
+    rows = F.transform(full, marked)
+    return F.zip_with(rows, _digits(full), one)
 
 
 def later_attempts(docs: DataFrame, secret: str, text_col: str = "text", most: int = 12) -> DataFrame:
     """key (normal form), attempt: the entities whose surrogate is not the first attempt, after all collision checks."""
     found = docs.select(F.explode(entities(F.col(text_col).cast("string"))).alias("e"))
-    known = found.groupBy(normal_form(F.col("e")).alias("key")).agg(F.min("e").alias("e"))
+    known = found.distinct().select(F.explode(described(F.array("e"))).alias("s")).groupBy(F.col("s.key").alias("key")).agg(F.min("s.e").alias("e"))
     known = materialize(known.withColumn("attempt", F.lit(0)), "entities")
     for _ in range(most):
-        new = known.withColumn("new", normal_form(surrogate(F.col("e"), F.col("attempt"), secret)))
+        made = known.select("key", "e", "attempt", F.explode(surrogates(described(F.array("e")), lambda _: F.col("attempt"), secret)).alias("made"))
+        new = materialize(made.select("key", "e", "attempt", F.explode(described(F.array("made"))).alias("s")).select("key", "e", "attempt", F.col("s.key").alias("new")), "made")
         shared = new.groupBy("new").agg(F.min("key").alias("owner"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("new", "owner")
         taken = new.select("new").join(known.select(F.col("key").alias("new")), "new", "left_semi").distinct().withColumn("owner", F.lit(""))
         clash = materialize(shared.union(taken).groupBy("new").agg(F.min("owner").alias("owner")), "clashes")
@@ -173,23 +195,22 @@ def replace_pii(docs: DataFrame, secret: str = "surrogates", text_col: str = "te
     n = later.count()
     rows = docs
     if n == 0:
-        attempt = lambda e: F.lit(0)
+        attempt = lambda key: F.lit(0)
     elif n <= MOST_IN_PLAN:
         pairs = later.collect()  # at most MOST_IN_PLAN
         table = F.create_map(*[F.lit(x) for r in pairs for x in (r[0], r[1])])
-        attempt = lambda e: F.coalesce(F.try_element_at(table, normal_form(e)), F.lit(0))
+        attempt = lambda key: F.coalesce(F.try_element_at(table, key), F.lit(0))
     else:
-        keyed = docs.select(F.xxhash64(text_col).alias("__t"), F.explode(F.array_distinct(F.transform(entities(text), normal_form))).alias("key"))
+        keyed = docs.select(F.xxhash64(text_col).alias("__t"), F.explode(described(entities(text))).alias("s")).select("__t", F.col("s.key").alias("key"))
         maps = keyed.distinct().join(later, "key").groupBy("__t").agg(F.map_from_entries(F.collect_list(F.struct("key", "attempt"))).alias("__attempts"))
         maps = materialize(maps, "attempts")
         rows = docs.withColumn("__t", F.xxhash64(text_col)).join(maps, "__t", "left").drop("__t")
-        attempt = lambda e: F.coalesce(F.try_element_at("__attempts", normal_form(e)), F.lit(0))
-    found = rows.withColumn("__e", entities(text))
-    parts = F.split(text, PATTERN, -1)
-    new = F.transform("__e", lambda e: surrogate(e, attempt(e), secret))
-    joined = F.array_join(F.zip_with(parts, new, lambda p, s: F.concat(p, F.coalesce(s, F.lit("")))), "")
-    out = found.withColumn("pii_types", F.transform("__e", type_of)).withColumn(text_col, F.when(F.size("__e") > 0, joined).otherwise(F.col(text_col)))
-    return out.drop("__e", "__attempts")
+        attempt = lambda key: F.coalesce(F.try_element_at("__attempts", key), F.lit(0))
+    # the pattern runs once for the entities and once for the text between them, on texts with a hint only
+    cut = rows.withColumn("__s", described(entities(text)))
+    joined = F.array_join(F.zip_with(F.split(text, PATTERN, -1), surrogates(F.col("__s"), attempt, secret), lambda p, s: F.concat(p, F.coalesce(s, F.lit("")))), "")
+    out = cut.withColumn("pii_types", F.transform("__s", lambda s: s["kind"])).withColumn(text_col, F.when(F.size("__s") > 0, joined).otherwise(F.col(text_col)))
+    return out.drop("__s", "__attempts")
 
 
 def op8_surrogates(spark, sf_dir: str) -> DataFrame:
