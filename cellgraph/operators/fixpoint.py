@@ -155,7 +155,38 @@ def reach(seeds: DataFrame, edges: DataFrame, max_rounds: int = 200, small: int
     raise RuntimeError(f"no fixpoint in {max_rounds} rounds")
 
 
-def weighted_components(nodes: DataFrame, eq: DataFrame, max_rounds: int = 100) -> DataFrame:
+def _weighted_labels(nodes: np.ndarray, a: np.ndarray, b: np.ndarray, w: np.ndarray) -> tuple:
+    """node, least node of its class, offset from the lowest, conflict: a union-find that carries offsets."""
+    ids, at = np.unique(np.concatenate([nodes, a, b]), return_inverse=True)
+    up, off, bad = list(range(len(ids))), [0] * len(ids), [False] * len(ids)
+
+    def top(x: int) -> tuple[int, int]:
+        path, total = [], 0
+        while up[x] != x:
+            path.append(x)
+            x = up[x]
+        for y in reversed(path):
+            total += off[y]
+            up[y], off[y] = x, total
+        return x, total
+
+    x, y = at[len(nodes) : len(nodes) + len(a)].tolist(), at[len(nodes) + len(a) :].tolist()
+    for i, j, d in zip(x, y, w.tolist()):  # position of j is position of i plus d
+        (r, p), (s, q) = top(i), top(j)
+        if r == s:
+            bad[r] |= p + d != q
+        else:
+            lo, hi, gap = (r, s, p + d - q) if r < s else (s, r, q - d - p)
+            up[hi], off[hi], bad[lo] = lo, gap, bad[lo] or bad[hi]
+    found = [top(i) for i in range(len(ids))]
+    rep = np.array([r for r, _ in found], np.int64)
+    delta = np.array([p for _, p in found], np.int64)
+    low = np.zeros(len(ids), np.int64)
+    np.minimum.at(low, rep, delta)
+    return ids, ids[rep], delta - low[rep], np.array(bad, bool)[rep]
+
+
+def weighted_components(nodes: DataFrame, eq: DataFrame, max_rounds: int = 100, small: int = SMALL) -> DataFrame:
     """Classes of nodes with relative offsets.
 
     ``eq(n1, o1, n2, o2)`` says that byte o1 of n1 is byte o2 of n2. Returns
@@ -165,6 +196,15 @@ def weighted_components(nodes: DataFrame, eq: DataFrame, max_rounds: int = 100)
     one node. Nodes without equations are classes of their own.
     """
     w = F.col("o1") - F.col("o2")
+    nodes = nodes.select("node").distinct()
+    if nodes.count() + eq.count() <= small:
+        rows = nodes.select(F.col("node").alias("x"), F.col("node").alias("y"), F.lit(0).cast("long").alias("w"), F.lit(0).alias("kind")).union(eq.select("n1", "n2", w, F.lit(1)))
+
+        def solve(t):
+            e = t["kind"] == 1
+            return _weighted_labels(t["x"][~e], t["x"][e], t["y"][e], t["w"][e])
+
+        return in_one_task(rows, solve, "node long, rep long, delta long, conflict boolean")
     edges = eq.select(F.col("n1").alias("s"), F.col("n2").alias("t"), w.alias("w")).union(eq.select(F.col("n2").alias("s"), F.col("n1").alias("t"), (-w).alias("w"))).distinct()
     edges = cut(edges)
     lab = cut(nodes.select(F.col("node").alias("node"), F.col("node").alias("rep"), F.lit(0).cast("long").alias("delta")).distinct())

@@ -42,6 +42,7 @@ def test_scc_and_levels_both_ways(spark):
 def test_weighted_components(spark):
     nodes = spark.createDataFrame([(i,) for i in range(1, 8)], "node long")
     eq = spark.createDataFrame([(1, 8, 2, 0), (2, 4, 3, 0), (4, 0, 5, 0), (4, 8, 5, 0)], "n1 long, o1 long, n2 long, o2 long")
-    got = {r.node: (r.rep, r.delta, r.conflict) for r in fixpoint.weighted_components(nodes, eq).collect()}
-    assert (got[1], got[2], got[3]) == ((1, 0, False), (1, 8, False), (1, 12, False))
-    assert got[4][2] and got[5][2] and got[6] == (6, 0, False)
+    for small in (fixpoint.SMALL, -1):
+        got = {r.node: (r.rep, r.delta, r.conflict) for r in fixpoint.weighted_components(nodes, eq, small=small).collect()}
+        assert (got[1], got[2], got[3]) == ((1, 0, False), (1, 8, False), (1, 12, False))
+        assert got[4][2] and got[5][2] and got[6] == (6, 0, False)
