@@ -76,7 +76,7 @@ class Vocabulary:
         """
         known = self.compatible.get((left, right))
         if known is None:
-            if len(self.compatible) > 500_000:
+            if len(self.compatible) > 200_000:
                 self.compatible.clear()
             made, parts, pair = self.made, self.parts, self.pair
             x, y, cx, cy, known = left, right, 1 << 60, 1 << 60, True
@@ -159,7 +159,7 @@ class Encoder:
     strings of added tokens in a text become their ids, as there.
     """
 
-    def __init__(self, path: str, limit: int = 300_000, block_chars: int = 1 << 22):
+    def __init__(self, path: str, limit: int = 80_000, block_chars: int = 1 << 20):
         self.vocabulary = v = Vocabulary(path)
         self.pretoken = regex.compile(PRETOKEN)
         self.fast_unit, self.fast_other = re.compile(UNIT), re.compile(OTHER_SPACE)
@@ -176,6 +176,10 @@ class Encoder:
         self.token_start = np.cumsum(sizes)
         self.token_bytes = np.frombuffer(b"".join(v.bytes_of.get(i, b"") for i in range(top)), np.uint8)
 
+    def forget(self) -> None:
+        """Drop the older generation."""
+        self.old = ({}, np.empty(0, np.int32), np.zeros(1, np.int64))
+
     def units(self, text: str) -> list[str]:
         """Pieces that encode on their own, in order; together they are the text."""
         if self.split_added is not None and any(a in text for a in self.vocabulary.added):
@@ -278,7 +282,7 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-ROWS = 500
+ROWS = 200
 
 
 def _worker_encoder(path: str) -> Encoder:
@@ -293,17 +297,21 @@ def _round_trip(path: str, with_decoded: bool):
     def run(batches):
         encoder = _worker_encoder(path)
         gc.disable()  # no cycles arise here, and collections would walk the large memory again and again
-        for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                part = batch.slice(at, ROWS)
-                ids, ends = encoder.encode(part.column(part.num_columns - 1).to_pylist())
-                offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
-                columns = [*part.columns[:-1], pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32()))]
-                names = [*part.schema.names[:-1], "ids"]
-                if with_decoded:
-                    columns.append(pa.array([b.decode("utf-8", "replace") for b in encoder.decode(ids, ends)], pa.string()))
-                    names.append("decoded")
-                yield pa.RecordBatch.from_arrays(columns, names)
+        try:
+            for batch in batches:
+                for at in range(0, batch.num_rows, ROWS):
+                    part = batch.slice(at, ROWS)
+                    ids, ends = encoder.encode(part.column(part.num_columns - 1).to_pylist())
+                    offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
+                    columns = [*part.columns[:-1], pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32()))]
+                    names = [*part.schema.names[:-1], "ids"]
+                    if with_decoded:
+                        columns.append(pa.array([b.decode("utf-8", "replace") for b in encoder.decode(ids, ends)], pa.string()))
+                        names.append("decoded")
+                    yield pa.RecordBatch.from_arrays(columns, names)
+        finally:
+            gc.enable()
+            encoder.forget()  # the worker may serve other operators next
 
     return run
 
