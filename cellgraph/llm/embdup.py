@@ -187,9 +187,9 @@ def op6_hyperplane_tables(spark, sf_dir: str) -> DataFrame:
 
 OP6_SQL = """
 WITH RECURSIVE good AS (
-  SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label, list_transform(embedding, x -> x::DOUBLE) AS v FROM embeddings
+  SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0),
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
 links AS (
   SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.label = b.label AND a.r <> b.r AND len(a.v) = len(b.v)
   WHERE list_cosine_similarity(a.v, b.v) >= 0.93::DOUBLE),
