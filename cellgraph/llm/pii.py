@@ -9,6 +9,9 @@ names keep the gender of their title and their script. All distinct entities
 are checked: where two would get one surrogate, or a surrogate is itself an
 entity of the corpus or unchanged, all but one take the next attempt. The few
 entities with a later attempt are looked up; no text moves for the others.
+Characters outside ASCII, and all characters of an entity without a letter or
+digit, become letters. From attempt ``NARROW`` on a surrogate gives up the
+entity's form for one too large to be used up, so the checks end for any input.
 """
 
 from __future__ import annotations
@@ -34,6 +37,8 @@ PATTERN = "|".join((NAME, EMAIL, IP, SSN, PHONE, CARD, IBAN, SECRET))
 #: Texts without any of these hold no entity; a cheap test before the pattern.
 HINT = rf"[0-9@]|{TITLE} |(?i:password|passwd|secret|token|api_?key) {{0,2}}[=:]"
 MOST_IN_PLAN = 1000
+#: So many attempts keep the entity's form.
+NARROW = 12
 
 CONSONANTS, VOWELS = "bdfgklmnprstvz", "aeiou"
 CYRILLIC_CONSONANTS, CYRILLIC_VOWELS = "бдфгклмнпрствз", "аеиоу"
@@ -49,7 +54,7 @@ def type_of(e: Column) -> Column:
     """email, name, ip, ssn, iban, secret, phone or card."""
     digits = F.length(F.regexp_replace(e, "[^0-9]", ""))
     return (
-        F.when(e.contains("@") & e.rlike(f"^(?:{EMAIL})$"), "email").when(e.rlike(f"^{TITLE} "), "name").when(e.rlike(f"^{OCTET}(?:\\.{OCTET}){{3}}$"), "ip")
+        F.when((digits == 0) & ~e.rlike(r"[^ .()+-]"), "secret").when(e.contains("@") & e.rlike(f"^(?:{EMAIL})$"), "email").when(e.rlike(f"^{TITLE} "), "name").when(e.rlike(f"^{OCTET}(?:\\.{OCTET}){{3}}$"), "ip")
         .when(e.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn").when(e.rlike(r"^[A-Z]{2}\d{2}[A-Z0-9]{11,30}$"), "iban").when(e.rlike(r"[^0-9 .()+-]"), "secret")
         .when(e.rlike(r"[(+.]") | (digits <= 12), "phone").otherwise("card")
     )
@@ -75,14 +80,14 @@ def described(found: Column) -> Column:
 
 
 def _letters(s: Column) -> Column:
-    """Each letter and digit by another of its kind, but for positions outside [s.low, s.high)."""
+    """Each letter and digit by another of its kind, but for positions outside [s.low, s.high); others by letters where they are not ASCII or where s.bare."""
 
     def char(c: Column, i: Column) -> Column:
         byte = F.element_at(s["bytes"], i % 64 + 1)
         code = F.ascii(c)
         new = (
             F.when(code.between(48, 57), F.char(48 + byte % 10)).when(code.between(97, 122), F.char(97 + byte % F.when(s["hexa"], 6).otherwise(26)))
-            .when(code.between(65, 90), F.char(65 + byte % 26)).otherwise(c)
+            .when(code.between(65, 90), F.char(65 + byte % 26)).when((code > 127) | (s["bare"] & ~c.isin("@", ".")) | (s["bare"] & (s["kind"] != "email")), F.char(97 + byte % 26)).otherwise(c)
         )
         return F.when((i < s["low"]) | (i >= s["high"]), c).otherwise(new)
 
@@ -126,46 +131,51 @@ def _digits(rows: Column) -> Column:
 def _name(s: Column) -> Column:
     """The title, then made-up names of as many words; the ending tells the gender, the letters the script."""
     e, female, cyrillic = s["e"], s["female"], s["cyrillic"]
-    syllables = F.transform(
-        F.sequence(F.lit(1), F.lit(6)),
-        lambda k: F.concat(
+
+    def syllable(k: Column) -> Column:
+        return F.concat(
             F.substring(F.when(cyrillic, CYRILLIC_CONSONANTS).otherwise(CONSONANTS), F.element_at(s["bytes"], k) % 14 + 1, F.lit(1)),
             F.substring(F.when(cyrillic, CYRILLIC_VOWELS).otherwise(VOWELS), F.element_at(s["bytes"], k + 20) % 5 + 1, F.lit(1)),
-        ),
-    )
+        )
+
+    syllables = F.transform(F.sequence(F.lit(1), F.lit(6)), syllable)
     ending = F.when(cyrillic, F.when(female, "на").otherwise("н")).otherwise(F.when(female, "na").otherwise("n"))
     part = lambda lo, n: F.array_join(F.slice(syllables, lo, n), "")
     two = F.concat(F.initcap(F.concat(part(1, 2), ending)), F.lit(" "), F.initcap(F.concat(part(3, 4), F.when(cyrillic, "к").otherwise("k"))))
     title = F.regexp_extract(e, f"^({TITLE} )", 1)
-    return F.concat(title, F.when(F.size(F.split(e, " ")) > 2, two).otherwise(F.initcap(F.concat(part(3, 4), ending))))
+    wide = F.initcap(F.concat(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(20)), syllable), ""), ending))
+    return F.concat(title, F.when(s["wide"], wide).when(F.size(F.split(e, " ")) > 2, two).otherwise(F.initcap(F.concat(part(3, 4), ending))))
 
 
 def surrogates(rows: Column, attempt, secret: str) -> Column:
     """Replacements of entities (e, kind, key); ``attempt`` gives the attempt of a key."""
-    hashed = F.transform(rows, lambda s: F.struct(s["e"].alias("e"), s["kind"].alias("kind"), F.concat(F.lit(secret), F.lit("|"), s["key"], F.lit("|"), attempt(s["key"]).cast("string")).alias("seed")))
-    hexes = F.transform(hashed, lambda s: F.struct(s["e"].alias("e"), s["kind"].alias("kind"), F.concat(F.sha2(F.concat(s["seed"], F.lit("|0")), 256), F.sha2(F.concat(s["seed"], F.lit("|1")), 256)).alias("hex")))
-    full = F.transform(hexes, lambda s: F.struct(s["e"].alias("e"), s["kind"].alias("kind"), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.conv(F.substring(s["hex"], 2 * i + 1, F.lit(2)), 16, 10).cast("int")).alias("bytes")))
+    hashed = F.transform(rows, lambda s: F.struct(s["e"].alias("e"), s["kind"].alias("kind"), F.concat(F.lit(secret), F.lit("|"), s["key"], F.lit("|"), attempt(s["key"]).cast("string")).alias("seed"), (attempt(s["key"]) >= NARROW).alias("wide")))
+    hexes = F.transform(hashed, lambda s: F.struct(s["e"].alias("e"), s["kind"].alias("kind"), s["wide"].alias("wide"), F.concat(F.sha2(F.concat(s["seed"], F.lit("|0")), 256), F.sha2(F.concat(s["seed"], F.lit("|1")), 256)).alias("hex")))
+    full = F.transform(hexes, lambda s: F.struct(s["e"].alias("e"), s["kind"].alias("kind"), s["wide"].alias("wide"), s["hex"].alias("hex"), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.conv(F.substring(s["hex"], 2 * i + 1, F.lit(2)), 16, 10).cast("int")).alias("bytes")))
 
     def marked(s: Column) -> Column:
         e, kind = s["e"], s["kind"]
         domain = F.length(F.regexp_extract(e, r"((?i:\.example)?\.[A-Za-z]+)$", 1))
         low = F.when((kind == "secret") & e.startswith("AKIA"), 4).when(kind == "iban", 2).otherwise(0)
-        return F.struct(e.alias("e"), kind.alias("kind"), s["bytes"].alias("bytes"), low.alias("low"), (F.length(e) - F.when(kind == "email", domain).otherwise(0)).alias("high"), e.rlike("^[0-9a-f]+$").alias("hexa"), e.rlike(f"^(?:{FEMALE})[. ]").alias("female"), e.rlike(r"\p{IsCyrillic}").alias("cyrillic"))
+        high = F.length(e) - F.when(kind == "email", domain).otherwise(0)
+        bare = ~F.substring(e, low + 1, high - low).rlike("[A-Za-z0-9]")
+        return F.struct(e.alias("e"), kind.alias("kind"), s["wide"].alias("wide"), s["hex"].alias("hex"), s["bytes"].alias("bytes"), low.alias("low"), high.alias("high"), bare.alias("bare"), e.rlike("^[0-9a-f]+$").alias("hexa"), e.rlike(f"^(?:{FEMALE})[. ]").alias("female"), e.rlike(r"\p{IsCyrillic}").alias("cyrillic"))
 
     def one(s: Column, digits: Column) -> Column:
         address = F.array_join(F.transform(F.split(s["e"], r"\."), lambda o, i: (1 + F.element_at(s["bytes"], i + 1) % 254).cast("string")), ".")
-        return F.when(s["kind"].isin("email", "secret", "iban"), _letters(s)).when(s["kind"] == "name", _name(s)).when(s["kind"] == "ip", address).otherwise(digits)
+        wide = F.concat(F.substring(s["hex"], 1, 40), F.when(s["kind"] == "email", "@mail.example.com").otherwise(""))
+        return F.when(s["kind"] == "name", _name(s)).when(s["wide"], wide).when(s["kind"].isin("email", "secret", "iban"), _letters(s)).when(s["kind"] == "ip", address).otherwise(digits)
 
     rows = F.transform(full, marked)
     return F.zip_with(rows, _digits(full), one)
 
 
-def later_attempts(docs: DataFrame, secret: str, text_col: str = "text", most: int = 12) -> DataFrame:
+def later_attempts(docs: DataFrame, secret: str, text_col: str = "text") -> DataFrame:
     """key (normal form), attempt: the entities whose surrogate is not the first attempt, after all collision checks."""
     found = docs.select(F.explode(entities(F.col(text_col).cast("string"))).alias("e"))
     known = found.distinct().select(F.explode(described(F.array("e"))).alias("s")).groupBy(F.col("s.key").alias("key")).agg(F.min("s.e").alias("e"))
     known = materialize(known.withColumn("attempt", F.lit(0)), "entities")
-    for _ in range(most):
+    while True:
         made = known.select("key", "e", "attempt", F.explode(surrogates(described(F.array("e")), lambda _: F.col("attempt"), secret)).alias("made"))
         new = materialize(made.select("key", "e", "attempt", F.explode(described(F.array("made"))).alias("s")).select("key", "e", "attempt", F.col("s.key").alias("new")), "made")
         shared = new.groupBy("new").agg(F.min("key").alias("owner"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("new", "owner")
@@ -178,8 +188,6 @@ def later_attempts(docs: DataFrame, secret: str, text_col: str = "text", most: i
         after = materialize(bumped.select("key", "e", (F.col("attempt") + F.when(F.col("owner").isNotNull() & (F.col("owner") != F.col("key")), 1).otherwise(0)).alias("attempt")), "entities")
         release(known, clash)
         known = after
-    else:
-        raise RuntimeError(f"surrogates still collide after {most} attempts")
     return known.filter("attempt > 0").select("key", "attempt")
 
 

@@ -253,6 +253,18 @@ def test_surrogates_stay_distinct(spark):
     assert pii.replace_pii(df).select("text").distinct().count() == 1500
 
 
+def test_surrogates_of_entities_without_form(spark):
+    """Masked and non-ASCII values, and more entities than their form has surrogates."""
+    plain = ["password: ********", "password=ключклюй", "token: ......", "secret=------x"]
+    full = [f"password=#####{i}" for i in range(10)] + [f"token: {i}....." for i in range(10)]
+    df = spark.createDataFrame(list(enumerate(plain + full)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in pii.replace_pii(df).collect()}
+    value = lambda t: t.replace(": ", "=").split("=")[1]
+    old, new = [value(t) for t in plain + full], [value(got[i]) for i in range(len(got))]
+    assert len(set(new)) == len(old) and not set(new) & set(old)
+    assert [len(x) for x in new[:4]] == [8, 8, 6, 7] and new[1].isascii()
+
+
 def test_shards_equal_brute_force(spark, docs):
     for cfg in ((16, 32), (3, 2)):
         got = sharding.shard(docs, *cfg).collect()
