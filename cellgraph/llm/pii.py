@@ -28,14 +28,17 @@ NAME = rf"(?<![\p{{L}}\p{{N}}]){TITLE} \p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)?"
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}(?![A-Za-z0-9])"
 OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 IP = rf"(?<![\w.]){OCTET}(?:\.{OCTET}){{3}}(?!\w|\.\d)"
-PHONE = r"(?<![\w.])\+?\d{1,3}[ .-]?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]\d{3,4}(?!\w)|(?<![\w.-])\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}(?![\w-])"
+HEXES = r"[0-9A-Fa-f]{1,4}"
+#: Eight groups, or fewer around a double colon with three hexadecimal digits in a row (so that ``a[1::2]`` is none).
+IP6 = rf"(?<![\w:.])(?:(?:{HEXES}:){{7}}{HEXES}|(?=[0-9A-Fa-f:]*[0-9A-Fa-f]{{3}})(?:{HEXES}(?::{HEXES}){{0,6}})?::(?:{HEXES}(?::{HEXES}){{0,6}})?)(?![\w:]|\.\d)"
+PHONE = r"(?<![\w.+])\+(?=(?:[ .()-]{0,3}\d){7})[1-9]\d{0,2}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,12}(?:[ .-]\d{2,4}){0,5}(?!\w)|(?<![\w.])\+?\d{1,3}[ .-]?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]\d{3,4}(?!\w)|(?<![\w.-])\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}(?![\w-])"
 SSN = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
-CARD = r"(?<![\w.-])\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?![\w-])"
-IBAN = r"(?<!\w)[A-Z]{2}\d{2}[A-Z0-9]{11,30}(?!\w)"
-SECRET = r"(?<!\w)AKIA[A-Z0-9]{12,32}(?!\w)|(?<=(?i:password|passwd|secret|token|api_?key) {0,2}[=:] {0,2}\"?)[^\s\"]{6,200}"
-PATTERN = "|".join((NAME, EMAIL, IP, SSN, PHONE, CARD, IBAN, SECRET))
+CARD = r"(?<![\w.-])\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?![\w-])|(?<![\w.-])\d{4}[ -]\d{6}[ -]\d{4,5}(?![\w-])"
+IBAN = r"(?<!\w)[A-Z]{2}\d{2}[A-Z0-9]{11,30}(?!\w)|(?<!\w)[A-Z]{2}\d{2}(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?(?<=\d[A-Z0-9]{0,3})(?!\w)"
+SECRET = r"(?<!\w)AKIA[A-Z0-9]{12,}+(?!\w)|(?<=(?i:password|passwd|secret|token|api_?key) {0,2}[=:] {0,2}\"?)[^\s\"]{6,}+"
+PATTERN = "|".join((NAME, EMAIL, IP6, IP, SSN, PHONE, CARD, IBAN, SECRET))
 #: Texts without any of these hold no entity; a cheap test before the pattern.
-HINT = rf"[0-9@]|{TITLE} |(?i:password|passwd|secret|token|api_?key) {{0,2}}[=:]"
+HINT = rf"[0-9@]|:[0-9A-Fa-f]{{0,4}}:|{TITLE} |(?i:password|passwd|secret|token|api_?key) {{0,2}}[=:]"
 MOST_IN_PLAN = 1000
 #: So many attempts keep the entity's form.
 NARROW = 12
@@ -51,11 +54,11 @@ def entities(text: Column) -> Column:
 
 
 def type_of(e: Column) -> Column:
-    """email, name, ip, ssn, iban, secret, phone or card."""
+    """email, name, ip, ip6, ssn, iban, secret, phone or card."""
     digits = F.length(F.regexp_replace(e, "[^0-9]", ""))
     return (
         F.when((digits == 0) & ~e.rlike(r"[^ .()+-]"), "secret").when(e.contains("@") & e.rlike(f"^(?:{EMAIL})$"), "email").when(e.rlike(f"^{TITLE} "), "name").when(e.rlike(f"^{OCTET}(?:\\.{OCTET}){{3}}$"), "ip")
-        .when(e.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn").when(e.rlike(r"^[A-Z]{2}\d{2}[A-Z0-9]{11,30}$"), "iban").when(e.rlike(r"[^0-9 .()+-]"), "secret")
+        .when(e.rlike(f"^(?:{IP6})$"), "ip6").when(e.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn").when(e.rlike(r"^[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)$"), "iban").when(e.rlike(r"[^0-9 .()+-]"), "secret")
         .when(e.rlike(r"[(+.]") | (digits <= 12), "phone").otherwise("card")
     )
 
@@ -64,7 +67,7 @@ def _normal(e: Column, kind: Column) -> Column:
     digits = F.regexp_replace(e, "[^0-9]", "")
     gender = F.when(e.rlike(f"^(?:{FEMALE})[. ]"), "f").otherwise("m")
     body = (
-        F.when(kind == "email", F.lower(e)).when(kind == "phone", F.substring(digits, -10, 10)).when(kind.isin("ssn", "card"), digits)
+        F.when(kind.isin("email", "ip6"), F.lower(e)).when(kind == "iban", F.replace(e, F.lit(" "), F.lit(""))).when(kind == "phone", F.substring(digits, -10, 10)).when(kind.isin("ssn", "card"), digits)
         .when(kind == "name", F.concat(gender, F.lit(" "), F.lower(F.regexp_replace(e, f"^{TITLE} ", "")))).otherwise(e)
     )
     return F.concat(kind, F.lit("|"), body)
@@ -83,11 +86,12 @@ def _letters(s: Column) -> Column:
     """Each letter and digit by another of its kind, but for positions outside [s.low, s.high); others by letters where they are not ASCII or where s.bare."""
 
     def char(c: Column, i: Column) -> Column:
-        byte = F.element_at(s["bytes"], i % 64 + 1)
+        # blocks of an IBAN do not count the spaces between them
+        byte = F.element_at(s["bytes"], (i - F.when(s["blocks"], F.floor(i / 5)).otherwise(0)).cast("int") % 64 + 1)
         code = F.ascii(c)
         new = (
             F.when(code.between(48, 57), F.char(48 + byte % 10)).when(code.between(97, 122), F.char(97 + byte % F.when(s["hexa"], 6).otherwise(26)))
-            .when(code.between(65, 90), F.char(65 + byte % 26)).when((code > 127) | (s["bare"] & ~c.isin("@", ".")) | (s["bare"] & (s["kind"] != "email")), F.char(97 + byte % 26)).otherwise(c)
+            .when(code.between(65, 90), F.char(65 + byte % F.when(s["hexa"], 6).otherwise(26))).when((code > 127) | (s["bare"] & ~c.isin("@", ".")) | (s["bare"] & (s["kind"] != "email")), F.char(97 + byte % 26)).otherwise(c)
         )
         return F.when((i < s["low"]) | (i >= s["high"]), c).otherwise(new)
 
@@ -159,12 +163,12 @@ def surrogates(rows: Column, attempt, secret: str) -> Column:
         low = F.when((kind == "secret") & e.startswith("AKIA"), 4).when(kind == "iban", 2).otherwise(0)
         high = F.length(e) - F.when(kind == "email", domain).otherwise(0)
         bare = ~F.substring(e, low + 1, high - low).rlike("[A-Za-z0-9]")
-        return F.struct(e.alias("e"), kind.alias("kind"), s["wide"].alias("wide"), s["hex"].alias("hex"), s["bytes"].alias("bytes"), low.alias("low"), high.alias("high"), bare.alias("bare"), e.rlike("^[0-9a-f]+$").alias("hexa"), e.rlike(f"^(?:{FEMALE})[. ]").alias("female"), e.rlike(r"\p{IsCyrillic}").alias("cyrillic"))
+        return F.struct(e.alias("e"), kind.alias("kind"), s["wide"].alias("wide"), s["hex"].alias("hex"), s["bytes"].alias("bytes"), low.alias("low"), high.alias("high"), bare.alias("bare"), ((kind == "iban") & e.contains(" ")).alias("blocks"), ((kind == "ip6") | e.rlike("^[0-9a-f]+$")).alias("hexa"), e.rlike(f"^(?:{FEMALE})[. ]").alias("female"), e.rlike(r"\p{IsCyrillic}").alias("cyrillic"))
 
     def one(s: Column, digits: Column) -> Column:
         address = F.array_join(F.transform(F.split(s["e"], r"\."), lambda o, i: (1 + F.element_at(s["bytes"], i + 1) % 254).cast("string")), ".")
         wide = F.concat(F.substring(s["hex"], 1, 40), F.when(s["kind"] == "email", "@mail.example.com").otherwise(""))
-        return F.when(s["kind"] == "name", _name(s)).when(s["wide"], wide).when(s["kind"].isin("email", "secret", "iban"), _letters(s)).when(s["kind"] == "ip", address).otherwise(digits)
+        return F.when(s["kind"] == "name", _name(s)).when(s["wide"], wide).when(s["kind"].isin("email", "secret", "iban", "ip6"), _letters(s)).when(s["kind"] == "ip", address).otherwise(digits)
 
     rows = F.transform(full, marked)
     return F.zip_with(rows, _digits(full), one)

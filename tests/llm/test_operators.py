@@ -265,6 +265,25 @@ def test_surrogates_of_entities_without_form(spark):
     assert [len(x) for x in new[:4]] == [8, 8, 6, 7] and new[1].isascii()
 
 
+def test_surrogates_of_each_form(spark):
+    forms = [
+        ("phone", "+44 20 7946 0958"), ("phone", "+33 1 23 45 67 89"), ("phone", "+14155550123"), ("phone", "+1-415-555-0123"), ("phone", "+44 (20) 7946 0958"), ("phone", "+9 (447) 555-9198"),
+        ("card", "3782 822463 10005"), ("card", "3782-822463-10005"), ("card", "4111 1111 1111 1111"), ("iban", "DE89 3704 0044 0532 0130 00"), ("iban", "GB82 WEST 1234 5698 7654 32"), ("iban", "DE89370400440532013000"),
+        ("ip6", "2001:db8::8a2e:370:7334"), ("ip6", "2001:0DB8:85a3:0000:0000:8a2e:0370:7334"), ("ip6", "fe80::1"), ("ip6", "dead:beef::cafe"), ("secret", "AKIA" + "6XYULEBAN6" * 5),
+    ]
+    long = "".join("eyJhb-Gci_"[i % 10] + "Zq7"[i % 3] for i in range(201)) + "."
+    rows = [(i, f"see {e} now") for i, (_, e) in enumerate(forms)] + [(90, f"token={long} end"), (91, "at 12:30:45, a[1::2], std::abs, 3 + 4, C++20"), (92, "DE89 3704 0044 0532 0130 00 PAID")]
+    got = {r.doc_id: r for r in pii.replace_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, (kind, e) in enumerate(forms):
+        t = got[i].text
+        assert got[i].pii_types == [kind] and t.startswith("see ") and t.endswith(" now") and len(t) == len(e) + 8 and t[4:-4] != e, (e, t, got[i].pii_types)
+        assert all(a == b or (a.isalnum() and b.isalnum()) for a, b in zip(e, t[4:-4])), (e, t)
+    new = got[90].text.removeprefix("token=").removesuffix(" end")
+    assert len(new) == len(long) == 403 and all(new[i : i + 12] != long[i : i + 12] for i in range(390))
+    assert got[91].text == rows[-2][1] and got[91].pii_types == []
+    assert got[9].text[4:-4].replace(" ", "") == got[11].text[4:-4] and got[92].text.endswith(" PAID")
+
+
 def test_shards_equal_brute_force(spark, docs):
     for cfg in ((16, 32), (3, 2)):
         got = sharding.shard(docs, *cfg).collect()
