@@ -1,13 +1,14 @@
 """Language-model scores from a gated recurrent network in numpy.
 
-Word counts are taken over all training documents. The ``vocabulary`` most
-frequent words (and the end mark) form classes of equal size by frequency; all
-other words form one tail class. The next token's probability is that of its
+Word counts are taken over all training documents. The words seen ``often``
+times, and at least the ``vocabulary`` most frequent ones (and the end mark),
+form classes of equal size by frequency, about as many as a class has words;
+all other words form one tail class. The next token's probability is that of its
 class times that of the word in its class, both softmax outputs of a GRU; in
 the tail class it is the word's add-one frequency. The network is trained by
-truncated backpropagation: every executor partition trains on its own documents
-from common weights, and the weights are averaged, weighted by tokens, after
-each round. Scoring carries the state from window to window through the whole
+truncated backpropagation over every training document once: in each round,
+every executor partition trains on its own documents of the round from common
+weights, and the weights are averaged, weighted by tokens. Scoring carries the state from window to window through the whole
 document.
 """
 
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 from collections import Counter
 from dataclasses import dataclass
+from math import ceil, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -32,18 +34,17 @@ LN10 = float(np.log(10))
 
 @dataclass(frozen=True)
 class Config:
-    """share: part of the training documents that the network sees (word counts cover all); it grows with the input (small inputs give ``least_docs``).
+    """vocabulary: words of the network on small inputs; ``often``: words seen so many times join it, up to ``resolved``.
 
     resolved: that many frequent words' counts go to every task; rarer words meet their counts in a join.
     """
 
     vocabulary: int = 1024
+    often: int = 1000
     class_size: int = 32
     hidden: int = 12
     window: int = 16
     batch: int = 32
-    share: float = 0.02
-    least_docs: int = 1500
     rounds: int = 3
     rate: float = 0.2
     resolved: int = 150_000
@@ -96,8 +97,9 @@ class GRU:
 
     def __init__(self, cfg: Config, counts: np.ndarray, tail: float):
         rng = np.random.default_rng(cfg.seed)
-        h, s = cfg.hidden, cfg.class_size
         self.cfg, self.size = cfg, len(counts)
+        h, s = cfg.hidden, max(cfg.class_size, ceil(sqrt(self.size - 1)))
+        self.width = s
         self.classes = -(-self.size // s)
         mass = np.zeros(self.classes * s)
         mass[: self.size] = counts + 1.0
@@ -144,7 +146,7 @@ class GRU:
 
     def log_probs(self, h: np.ndarray, y: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Natural log probability of each token (of its class, for the tail); with grads, also the loss's slope in h."""
-        s, rows = self.cfg.class_size, np.arange(len(y))
+        s, rows = self.width, np.arange(len(y))
         cls = np.minimum(y // s, self.classes)
         cls[y >= self.size] = self.classes
         logit = h @ self.p["cls_w"]
@@ -182,6 +184,7 @@ class GRU:
         """Truncated backpropagation with Adagrad over the documents; returns the tokens seen."""
         cfg, k, seen = self.cfg, self.cfg.hidden, 0
         acc = {n: np.full(v.shape, 1e-4, np.float32) for n, v in self.p.items()}
+        grads = {n: np.zeros_like(v) for n, v in self.p.items()}
         docs = sorted(docs, key=len)
         groups = [docs[i : i + cfg.batch] for i in range(0, len(docs), cfg.batch)]
         for g in np.random.default_rng(cfg.seed).permutation(len(groups)):
@@ -201,7 +204,6 @@ class GRU:
                     x[: len(before), j] = before
                 trace: list = []
                 hs = self.states(x, h, trace)
-                grads = {n: np.zeros_like(v) for n, v in self.p.items()}
                 valid = y >= 0
                 _, slope = self.log_probs(hs[valid], y[valid], grads)
                 dhs = np.zeros_like(hs)
@@ -222,10 +224,16 @@ class GRU:
                 np.add.at(grads["inp"], x[valid], dinp[valid])
                 count = int(valid.sum())
                 seen += count
+                # words and classes that did not occur have no slope
+                cls = np.unique(y[valid & (y < self.size)] // self.width)
+                met = {"inp": np.unique(x[valid]), "out_w": cls, "out_b": cls}
                 for name, v in self.p.items():
-                    grad = grads[name] / count
-                    acc[name] += grad * grad
-                    v -= cfg.rate * grad / np.sqrt(acc[name])
+                    at_rows = met.get(name, slice(None))
+                    grad = grads[name][at_rows] / count
+                    grads[name][at_rows] = 0
+                    sums = acc[name][at_rows] + grad * grad
+                    acc[name][at_rows] = sums
+                    v[at_rows] -= cfg.rate * grad / np.sqrt(sums)
                 h = hs[-1]
         return seen
 
@@ -265,7 +273,7 @@ class Words:
         self.cfg = cfg
         self.at = {w: i + 1 for i, (w, _) in enumerate(head)}
         self.counts = np.array([ends, *(c for _, c in head)], np.int64)
-        self.size = min(cfg.vocabulary, len(self.counts))
+        self.size = min(max(cfg.vocabulary, int((self.counts[1:] >= cfg.often).sum()) + 1), len(self.counts))
 
     def tokens(self, words: list[bytes]) -> np.ndarray:
         """Positions of the words and of the end; -1 for words that are not here."""
@@ -302,19 +310,20 @@ def _average(batches):
         yield pa.RecordBatch.from_arrays([pa.array([(total / n).astype(np.float32).tobytes()], pa.binary()), pa.array([n], pa.int64())], ["w", "n"])
 
 
-def fit(sample: DataFrame, cfg: Config, words: Words, tail: float) -> GRU:
-    """Local training and averaging in rounds; ``sample`` has a binary text and ``part`` (the round)."""
+def fit(learn: DataFrame, rows: int, cfg: Config, words: Words, tail: float) -> GRU:
+    """Local training and averaging in rounds; ``learn`` has a binary text and ``part`` (the round) in ``rows`` rows."""
     gru = GRU(cfg, words.counts[: words.size], tail)
-    rows = sample.count()
-    parts = max(2, -(-rows // (cfg.rounds * cfg.docs_per_part)))
     for r in range(cfg.rounds):
-        docs = sample.filter(F.col("part") == r).select("text").repartition(parts)
+        parts = max(2, -(-rows // (cfg.rounds * cfg.docs_per_part)))
+        docs = learn.filter(F.col("part") == r).select("text").repartition(parts)
         found = docs.mapInArrow(_trainer(cfg, words, tail, gru.pack()), "w binary, n long")
-        while parts > 16:  # averages of averages, so that the driver gets 16 models at most
+        if parts > 32:  # up to 16 models are averaged where they were trained, without moving
+            parts = max(32, -(-parts // 16))
+            found = found.coalesce(parts).mapInArrow(_average, "w binary, n long")
+        while parts > 4:  # averages of averages, so that the driver gets 4 models at most
             parts = -(-parts // 16)
             found = found.repartition(parts).mapInArrow(_average, "w binary, n long")
         got = [(np.frombuffer(bytes(w), np.float32).astype(np.float64), n) for w, n in found.collect()]
-        parts = max(2, -(-rows // (cfg.rounds * cfg.docs_per_part)))
         if got:
             gru.unpack((sum(w * n for w, n in got) / sum(n for _, n in got)).astype(np.float32).tobytes())
     return gru
@@ -369,10 +378,8 @@ def score_documents(docs: DataFrame, held, cfg: Config = Config(), id_col: str =
     words = Words(cfg, head, ends)
     tail = float(n - words.counts[: words.size].sum())
     tail_total = tail + max(0, v - words.size) + 1.0
-    share = min(1.0, max(cfg.share, cfg.least_docs / max(1, ends)))
-    u = F.pmod(F.xxhash64("__id", "text", F.lit(cfg.seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = learn.withColumn("u", u).filter(F.col("u") < share).select("text", F.floor(F.col("u") / share * cfg.rounds).cast("int").alias("part"))
-    gru = fit(materialize(sample, "sample"), cfg, words, tail)
+    part = F.pmod(F.xxhash64("__id", "text", F.lit(cfg.seed)), F.lit(cfg.rounds))
+    gru = fit(learn.select("text", part.alias("part")), ends, cfg, words, tail)
     keyed = rows.select(F.monotonically_increasing_id().alias("rid"), "__id", "held_out", "text")
     kind = rows.schema["__id"].dataType.simpleString()
     schema = f"rid long, `__id` {kind}, held_out boolean, n_tokens long, known long, base double, model double, rare array<binary>, times array<long>"

@@ -197,6 +197,20 @@ def test_gru_is_a_distribution_and_learns():
     assert np.allclose(g.score(seq[:5]), [g.score([s])[0] for s in seq[:5]], atol=1e-3)  # windows and company do not matter
 
 
+def test_gru_sees_every_training_document(spark, monkeypatch):
+    """2,400 documents, all but those held out; frequent words beyond the least vocabulary join the network."""
+    asked = []
+    fit = grulm.fit
+    monkeypatch.setattr(grulm, "fit", lambda learn, *a: asked.append((learn, a)) or fit(learn, *a))
+    rows = [(i, f"a{i % 40} b{i % 30} c{i}") for i in range(2400)]
+    cfg = grulm.Config(vocabulary=20, often=50, class_size=8, resolved=500, hidden=4, docs_per_part=15)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert grulm.score_documents(df, F.col("doc_id") % 5 == 0, cfg).count() == 2400
+    learn, (n, _, words, _) = asked[0]
+    assert n == learn.select("text").distinct().count() == 1920 and {r.part for r in learn.select("part").distinct().collect()} == {0, 1, 2}
+    assert words.size == 1 + 32 + 24 and all(c >= 50 for c in words.counts[1 : words.size])
+
+
 def test_urls_equal_oracle(spark, sf, duck):
     got, want = same(urls.op2_template_tree(spark, sf), duck.sql(urls.OP2_SQL))
     assert got == want
