@@ -73,7 +73,7 @@ def uniform(id_col: Column, seed: str) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(id_col.cast("string"), F.lit("null")))), 1, 12), 16, 10).cast("double") / float(1 << 48)
 
 
-def mix(docs: DataFrame, power: float = 0.8, targets: dict[str, DataFrame] | None = None, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+def mix(docs: DataFrame, power: float = 0.8, targets: dict[str, DataFrame] | None = None, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), copies: bool = False) -> DataFrame:
     """Sampling decisions of every document.
 
     ``targets`` gives tables (dimension, share) for source, lang and topic; a
@@ -82,19 +82,23 @@ def mix(docs: DataFrame, power: float = 0.8, targets: dict[str, DataFrame] | Non
     ``weight`` (mass over tokens), ``probability`` and ``sampled``, and the
     columns of ``keep`` (prefixed ``in_``). Null sources and languages are one
     value, ``(none)``; a null text is one token of prose. Rows that repeat an id
-    share one random number. An empty table gives an empty result.
+    share one random number. An empty table gives an empty result. With
+    ``copies`` there is a column of that name: how often to take the row so that
+    the whole has about the input's tokens, floor(weight) and one more with the
+    probability of the rest. No cell's weight then sets how much of others stays.
     """
     rows = docs.select(F.col(id_col).alias("__id"), *[F.coalesce(F.col(c).cast("string"), F.lit(MISSING)).alias(c) for c in DIMENSIONS[:2]], topic_of(F.col(text_col)).alias("topic"), tokens_of(F.col(text_col)).alias("n_tokens"), *[F.col(c).alias("in_" + c) for c in keep])
     cells = materialize(rows.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens")), "cells")
     made = {d: (targets or {}).get(d) or tempered(cells, d, power) for d in DIMENSIONS}
     weights = rake(cells, made).withColumn("weight", F.col("mass") / F.col("tokens"))
     top = weights.agg(F.max("weight")).first()[0] or 1.0
-    weights = weights.select(*DIMENSIONS, "weight", F.least(F.lit(1.0), F.col("weight") / F.lit(top)).alias("probability"))
+    weights = weights.select(*DIMENSIONS, "weight", (F.col("weight") - F.floor("weight")).alias("rest"), F.least(F.lit(1.0), F.col("weight") / F.lit(top)).alias("probability"))
     weights = materialize(weights.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), "weights")  # its size in bytes is known to the planner; a large one is joined by cell and salt
     out = rows.withColumn("salt", F.pmod(F.xxhash64("__id", "n_tokens"), F.lit(SALTS)).cast("int")).join(weights, [*DIMENSIONS, "salt"])
     return out.select(
         F.col("__id").alias(id_col), *DIMENSIONS, "n_tokens", F.round("weight", 6).alias("weight"), F.round("probability", 6).alias("probability"),
         (uniform(F.col("__id"), seed) < F.col("probability")).alias("sampled"), *["in_" + c for c in keep],
+        *[(F.floor("weight") + (uniform(F.col("__id"), seed) < F.col("rest")).cast("int")).cast("int").alias("copies")] * copies,
     )
 
 

@@ -39,9 +39,9 @@ def surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sample documents to the target shares of sources, languages and topics."""
-    out = mixing.mix(docs.select(*COLUMNS), keep=COLUMNS)
-    return out.filter("sampled").select(*[F.col("in_" + c).alias(c) for c in COLUMNS])
+    """Repeat or drop documents to the target shares of sources, languages and topics, at about the tokens of the input; copies share their id."""
+    out = mixing.mix(docs.select(*COLUMNS), keep=COLUMNS, copies=True)
+    return out.withColumn("copy", F.explode(F.array_repeat(F.lit(1), F.col("copies")))).select(*[F.col("in_" + c).alias(c) for c in COLUMNS])
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
