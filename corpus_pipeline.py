@@ -27,10 +27,13 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five words, similarity 0.8) stays: the one with the smallest id."""
-    groups = minhash.near_duplicates(docs, minhash.for_similarity(5, 80))
-    gone = common.materialize(groups.filter("not kept").select("doc_id").distinct(), "gone")
-    return common.within_ids(docs, gone, "doc_id", "left_anti").select(*COLUMNS)
+    """One document of each group of near duplicates (five words, similarity 0.8) stays: the one with the smallest id, a null id last. Rows are judged one by one; ids may repeat."""
+    rows = common.materialize(docs.select(*COLUMNS).withColumn("row_key", F.monotonically_increasing_id()), "rows")
+    groups = common.materialize(minhash.near_duplicates(rows, minhash.for_similarity(5, 80), id_col="row_key").select("row_key", "component_id"), "groups")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")
+    least = groups.join(rows.select("row_key", "doc_id"), "row_key").groupBy("component_id").agg(F.min(order).alias("least")).select("least.row_key")
+    gone = common.materialize(groups.join(least, "row_key", "left_anti").select("row_key"), "gone")
+    return common.within_ids(rows, gone, "row_key", "left_anti").select(*COLUMNS)
 
 
 def surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

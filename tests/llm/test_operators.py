@@ -321,6 +321,15 @@ def test_shards_equal_brute_force(spark, docs):
     assert sharding.shard(docs.limit(0)).count() == 0
 
 
+def test_near_duplicates_of_the_pipeline_by_row(spark):
+    """Repeated and null ids: one row of each group stays, and no other text goes with it."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(5, a), (5, a), (None, a), (3, a), (None, b), (None, b), (5, c), (None, None), (None, None)]
+    df = spark.createDataFrame([(i, t, "en", "web", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = Counter((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, df, "").collect())
+    assert got == Counter([(3, a), (None, b), (5, c), (None, None), (None, None)])
+
+
 def test_pipeline_stages(spark, docs):
     now = docs
     for name, stage in corpus_pipeline.STAGES:
