@@ -14,6 +14,7 @@ import json
 import re
 import sys
 import types
+import unicodedata
 from functools import lru_cache
 
 import numpy as np
@@ -28,10 +29,8 @@ ship(__name__)
 
 #: Fixed by the byte-level tokenizer format: the pattern of its pre-tokens.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: A run of plain white space and what follows it: no pre-token crosses the start of one.
-UNIT = r"[ \t\n\r\f\v]+[^ \t\n\r\f\v]*|[^ \t\n\r\f\v]+"
-#: Other white space could join a run across a unit's start; texts that hold some are cut by PRETOKEN alone.
-OTHER_SPACE = r"[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+#: Texts of characters below this are cut by the standard library's faster engine, with the same classes spelled out.
+LOW = 0x530
 
 
 def byte_symbols() -> dict[str, int]:
@@ -41,6 +40,18 @@ def byte_symbols() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def low_pattern() -> str:
+    """PRETOKEN for characters below LOW, its classes spelled out as ranges."""
+
+    def ranges(kind: str) -> str:
+        inside = [unicodedata.category(chr(i))[0] == kind for i in range(LOW)] + [False]
+        at = [i for i in range(LOW + 1) if inside[i] != (i > 0 and inside[i - 1])]
+        return "".join(f"\\u{lo:04x}-\\u{hi - 1:04x}" for lo, hi in zip(at[::2], at[1::2]))
+
+    space = r"\t-\r \x85\xa0"
+    return PRETOKEN.replace(r"[^\s\p{L}\p{N}]", f"[^{space}{ranges('L')}{ranges('N')}]").replace(r"\p{L}", f"[{ranges('L')}]").replace(r"\p{N}", f"[{ranges('N')}]").replace(r"\S", f"[^{space}]").replace(r"\s", f"[{space}]")
+
+
 class Vocabulary:
     """Tokens as bytes, merge ranks and added tokens of a byte-level tokenizer file."""
 
@@ -63,8 +74,9 @@ class Vocabulary:
             self.pair[x, y] = r
             if t not in self.made:
                 self.made[t], self.parts[t] = r, (x, y)
-        self.extended = {(self.ids[t[:-1]], t[-1]): i for t, i in self.ids.items() if t[:-1] in self.ids}
-        self.compatible: dict[tuple[int, int], bool] = {}
+        self.extended = {self.ids[t[:-1]] << 8 | t[-1]: i for t, i in self.ids.items() if t[:-1] in self.ids}
+        self.size_of = [len(self.bytes_of.get(i, b"")) for i in range(max(self.bytes_of) + 1)]
+        self.compatible: dict[int, bool] = {}
 
     def stays(self, left: int, right: int) -> bool:
         """Whether BPE leaves the two tokens apart.
@@ -74,7 +86,7 @@ class Vocabulary:
         are used up at ranks cx and cy. They join if their own merge comes
         first (among equal ranks BPE merges from the left).
         """
-        known = self.compatible.get((left, right))
+        known = self.compatible.get(left << 32 | right)
         if known is None:
             if len(self.compatible) > 200_000:
                 self.compatible.clear()
@@ -92,7 +104,7 @@ class Vocabulary:
                     x, cx = parts[x][1], rx
                 else:
                     y, cy = parts[y][0], ry
-            self.compatible[left, right] = known
+            self.compatible[left << 32 | right] = known
         return known
 
 
@@ -113,28 +125,38 @@ class Trie:
     def encode(self) -> dict[bytes, list[int]]:
         """The ids of every word. last[d] is the last token of the path's prefix of d bytes."""
         v = self.vocabulary
-        ids, longest, stays, bytes_of, extended = v.ids.get, v.longest, v.stays, v.bytes_of, v.extended.get
+        ids, longest, stays, size_of, extended, compatible = v.ids.get, v.longest, v.stays, v.size_of, v.extended.get, v.compatible.get
         out: dict[bytes, list[int]] = {}
         last, before = [-1], b""
         for word in sorted(self.words):
-            end = depth = 0
-            top = min(len(before), len(word))
-            while depth < top and before[depth] == word[depth]:
-                depth += 1
+            depth = 0
+            if word[:1] == before[:1]:
+                top = min(len(before), len(word))
+                while depth < top and before[depth] == word[depth]:
+                    depth += 1
             del last[depth + 1 :]
+            tail = last[depth]
             for end in range(depth + 1, len(word) + 1):
                 # the usual case: the last token grows by a byte and stays apart from the one before it
-                t = extended((last[end - 1], word[end - 1]))
+                t = extended(tail << 8 | word[end - 1])
                 if t is not None:
-                    at = end - len(bytes_of[t])
-                    if at == 0 or stays(last[at], t):
+                    at = end - size_of[t]
+                    if at == 0:
                         last.append(t)
+                        tail = t
+                        continue
+                    left = last[at]
+                    known = compatible(left << 32 | t)
+                    if known or known is None and stays(left, t):
+                        last.append(t)
+                        tail = t
                         continue
                 # only one token fits; a fresh one is mostly short
                 for at in range(end - 1, max(-1, end - longest - 1), -1):
                     t = ids(word[at:end])
                     if t is not None and (at == 0 or stays(last[at], t)):
                         last.append(t)
+                        tail = t
                         break
                 else:
                     raise ValueError("a byte without a token")
@@ -142,33 +164,43 @@ class Trie:
             while at:
                 t = last[at]
                 found.append(t)
-                at -= len(bytes_of[t])
+                at -= size_of[t]
             found.reverse()
             out[word] = found
             before = word
         return out
 
 
+class Slots(dict):
+    """Words to consecutive numbers; a word that is looked up for the first time gets the next one and is noted in ``new``."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = at = len(self)
+        self.new.append(word)
+        return at
+
+
 class Encoder:
-    """Whole texts to ids, through a memory of distinct units in two generations.
+    """Whole texts to ids, through a memory of distinct words (pre-tokens) in two generations.
 
-    A generation that exceeds ``limit`` units becomes the older one, and the
-    older one is forgotten; frequent units are carried over when they recur.
+    A generation that exceeds ``limit`` words becomes the older one, and the
+    older one is forgotten; frequent words are carried over when they recur.
 
     Ids are the tokenizers library's without special tokens being added; the
     strings of added tokens in a text become their ids, as there.
     """
 
-    def __init__(self, path: str, limit: int = 80_000, block_chars: int = 1 << 20):
+    def __init__(self, path: str, limit: int = 160_000, block_chars: int = 1 << 20):
         self.vocabulary = v = Vocabulary(path)
-        self.pretoken = regex.compile(PRETOKEN)
-        self.fast_unit, self.fast_other = re.compile(UNIT), re.compile(OTHER_SPACE)
+        self.pretoken, self.low, self.high = regex.compile(PRETOKEN, regex.V1), re.compile(low_pattern()), re.compile(f"[^\x00-\x1b -{chr(LOW - 1)}]")
+        self.cut = re.compile(r"(?<=\S)[ \t\n\r\f\v]")
         self.split_added = re.compile("(" + "|".join(map(re.escape, sorted(v.added, key=len, reverse=True))) + ")") if v.added else None
         self.limit, self.block_chars = limit, block_chars
-        self.slots: dict[str, int] = {}
-        self.flat = np.empty(0, np.int32)
-        self.start = np.zeros(1, np.int64)
-        self.old = (self.slots, self.flat, self.start)
+        self.slots, self.flat, self.start = Slots(), np.empty(0, np.int32), np.zeros(1, np.int64)
+        self.forget()
         top = max(v.bytes_of) + 1
         sizes = np.zeros(top + 1, np.int64)
         for i, b in v.bytes_of.items():
@@ -178,81 +210,89 @@ class Encoder:
 
     def forget(self) -> None:
         """Drop the older generation."""
-        self.old = ({}, np.empty(0, np.int32), np.zeros(1, np.int64))
+        self.old = (Slots(), np.empty(0, np.int32), np.zeros(1, np.int64))
 
-    def units(self, text: str) -> list[str]:
-        """Pieces that encode on their own, in order; together they are the text."""
+    def words(self, text: str):
+        """Lists of pre-tokens; together they are the text. A long text comes in pieces cut before white space, which no pre-token crosses."""
         if self.split_added is not None and any(a in text for a in self.vocabulary.added):
-            out = []
             for piece in self.split_added.split(text):
-                out += [piece] if piece in self.vocabulary.added else self._plain(piece)
-            return out
-        return self._plain(text)
-
-    def _plain(self, text: str) -> list[str]:
-        return self.pretoken.findall(text) if self.fast_other.search(text) else self.fast_unit.findall(text)
-
-    def _learn(self, new: list[str]) -> None:
-        """Take units from the older generation, and encode those not seen in either through one trie."""
+                if piece in self.vocabulary.added:
+                    yield [piece]
+                else:
+                    yield from self._plain(piece)
+        else:
+            yield from self._plain(text)
+
+    def _plain(self, text: str):
+        at = 0
+        while at < len(text):
+            end = self.cut.search(text, at + self.block_chars) if len(text) - at > self.block_chars else None
+            piece = text[at : end.start()] if end else text[at:] if at else text
+            yield (self.pretoken if self.high.search(piece) else self.low).findall(piece)
+            at += len(piece)
+
+    def _learn(self) -> None:
+        """Take the new words from the older generation, and encode those not seen in either through one trie."""
         v, trie = self.vocabulary, Trie(self.vocabulary)
         old, old_flat, old_start = self.old
         parts = []
-        for unit in new:
-            slot = old.get(unit)
+        for word in self.slots.new:
+            slot = old.get(word)
             if slot is not None:
                 parts.append(slot)
-            elif unit in v.added:
-                parts.append(unit)
+            elif word in v.added:
+                parts.append(word)
             else:
-                words = [w.encode("utf-8", "replace") for w in self.pretoken.findall(unit)]
-                trie.words.update(words)
-                parts.append(words)
+                raw = word.encode("utf-8", "replace")
+                trie.insert(raw)
+                parts.append(raw)
         encoded = trie.encode()
         flat, sizes = [], []
         for p in parts:
-            if isinstance(p, int):
-                own = old_flat[old_start[p] : old_start[p + 1]].tolist()
-            elif isinstance(p, str):
-                own = [v.added[p]]
-            else:
-                own = encoded[p[0]] if len(p) == 1 else [i for w in p for i in encoded[w]]
+            own = encoded[p] if isinstance(p, bytes) else old_flat[old_start[p] : old_start[p + 1]].tolist() if isinstance(p, int) else [v.added[p]]
             flat += own
             sizes.append(len(own))
-        base = len(self.start) - 1
-        self.slots.update(zip(new, range(base, base + len(new))))
+        self.slots.new = []
         self.flat = np.concatenate([self.flat, np.array(flat, np.int32)])
         self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(np.array(sizes, np.int64))])
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in one array, and where each text's ids end."""
-        found, ends, at = [], np.zeros(len(texts), np.int64), 0
-        block, chars, first = [], 0, 0
+        found, sizes = [], np.zeros(len(texts), np.int64)
+        block: list[str] = []
+        spans: list[tuple[int, int]] = []  # text, words
+
+        def close() -> None:
+            ids, begin = self._ids(block)
+            found.append(ids)
+            at = np.cumsum([0, *(n for _, n in spans)])
+            np.add.at(sizes, [k for k, _ in spans], begin[at[1:]] - begin[at[:-1]])
+            block.clear()
+            spans.clear()
+
+        chars = 0
         for k, text in enumerate(texts):
-            units = self.units(text or "")
-            block.append(units)
+            for words in self.words(text or ""):
+                block += words
+                spans.append((k, len(words)))
             chars += len(text or "")
-            if chars >= self.block_chars or k + 1 == len(texts):
-                ids, sizes = self._block(block)
-                found.append(ids)
-                ends[first : k + 1] = at + np.cumsum(sizes)
-                at, first, block, chars = ends[k], k + 1, [], 0
-        return (np.concatenate(found) if found else np.empty(0, np.int32)), ends
-
-    def _block(self, block: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+            if chars >= self.block_chars:
+                close()
+                chars = 0
+        if spans:
+            close()
+        return (np.concatenate(found) if found else np.empty(0, np.int32)), np.cumsum(sizes)
+
+    def _ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the words, and where each word's ids begin (with the end of all)."""
         if len(self.slots) > self.limit:
             self.old = (self.slots, self.flat, self.start)
-            self.slots, self.flat, self.start = {}, np.empty(0, np.int32), np.zeros(1, np.int64)
-        slots = self.slots
-        new = {u for units in block for u in units if u not in slots}
-        if new:
-            self._learn(list(new))
-        counts = np.array([len(u) for u in block], np.int64)
-        picked = np.fromiter((slots[u] for units in block for u in units), np.int64, int(counts.sum()))
+            self.slots, self.flat, self.start = Slots(), np.empty(0, np.int32), np.zeros(1, np.int64)
+        picked = np.fromiter(map(self.slots.__getitem__, words), np.int64, len(words))
+        if self.slots.new:
+            self._learn()
         begin, size = self.start[picked], self.start[picked + 1] - self.start[picked]
-        ids = _gather(self.flat, begin, size)
-        total = np.concatenate([[0], np.cumsum(size)])
-        upto = np.cumsum(counts)
-        return ids, total[upto] - total[upto - counts]
+        return _gather(self.flat, begin, size), np.concatenate([[0], np.cumsum(size)])
 
     def decode(self, ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
         """The bytes of each text's tokens; ids without a token give nothing."""
@@ -343,7 +383,7 @@ def decode(rows: DataFrame, path: str | None = None, id_col: str = "doc_id", ids
     path = path or default_path()
 
     def run(batches):
-        encoder = Encoder(path)
+        encoder = _worker_encoder(path)
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
