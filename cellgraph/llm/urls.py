@@ -1,19 +1,23 @@
 """URL filter by a path-template tree.
 
-Paths are cut into segments. A segment that varies (digits, long hex, or one of
-very many siblings) is generalised into a wildcard, per host. Sibling templates
-of a host whose labelled purity does not differ from their pooled sibling
-purity by more than ``z`` standard errors are merged into one branch. A branch
-is rejected if its labelled purity, smoothed towards its host's and all hosts'
-purity, is below ``min_purity``. Written rules go before the tree.
+Each host has a tree of path segments. Segments with digits and very long ones
+are wildcards from the start. Level by level from the root, where a new page
+would most likely show a segment not seen before (half the pages under a node
+or more are the only ones with theirs), all segments but the common ones are
+generalised into one wildcard. Labels are summed up to every node. Siblings
+that do not differ from the others under their parent by ``z`` standard errors
+are one branch; those that do differ are merged with their neighbours in
+purity where these do not differ from each other. From the root down, the purity
+of a branch is smoothed towards its parent's, and a page is rejected if the
+purity of its template is below ``min_purity``. Written rules go before the tree.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import load
+from .common import load, materialize, release
 
 #: Fixed values of the contract: verdict, host, path prefix.
 RULES = (
@@ -23,7 +27,10 @@ RULES = (
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 )
-SALTS = 16
+#: Deeper levels are one wildcard.
+LEVELS = 5
+#: A leaf with more than this share of all pages is hot: there are fewer than 1,000, whose rows are spread over so many salts.
+HOT_SHARE, SALTS = 0.001, 64
 
 
 def host_of(url: Column) -> Column:
@@ -47,11 +54,44 @@ def matched_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Colum
     return rule, verdict
 
 
-def template_of(path: Column) -> Column:
-    """Literal segments stay; segments with a digit or of 24 and more characters become ``*``, with their extension kept."""
+def template_of(path: Column, levels: int = LEVELS) -> Column:
+    """Literal segments stay; segments with a digit or of 24 and more characters become ``*``, with their extension kept; what is deeper than ``levels`` becomes ``**``."""
     t = F.regexp_replace(path, r"/[^/.]*[0-9][^/.]*", "/*")
     t = F.regexp_replace(t, r"/[^/]{24,}", "/*")
-    return F.regexp_replace(t, r"/+\z", "")
+    t = F.regexp_replace(t, r"/+\z", "")
+    return F.regexp_replace(t, rf"\A([^/]*(?:/[^/]*){{{levels - 1}}})/[^/]*/.*", "$1/**")
+
+
+def _generalised(leaves: DataFrame, level: int, unseen: float, common: float, least: int) -> DataFrame:
+    """Adds ``t<level>``: the template up to this level; a segment becomes ``*`` where segments vary and it is not common."""
+    up, seg, t = f"t{level - 1}", f"s{level}", f"t{level}"
+    child = leaves.filter(F.col(seg).isNotNull()).groupBy("host", up, seg).agg(F.sum("n").alias("c"))
+    parent = child.groupBy("host", up).agg(F.sum("c").alias("all"), F.count_if(F.col("c") == 1).alias("once"), F.count(F.lit(1)).alias("k"))
+    varies = parent.filter((F.col("k") >= least) & (F.col("once") >= unseen * F.col("all")))
+    wild = child.join(varies, ["host", up]).filter(F.col("c") < common * F.col("all")).select("host", up, seg, F.lit(True).alias("wild"))
+    named = F.concat(up, F.lit("/"), F.when(F.col("wild"), "*").otherwise(F.col(seg)))
+    return leaves.join(wild, ["host", up, seg], "left").withColumn(t, F.when(F.col(seg).isNull(), F.col(up)).otherwise(named)).drop("wild")
+
+
+def _branches(leaves: DataFrame, level: int, above: DataFrame, prior: float, z: float) -> DataFrame:
+    """host, node, branch, purity of the nodes of a level; ``above`` has those of the level before."""
+    up, t = f"t{level - 1}", f"t{level}"
+    nodes = leaves.filter(F.col(f"s{level}").isNotNull()).groupBy("host", F.col(up).alias("parent"), F.col(t).alias("node")).agg(F.sum("m").alias("m"), F.sum("g").alias("g"))
+    of = Window.partitionBy("host", "parent")
+    nodes = nodes.withColumns({"pm": F.sum("m").over(of), "pg": F.sum("g").over(of), "p": (F.col("g") + 1) / (F.col("m") + 2)})
+    share, rest = F.try_divide(F.col("pg"), F.col("pm")), F.col("pm") - F.col("m")
+    error = F.sqrt(share * (1 - share) * (F.try_divide(F.lit(1.0), F.col("m")) + F.try_divide(F.lit(1.0), rest)))
+    gap = F.try_divide(F.col("g"), F.col("m")) - F.try_divide(F.col("pg") - F.col("g"), rest)  # null without labels on either side
+    nodes = nodes.withColumn("side", F.when(gap > z * error, "+").when(-gap > z * error, "-").otherwise("~"))
+    line = Window.partitionBy("host", "parent", "side").orderBy("p", "node")
+    own, before = F.col("p") * (1 - F.col("p")) / (F.col("m") + 2), F.lag(F.col("p") * (1 - F.col("p")) / (F.col("m") + 2)).over(line)
+    cut = F.coalesce((F.col("p") - F.lag("p").over(line)) > z * F.sqrt(own + before), F.lit(False)) & (F.col("side") != "~")
+    nodes = nodes.withColumn("cut", cut.cast("int"))
+    nodes = nodes.withColumn("branch", F.concat("parent", F.lit(" "), "side", F.sum("cut").over(line).cast("string")))
+    branch = Window.partitionBy("host", "parent", "branch")
+    nodes = nodes.withColumns({"bm": F.sum("m").over(branch), "bg": F.sum("g").over(branch)})
+    nodes = nodes.join(above.select("host", F.col("node").alias("parent"), F.col("purity").alias("above")), ["host", "parent"])
+    return nodes.select("host", "node", "branch", ((F.col("bg") + prior * F.col("above")) / (F.col("bm") + prior)).alias("purity"))
 
 
 def filter_urls(
@@ -61,13 +101,18 @@ def filter_urls(
     min_purity: float = 0.5,
     prior: float = 8.0,
     z: float = 1.96,
-    max_children: int = 200,
+    unseen: float = 0.5,
+    common: float = 0.05,
+    least: int = 5,
     page_col: str = "page_id",
     url_col: str = "url",
 ) -> DataFrame:
     """Judge every page's url.
 
     ``labels`` has ``page`` (long, at most one row for each) and ``good`` (0 or 1).
+    A node with at least ``least`` different segments below it varies where the
+    pages that are alone with their segment are the share ``unseen`` or more; a
+    segment that holds the share ``common`` of the pages stays as it is.
     Returns one row per input row: ``page_col``, ``host``, ``path``, ``rule``,
     ``verdict`` ('allow' or 'block'), ``template``, ``branch`` and ``purity`` (of
     the branch, smoothed). A null url, or one without ``://``, has an empty host
@@ -80,32 +125,28 @@ def filter_urls(
     rows = rows.withColumn("literal", template_of(F.col("path")))
     good = labels.select(F.col("page").alias("__lp"), F.col("good").cast("double").alias("good")).filter("__lp is not null and good is not null")
     known = rows.join(good, F.col("__page") == F.col("__lp"), "left")
-    # literal templates: page counts and labels, summed before any row is moved
+    # leaves of the trees: page counts and labels, summed before any row is moved
     leaves = known.groupBy("host", "literal").agg(F.count(F.lit(1)).alias("n"), F.count("good").alias("m"), F.coalesce(F.sum("good"), F.lit(0.0)).alias("g"))
-    # a parent with very many literal children is generalised, too
-    parent = F.regexp_replace(F.col("literal"), r"/[^/]*\z", "")
-    leaves = leaves.withColumn("parent", parent)
-    crowd = leaves.groupBy("host", "parent").agg(F.count(F.lit(1)).alias("children"))
-    leaves = leaves.join(crowd, ["host", "parent"])
-    leaves = leaves.withColumn("template", F.when(F.col("children") > max_children, F.concat("parent", F.lit("/*"))).otherwise(F.col("literal")))
-    nodes = leaves.groupBy("host", "template").agg(F.sum("n").alias("n"), F.sum("m").alias("m"), F.sum("g").alias("g"))
-    hosts = nodes.groupBy("host").agg(F.sum("m").alias("hm"), F.sum("g").alias("hg"))
-    every = hosts.agg(F.sum("hm").alias("am"), F.sum("hg").alias("ag")).select(F.coalesce(F.try_divide(F.col("ag"), F.col("am")), F.lit(1.0)).alias("p0")).first()
-    p0 = every[0]
-    nodes = nodes.join(hosts, "host")
-    p_host = (F.col("hg") + prior * p0) / (F.col("hm") + prior)
-    # a sibling that differs from the others by more than z standard errors keeps its own branch
-    rest = F.col("hm") - F.col("m")
-    p_all = F.try_divide(F.col("hg"), F.col("hm"))
-    se = F.sqrt(p_all * (1 - p_all) * (F.try_divide(F.lit(1.0), F.col("m")) + F.try_divide(F.lit(1.0), rest)))
-    apart = F.abs(F.try_divide(F.col("g"), F.col("m")) - F.try_divide(F.col("hg") - F.col("g"), rest)) > z * se  # null without labels on either side
-    nodes = nodes.withColumn("branch", F.when(F.coalesce(apart, F.lit(False)), F.col("template")).otherwise(F.lit("~merged"))).withColumn("ph", p_host)
-    branches = nodes.groupBy("host", "branch").agg(F.sum("m").alias("bm"), F.sum("g").alias("bg"), F.first("ph").alias("ph"))
-    branches = branches.withColumn("purity", (F.col("bg") + prior * F.col("ph")) / (F.col("bm") + prior))
-    judged = leaves.select("host", "literal", "template").join(nodes.select("host", "template", "branch"), ["host", "template"]).join(branches.select("host", "branch", "purity"), ["host", "branch"])
-    # a hot template may hold a third of all pages: its row is repeated for each salt
-    salted = judged.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    out = rows.withColumn("salt", F.pmod(F.xxhash64("__page", "path"), F.lit(SALTS)).cast("int")).join(salted, ["host", "literal", "salt"])
+    parts = F.split("literal", "/")
+    leaves = leaves.select("*", F.lit("").alias("t0"), *[F.try_element_at(parts, F.lit(k + 1)).alias(f"s{k}") for k in range(1, LEVELS + 1)])
+    leaves = materialize(leaves, "leaves")
+    pages_in_all, am, ag, deepest = leaves.agg(F.sum("n"), F.sum("m"), F.sum("g"), F.max(F.size(parts)) - 1).first()
+    deepest = min(LEVELS, max(0, deepest or 0))
+    for level in range(1, deepest + 1):
+        before, leaves = leaves, materialize(_generalised(leaves, level, unseen, common, least), "leaves")
+        release(before)
+    p0 = ag / am if am else 1.0
+    level_nodes = leaves.groupBy("host").agg(F.sum("m").alias("m"), F.sum("g").alias("g")).select("host", F.lit("").alias("node"), F.lit(" ~0").alias("branch"), ((F.col("g") + prior * p0) / (F.col("m") + prior)).alias("purity"))
+    nodes = level_nodes = materialize(level_nodes, "nodes")
+    for level in range(1, deepest + 1):
+        level_nodes = materialize(_branches(leaves, level, level_nodes, prior, z), "nodes")
+        nodes = nodes.union(level_nodes)
+    judged = leaves.select("host", "literal", "n", F.col(f"t{deepest}").alias("node")).join(nodes, ["host", "node"])
+    judged = materialize(judged.select("host", "literal", F.col("node").alias("template"), "branch", "purity", F.xxhash64("host", "literal").alias("leaf"), "n"), "judged")
+    hot = [r[0] for r in judged.filter(F.col("n") > HOT_SHARE * (pages_in_all or 0)).select("leaf").collect()]  # under 1,000
+    of_leaf = F.xxhash64("host", "literal").isin(hot) if hot else F.lit(False)
+    salted = judged.withColumn("salt", F.explode(F.when(F.col("leaf").isin(hot) if hot else F.lit(False), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))).drop("leaf", "n")
+    out = rows.withColumn("salt", F.when(of_leaf, F.pmod(F.xxhash64("__page", "path"), F.lit(SALTS)).cast("int")).otherwise(0)).join(salted, ["host", "literal", "salt"])
     rule, verdict = matched_rule(F.col("host"), F.col("path"), rules)
     return out.select(
         F.col("__page").alias(page_col), "host", "path", rule.alias("rule"),
@@ -131,30 +172,51 @@ def op2_template_tree(spark, sf_dir: str) -> DataFrame:
 _HOST = r"translate(regexp_extract(coalesce(url, ''), '(?s)\A.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _PATH = r"regexp_extract(coalesce(url, ''), '(?s)\A.*?://[^/?#]*([^?#]*)', 1)"
 
+
+
+def _tree_sql() -> str:
+    """The tree as common table expressions, level by level."""
+    out = []
+    for d in range(1, LEVELS + 1):
+        before = f"l{d - 1}"
+        out.append(f"""
+c{d} AS (SELECT host, t{d - 1}, s{d}, sum(n) AS c FROM {before} WHERE s{d} IS NOT NULL GROUP BY ALL),
+v{d} AS (SELECT host, t{d - 1}, sum(c) AS every FROM c{d} GROUP BY ALL HAVING count(*) >= 5 AND count(*) FILTER (c = 1) >= 0.5::DOUBLE * sum(c)),
+l{d} AS (SELECT l.*, CASE WHEN l.s{d} IS NULL THEN l.t{d - 1} ELSE l.t{d - 1} || '/' || CASE WHEN c < 0.05::DOUBLE * every THEN '*' ELSE l.s{d} END END AS t{d}
+  FROM {before} l LEFT JOIN v{d} v ON v.host = l.host AND v.t{d - 1} = l.t{d - 1} LEFT JOIN c{d} c ON c.host = l.host AND c.t{d - 1} = l.t{d - 1} AND c.s{d} = l.s{d})""")
+    out.append("""
+h AS (SELECT host, sum(m) AS m, sum(g) AS g FROM l0 GROUP BY host),
+p AS (SELECT CASE WHEN sum(m) > 0 THEN sum(g) / sum(m) ELSE 1.0 END::DOUBLE AS p0 FROM h),
+b0 AS (SELECT host, '' AS node, ' ~0' AS branch, (g + 8.0::DOUBLE * p0) / (m + 8.0::DOUBLE) AS purity FROM h, p)""")
+    for d in range(1, LEVELS + 1):
+        out.append(f"""
+n{d} AS (SELECT host, t{d - 1} AS parent, t{d} AS node, sum(m) AS m, sum(g) AS g FROM l{LEVELS} WHERE s{d} IS NOT NULL GROUP BY ALL),
+w{d} AS (SELECT *, sum(m) OVER x AS pm, sum(g) OVER x AS pg, (g + 1) / (m + 2)::DOUBLE AS p FROM n{d} WINDOW x AS (PARTITION BY host, parent)),
+x{d} AS (SELECT *, CASE WHEN m > 0 AND pm - m > 0 THEN g / m - (pg - g) / (pm - m) END AS gap,
+         CASE WHEN m > 0 AND pm - m > 0 THEN 1.96::DOUBLE * sqrt(pg / pm * (1 - pg / pm) * (1.0::DOUBLE / m + 1.0::DOUBLE / (pm - m))) END AS err FROM w{d}),
+y{d} AS (SELECT *, CASE WHEN gap > err THEN '+' WHEN -gap > err THEN '-' ELSE '~' END AS side FROM x{d}),
+z{d} AS (SELECT *, (side <> '~' AND coalesce(p - lag(p) OVER o > 1.96::DOUBLE * sqrt(p * (1 - p) / (m + 2) + lag(p * (1 - p) / (m + 2)) OVER o), false))::INT AS cut
+         FROM y{d} WINDOW o AS (PARTITION BY host, parent, side ORDER BY p, node)),
+q{d} AS (SELECT *, parent || ' ' || side || (sum(cut) OVER (PARTITION BY host, parent, side ORDER BY p, node))::VARCHAR AS branch FROM z{d}),
+b{d} AS (SELECT q.host, q.node, q.branch, (sum(q.g) OVER (PARTITION BY q.host, q.parent, q.branch) + 8.0::DOUBLE * b.purity) / (sum(q.m) OVER (PARTITION BY q.host, q.parent, q.branch) + 8.0::DOUBLE) AS purity
+         FROM q{d} q JOIN b{d - 1} b ON b.host = q.host AND b.node = q.parent)""")
+    every = " UNION ALL ".join(f"SELECT * FROM b{d}" for d in range(LEVELS + 1))
+    return ",".join(out) + f",\nnode AS ({every})"
+
+
 OP2_SQL = rf"""
 WITH rows AS (
   SELECT page_id, {_HOST} AS host, {_PATH} AS path FROM pages),
 lit AS (
-  SELECT *, regexp_replace(regexp_replace(regexp_replace(path, '/[^/.]*[0-9][^/.]*', '/*', 'g'), '/[^/]{{24,}}', '/*', 'g'), '/+\z', '') AS literal,
+  SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(path, '/[^/.]*[0-9][^/.]*', '/*', 'g'), '/[^/]{{24,}}', '/*', 'g'), '/+\z', ''), '\A([^/]*(?:/[^/]*){{{{{LEVELS - 1}}}}})/[^/]*/.*', '\1/**') AS literal,
          try_cast(nullif(regexp_extract(path, '/([0-9]{{1,18}})(?:\.[a-z]+)?/?\z', 1), '') AS BIGINT) AS doc_id FROM rows),
 lab AS (SELECT doc_id, min((quality = 1 AND toxic = 0)::INT) AS good FROM labels GROUP BY doc_id),
 plab AS (SELECT page_id, min(good) AS good FROM lit JOIN lab USING (doc_id) GROUP BY page_id),
 known AS (SELECT lit.*, plab.good FROM lit LEFT JOIN plab USING (page_id)),
-leaves AS (
-  SELECT host, literal, count(*) AS n, count(good) AS m, coalesce(sum(good), 0)::DOUBLE AS g,
-         regexp_replace(literal, '/[^/]*\z', '') AS parent FROM known GROUP BY host, literal),
-crowd AS (SELECT host, parent, count(*) AS children FROM leaves GROUP BY host, parent),
-tmpl AS (SELECT leaves.*, CASE WHEN children > 200 THEN parent || '/*' ELSE literal END AS template FROM leaves JOIN crowd USING (host, parent)),
-nodes0 AS (SELECT host, template, sum(m) AS m, sum(g) AS g FROM tmpl GROUP BY host, template),
-hosts AS (SELECT host, sum(m) AS hm, sum(g) AS hg FROM nodes0 GROUP BY host),
-p AS (SELECT CASE WHEN sum(hm) > 0 THEN sum(hg) / sum(hm) ELSE 1.0 END::DOUBLE AS p0 FROM hosts),
-nodes AS (
-  SELECT nodes0.*, (hg + 8.0::DOUBLE * p0) / (hm + 8.0::DOUBLE) AS ph,
-         CASE WHEN m > 0 AND hm - m > 0 AND abs(g / m - (hg - g) / (hm - m)) > 1.96::DOUBLE * sqrt((hg / hm) * (1 - hg / hm) * (1.0::DOUBLE / m + 1.0::DOUBLE / (hm - m)))
-              THEN template ELSE '~merged' END AS branch
-  FROM nodes0 JOIN hosts USING (host), p),
-branches AS (SELECT host, branch, (sum(g) + 8.0::DOUBLE * any_value(ph)) / (sum(m) + 8.0::DOUBLE) AS purity FROM nodes GROUP BY host, branch),
-judged AS (SELECT t.host, t.literal, t.template, n.branch, b.purity FROM tmpl t JOIN nodes n ON n.host = t.host AND n.template = t.template JOIN branches b ON b.host = n.host AND b.branch = n.branch),
+l0 AS (
+  SELECT host, literal, count(*) AS n, count(good) AS m, coalesce(sum(good), 0)::DOUBLE AS g, '' AS t0,
+         {", ".join(f"string_split(literal, '/')[{k + 1}] AS s{k}" for k in range(1, LEVELS + 1))} FROM known GROUP BY host, literal),{_tree_sql()},
+judged AS (SELECT l.host, l.literal, node.node AS template, branch, purity FROM l{LEVELS} l JOIN node ON node.host = l.host AND node.node = l.t{LEVELS}),
 fit AS (
   SELECT lit.*, CASE
     WHEN (host = 'www.example.com' OR ends_with(host, '.www.example.com')) AND starts_with(path, '/en/') THEN 'allow www.example.com/en/'

@@ -94,10 +94,14 @@ def vectors(spark):
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, id string")
 
 
+def cosine(a, b):
+    return embdup.cosines(*(embdup.scaled([v]) for v in (a, b)))[0]
+
+
 def test_embeddings_equal_brute_force(spark, vectors):
     rows = {r.vec_id: r for r in vectors.collect()}
     good = [i for i, r in rows.items() if r.label is not None and r.embedding and None not in r.embedding and np.isfinite(r.embedding).all() and any(r.embedding)]
-    pairs = [(a, b) for a in good for b in good if a < b and rows[a].label == rows[b].label and len(rows[a].embedding) == len(rows[b].embedding) and embdup.cosine(rows[a].embedding, rows[b].embedding) >= 0.93]
+    pairs = [(a, b) for a in good for b in good if a < b and rows[a].label == rows[b].label and len(rows[a].embedding) == len(rows[b].embedding) and cosine(rows[a].embedding, rows[b].embedding) >= 0.93]
     comp, n = grouped(pairs, rows), Counter(x for p in pairs for x in p)
     for cfg in (embdup.Config(), embdup.Config(block=7)):
         got = embdup.near_duplicates(vectors, cfg).collect()
@@ -105,6 +109,27 @@ def test_embeddings_equal_brute_force(spark, vectors):
         assert all((r.n_links, r.component_id, r.kept) == (n[r.vec_id], comp[r.vec_id], comp[r.vec_id] == r.vec_id) for r in got)
 
 
+def test_embeddings_of_any_size_and_repeated_ids(spark):
+    """Tiny and huge components, pairs at the threshold, one id with two vectors, other columns of the same names."""
+    x = np.zeros((4, 8))
+    x[:, 0] = 1
+    x[1, 1] = np.sqrt(1 / 0.93**2 - 1) * (1 - 1e-12)  # just linked
+    x[2, 2] = np.sqrt(1 / 0.93**2 - 1) * (1 + 1e-12)  # just not
+    rows = [(1, [1e-170] * 8, 0), (2, [2e-170] * 8, 0), (3, [1e160] * 8, 0), (4, [-1e160] * 8, 0), (5, [5e-324] * 8, 0)]
+    rows += [(20 + i, v.tolist(), 1) for i, v in enumerate(x)] + [(10, [1.0, 0.0], 2), (10, [0.0, 1.0], 2), (11, [1.0, 0.0], 2), (12, [0.0, 3.0], 2)]
+    df = spark.createDataFrame([(*r, 1, 2) for r in rows], "vec_id long, embedding array<double>, label int, cls long, rep long")
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in embdup.near_duplicates(df).collect())
+    assert got == [
+        (1, 3, 1, True), (2, 3, 1, False), (3, 3, 1, False), (4, 0, 4, True), (5, 3, 1, False), (10, 1, 10, True), (10, 1, 10, True), (11, 1, 10, False), (12, 1, 10, False),
+        (20, 2, 20, True), (21, 2, 20, False), (22, 0, 22, True), (23, 2, 20, False),
+    ]
+    assert embdup.near_duplicates(df.limit(0)).count() == 0
+    for bits in (8, 12, 16, 24):
+        cfg = embdup.Config()
+        assert cfg.missed(bits, cfg.tables(bits)) <= 1e-4 and sum(cfg.differing(bits)[cfg.most_differing(bits) + 1 :]) <= 1e-4
+    assert [cfg.bits(n) for n in (0, 500, 20_000, 1_000_000, 10**9)] == [8, 8, 9, 14, 24]
+
+
 def test_nearest_recall(spark, sf):
     e = common.load(spark, sf, "embeddings")
     rows = {r.vec_id: np.array(r.embedding, float) for r in e.collect()}
@@ -183,8 +208,39 @@ def test_scores_of_language_model(spark, docs):
     assert grulm.score_documents(docs.limit(0), F.lit(False), cfg).count() == 0
 
 
+def test_model_beats_the_base_on_held_out_documents(spark):
+    r = registry.queries()["op9_gru"](spark, "/root/testdata/sf0.01").filter("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+    assert r[0] > 0.97 * r[1]
+
+
+def test_gru_slopes():
+    """Backpropagation against differences of the loss, with a document that starts within the window and a cell without token."""
+    cfg = grulm.Config(class_size=3, hidden=3)
+    g = grulm.GRU(cfg, np.array([5, 4, 3, 2, 2, 1, 1]), 2.0)
+    rng = np.random.default_rng(1)
+    for k in g.p:
+        g.p[k] += np.where(g.p[k] < -100, 0, rng.normal(0, 0.3, g.p[k].shape)).astype(np.float32)
+    x, y = rng.integers(0, 8, (4, 5)), rng.integers(0, 8, (4, 5))
+    y[3, 2] = -1
+    keep = np.ones((4, 5), np.float32)
+    keep[2, 1] = 0
+    h = rng.normal(size=(5, 3)).astype(np.float32)
+    grads = {k: np.zeros_like(v) for k, v in g.p.items()}
+    g.slopes(x, y, keep, h, grads)
+    for k, v in g.p.items():
+        for at in rng.integers(0, v.size, 12):
+            if v.flat[at] < -100:
+                continue
+            old, loss = v.flat[at], []
+            for step in (0.02, -0.02):
+                v.flat[at] = old + step
+                loss.append(g.slopes(x, y, keep, h, {n: np.zeros_like(w) for n, w in g.p.items()})[0])
+            v.flat[at] = old
+            assert abs((loss[0] - loss[1]) / 0.04 - grads[k].flat[at]) < 0.02, (k, at)
+
+
 def test_gru_is_a_distribution_and_learns():
-    cfg = grulm.Config(vocabulary=12, class_size=4, hidden=4, window=3, batch=4, rate=0.2)
+    cfg = grulm.Config(vocabulary=12, class_size=4, hidden=4, window=3, lanes=4, rate=0.2)
     g = grulm.GRU(cfg, np.arange(12, 0, -1), 5.0)
     rng = np.random.default_rng(0)
     seq = [np.append(np.tile([3, 7, 5], 4 + rng.integers(3)), 0) for _ in range(64)]
@@ -203,11 +259,11 @@ def test_gru_sees_every_training_document(spark, monkeypatch):
     fit = grulm.fit
     monkeypatch.setattr(grulm, "fit", lambda learn, *a: asked.append((learn, a)) or fit(learn, *a))
     rows = [(i, f"a{i % 40} b{i % 30} c{i}") for i in range(2400)]
-    cfg = grulm.Config(vocabulary=20, often=50, class_size=8, resolved=500, hidden=4, docs_per_part=15)
+    cfg = grulm.Config(vocabulary=20, often=50, class_size=8, resolved=500, hidden=4, tokens_per_part=500)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert grulm.score_documents(df, F.col("doc_id") % 5 == 0, cfg).count() == 2400
     learn, (n, _, words, _) = asked[0]
-    assert n == learn.select("text").distinct().count() == 1920 and {r.part for r in learn.select("part").distinct().collect()} == {0, 1, 2}
+    assert n == 4 * learn.select("text").distinct().count() == 4 * 1920 and {r.part for r in learn.select("part").distinct().collect()} == {0, 1, 2}
     assert words.size == 1 + 32 + 24 and all(c >= 50 for c in words.counts[1 : words.size])
 
 
@@ -226,6 +282,25 @@ def test_urls_awkward(spark):
     assert urls.filter_urls(pages, labels).count() == pages.count() and urls.filter_urls(pages.limit(0), labels).count() == 0
 
 
+def test_url_tree(spark):
+    """Two hosts, three levels: word slugs become a wildcard, siblings alike are merged, outliers alike too, and other hosts are not touched."""
+    slug = lambda i: "".join(chr(97 + (i * k) % 26) for k in (1, 3, 7, 11)) + chr(97 + i // 26)
+    rows = [(i, f"http://h.org/news/a{i}", 1) for i in range(2000)] + [(5000 + i, f"http://h.org/spam/{slug(i)}", 0 if i < 100 else None) for i in range(150)]
+    rows += [(9000 + i, f"http://h.org/{'xyz'[i % 3]}/q", int(i % 3 == 2)) for i in range(90)] + [(9500 + i, f"http://g.org/spam/{slug(i)}/top", 1) for i in range(50)]
+    pages = spark.createDataFrame([(*r[:2], "x", 0, 1.0) for r in rows], "page_id long, url string, host string, salt int, purity double")
+    labels = spark.createDataFrame([(i, g) for i, _, g in rows], "page long, good int")
+    got = {r.page_id: r for r in urls.filter_urls(pages, labels).collect()}
+    assert len(got) == len(rows)
+    for i, url, _ in rows:
+        part = url.split("/")[3]
+        bad = part in "xy" or part == "spam" and "h.org" in url
+        assert got[i].verdict == ("block" if bad else "allow"), url
+        assert got[i].template == ("/spam/*" if i in range(5000, 5150) else "/spam/*/top" if i >= 9500 else f"/{part}/*" if i < 2000 else f"/{part}/q")
+    assert got[9000].branch != got[9001].branch and got[9000].purity == got[9001].purity < 0.1 < got[9002].purity
+    deep = spark.createDataFrame([(1, "http://h.org/a/b/c/d/e/f/g"), (2, "http://h.org/a/b/c/d/e"), (3, "http://h.org//")], "page_id long, url string")
+    assert [r.template for r in urls.filter_urls(deep, labels.limit(0)).orderBy("page_id").collect()] == ["/a/b/c/d/**", "/a/b/c/d/e", ""]
+
+
 def test_mixture_equals_oracle_and_marginals(spark, sf, duck):
     df = mixing.op3_raked_mixture(spark, sf)
     got, want = same(df, duck.sql(mixing.OP3_SQL))
