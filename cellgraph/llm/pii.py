@@ -43,8 +43,14 @@ MOST_IN_PLAN = 1000
 #: So many attempts keep the entity's form.
 NARROW = 12
 
-CONSONANTS, VOWELS = "bdfgklmnprstvz", "aeiou"
-CYRILLIC_CONSONANTS, CYRILLIC_VOWELS = "бдфгклмнпрствз", "аеиоу"
+#: Consonants, vowels and the endings of a woman's first name, a man's and a surname, for each script.
+SCRIPTS = {
+    "Latin": ("bdfgklmnprstvz", "aeiou", "na", "n", "k"),
+    "Cyrillic": ("бдфгклмнпрствз", "аеиоу", "на", "н", "к"),
+    "Greek": ("βγδζθκλμνπρστφ", "αειου", "να", "ν", "κ"),
+}
+#: A key for the test tables only; for data of your own set ``spark.cellgraph.pii.key`` or pass ``secret``.
+TEST_KEY = "test tables"
 
 
 def entities(text: Column) -> Column:
@@ -53,13 +59,20 @@ def entities(text: Column) -> Column:
     return F.when(text.rlike(HINT), found).otherwise(F.array().cast("array<string>"))
 
 
+def _luhn(a: Column) -> Column:
+    """Check sum of digits counted from the right."""
+    return F.aggregate(F.transform(a, lambda x, i: F.when(i % 2 == 0, x).when(x > 4, 2 * x - 9).otherwise(2 * x)), F.lit(0), lambda t, x: t + x) % 10
+
+
 def type_of(e: Column) -> Column:
-    """email, name, ip, ip6, ssn, iban, secret, phone or card."""
-    digits = F.length(F.regexp_replace(e, "[^0-9]", ""))
+    """email, name, ip, ip6, ssn, iban, secret, phone or card; none for numbers that are no card: another first digit than 2 to 6, or a wrong check digit."""
+    only = F.regexp_replace(e, "[^0-9]", "")
+    digits = F.length(only)
+    card = only.rlike("^[2-6]") & (_luhn(F.transform(F.reverse(F.split(only, "")), lambda c: c.try_cast("int"))) == 0)
     return (
         F.when((digits == 0) & ~e.rlike(r"[^ .()+-]"), "secret").when(e.contains("@") & e.rlike(f"^(?:{EMAIL})$"), "email").when(e.rlike(f"^{TITLE} "), "name").when(e.rlike(f"^{OCTET}(?:\\.{OCTET}){{3}}$"), "ip")
         .when(e.rlike(f"^(?:{IP6})$"), "ip6").when(e.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn").when(e.rlike(r"^[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)$"), "iban").when(e.rlike(r"[^0-9 .()+-]"), "secret")
-        .when(e.rlike(r"[(+.]") | (digits <= 12), "phone").otherwise("card")
+        .when(e.rlike(r"[(+.]") | (digits <= 12), "phone").when(card, "card").otherwise("none")
     )
 
 
@@ -98,11 +111,6 @@ def _letters(s: Column) -> Column:
     return F.array_join(F.transform(F.split(s["e"], ""), char), "")
 
 
-def _luhn(a: Column) -> Column:
-    """Check sum of digits counted from the right."""
-    return F.aggregate(F.transform(a, lambda x, i: F.when(i % 2 == 0, x).when(x > 4, 2 * x - 9).otherwise(2 * x)), F.lit(0), lambda t, x: t + x) % 10
-
-
 def _digits(rows: Column) -> Column:
     """Digits by digits, counted from the right; a phone keeps its country code, a card its first digit and a valid check digit."""
     old = F.transform(rows, lambda s: F.struct(s["e"].alias("e"), s["kind"].alias("kind"), s["bytes"].alias("bytes"), F.transform(F.reverse(F.split(F.regexp_replace(s["e"], "[^0-9]", ""), "")), lambda c: c.try_cast("int")).alias("old")))
@@ -134,18 +142,18 @@ def _digits(rows: Column) -> Column:
 
 def _name(s: Column) -> Column:
     """The title, then made-up names of as many words; the ending tells the gender, the letters the script."""
-    e, female, cyrillic = s["e"], s["female"], s["cyrillic"]
+    e = s["e"]
+
+    def of_script(at: int) -> Column:
+        return F.when(s["script"] == "Cyrillic", SCRIPTS["Cyrillic"][at]).when(s["script"] == "Greek", SCRIPTS["Greek"][at]).otherwise(SCRIPTS["Latin"][at])
 
     def syllable(k: Column) -> Column:
-        return F.concat(
-            F.substring(F.when(cyrillic, CYRILLIC_CONSONANTS).otherwise(CONSONANTS), F.element_at(s["bytes"], k) % 14 + 1, F.lit(1)),
-            F.substring(F.when(cyrillic, CYRILLIC_VOWELS).otherwise(VOWELS), F.element_at(s["bytes"], k + 20) % 5 + 1, F.lit(1)),
-        )
+        return F.concat(F.substring(of_script(0), F.element_at(s["bytes"], k) % 14 + 1, F.lit(1)), F.substring(of_script(1), F.element_at(s["bytes"], k + 20) % 5 + 1, F.lit(1)))
 
     syllables = F.transform(F.sequence(F.lit(1), F.lit(6)), syllable)
-    ending = F.when(cyrillic, F.when(female, "на").otherwise("н")).otherwise(F.when(female, "na").otherwise("n"))
+    ending = F.when(s["female"], of_script(2)).otherwise(of_script(3))
     part = lambda lo, n: F.array_join(F.slice(syllables, lo, n), "")
-    two = F.concat(F.initcap(F.concat(part(1, 2), ending)), F.lit(" "), F.initcap(F.concat(part(3, 4), F.when(cyrillic, "к").otherwise("k"))))
+    two = F.concat(F.initcap(F.concat(part(1, 2), ending)), F.lit(" "), F.initcap(F.concat(part(3, 4), of_script(4))))
     title = F.regexp_extract(e, f"^({TITLE} )", 1)
     wide = F.initcap(F.concat(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(20)), syllable), ""), ending))
     return F.concat(title, F.when(s["wide"], wide).when(F.size(F.split(e, " ")) > 2, two).otherwise(F.initcap(F.concat(part(3, 4), ending))))
@@ -163,12 +171,12 @@ def surrogates(rows: Column, attempt, secret: str) -> Column:
         low = F.when((kind == "secret") & e.startswith("AKIA"), 4).when(kind == "iban", 2).otherwise(0)
         high = F.length(e) - F.when(kind == "email", domain).otherwise(0)
         bare = ~F.substring(e, low + 1, high - low).rlike("[A-Za-z0-9]")
-        return F.struct(e.alias("e"), kind.alias("kind"), s["wide"].alias("wide"), s["hex"].alias("hex"), s["bytes"].alias("bytes"), low.alias("low"), high.alias("high"), bare.alias("bare"), ((kind == "iban") & e.contains(" ")).alias("blocks"), ((kind == "ip6") | e.rlike("^[0-9a-f]+$")).alias("hexa"), e.rlike(f"^(?:{FEMALE})[. ]").alias("female"), e.rlike(r"\p{IsCyrillic}").alias("cyrillic"))
+        return F.struct(e.alias("e"), kind.alias("kind"), s["wide"].alias("wide"), s["hex"].alias("hex"), s["bytes"].alias("bytes"), low.alias("low"), high.alias("high"), bare.alias("bare"), ((kind == "iban") & e.contains(" ")).alias("blocks"), ((kind == "ip6") | e.rlike("^[0-9a-f]+$")).alias("hexa"), e.rlike(f"^(?:{FEMALE})[. ]").alias("female"), F.when(e.rlike(r"\p{IsCyrillic}"), "Cyrillic").when(e.rlike(r"\p{IsGreek}"), "Greek").otherwise("Latin").alias("script"))
 
     def one(s: Column, digits: Column) -> Column:
         address = F.array_join(F.transform(F.split(s["e"], r"\."), lambda o, i: (1 + F.element_at(s["bytes"], i + 1) % 254).cast("string")), ".")
         wide = F.concat(F.substring(s["hex"], 1, 40), F.when(s["kind"] == "email", "@mail.example.com").otherwise(""))
-        return F.when(s["kind"] == "name", _name(s)).when(s["wide"], wide).when(s["kind"].isin("email", "secret", "iban", "ip6"), _letters(s)).when(s["kind"] == "ip", address).otherwise(digits)
+        return F.when(s["kind"] == "none", s["e"]).when(s["kind"] == "name", _name(s)).when(s["wide"], wide).when(s["kind"].isin("email", "secret", "iban", "ip6"), _letters(s)).when(s["kind"] == "ip", address).otherwise(digits)
 
     rows = F.transform(full, marked)
     return F.zip_with(rows, _digits(full), one)
@@ -177,7 +185,7 @@ def surrogates(rows: Column, attempt, secret: str) -> Column:
 def later_attempts(docs: DataFrame, secret: str, text_col: str = "text") -> DataFrame:
     """key (normal form), attempt: the entities whose surrogate is not the first attempt, after all collision checks."""
     found = docs.select(F.explode(entities(F.col(text_col).cast("string"))).alias("e"))
-    known = found.distinct().select(F.explode(described(F.array("e"))).alias("s")).groupBy(F.col("s.key").alias("key")).agg(F.min("s.e").alias("e"))
+    known = found.distinct().select(F.explode(described(F.array("e"))).alias("s")).filter("s.kind <> 'none'").groupBy(F.col("s.key").alias("key")).agg(F.min("s.e").alias("e"))
     known = materialize(known.withColumn("attempt", F.lit(0)), "entities")
     while True:
         made = known.select("key", "e", "attempt", F.explode(surrogates(described(F.array("e")), lambda _: F.col("attempt"), secret)).alias("made"))
@@ -195,14 +203,28 @@ def later_attempts(docs: DataFrame, secret: str, text_col: str = "text") -> Data
     return known.filter("attempt > 0").select("key", "attempt")
 
 
-def replace_pii(docs: DataFrame, secret: str = "surrogates", text_col: str = "text") -> DataFrame:
+def mentions(found: Column, made: Column) -> Column:
+    """(old, new) of the names among a text's entities as they stand without their title: full names, then surnames that one of them has."""
+    body = lambda c: F.regexp_replace(c, f"^{TITLE} ", "")
+    names = F.array_distinct(F.filter(F.zip_with(found, made, lambda s, m: F.struct(s["kind"].alias("kind"), body(s["e"]).alias("old"), body(m).alias("new"))), lambda p: (p["kind"] == "name") & p["old"].contains(" ")))
+    full = F.transform(names, lambda p: F.struct(p["old"].alias("old"), p["new"].alias("new")))
+    last = F.transform(names, lambda p: F.struct(F.substring_index(p["old"], " ", -1).alias("old"), F.substring_index(p["new"], " ", -1).alias("new")))
+    alone = F.filter(last, lambda p: F.size(F.filter(last, lambda q: q["old"] == p["old"])) == 1)
+    return F.concat(full, alone)
+
+
+def replace_pii(docs: DataFrame, secret: str, text_col: str = "text") -> DataFrame:
     """All columns of ``docs`` with every entity in ``text_col`` replaced, and ``pii_types`` (the types found, in order).
 
+    Where a text names somebody with a title, the full name without it, and the
+    surname if no other person there has it, become the same surrogate.
     Null, empty and entity-free texts are returned as they are, with no types.
-    A column named ``pii_types`` in the input is replaced. Rows may repeat.
+    Columns named ``pii_types``, ``__s``, ``__m``, ``__t`` or ``__attempts`` in the input are replaced
+    or dropped. Rows may repeat. An empty table gives an empty result.
     Who holds ``secret`` can recompute surrogates, nobody can invert them.
     """
     text = F.col(text_col).cast("string")
+    docs = docs.drop("__s", "__m", "__t", "__attempts")
     later = materialize(later_attempts(docs.select(text_col), secret, text_col), "later")
     n = later.count()
     rows = docs
@@ -219,12 +241,24 @@ def replace_pii(docs: DataFrame, secret: str = "surrogates", text_col: str = "te
         rows = docs.withColumn("__t", F.xxhash64(text_col)).join(maps, "__t", "left").drop("__t")
         attempt = lambda key: F.coalesce(F.try_element_at("__attempts", key), F.lit(0))
     # the pattern runs once for the entities and once for the text between them, on texts with a hint only
-    cut = rows.withColumn("__s", described(entities(text)))
-    joined = F.array_join(F.zip_with(F.split(text, PATTERN, -1), surrogates(F.col("__s"), attempt, secret), lambda p, s: F.concat(p, F.coalesce(s, F.lit("")))), "")
-    out = cut.withColumn("pii_types", F.transform("__s", lambda s: s["kind"])).withColumn(text_col, F.when(F.size("__s") > 0, joined).otherwise(F.col(text_col)))
-    return out.drop("__s", "__attempts")
+    cut = rows.withColumn("__s", described(entities(text))).withColumn("__m", F.when(F.size("__s") > 0, surrogates(F.col("__s"), attempt, secret)))
+    named = F.exists("__s", lambda s: (s["kind"] == "name") & (F.size(F.split(s["e"], " ")) > 2))
+
+    def unnamed(part: Column) -> Column:
+        return F.aggregate(mentions(F.col("__s"), F.col("__m")), part, lambda t, p: F.regexp_replace(t, F.concat(F.lit(r"(?<![\p{L}\p{N}])\Q"), p["old"], F.lit(r"\E(?![\p{L}\p{N}])")), p["new"]))
+
+    parts = F.split(text, PATTERN, -1)
+    parts = F.when(named, F.transform(parts, unnamed)).otherwise(parts)
+    joined = F.array_join(F.zip_with(parts, F.col("__m"), lambda p, s: F.concat(p, F.coalesce(s, F.lit("")))), "")
+    types = F.filter(F.transform("__s", lambda s: s["kind"]), lambda k: k != "none")
+    out = cut.withColumn("pii_types", types).withColumn(text_col, F.when(F.size("pii_types") > 0, joined).otherwise(F.col(text_col)))
+    return out.drop("__s", "__m", "__attempts")
+
+
+def key_of(spark) -> str:
+    return spark.conf.get("spark.cellgraph.pii.key", TEST_KEY)
 
 
 def op8_surrogates(spark, sf_dir: str) -> DataFrame:
     """Every document with its entities replaced."""
-    return replace_pii(load(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "text", F.size("pii_types").alias("n_entities"), F.array_join("pii_types", ",").alias("types"))
+    return replace_pii(load(spark, sf_dir, "documents").select("doc_id", "text"), key_of(spark)).select("doc_id", "text", F.size("pii_types").alias("n_entities"), F.array_join("pii_types", ",").alias("types"))

@@ -323,7 +323,7 @@ def test_surrogates(spark):
         (3, "Mr. John Smith met Mrs Anna Smith and Mr Иван Петров. 123-45-6789"), (4, None), (5, ""), (6, "clean text 12 of 3.5 and 2020-01-02"), (6, "clean text 12 of 3.5 and 2020-01-02"), (7, "emgbr.22@mail7.example.com"),
     ]
     df = spark.createDataFrame([(*r, "old") for r in rows], "doc_id long, text string, pii_types string")
-    got = {r.doc_id: r for r in pii.replace_pii(df).collect()}
+    got = {r.doc_id: r for r in pii.replace_pii(df, "key").collect()}
     assert got[4].text is None and got[5].text == "" and got[6].text == rows[5][1] and got[6].pii_types == []
     a, b = got[1].text.split()[1], got[1].text.split()[3].rstrip(",")
     assert a == b.lower() == got[7].text and a != "emgbr.22@mail7.example.com" and a.endswith(".example.com") and b.split("@")[0].isupper()
@@ -333,13 +333,30 @@ def test_surrogates(spark):
     assert card[-1] == 4 and (sum(card[0::2]) + sum(sum(divmod(2 * x, 10)) for x in card[1::2])) % 10 == 0
     assert all(0 < int(o) < 255 for o in got[2].text.split()[3].rstrip(",").split(".")) and "AKIA" in got[2].text and "6XYULEBAN6QD53KZ" not in got[2].text and "45bb0d" not in got[2].text
     assert not any(x in got[3].text for x in ("John", "Anna", "Иван", "123-45")) and got[3].text.startswith("Mr. ") and got[3].pii_types == ["name", "name", "name", "ssn"]
-    assert pii.replace_pii(df.limit(0)).count() == 0
+    assert pii.replace_pii(df.limit(0), "key").count() == 0
+
+
+def test_surrogates_of_mentions_and_numbers(spark):
+    """Names recur without their title, numbers that are no card stay, other keys give other surrogates, columns of the helpers' names do no harm."""
+    rows = [
+        (1, "Mr. John Smith came. John Smith left; Smith's dog, Smithers and Johnson stayed."), (2, "Mr. John Smith and Mrs. Anna Smith. Smith who? Anna Smith."), (3, "Κος Frau Ελένη Παππα ή Παππα"),
+        (4, "9739312764672899 4668350087416801 1234567812345678"), (5, "x " * 300_000 + "4111111111111111"),
+    ]
+    df = spark.createDataFrame([(*r, "a", "b", "c") for r in rows], "doc_id long, text string, __s string, __t string, __attempts string")
+    got = {r.doc_id: r for r in pii.replace_pii(df, "key").collect()}
+    full = got[1].text.removeprefix("Mr. ").split(" came")[0]
+    assert got[1].text == f"Mr. {full} came. {full} left; {full.split()[1]}'s dog, Smithers and Johnson stayed." and "Smith" not in full
+    john, anna = got[2].text.split(" and Mrs. ")[0].removeprefix("Mr. "), got[2].text.split("Mrs. ")[1].split(". ")[0]
+    assert john == full and john != anna and got[2].text == f"Mr. {john} and Mrs. {anna}. Smith who? {anna}."
+    assert got[3].pii_types == ["name"] and "Παππα" not in got[3].text and got[3].text.split()[2].endswith("να")
+    assert got[4].text == rows[3][1] and got[4].pii_types == [] and got[5].pii_types == ["card"] and got[5].text[:-16] == rows[4][1][:-16]
+    assert pii.replace_pii(df, "other").filter("doc_id = 1").first().text != got[1].text
 
 
 def test_surrogates_stay_distinct(spark):
     rows = [(i, f"ip 10.0.{i // 250}.{i % 250} ssn 1{i % 90 + 10}-{i % 89 + 10}-{i:04d}") for i in range(1500)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert pii.replace_pii(df).select("text").distinct().count() == 1500
+    assert pii.replace_pii(df, "key").select("text").distinct().count() == 1500
 
 
 def test_surrogates_of_entities_without_form(spark):
@@ -347,7 +364,7 @@ def test_surrogates_of_entities_without_form(spark):
     plain = ["password: ********", "password=ключклюй", "token: ......", "secret=------x"]
     full = [f"password=#####{i}" for i in range(10)] + [f"token: {i}....." for i in range(10)]
     df = spark.createDataFrame(list(enumerate(plain + full)), "doc_id long, text string")
-    got = {r.doc_id: r.text for r in pii.replace_pii(df).collect()}
+    got = {r.doc_id: r.text for r in pii.replace_pii(df, "key").collect()}
     value = lambda t: t.replace(": ", "=").split("=")[1]
     old, new = [value(t) for t in plain + full], [value(got[i]) for i in range(len(got))]
     assert len(set(new)) == len(old) and not set(new) & set(old)
@@ -362,7 +379,7 @@ def test_surrogates_of_each_form(spark):
     ]
     long = "".join("eyJhb-Gci_"[i % 10] + "Zq7"[i % 3] for i in range(201)) + "."
     rows = [(i, f"see {e} now") for i, (_, e) in enumerate(forms)] + [(90, f"token={long} end"), (91, "at 12:30:45, a[1::2], std::abs, 3 + 4, C++20"), (92, "DE89 3704 0044 0532 0130 00 PAID")]
-    got = {r.doc_id: r for r in pii.replace_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r.doc_id: r for r in pii.replace_pii(spark.createDataFrame(rows, "doc_id long, text string"), "key").collect()}
     for i, (kind, e) in enumerate(forms):
         t = got[i].text
         assert got[i].pii_types == [kind] and t.startswith("see ") and t.endswith(" now") and len(t) == len(e) + 8 and t[4:-4] != e, (e, t, got[i].pii_types)
