@@ -36,7 +36,8 @@ LN10 = float(np.log(10))
 class Config:
     """vocabulary: words of the network on small inputs; ``often``: words seen so many times join it, up to ``resolved``.
 
-    resolved: that many frequent words' counts go to every task; rarer words meet their counts in a join.
+    resolved: up to so many frequent words' counts go to every task; rarer words meet their counts in a join.
+    tokens_per_part: so many tokens are trained on between two averages of the models.
     """
 
     vocabulary: int = 1024
@@ -44,11 +45,11 @@ class Config:
     class_size: int = 32
     hidden: int = 12
     window: int = 16
-    batch: int = 32
+    lanes: int = 256
     rounds: int = 3
-    rate: float = 0.2
+    rate: float = 0.3
     resolved: int = 150_000
-    docs_per_part: int = 400
+    tokens_per_part: int = 1_500_000
     seed: int = 7
 
 
@@ -80,14 +81,13 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
 
 def _exp_sum(logit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Exponentials and their row sums; shifts the rows only where they would overflow or vanish."""
+    """Exponentials, in place of the logits, and their row sums; rows that would overflow are shifted first, in a copy that is no longer the argument."""
+    if np.abs(logit[:, 0]).max(initial=0) < 40 and logit.max(initial=0) < 80:
+        np.exp(logit, out=logit)
+        return logit, logit.sum(1)
+    logit -= logit.max(1, keepdims=True)
     e = np.exp(logit)
-    total = e.sum(1)
-    if not (np.isfinite(total).all() and (total > 0).all()):
-        logit -= logit.max(1, keepdims=True)
-        e = np.exp(logit)
-        total = e.sum(1)
-    return e, total
+    return e, e.sum(1)
 
 
 class GRU:
@@ -123,119 +123,171 @@ class GRU:
             self.p[k] = flat[at : at + n].reshape(self.p[k].shape).copy()
             at += n
 
-    def states(self, x: np.ndarray, h: np.ndarray, trace: list | None = None) -> np.ndarray:
-        """Hidden states after each of the steps of x (steps, rows), from h (rows, hidden)."""
+    def states(self, x: np.ndarray, h: np.ndarray, keep: np.ndarray | None = None, trace: dict | None = None) -> np.ndarray:
+        """Hidden states after each of the steps of x (steps, rows), from h (rows, hidden).
+
+        Where ``keep`` (steps, rows) is 0 a document starts and the state is 0.
+        ``trace`` gets what the way back needs.
+        """
         k = self.cfg.hidden
-        inp, rec = self.p["inp"], self.p["rec"]
-        out = np.empty((len(x), len(h), k), np.float32)
+        rec, given = self.p["rec"], self.p["inp"][x]
+        given[:, :, : 2 * k] *= 0.5  # sigmoid(a) = (tanh(a / 2) + 1) / 2
+        half = rec.copy()
+        half[:, : 2 * k] *= 0.5
+        shape = (len(x), len(h), k)
+        out = np.empty(shape, np.float32)
+        if trace is not None:
+            trace |= {"before": np.empty(shape, np.float32), "gate": np.empty((*shape[:2], 2 * k), np.float32), "new": np.empty(shape, np.float32), "pull": np.empty(shape, np.float32)}
         for t in range(len(x)):
-            a, u = inp[x[t]], h @ rec
+            if keep is not None:
+                h = h * keep[t][:, None]
+            a, u = given[t], h @ half
             g = a[:, : 2 * k] + u[:, : 2 * k]
-            np.clip(g, -30, 30, out=g)
-            np.negative(g, out=g)
-            np.exp(g, out=g)
+            np.tanh(g, out=g)
             g += 1
-            np.reciprocal(g, out=g)
-            z, r = g[:, :k], g[:, k:]
-            n = np.tanh(a[:, 2 * k :] + r * u[:, 2 * k :])
+            g *= 0.5
+            z = g[:, :k]
+            n = u[:, 2 * k :] * g[:, k:]
+            n += a[:, 2 * k :]
+            np.tanh(n, out=n)
             if trace is not None:
-                trace.append((h, z, r, n, u[:, 2 * k :]))
-            h = n + z * (h - n)
-            out[t] = h
+                trace["before"][t], trace["gate"][t], trace["new"][t], trace["pull"][t] = h, g, n, u[:, 2 * k :]
+            h = np.subtract(h, n, out=out[t])
+            h *= z
+            h += n
         return out
 
     def log_probs(self, h: np.ndarray, y: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-        """Natural log probability of each token (of its class, for the tail); with grads, also the loss's slope in h."""
-        s, rows = self.width, np.arange(len(y))
+        """Natural log probability of each token (of its class, for the tail); with grads, also the loss's slope in h.
+
+        Tokens are sorted by class, so that each class's rows are one slice.
+        """
+        s = self.width
+        order = np.argsort(y, kind="stable")
+        h, y = h[order], y[order]
         cls = np.minimum(y // s, self.classes)
         cls[y >= self.size] = self.classes
+        rows = np.arange(len(y))
         logit = h @ self.p["cls_w"]
         logit += self.p["cls_b"]
+        lp = logit[rows, cls]
         e, total = _exp_sum(logit)
-        lp = logit[rows, cls] - np.log(total)
+        lp = lp - np.log(total) if e is logit else logit[rows, cls] - np.log(total)
         dh = None
         if grads is not None:
-            d = e / total[:, None]
-            d[rows, cls] -= 1
-            grads["cls_w"] += h.T @ d
-            grads["cls_b"] += d.sum(0)
-            dh = d @ self.p["cls_w"].T
-        order = np.argsort(cls, kind="stable")
-        ends = np.searchsorted(cls[order], np.arange(self.classes + 1))
-        for c in range(self.classes):
-            i = order[ends[c] : ends[c + 1]]
-            if not len(i):
-                continue
-            hc, w = h[i], y[i] - c * s
+            e /= total[:, None]
+            e[rows, cls] -= 1
+            grads["cls_w"] += h.T @ e
+            grads["cls_b"] += e.sum(0)
+            dh = e @ self.p["cls_w"].T
+        ends = np.searchsorted(cls, np.arange(self.classes + 1))
+        w = y - cls * s
+        for c in np.flatnonzero(ends[1:] > ends[:-1]):
+            lo, hi = ends[c], ends[c + 1]
+            hc, wc, k = h[lo:hi], w[lo:hi], rows[: hi - lo]
             logit = hc @ self.p["out_w"][c]
             logit += self.p["out_b"][c]
+            own = logit[k, wc]
             e, total = _exp_sum(logit)
-            k = np.arange(len(i))
-            lp[i] += logit[k, w] - np.log(total)
+            lp[lo:hi] += (own if e is logit else logit[k, wc]) - np.log(total)
             if grads is not None:
-                d = e / total[:, None]
-                d[k, w] -= 1
-                grads["out_w"][c] += hc.T @ d
-                grads["out_b"][c] += d.sum(0)
-                dh[i] += d @ self.p["out_w"][c].T
-        return lp, dh
+                e /= total[:, None]
+                e[k, wc] -= 1
+                grads["out_w"][c] += hc.T @ e
+                grads["out_b"][c] += e.sum(0)
+                dh[lo:hi] += e @ self.p["out_w"][c].T
+        back = np.empty(len(y))
+        back[order] = lp
+        if dh is not None:
+            slope = np.empty_like(dh)
+            slope[order] = dh
+            dh = slope
+        return back, dh
+
+    def slopes(self, x: np.ndarray, y: np.ndarray, keep: np.ndarray, h: np.ndarray, grads: dict) -> tuple[float, np.ndarray]:
+        """The loss over a window and the state after it; adds the loss's slope in each parameter to ``grads``.
+
+        Where y is -1 there is no token.
+        """
+        k = self.cfg.hidden
+        trace: dict = {}
+        hs = self.states(x, h, keep, trace)
+        valid = y >= 0
+        lp, slope = self.log_probs(hs[valid], y[valid], grads)
+        dhs = np.zeros_like(hs)
+        dhs[valid] = slope
+        before, gate, new = trace["before"], trace["gate"], trace["new"]
+        z, r = gate[:, :, :k], gate[:, :, k:]
+        to_new = (1 - z) * (1 - new * new)
+        to_z = (before - new) * z * (1 - z)
+        to_r = trace["pull"] * r * (1 - r)
+        da = np.empty((*x.shape, 3 * k), np.float32)
+        du = np.empty_like(da)
+        back = np.zeros_like(h)
+        rec_t = np.ascontiguousarray(self.p["rec"].T)
+        for t in range(len(x) - 1, -1, -1):
+            dh = dhs[t]
+            dh += back
+            a, u = da[t], du[t]
+            np.multiply(dh, to_z[t], out=a[:, :k])
+            np.multiply(dh, to_new[t], out=a[:, 2 * k :])
+            np.multiply(a[:, 2 * k :], to_r[t], out=a[:, k : 2 * k])
+            u[:, : 2 * k] = a[:, : 2 * k]
+            np.multiply(a[:, 2 * k :], r[t], out=u[:, 2 * k :])
+            back = u @ rec_t
+            back += dh * z[t]
+            back *= keep[t][:, None]
+        grads["rec"] += before.reshape(-1, k).T @ du.reshape(-1, 3 * k)
+        flat = x.ravel()
+        order = np.argsort(flat, kind="stable")
+        flat = flat[order]
+        start = np.flatnonzero(np.append(True, flat[1:] != flat[:-1]))
+        grads["inp"][flat[start]] += np.add.reduceat(da.reshape(-1, 3 * k)[order], start)
+        return -float(lp.sum()), hs[-1]
 
     def train(self, docs: list[np.ndarray]) -> int:
-        """Truncated backpropagation with Adagrad over the documents; returns the tokens seen."""
-        cfg, k, seen = self.cfg, self.cfg.hidden, 0
+        """Truncated backpropagation with Adagrad over the documents; returns the tokens seen.
+
+        Documents follow one another in ``lanes`` lanes of about equal length;
+        the state is carried from window to window and starts anew with each
+        document.
+        """
+        cfg = self.cfg
+        order = np.random.default_rng(cfg.seed).permutation(len(docs))
+        sizes = np.array([len(docs[i]) for i in order])
+        total = int(sizes.sum())
+        if not total:
+            return 0
+        # one stream, cut into lanes
+        lanes = max(1, min(cfg.lanes, total // (4 * cfg.window)))
+        steps = -(-total // lanes)
+        y = np.full(lanes * steps, -1, np.int64)
+        y[:total] = np.concatenate([docs[i] for i in order])
+        first = np.zeros(lanes * steps, bool)
+        first[np.cumsum(sizes) - sizes] = True
+        x = np.concatenate([[END], y[:-1]])
+        x[first | (x < 0)] = END
+        x, y, keep = (np.ascontiguousarray(v.reshape(lanes, steps).T) for v in (x, y, (~first).astype(np.float32)))
+        h = np.zeros((lanes, cfg.hidden), np.float32)
         acc = {n: np.full(v.shape, 1e-4, np.float32) for n, v in self.p.items()}
         grads = {n: np.zeros_like(v) for n, v in self.p.items()}
-        docs = sorted(docs, key=len)
-        groups = [docs[i : i + cfg.batch] for i in range(0, len(docs), cfg.batch)]
-        for g in np.random.default_rng(cfg.seed).permutation(len(groups)):
-            group = groups[g]
-            h = np.zeros((len(group), k), np.float32)
-            for at in range(0, max(map(len, group)), cfg.window):
-                live = [i for i, d in enumerate(group) if len(d) > at]
-                h = h[-len(live) :]  # sorted by length: the shorter documents have ended
-                group = [group[i] for i in live]
-                steps = min(cfg.window, max(map(len, group)) - at)
-                y = np.full((steps, len(group)), -1, np.int64)
-                x = np.full((steps, len(group)), END, np.int64)
-                for j, d in enumerate(group):
-                    part = d[at : at + steps]
-                    y[: len(part), j] = part
-                    before = d[at - 1 : at + steps - 1] if at else np.concatenate([[END], d[: steps - 1]])
-                    x[: len(before), j] = before
-                trace: list = []
-                hs = self.states(x, h, trace)
-                valid = y >= 0
-                _, slope = self.log_probs(hs[valid], y[valid], grads)
-                dhs = np.zeros_like(hs)
-                dhs[valid] = slope
-                dn = np.zeros_like(h)
-                dinp = np.zeros((steps, len(group), 3 * k), np.float32)
-                rec = self.p["rec"]
-                for t in range(steps - 1, -1, -1):
-                    hp, z, r, n, un = trace[t]
-                    dh = dhs[t] + dn
-                    da_n = dh * (1 - z) * (1 - n * n)
-                    da_z = dh * (hp - n) * z * (1 - z)
-                    da_r = da_n * un * r * (1 - r)
-                    du = np.concatenate([da_z, da_r, da_n * r], 1)
-                    dinp[t] = np.concatenate([da_z, da_r, da_n], 1)
-                    grads["rec"] += hp.T @ du
-                    dn = dh * z + du @ rec.T
-                np.add.at(grads["inp"], x[valid], dinp[valid])
-                count = int(valid.sum())
-                seen += count
-                # words and classes that did not occur have no slope
-                cls = np.unique(y[valid & (y < self.size)] // self.width)
-                met = {"inp": np.unique(x[valid]), "out_w": cls, "out_b": cls}
-                for name, v in self.p.items():
-                    at_rows = met.get(name, slice(None))
-                    grad = grads[name][at_rows] / count
-                    grads[name][at_rows] = 0
-                    sums = acc[name][at_rows] + grad * grad
-                    acc[name][at_rows] = sums
-                    v[at_rows] -= cfg.rate * grad / np.sqrt(sums)
-                h = hs[-1]
-        return seen
+        for at in range(0, steps, cfg.window):
+            xs, ys = x[at : at + cfg.window], y[at : at + cfg.window]
+            _, h = self.slopes(xs, ys, keep[at : at + cfg.window], h, grads)
+            count = int((ys >= 0).sum())
+            if not count:
+                continue
+            # words and classes that did not occur have no slope
+            cls = np.unique(ys[(ys >= 0) & (ys < self.size)] // self.width)
+            met = {"inp": np.unique(xs), "out_w": cls, "out_b": cls}
+            for name, v in self.p.items():
+                rows = met.get(name, slice(None))
+                grad = grads[name][rows] / count
+                grads[name][rows] = 0
+                sums = acc[name][rows] + grad * grad
+                acc[name][rows] = sums
+                v[rows] -= cfg.rate * grad / np.sqrt(sums)
+        return total
 
     def score(self, docs: list[np.ndarray]) -> np.ndarray:
         """Natural log probability of each whole document."""
@@ -310,11 +362,11 @@ def _average(batches):
         yield pa.RecordBatch.from_arrays([pa.array([(total / n).astype(np.float32).tobytes()], pa.binary()), pa.array([n], pa.int64())], ["w", "n"])
 
 
-def fit(learn: DataFrame, rows: int, cfg: Config, words: Words, tail: float) -> GRU:
-    """Local training and averaging in rounds; ``learn`` has a binary text and ``part`` (the round) in ``rows`` rows."""
+def fit(learn: DataFrame, tokens: int, cfg: Config, words: Words, tail: float) -> GRU:
+    """Local training and averaging in rounds; ``learn`` has a binary text and ``part`` (the round), with about so many tokens."""
     gru = GRU(cfg, words.counts[: words.size], tail)
     for r in range(cfg.rounds):
-        parts = max(2, -(-rows // (cfg.rounds * cfg.docs_per_part)))
+        parts = max(1, -(-tokens // (cfg.rounds * cfg.tokens_per_part)))
         docs = learn.filter(F.col("part") == r).select("text").repartition(parts)
         found = docs.mapInArrow(_trainer(cfg, words, tail, gru.pack()), "w binary, n long")
         if parts > 32:  # up to 16 models are averaged where they were trained, without moving
@@ -323,12 +375,32 @@ def fit(learn: DataFrame, rows: int, cfg: Config, words: Words, tail: float) ->
         while parts > 4:  # averages of averages, so that the driver gets 4 models at most
             parts = -(-parts // 16)
             found = found.repartition(parts).mapInArrow(_average, "w binary, n long")
-        got = [(np.frombuffer(bytes(w), np.float32).astype(np.float64), n) for w, n in found.collect()]
-        if got:
-            gru.unpack((sum(w * n for w, n in got) / sum(n for _, n in got)).astype(np.float32).tobytes())
+        total, seen = None, 0
+        for w, n in found.toLocalIterator():  # one model at a time
+            v = np.frombuffer(bytes(w), np.float32).astype(np.float64) * n
+            total, seen = (v if total is None else total + v), seen + n
+        if seen:
+            gru.unpack((total / seen).astype(np.float32).tobytes())
     return gru
 
 
+def frequent(counts: DataFrame, most: int, longest: int = 100) -> list[tuple[bytes, int]]:
+    """The words down to the least count for which they are at most ``most``, by falling count; none is longer than ``longest`` bytes.
+
+    Counts fall into eight classes for each power of two; whole classes are taken, so that the driver gets one bounded list.
+    """
+    level = F.floor(F.log2("c") * 8)
+    known = counts.filter(F.octet_length("word") <= longest)
+    upto, least = 0, None
+    for k, n in known.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("level")).collect():  # 512 at most
+        if upto + n > most:
+            break
+        upto, least = upto + n, k
+    if least is None:
+        return []
+    return sorted(((bytes(w), c) for w, c in known.filter(level >= least).select("word", "c").collect()), key=lambda x: (-x[1], x[0]))
+
+
 def _scorer(cfg: Config, words: Words, tail: float, blob: bytes, tail_total: float):
     log_c = np.log10(words.counts + 1.0)
 
@@ -374,12 +446,11 @@ def score_documents(docs: DataFrame, held, cfg: Config = Config(), id_col: str =
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     ends = learn.count()
     n, v = total + ends, distinct + (1 if ends else 0)
-    head = [(bytes(w), c) for w, c in counts.orderBy(F.desc("c"), "word").limit(cfg.resolved).collect()]  # a bounded number of words
-    words = Words(cfg, head, ends)
+    words = Words(cfg, frequent(counts, cfg.resolved), ends)
     tail = float(n - words.counts[: words.size].sum())
     tail_total = tail + max(0, v - words.size) + 1.0
     part = F.pmod(F.xxhash64("__id", "text", F.lit(cfg.seed)), F.lit(cfg.rounds))
-    gru = fit(learn.select("text", part.alias("part")), ends, cfg, words, tail)
+    gru = fit(learn.select("text", part.alias("part")), n, cfg, words, tail)
     keyed = rows.select(F.monotonically_increasing_id().alias("rid"), "__id", "held_out", "text")
     kind = rows.schema["__id"].dataType.simpleString()
     schema = f"rid long, `__id` {kind}, held_out boolean, n_tokens long, known long, base double, model double, rare array<binary>, times array<long>"
