@@ -38,7 +38,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data becomes surrogates."""
-    return pii.replace_pii(docs.select(*COLUMNS)).select(*COLUMNS)
+    return pii.replace_pii(docs.select(*COLUMNS), pii.key_of(spark)).select(*COLUMNS)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
