@@ -3,8 +3,11 @@
 Documents are summed into cells of (source, language, topic). Raking scales the
 cells' token mass in turn to the target share of each source, language and
 topic until all three marginals hold. A cell's mass over its tokens is the
-weight of its documents; scaled so that no probability exceeds 1, it is the
-probability with which a document is sampled, by a fixed hash of its id.
+weight of its documents. Probabilities are the weights times one factor, which
+is calibrated so that the tokens sampled are a given share of all; where that
+would exceed 1, all documents of the cell are taken and the others make up for
+it, so that no cell's weight decides how much of the others stays. A document is
+sampled by a fixed hash of its id.
 """
 
 from __future__ import annotations
@@ -68,16 +71,34 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = 60, per_
     return work.select(*targets, "tokens", "mass")
 
 
+def calibrated(weights: DataFrame, share: float) -> float:
+    """The factor on the weights for which the expected tokens sampled are ``share`` of all, with probabilities of 1 at most.
+
+    ``weights`` has tokens and weight of the cells; each round takes the cells
+    that reach 1 out of the sum, until none is added.
+    """
+    tokens, mass = F.col("tokens").cast("double"), F.col("tokens") * F.col("weight")
+    budget = share * float(weights.agg(F.sum(tokens)).first()[0] or 0)
+    factor, full = 0.0, -1
+    while True:
+        at_one = F.col("weight") * factor >= 1
+        n, taken, rest = weights.agg(F.count_if(at_one), F.sum(F.when(at_one, tokens)), F.sum(F.when(~at_one, mass))).first()
+        if n == full or not rest:
+            return factor if rest or factor else 1.0
+        factor, full = max(factor, (budget - (taken or 0.0)) / rest), n
+
+
 def uniform(id_col: Column, seed: str) -> Column:
     """A fixed number in [0, 1) for each id."""
     return F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(id_col.cast("string"), F.lit("null")))), 1, 12), 16, 10).cast("double") / float(1 << 48)
 
 
-def mix(docs: DataFrame, power: float = 0.8, targets: dict[str, DataFrame] | None = None, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+def mix(docs: DataFrame, power: float = 0.8, share: float = 0.6, targets: dict[str, DataFrame] | None = None, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """Sampling decisions of every document.
 
     ``targets`` gives tables (dimension, share) for source, lang and topic; a
-    dimension not given gets its own token shares to the ``power``. Returns one
+    dimension not given gets its own token shares to the ``power``. ``share`` of all
+    tokens is sampled (in expectation). Returns one
     row per input row: ``id_col``, ``source``, ``lang``, ``topic``, ``n_tokens``,
     ``weight`` (mass over tokens), ``probability`` and ``sampled``, and the
     columns of ``keep`` (prefixed ``in_``). Null sources and languages are one
@@ -88,8 +109,8 @@ def mix(docs: DataFrame, power: float = 0.8, targets: dict[str, DataFrame] | Non
     cells = materialize(rows.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens")), "cells")
     made = {d: (targets or {}).get(d) or tempered(cells, d, power) for d in DIMENSIONS}
     weights = rake(cells, made).withColumn("weight", F.col("mass") / F.col("tokens"))
-    top = weights.agg(F.max("weight")).first()[0] or 1.0
-    weights = weights.select(*DIMENSIONS, "weight", F.least(F.lit(1.0), F.col("weight") / F.lit(top)).alias("probability"))
+    factor = calibrated(weights, share)
+    weights = weights.select(*DIMENSIONS, "weight", F.least(F.lit(1.0), F.col("weight") * F.lit(factor)).alias("probability"))
     weights = materialize(weights.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), "weights")  # its size in bytes is known to the planner; a large one is joined by cell and salt
     out = rows.withColumn("salt", F.pmod(F.xxhash64("__id", "n_tokens"), F.lit(SALTS)).cast("int")).join(weights, [*DIMENSIONS, "salt"])
     return out.select(
@@ -103,7 +124,7 @@ def op3_raked_mixture(spark, sf_dir: str) -> DataFrame:
     return mix(load(spark, sf_dir, "documents"))
 
 
-def _sql(rounds: int = 60, power: float = 0.8) -> str:
+def _sql(rounds: int = 60, power: float = 0.8, share: float = 0.6) -> str:
     topic = "CASE WHEN contains(coalesce(text, ''), '|') THEN 'table' WHEN contains(coalesce(text, ''), 'icense') THEN 'legal' WHEN strlen(coalesce(text, '')) >= 8000 THEN 'long' ELSE 'prose' END"
     steps, before = [], "t0"
     for d in DIMENSIONS:
@@ -123,8 +144,11 @@ it AS (
   SELECT cells.*, t_source, t_lang, t_topic, tokens::DOUBLE AS mass, 0 AS k FROM cells {joins}
   UNION ALL
   SELECT source, lang, topic, tokens, t_source, t_lang, t_topic, mass, k + 1 FROM {step} WHERE k < {rounds}),
-w AS (SELECT source, lang, topic, mass / tokens AS weight FROM it WHERE k = {rounds}),
-p AS (SELECT *, least(1.0::DOUBLE, weight / (SELECT max(weight) FROM w)) AS probability FROM w)
+w AS (SELECT source, lang, topic, tokens, mass / tokens AS weight FROM it WHERE k = {rounds}),
+c AS (SELECT weight, ({share}::DOUBLE * sum(tokens) OVER () - coalesce(sum(tokens) OVER x, 0)) / (sum(tokens * weight) OVER () - coalesce(sum(tokens * weight) OVER x, 0)) AS factor
+  FROM w WINDOW x AS (ORDER BY weight DESC, source, lang, topic ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+f AS (SELECT factor FROM c WHERE weight * factor <= 1 ORDER BY weight DESC LIMIT 1),
+p AS (SELECT *, least(1.0::DOUBLE, weight * (SELECT factor FROM f)) AS probability FROM w)
 SELECT doc_id, source, lang, topic, n_tokens, round(weight, 6) AS weight, round(probability, 6) AS probability,
        ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, 'null')), 1, 12))::BIGINT::DOUBLE / 281474976710656.0::DOUBLE < probability AS sampled
 FROM rows JOIN p USING (source, lang, topic)

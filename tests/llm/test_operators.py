@@ -311,6 +311,18 @@ def test_mixture_equals_oracle_and_marginals(spark, sf, duck):
         assert all(abs(r.m / sum(x.m for x in rows) - target[r[d]] / sum(target.values())) < 1e-3 for r in rows)
 
 
+def test_mixture_is_not_ruled_by_a_tiny_cell(spark):
+    """One document of a source that shall be a tenth of everything is taken; the others still give what is asked for."""
+    rows = [(i, "x" * 400, "big", "en") for i in range(3000)] + [(9999, "x" * 400, "tiny", "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    target = spark.createDataFrame([("big", 0.9), ("tiny", 0.1)], "source string, share double")
+    for share in (0.0, 0.3, 0.9, 1.0):
+        got = mixing.mix(df, share=share, targets={"source": target})
+        big, tiny = got.filter("source = 'big'").first(), got.filter("source = 'tiny'").first()
+        assert abs(big.probability - (share if share in (0.0, 1.0) else (3001 * share - 1) / 3000)) < 1e-5 and tiny.probability == (0.0 if share == 0 else 1.0)
+        assert abs(got.filter("sampled").count() - 3001 * share) < 100
+
+
 def test_mixture_awkward(spark, docs):
     got = mixing.mix(docs)
     assert got.count() == docs.count() and got.filter("source = '(none)'").count() > 0 and got.filter("probability > 1").count() == 0
