@@ -6,7 +6,7 @@ import sys
 
 import numpy as np
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .fixpoint import SMALL, cut, in_one_task, reach
@@ -114,6 +114,13 @@ def resolve_indirect(sites: DataFrame, points_to: DataFrame, functions: DataFram
     return found.select("cs", "caller", "callee").distinct()
 
 
+def unresolved(sites: DataFrame, found: DataFrame, external: DataFrame) -> DataFrame:
+    """Indirect call sites that keep their placeholder edge: without a callee found, or called through an external node (node)."""
+    open_ended = sites.join(external, "node", "left_semi")
+    done = found.select("cs").distinct().join(open_ended.select("cs"), "cs", "left_anti")
+    return sites.join(done, "cs", "left_anti")
+
+
 def statistics(calls: DataFrame) -> DataFrame:
     """Counts over call sites (cs, is_asm, direct, resolved)."""
     return calls.agg(
@@ -131,8 +138,15 @@ def uses_and_defs(calls: DataFrame, components: DataFrame) -> DataFrame:
     return out.select("func", F.coalesce("u", F.lit(0)).alias("n_uses"), F.coalesce("d", F.lit(0)).alias("n_defs"))
 
 
-def positional(actuals: DataFrame, formals: DataFrame, calls: DataFrame) -> DataFrame:
-    """Equations (a, b) between actual and formal values: the n-th pointer argument meets the n-th pointer parameter."""
+def positional(actuals: DataFrame, formals: DataFrame, calls: DataFrame, pointers: bool = False) -> DataFrame:
+    """Equations (a, b) between actual and formal values by position.
+
+    With ``pointers`` both tables have ``is_ptr``, and the n-th pointer argument
+    meets the n-th pointer parameter, whatever stands between them.
+    """
+    if pointers:
+        nth = lambda df, by: df.filter("is_ptr").withColumn("idx", F.row_number().over(Window.partitionBy(by).orderBy("idx")))
+        actuals, formals = nth(actuals, "cs"), nth(formals, "func")
     a = calls.join(actuals, "cs").select("callee", "idx", F.col("val").alias("a"))
     return a.join(formals.select(F.col("func").alias("callee"), "idx", F.col("val").alias("b")), ["callee", "idx"]).select("a", "b").distinct()
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import FLAG, OMNI, join_flags
-from .fixpoint import reach
+from .fixpoint import components, cut, reach
 
 
 def offset_adjust(off: Column, collapsed: Column, is_array: Column, size: Column) -> Column:
@@ -97,10 +97,13 @@ def unique_scalars(cells: DataFrame) -> DataFrame:
     return at.filter("n = 1 and off = 0").select("node", "val")
 
 
-def merge_along(pairs: DataFrame, sites: DataFrame) -> DataFrame:
-    """Alloc sites of nodes after merging both ways along the pairs (n1, n2): (node, val)."""
-    both = pairs.select(F.col("n1").alias("src"), F.col("n2").alias("dst")).union(pairs.select(F.col("n2").alias("src"), F.col("n1").alias("dst"))).distinct()
-    return reach(sites.select(F.col("val").alias("tag"), F.col("node").alias("id")), both).select(F.col("id").alias("node"), F.col("tag").alias("val"))
+def merge_along(pairs: DataFrame, sites: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Alloc sites after merging both ways along the pairs (n1, n2): the class of each node, (node, rep), and the set of each class, (rep, val).
+
+    A node's sites are those of its class; they are not repeated for each node.
+    """
+    lab = cut(components(pairs.select(F.col("n1").alias("a"), F.col("n2").alias("b"))))
+    return lab.select(F.col("id").alias("node"), "rep"), merged_sets(sites, lab, "val")
 
 
 def flat_memory(nodes: DataFrame, accessed: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from ..operators import alias, callgraph, graph, memssa, simulate, stats
 from ..operators.fixpoint import components, weighted_components
 from ..schema import FLAG
 from ..sources import export, libc
-from .facts import Facts, with_clause
+from .facts import OBJ, Facts, with_clause
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -37,9 +37,14 @@ def _lab(f: Facts) -> DataFrame:
     return components(edges)
 
 
-LAB = """+ pairs AS (SELECT ptr AS a, obj AS b FROM points_to UNION SELECT obj, ptr FROM points_to),
-reach AS (SELECT node AS id, node AS other FROM vertex UNION SELECT reach.id, pairs.b FROM reach JOIN pairs ON pairs.a = reach.other),
-lab AS (SELECT id, min(other) AS rep FROM reach GROUP BY id) """
+def least_labels(pairs: str) -> str:
+    """``lab(id, rep)`` over ``pairs(a, b)``, which has both directions: the least id spreads until nothing changes."""
+    return f"""pairs AS ({pairs}),
+lab(id, rep) USING KEY (id) AS (SELECT a, a FROM pairs GROUP BY a UNION
+  SELECT p.b, min(lab.rep) FROM lab JOIN pairs p ON p.a = lab.id JOIN recurring.lab r ON r.id = p.b WHERE lab.rep < r.rep GROUP BY p.b) """
+
+
+LAB = "+ " + least_labels("SELECT ptr AS a, obj AS b FROM points_to UNION SELECT obj, ptr FROM points_to")
 
 
 @query("unify_components", LAB + "SELECT id, rep FROM lab", "points_to", "vertex", recursive=True)
@@ -141,11 +146,10 @@ def gep_offset_gcd(f):
 REACH = """+ reach AS (SELECT tag, id FROM roots UNION SELECT reach.tag, o.dst FROM reach JOIN object_link o ON o.node = reach.id) """
 
 
-@query("reachable_nodes", "+ roots AS (SELECT DISTINCT node % 3 AS tag, node AS id FROM object_link WHERE node % 40 = 1), " + REACH[2:] + "SELECT tag, id FROM reach", "object_link", recursive=True)
+@query("reachable_nodes", "+ roots AS (SELECT body AS tag, node AS id FROM argument_root), " + REACH[2:] + "SELECT tag, id FROM reach", "object_link", "argument_root", recursive=True)
 def reachable_nodes(f):
-    """Nodes reachable from arguments, globals and returns (GR-30)."""
-    roots = f["object_link"].filter("node % 40 = 1").select((F.col("node") % 3).alias("tag"), F.col("node").alias("id")).distinct()
-    return graph.reachable_nodes(roots, f["object_link"])
+    """Nodes reachable from the arguments of each body (GR-30)."""
+    return graph.reachable_nodes(f["argument_root"].select(F.col("body").alias("tag"), F.col("node").alias("id")), f["object_link"])
 
 
 NODES = "all_nodes AS (SELECT node FROM object_link UNION SELECT dst FROM object_link)"
@@ -155,30 +159,29 @@ def _nodes(f):
     return f["object_link"].select("node").union(f["object_link"].select("dst")).distinct()
 
 
-@query("remove_dead", f"+ {NODES}, roots AS (SELECT 'live' AS tag, node AS id FROM all_nodes WHERE node % 30 = 3), " + REACH[2:] + "SELECT node FROM all_nodes WHERE node IN (SELECT id FROM reach)", "object_link", recursive=True)
+@query("remove_dead", f"+ {NODES}, roots AS (SELECT DISTINCT 'live' AS tag, node AS id FROM argument_root), " + REACH[2:] + "SELECT node FROM all_nodes WHERE node IN (SELECT id FROM reach)", "object_link", "argument_root", recursive=True)
 def remove_dead(f):
     """Nodes that cells keep alive (GR-23)."""
     nodes = _nodes(f)
-    return graph.remove_dead(nodes, nodes.filter("node % 30 = 3"), f["object_link"])
+    return graph.remove_dead(nodes, f["argument_root"].select("node").distinct(), f["object_link"])
 
 
-@query("remove_links", "SELECT node, off, dst, dst_off FROM object_link WHERE dst % 7 <> 0", "object_link")
+@query("remove_links", "SELECT node, off, dst, dst_off FROM object_link WHERE dst NOT IN (SELECT node FROM unwritten)", "object_link", "unwritten")
 def remove_links(f):
     """Links without those to doomed nodes (GR-24)."""
-    return graph.remove_links(f["object_link"], _nodes(f).filter("node % 7 = 0")).select("node", "off", "dst", "dst_off")
+    return graph.remove_links(f["object_link"], f["unwritten"]).select("node", "off", "dst", "dst_off")
 
 
 @query(
     "remove_nodes",
-    f"""+ {NODES}, left_link AS (SELECT * FROM object_link WHERE dst % 7 <> 0 AND node % 7 <> 0),
-reach AS (SELECT node AS id FROM all_nodes WHERE node % 30 = 3 AND node % 7 <> 0 UNION SELECT o.dst FROM reach JOIN left_link o ON o.node = reach.id)
-SELECT node FROM all_nodes WHERE node % 7 <> 0 AND node IN (SELECT id FROM reach)""",
-    "object_link", recursive=True,
+    f"""+ {NODES}, left_link AS (SELECT * FROM object_link WHERE dst NOT IN (FROM unwritten) AND node NOT IN (FROM unwritten)),
+reach AS (SELECT DISTINCT node AS id FROM argument_root WHERE node NOT IN (FROM unwritten) UNION SELECT o.dst FROM reach JOIN left_link o ON o.node = reach.id)
+SELECT node FROM all_nodes WHERE node NOT IN (FROM unwritten) AND node IN (SELECT id FROM reach)""",
+    "object_link", "unwritten", "argument_root", recursive=True,
 )
 def remove_nodes(f):
     """What stays when nodes and everything only they reach are removed (GR-25)."""
-    nodes = _nodes(f)
-    return graph.remove_nodes(nodes, nodes.filter("node % 30 = 3"), f["object_link"], nodes.filter("node % 7 = 0"))
+    return graph.remove_nodes(_nodes(f), f["argument_root"].select("node").distinct(), f["object_link"], f["unwritten"])
 
 
 @query("unique_scalars", "SELECT node, min(val) AS val FROM cell GROUP BY node HAVING count(DISTINCT val) = 1 AND max(off) = 0", "cell")
@@ -189,13 +192,15 @@ def unique_scalars(f):
 
 @query(
     "merge_alloc_sites",
-    """+ pair AS (SELECT node AS n1, dst AS n2 FROM object_link WHERE node % 4 = 1 UNION SELECT dst, node FROM object_link WHERE node % 4 = 1),
-reach AS (SELECT node, val FROM site UNION SELECT pair.n2, reach.val FROM reach JOIN pair ON pair.n1 = reach.node) SELECT node, val FROM reach""",
+    "+ " + least_labels("SELECT node AS a, dst AS b FROM object_link UNION SELECT dst, node FROM object_link") + """, sets AS (SELECT rep, count(DISTINCT val) AS n_sites, min(val) AS first_site, max(val) AS last_site FROM lab JOIN site ON site.node = lab.id GROUP BY rep)
+SELECT id AS node, rep, coalesce(n_sites, 0) AS n_sites, first_site, last_site FROM lab LEFT JOIN sets USING (rep)""",
     "object_link", "site", recursive=True,
 )
 def merge_alloc_sites(f):
-    """Alloc sites merged both ways along simulated links (GR-16, IP-16)."""
-    return graph.merge_along(f["object_link"].filter("node % 4 = 1").select(F.col("node").alias("n1"), F.col("dst").alias("n2")), f["site"])
+    """Alloc sites merged both ways along simulated links: one set for each class (GR-16, IP-16)."""
+    classes, sets = graph.merge_along(f["object_link"].select(F.col("node").alias("n1"), F.col("dst").alias("n2")), f["site"])
+    sets = sets.groupBy("rep").agg(F.count(F.lit(1)).alias("n_sites"), F.min("val").alias("first_site"), F.max("val").alias("last_site"))
+    return classes.join(sets, "rep", "left").select("node", "rep", F.coalesce("n_sites", F.lit(0)).alias("n_sites"), "first_site", "last_site")
 
 
 @query("flat_memory", "SELECT 0::BIGINT AS node, bit_or(flags) AS flags, max(size) AS size, count(*) AS merged, (SELECT count(DISTINCT type) FROM accessed) AS types FROM node", "node", "accessed")
@@ -204,23 +209,22 @@ def flat_memory(f):
     return graph.flat_memory(f["node"], f["accessed"])
 
 
-FORMALS = """formals AS (SELECT s_suppkey AS func, k AS idx, s_suppkey * 10 + k AS val FROM supplier, (SELECT unnest([1, 2]) AS k)),
-actuals AS (SELECT cs, k AS idx, 1000000 + (cs * k) % 500 AS val FROM call, (SELECT unnest([1, 2]) AS k)),
-eq AS (SELECT DISTINCT actuals.val AS a, formals.val AS b FROM call JOIN actuals USING (cs) JOIN formals ON formals.func = call.callee AND formals.idx = actuals.idx)"""
+#: Every function has the parameters 0 to 3, of which 0 and 2 are pointers; an argument is one of twenty values of its caller. Pointers meet by their place among pointers.
+FORMALS = """formals AS (SELECT s_suppkey AS func, k AS idx, s_suppkey * 10 + k AS val, k % 2 = 0 AS is_ptr FROM supplier, (SELECT unnest([0, 1, 2, 3]) AS k)),
+actuals AS (SELECT cs, k AS idx, 1000000 + caller * 100 + (cs * (k + 1)) % 20 AS val, k >= 2 AS is_ptr FROM call, (SELECT unnest([0, 1, 2, 3]) AS k)),
+eq AS (SELECT DISTINCT actuals.val AS a, formals.val AS b FROM call JOIN actuals USING (cs) JOIN formals ON formals.func = call.callee AND formals.is_ptr AND actuals.is_ptr AND formals.idx / 2 = actuals.idx - 2)"""
 
 
 def _arguments(f):
-    k = F.explode(F.array(F.lit(1), F.lit(2))).alias("idx")
-    formals = f["supplier"].select(F.col("s_suppkey").alias("func"), k).withColumn("val", F.col("func") * 10 + F.col("idx"))
-    actuals = f["call"].select("cs", k).withColumn("val", 1_000_000 + F.col("cs") * F.col("idx") % 500)
-    return callgraph.positional(actuals, formals, f["call"].select("cs", "callee"))
+    k = F.explode(F.sequence(F.lit(0), F.lit(3))).alias("idx")
+    formals = f["supplier"].select(F.col("s_suppkey").alias("func"), k).select("func", "idx", (F.col("func") * 10 + F.col("idx")).alias("val"), (F.col("idx") % 2 == 0).alias("is_ptr"))
+    actuals = f["call"].select("cs", "caller", k).select("cs", "idx", (1_000_000 + F.col("caller") * 100 + F.col("cs") * (F.col("idx") + 1) % 20).alias("val"), (F.col("idx") >= 2).alias("is_ptr"))
+    return callgraph.positional(actuals, formals, f["call"].select("cs", "callee"), pointers=True)
 
 
 @query(
     "resolve_arguments_ci",
-    f"""+ {FORMALS}, pairs AS (SELECT a, b FROM eq UNION SELECT b, a FROM eq), ends AS (SELECT a AS id FROM pairs),
-reach AS (SELECT id, id AS other FROM ends UNION SELECT reach.id, pairs.b FROM reach JOIN pairs ON pairs.a = reach.other)
-SELECT id, min(other) AS rep FROM reach GROUP BY id""",
+    f"+ {FORMALS}, " + least_labels("SELECT a, b FROM eq UNION SELECT b, a FROM eq") + "SELECT id, rep FROM lab",
     "call", recursive=True,
 )
 def resolve_arguments_ci(f):
@@ -258,18 +262,14 @@ def callgraph_uses_defs(f):
     return callgraph.uses_and_defs(f["call"], callgraph.scc(f["func"].select("func"), f["call"]))
 
 
-RESOLVED = """sites AS (SELECT cs, caller, cs % 1000 AS node, cs % 4 AS signature FROM call WHERE NOT direct),
-targets AS (SELECT DISTINCT l_partkey % 1000 AS node, l_suppkey AS callee FROM lineitem WHERE l_quantity >= 49),
-found AS (SELECT DISTINCT s.cs, s.caller, t.callee FROM sites s JOIN targets t USING (node) JOIN func f ON f.func = t.callee AND f.signature = s.signature)"""
+RESOLVED = "found AS (SELECT DISTINCT s.cs, s.caller, t.callee FROM indirect s JOIN held t USING (node) JOIN func f ON f.func = t.callee AND f.signature = s.signature)"
 
 
 def _resolved(f):
-    sites = f["call"].filter("not direct").select("cs", "caller", (F.col("cs") % 1000).alias("node"), (F.col("cs") % 4).alias("signature"))
-    targets = f["lineitem"].filter("l_quantity >= 49").select((F.col("l_partkey") % 1000).alias("node"), F.col("l_suppkey").alias("callee")).distinct()
-    return callgraph.resolve_indirect(sites, targets, f["func"].select(F.col("func").alias("callee"), F.col("signature").alias("callee_signature")))
+    return callgraph.resolve_indirect(f["indirect"], f["held"], f["func"].select(F.col("func").alias("callee"), F.col("signature").alias("callee_signature")))
 
 
-@query("callgraph_edges_resolved", f"+ {RESOLVED} SELECT cs, caller, callee FROM found", "call", "func")
+@query("callgraph_edges_resolved", f"+ {RESOLVED} SELECT cs, caller, callee FROM found", "indirect", "held", "func")
 def callgraph_edges_resolved(f):
     """Edges of indirect calls from function alloc sites with a fitting signature (CG-2)."""
     return _resolved(f)
@@ -280,7 +280,7 @@ def callgraph_edges_resolved(f):
     f"""+ {RESOLVED}, r AS (SELECT DISTINCT cs FROM found)
 SELECT count(*) AS total, count(*) FILTER (direct AND NOT is_asm) AS direct, count(*) FILTER (is_asm) AS asm,
 count(*) FILTER (NOT direct AND NOT is_asm AND r.cs IS NOT NULL) AS indirect_resolved, count(*) FILTER (NOT direct AND NOT is_asm AND r.cs IS NULL) AS indirect_unresolved FROM call LEFT JOIN r USING (cs)""",
-    "call", "func",
+    "call", "indirect", "held", "func",
 )
 def callgraph_stats(f):
     """Counts of direct, asm and indirect calls (CG-8)."""
@@ -288,39 +288,40 @@ def callgraph_stats(f):
     return callgraph.statistics(f["call"].join(done, "cs", "left").withColumn("resolved", F.coalesce("resolved", F.lit(False))))
 
 
-@query("call_placeholders_left", f"+ {RESOLVED} SELECT cs, caller FROM sites WHERE cs NOT IN (SELECT cs FROM found)", "call", "func")
+@query("call_placeholders_left", f"+ {RESOLVED} SELECT cs, caller FROM indirect WHERE cs NOT IN (SELECT cs FROM found) OR node IN (SELECT node FROM node WHERE flags = 0)", "indirect", "held", "func", "node")
 def call_placeholders_left(f):
-    """Indirect call sites whose placeholder edge stays (CG-6)."""
-    return f["call"].filter("not direct").join(_resolved(f).select("cs").distinct(), "cs", "left_anti").select("cs", "caller")
+    """Indirect call sites whose placeholder edge stays: none found, or the called node is external (CG-6)."""
+    external = f["node"].filter("flags = 0").select("node")
+    return callgraph.unresolved(f["indirect"], _resolved(f), external).select("cs", "caller")
 
 
 @query(
     "alloc_wrappers",
-    "+ e AS (SELECT DISTINCT caller, callee FROM call WHERE direct AND NOT (cs % 5 = 0)), w AS (SELECT func FROM func WHERE func % 25 = 0 UNION SELECT e.caller FROM w JOIN e ON e.callee = w.func) SELECT func FROM w",
+    "+ e AS (SELECT DISTINCT caller, callee FROM call WHERE direct AND NOT (cs % 5 = 0)), w AS (SELECT func FROM func WHERE name LIKE '%7' UNION SELECT e.caller FROM w JOIN e ON e.callee = w.func) SELECT func FROM w",
     "call", "func", recursive=True,
 )
 def alloc_wrappers(f):
     """Allocators and the functions that wrap them (AL-1 to AL-4)."""
     calls = f["call"].select("caller", "callee", F.col("direct").alias("returned"), (F.col("cs") % 5 == 0).alias("stored"))
-    return callgraph.alloc_wrappers(f["func"].filter("func % 25 = 0"), calls)
+    return callgraph.alloc_wrappers(f["func"].filter(F.col("name").endswith("7")).select("func"), calls)
 
 
 @query(
     "modref_closure",
-    "+ own AS (SELECT DISTINCT l_suppkey AS func, l_partkey % 50 AS region, CASE WHEN l_returnflag = 'R' THEN 'mod' ELSE 'ref' END AS op FROM lineitem WHERE l_quantity >= 49), m AS (SELECT func, region, op FROM own UNION SELECT c.caller, m.region, m.op FROM m JOIN (SELECT DISTINCT caller, callee FROM call) c ON c.callee = m.func) SELECT func, region, op FROM m",
+    "+ own AS (SELECT DISTINCT l_suppkey AS func, l_partkey % 50 AS region, CASE WHEN l_returnflag = 'R' THEN 'mod' ELSE 'ref' END AS op FROM lineitem), m AS (SELECT func, region, op FROM own UNION SELECT c.caller, m.region, m.op FROM m JOIN (SELECT DISTINCT caller, callee FROM call) c ON c.callee = m.func) SELECT func, region, op FROM m",
     "call", recursive=True,
 )
 def modref_closure(f):
     """Effects of functions and all they call (SM-13)."""
-    own = f["lineitem"].filter("l_quantity >= 49").select(F.col("l_suppkey").alias("func"), (F.col("l_partkey") % 50).alias("region"), F.when(F.col("l_returnflag") == "R", "mod").otherwise("ref").alias("op")).distinct()
+    own = f["lineitem"].select(F.col("l_suppkey").alias("func"), (F.col("l_partkey") % 50).alias("region"), F.when(F.col("l_returnflag") == "R", "mod").otherwise("ref").alias("op")).distinct()
     return callgraph.mod_ref(own, f["call"])
 
 
-SIM = "sim AS (SELECT DISTINCT l_suppkey AS cs, l_partkey % 300 AS n1, l_partkey % 250 AS n2, (8 * (l_linenumber % 2))::BIGINT AS off FROM lineitem WHERE l_quantity >= 49)"
+SIM = "sim AS (SELECT DISTINCT l_orderkey AS cs, l_partkey % 7 AS n1, l_suppkey % 5 AS n2, (8 * (l_linenumber % 2))::BIGINT AS off FROM lineitem)"
 
 
 def _sim(f):
-    return f["lineitem"].filter("l_quantity >= 49").select(F.col("l_suppkey").alias("cs"), (F.col("l_partkey") % 300).alias("n1"), (F.col("l_partkey") % 250).alias("n2"), (8 * (F.col("l_linenumber") % 2)).cast("long").alias("off")).distinct()
+    return f["lineitem"].select(F.col("l_orderkey").alias("cs"), (F.col("l_partkey") % 7).alias("n1"), (F.col("l_suppkey") % 5).alias("n2"), (8 * (F.col("l_linenumber") % 2)).cast("long").alias("off")).distinct()
 
 
 @query("sim_is_function", f"WITH {SIM} SELECT cs, n1, count(DISTINCT (n2, off)) AS images FROM sim GROUP BY cs, n1 HAVING count(DISTINCT (n2, off)) > 1")
@@ -332,40 +333,50 @@ def sim_is_function(f):
 @query("sim_is_injective", f"WITH {SIM} SELECT cs, n2, off, count(DISTINCT n1) AS sources FROM sim WHERE n2 % 2 = 0 GROUP BY cs, n2, off HAVING count(DISTINCT n1) > 1")
 def sim_is_injective(f):
     """Where modified targets have several sources (SI-4)."""
-    return simulate.not_injective(_sim(f), f.spark.range(0, 250, 2).withColumnRenamed("id", "node"))
+    return simulate.not_injective(_sim(f), f.spark.range(0, 5, 2).withColumnRenamed("id", "node"))
 
 
 @query(
     "sim_closure",
-    """+ seeds AS (SELECT DISTINCT node % 10 AS cs, node AS n1, node AS n2 FROM object_link WHERE node % 50 = 1),
-reach AS (SELECT cs, n1, n2 FROM seeds UNION SELECT reach.cs, a.dst, b.dst FROM reach JOIN object_link a ON a.node = reach.n1 JOIN object_link b ON b.node = reach.n2 AND b.off = a.off) SELECT cs, n1, n2, 0::BIGINT AS off FROM reach""",
-    "object_link", recursive=True,
+    """+ one AS (SELECT node, off, min(dst) AS d1, max(dst) AS d2 FROM object_link GROUP BY node, off),
+reach AS (SELECT body AS cs, node AS n1, node AS n2 FROM argument_root UNION SELECT reach.cs, a.d1, b.d2 FROM reach JOIN one a ON a.node = reach.n1 JOIN one b ON b.node = reach.n2 AND b.off = a.off) SELECT cs, n1, n2, 0::BIGINT AS off FROM reach""",
+    "object_link", "argument_root", recursive=True,
 )
 def sim_closure(f):
-    """Simulation pairs along equal fields from seeds (SI-2, SI-6)."""
-    links = f["object_link"].withColumn("ftype", F.lit("?"))
-    seeds = f["object_link"].filter("node % 50 = 1").select((F.col("node") % 10).alias("cs"), F.col("node").alias("n1"), F.col("node").alias("n2"), F.lit(0).cast("long").alias("off")).distinct()
-    return simulate.simulate(seeds, links, links)[0]
+    """Simulation pairs along equal fields of two graphs from the arguments of each body (SI-2, SI-6)."""
+    links = f["object_link"].groupBy("node", "off").agg(F.min("dst").alias("d1"), F.max("dst").alias("d2")).withColumns({"ftype": F.lit("?"), "dst_off": F.lit(0).cast("long")})
+    seeds = f["argument_root"].select(F.col("body").alias("cs"), F.col("node").alias("n1"), F.col("node").alias("n2"), F.lit(0).cast("long").alias("off"))
+    return simulate.simulate(seeds, links.withColumn("dst", F.col("d1")), links.withColumn("dst", F.col("d2")))[0]
+
+
+PAIRS = f"SELECT l_orderkey AS ord, l_linenumber::BIGINT AS val, {OBJ} AS node, (8 * l_linenumber)::BIGINT AS off, (1 + l_suppkey % 16)::BIGINT AS size, l_returnflag = 'A' AS is_init, l_partkey % 3 AS site FROM lineitem"
+
+
+def _cells(f):
+    """The cells that the lines of an order are: (ord, val, node, off, size, is_init, site)."""
+    return f["lineitem"].selectExpr("l_orderkey AS ord", "CAST(l_linenumber AS BIGINT) AS val", f"{OBJ} AS node", "CAST(8 * l_linenumber AS BIGINT) AS off", "1 + l_suppkey % 16 AS size", "l_returnflag = 'A' AS is_init", "l_partkey % 3 AS site")
 
 
 @query(
     "may_alias_pairs",
     f"""+ sz AS (SELECT node, off, CASE WHEN min(bytes) = max(bytes) THEN min(bytes) END AS size FROM accessed GROUP BY node, off),
-c AS (SELECT l_orderkey AS val, l_partkey * 2 + 1 AS node, min(8 * l_linenumber)::BIGINT AS off FROM lineitem WHERE l_quantity >= 49 GROUP BY 1, 2),
-p AS (SELECT a.val AS v1, b.val AS v2, a.node, a.off AS off1, b.off AS off2, nd.flags | CASE WHEN a.node % 11 = 0 THEN {FLAG['inttoptr']} ELSE 0 END AS flags, a.node % 13 = 0 AS collapsed FROM c a JOIN c b ON a.node = b.node AND a.val < b.val JOIN node nd ON nd.node = a.node)
-SELECT v1, v2, CASE WHEN flags & {alias.UNSURE} <> 0 THEN 'may' WHEN collapsed THEN 'may' WHEN size IS NULL THEN 'may' WHEN least(off1, off2) + size >= greatest(off1, off2) THEN 'may' ELSE 'no' END AS verdict
-FROM p LEFT JOIN sz ON sz.node = p.node AND sz.off = least(off1, off2)""",
+c AS ({PAIRS}),
+p AS (SELECT a.ord, a.val AS v1, b.val AS v2, a.node AS node1, b.node AS node2, a.off AS off1, b.off AS off2, x.flags | y.flags AS flags, (x.flags & {FLAG['heap']}) = 0 AS collapsed
+      FROM c a JOIN c b ON a.ord = b.ord AND a.val < b.val JOIN node x ON x.node = a.node JOIN node y ON y.node = b.node)
+SELECT ord, v1, v2, CASE WHEN flags & {alias.UNSURE} <> 0 THEN 'may' WHEN node1 <> node2 THEN 'no' WHEN collapsed THEN 'may' WHEN size IS NULL THEN 'may' WHEN least(off1, off2) + size >= greatest(off1, off2) THEN 'may' ELSE 'no' END AS verdict
+FROM p LEFT JOIN sz ON sz.node = p.node1 AND sz.off = least(off1, off2)""",
     "node", "accessed",
 )
 def may_alias_pairs(f):
-    """Alias verdicts of pointers into one node (OP-ALIAS, OP-MAY, TY-6)."""
-    size = alias.common_size(f["accessed"])
-    c = f["lineitem"].filter("l_quantity >= 49").groupBy(F.col("l_orderkey").alias("val"), (F.col("l_partkey") * 2 + 1).alias("node")).agg(F.min(8 * F.col("l_linenumber")).cast("long").alias("off"))
-    a, b = c.select(F.col("val").alias("v1"), "node", F.col("off").alias("off1")), c.select(F.col("val").alias("v2"), "node", F.col("off").alias("off2"))
-    p = a.join(b, "node").filter("v1 < v2").join(f["node"].select("node", "flags"), "node")
-    p = p.withColumn("flags", F.col("flags").bitwiseOR(F.when(F.col("node") % 11 == 0, F.lit(FLAG["inttoptr"])).otherwise(F.lit(0)))).withColumn("collapsed", F.col("node") % 13 == 0)
-    p = p.withColumn("off", F.least("off1", "off2")).join(size.withColumnRenamed("size", "low_size"), ["node", "off"], "left").withColumn("node1", F.col("node")).withColumn("node2", F.col("node"))
-    return alias.may_alias(p).select("v1", "v2", "verdict")
+    """Alias verdicts of the pointers of each order, which are seven at most (OP-ALIAS, OP-MAY, TY-6)."""
+    c, flags = _cells(f), f["node"].select("node", "flags")
+    a = c.select("ord", F.col("val").alias("v1"), F.col("node").alias("node1"), F.col("off").alias("off1"))
+    b = c.select("ord", F.col("val").alias("v2"), F.col("node").alias("node2"), F.col("off").alias("off2"))
+    p = a.join(b, "ord").filter("v1 < v2").join(flags.select(F.col("node").alias("node1"), F.col("flags").alias("x")), "node1").join(flags.select(F.col("node").alias("node2"), F.col("flags").alias("y")), "node2")
+    p = p.withColumn("flags", F.col("x").bitwiseOR(F.col("y"))).withColumn("collapsed", F.col("x").bitwiseAND(F.lit(FLAG["heap"])) == 0)
+    size = alias.common_size(f["accessed"]).select(F.col("node").alias("node1"), F.col("off").alias("low"), F.col("size").alias("low_size"))
+    p = p.withColumn("low", F.least("off1", "off2")).join(size, ["node1", "low"], "left")
+    return alias.may_alias(p).select("ord", "v1", "v2", "verdict")
 
 
 @query("node_access_counts", "SELECT node, accesses FROM access_total", "access_total")
@@ -408,10 +419,10 @@ def alloc_site_lookup(f):
     return f["part"].select(F.col("p_partkey").alias("val")).join(ids, "val", "left").select("val", F.coalesce("site_id", F.lit(0)).alias("site_id"))
 
 
-@query("node_kinds", f"+ t AS (SELECT DISTINCT node FROM accessed WHERE node % 3 <> 0), n AS (SELECT node, node % 17 = 0 AS collapsed FROM node WHERE {LIVE}) SELECT count(*) AS live, count(t.node) AS typed, count(*) FILTER (t.node IS NULL AND NOT collapsed) AS untyped, count(*) FILTER (collapsed) AS collapsed_nodes FROM n LEFT JOIN t USING (node)", "node", "accessed")
+@query("node_kinds", f"+ t AS (SELECT DISTINCT node FROM accessed WHERE bytes > 2), n AS (SELECT node, size >= 64 AS collapsed FROM node WHERE {LIVE}) SELECT count(*) AS live, count(t.node) AS typed, count(*) FILTER (t.node IS NULL AND NOT collapsed) AS untyped, count(*) FILTER (collapsed) AS collapsed_nodes FROM n LEFT JOIN t USING (node)", "node", "accessed")
 def node_kinds(f):
     """Counts of live, typed, untyped and collapsed nodes (ST-8, GR-28)."""
-    return stats.node_kinds(f["node"].withColumn("collapsed", F.col("node") % 17 == 0), f["accessed"].filter("node % 3 <> 0"))
+    return stats.node_kinds(f["node"].withColumn("collapsed", F.col("size") >= 64), f["accessed"].filter("bytes > 2"))
 
 
 @query("graph_fanout", "+ n AS (SELECT vertex.node, count(field.node) AS n FROM vertex LEFT JOIN field USING (node) GROUP BY vertex.node) SELECT count(*) AS nodes, sum(n)::BIGINT AS links, max(n) AS max_fan_out, (sum(n) * 1000 // count(*))::BIGINT AS avg_fan_out_milli FROM n", "vertex", "field")
@@ -432,10 +443,10 @@ def orphan_nodes(f):
     return stats.orphans(f["node"], f["site"], stats.access_counts(f["access_log"]))
 
 
-@query("type_disparity_topk", "SELECT node % 97 AS node, count(DISTINCT type) AS types FROM site GROUP BY 1 ORDER BY types DESC, 1 LIMIT 20", "site")
+@query("type_disparity_topk", "SELECT node, count(DISTINCT type) AS types FROM site GROUP BY 1 ORDER BY types DESC, 1 LIMIT 20", "site")
 def type_disparity_topk(f):
     """Nodes whose alloc sites differ most in type (ST-11)."""
-    return stats.type_disparity(f["site"].withColumn("node", F.col("node") % 97))
+    return stats.type_disparity(f["site"])
 
 
 @query("alloc_site_csv", "SELECT concat(name, ',', node::VARCHAR) AS line FROM site", "site")
@@ -444,10 +455,10 @@ def alloc_site_csv(f):
     return export.csv_lines(f["site"])
 
 
-@query("alloc_site_text", "SELECT val, concat('[', string_agg(node::VARCHAR, ',' ORDER BY node), ']') AS nodes FROM (SELECT DISTINCT val % 50 AS val, node FROM site) GROUP BY val", "site")
+@query("alloc_site_text", "SELECT val, concat('[', string_agg(node::VARCHAR, ',' ORDER BY node), ']') AS nodes FROM (SELECT DISTINCT val, node FROM site) GROUP BY val", "site")
 def alloc_site_text(f):
     """Node sets of alloc sites (SNK-5)."""
-    return export.site_sets(f["site"].withColumn("val", F.col("val") % 50))
+    return export.site_sets(f["site"])
 
 
 @query(
@@ -491,29 +502,29 @@ def reaching_def(f):
 
 @query(
     "may_clobber",
-    """+ d AS (SELECT l_orderkey AS id, l_partkey AS part, (8 * l_linenumber)::BIGINT AS off, (1 + l_suppkey % 16)::BIGINT AS size, l_returnflag = 'A' AS is_init FROM lineitem WHERE l_quantity >= 49)
-SELECT a.id AS def_id, b.id AS use_id, CASE WHEN a.is_init THEN true WHEN a.off + a.size <= b.off OR b.off + b.size <= a.off THEN false WHEN a.id % 3 <> b.id % 3 THEN false ELSE true END AS clobbers FROM d a JOIN d b ON a.part = b.part AND a.id < b.id""",
+    f"""+ d AS ({PAIRS})
+SELECT a.ord, a.val AS def_id, b.val AS use_id, CASE WHEN a.is_init THEN true WHEN a.off + a.size <= b.off OR b.off + b.size <= a.off THEN false WHEN a.site <> b.site THEN false ELSE true END AS clobbers FROM d a JOIN d b ON a.ord = b.ord AND a.val < b.val""",
     "fcount",
 )
 def may_clobber(f):
-    """Whether definitions clobber later uses of their node (SM-11)."""
-    d = f["lineitem"].filter("l_quantity >= 49").select(F.col("l_orderkey").alias("id"), F.col("l_partkey").alias("part"), (8 * F.col("l_linenumber")).cast("long").alias("off"), (1 + F.col("l_suppkey") % 16).alias("size"), (F.col("l_returnflag") == "A").alias("is_init"), F.array(F.col("l_orderkey") % 3).alias("sites"))
-    a = d.select(F.col("id").alias("def_id"), "part", F.col("off").alias("def_off"), F.col("size").alias("def_size"), "is_init", F.col("sites").alias("def_sites"))
-    b = d.select(F.col("id").alias("use_id"), "part", F.col("off").alias("use_off"), F.col("size").alias("use_size"), F.col("sites").alias("use_sites"))
-    return memssa.may_clobber(a.join(b, "part").filter("def_id < use_id")).select("def_id", "use_id", "clobbers")
+    """Whether definitions clobber later uses in the same order (SM-11)."""
+    d = _cells(f)
+    a = d.select("ord", F.col("val").alias("def_id"), F.col("off").alias("def_off"), F.col("size").alias("def_size"), "is_init", F.array("site").alias("def_sites"))
+    b = d.select("ord", F.col("val").alias("use_id"), F.col("off").alias("use_off"), F.col("size").alias("use_size"), F.array("site").alias("use_sites"))
+    return memssa.may_clobber(a.join(b, "ord").filter("def_id < use_id")).select("ord", "def_id", "use_id", "clobbers")
 
 
 @query(
     "call_effects",
-    f"""+ {SIM}, n AS (SELECT DISTINCT l_partkey % 250 AS node, l_partkey % 250 % 3 <> 0 AS is_read, l_partkey % 250 % 4 = 0 AS is_modified, l_partkey % 250 % 5 = 0 AS only_ret FROM lineitem),
+    f"""+ {SIM}, n AS (SELECT DISTINCT l_suppkey % 5 AS node, l_suppkey % 5 % 3 <> 0 AS is_read, l_suppkey % 5 = 4 AS is_modified, l_suppkey % 5 = 2 AS only_ret FROM lineitem),
 h AS (SELECT DISTINCT cs, n2 AS node FROM sim)
 SELECT cs, node, CASE WHEN only_ret THEN 'NEW' WHEN is_modified THEN 'MOD' ELSE 'REF' END AS op, row_number() OVER (PARTITION BY cs ORDER BY node) AS idx FROM h JOIN n USING (node) WHERE is_read OR is_modified""",
     "fcount",
 )
 def call_effects(f):
     """REF, MOD and NEW regions of calls (SM-7)."""
-    k = F.col("l_partkey") % 250
-    n = f["lineitem"].select(k.alias("node"), (k % 3 != 0).alias("is_read"), (k % 4 == 0).alias("is_modified"), (k % 5 == 0).alias("only_ret")).distinct()
+    k = F.col("l_suppkey") % 5
+    n = f["lineitem"].select(k.alias("node"), (k % 3 != 0).alias("is_read"), (k == 4).alias("is_modified"), (k == 2).alias("only_ret")).distinct()
     sim = _sim(f).select("cs", F.col("n2").alias("node")).distinct()
     return memssa.call_effects(sim.select("cs").distinct(), sim, n)
 

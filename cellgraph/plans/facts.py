@@ -1,7 +1,11 @@
 """Program-shaped facts derived from the star-schema tables, and the same facts as SQL.
 
-Order keys are pointers, parts are memory objects, suppliers are functions and
-line items are the instructions that connect them. Pointer nodes have even and
+All rows of the tables take part. Eight consecutive order keys make one function
+body: its orders are pointers, and it has sixteen memory objects of its own,
+which the line items of its orders point to. The seventh line of an order points
+to an object of the next body, so that classes run over chains of bodies. Line
+items are also the calls between suppliers, which are functions in groups of
+five that call each other and the groups below. Pointer nodes have even and
 object nodes odd ids.
 """
 
@@ -13,27 +17,33 @@ from pyspark.sql import functions as F
 from ..schema import FLAG
 
 R, M, H = FLAG["read"], FLAG["modified"], FLAG["heap"]
-PTR, OBJ = "l_orderkey * 2", "l_partkey * 2 + 1"
+BODY = "CAST(floor(l_orderkey / 8) AS BIGINT)"
+PTR, OBJ = "l_orderkey * 2", f"(({BODY} + CASE WHEN l_linenumber = 7 THEN 1 ELSE 0 END) * 16 + l_partkey % 16) * 2 + 1"
 FLAGS = f"(CASE WHEN l_linestatus = 'O' THEN {R} ELSE 0 END) | (CASE WHEN l_returnflag = 'R' THEN {M} ELSE 0 END) | (CASE WHEN l_discount > 0.05 THEN {H} ELSE 0 END)"
 
 #: Each fact is one statement that Spark and DuckDB both run; later ones use earlier ones.
 FACTS = {
-    "points_to": f"SELECT DISTINCT {PTR} AS ptr, {OBJ} AS obj FROM lineitem WHERE l_quantity >= 49",
+    "points_to": f"SELECT DISTINCT {PTR} AS ptr, {OBJ} AS obj FROM lineitem",
     "vertex": "SELECT DISTINCT ptr AS node FROM points_to UNION SELECT DISTINCT obj AS node FROM points_to",
-    "raw_flag": f"SELECT {OBJ} AS node, {FLAGS} AS flags, CAST(8 * l_linenumber + 8 AS BIGINT) AS size FROM lineitem WHERE l_quantity >= 49",
+    "raw_flag": f"SELECT {OBJ} AS node, {FLAGS} AS flags, CAST(8 * l_linenumber + 8 AS BIGINT) AS size FROM lineitem",
     "node": "SELECT node, bit_or(flags) AS flags, max(size) AS size FROM raw_flag GROUP BY node",
-    "field": f"SELECT DISTINCT {PTR} AS node, CAST(8 * (l_linenumber % 3) AS BIGINT) AS off, {OBJ} AS dst, CAST(l_suppkey % 2 * 8 AS BIGINT) AS dst_off FROM lineitem WHERE l_quantity >= 49",
-    "typed_field": "SELECT f.node, f.off, CASE WHEN p.p_size % 5 = 0 THEN 'omni' ELSE p.p_brand END AS ftype, f.dst, f.dst_off FROM field f JOIN part p ON f.dst = p.p_partkey * 2 + 1",
-    "site": "SELECT p_partkey * 2 + 1 AS node, p_partkey AS val, concat(p_brand, '#', CAST(p_partkey AS VARCHAR(20))) AS name, p_type AS type FROM part WHERE p_size % 3 <> 0",
-    "accessed": "SELECT DISTINCT l.l_partkey * 2 + 1 AS node, CAST(8 * l.l_linenumber AS BIGINT) AS off, p.p_type AS type, CAST(1 + p.p_size % 8 AS BIGINT) AS bytes FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey WHERE l.l_quantity >= 49",
+    "field": f"SELECT DISTINCT {PTR} AS node, CAST(8 * (l_linenumber % 3) AS BIGINT) AS off, {OBJ} AS dst, CAST(l_suppkey % 2 * 8 AS BIGINT) AS dst_off FROM lineitem",
+    "typed_field": f"SELECT DISTINCT {PTR} AS node, CAST(8 * (l_linenumber % 3) AS BIGINT) AS off, CASE WHEN p_size % 5 = 0 THEN 'omni' ELSE p_brand END AS ftype, {OBJ} AS dst, CAST(l_suppkey % 2 * 8 AS BIGINT) AS dst_off FROM lineitem JOIN part ON l_partkey = p_partkey",
+    "site": f"SELECT DISTINCT {OBJ} AS node, p_partkey AS val, concat(p_brand, '#', CAST(p_partkey AS VARCHAR(20))) AS name, p_type AS type FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_returnflag <> 'N'",
+    "accessed": f"SELECT DISTINCT {OBJ} AS node, CAST(8 * l_linenumber AS BIGINT) AS off, p_type AS type, CAST(1 + p_size % 8 AS BIGINT) AS bytes FROM lineitem JOIN part ON l_partkey = p_partkey",
     "func": "SELECT s_suppkey AS func, s_name AS name, CAST(s_nationkey % 4 AS BIGINT) AS signature FROM supplier",
-    "fcount": "SELECT count(*) AS n, min(func) AS low FROM func",
-    "call": "SELECT l_orderkey * 8 + l_linenumber AS cs, l_suppkey AS caller, low + (l_partkey * 7 + l_linenumber) % n AS callee, l_discount < 0.06 AS direct, l_tax > 0.07 AS is_asm FROM lineitem, fcount WHERE l_linenumber = 1 AND l_quantity >= 50",
-    "downcall": "SELECT cs, caller, callee FROM call WHERE caller > callee",
+    "fcount": "SELECT min(func) AS low, max(func) AS high FROM func",
+    "call": "SELECT l_orderkey * 8 + l_linenumber AS cs, l_suppkey AS caller, least(high, greatest(low, CASE WHEN l_linenumber % 2 = 0 THEN l_suppkey - l_suppkey % 5 + l_partkey % 5 ELSE l_suppkey - 5 - l_partkey % 40 END)) AS callee, l_discount < 0.06 AS direct, l_tax > 0.07 AS is_asm FROM lineitem , fcount",
+    "downcall": "SELECT cs, caller, callee FROM call WHERE floor(caller / 5) > floor(callee / 5)",
+    "held": f"SELECT DISTINCT {OBJ} AS node, l_suppkey AS callee FROM lineitem",
+    "indirect": f"SELECT l_orderkey * 8 + l_linenumber AS cs, l_suppkey AS caller, {OBJ} AS node, CAST(l_partkey % 4 AS BIGINT) AS signature FROM lineitem WHERE NOT (l_discount < 0.06)",
+    "argument_root": f"SELECT DISTINCT {BODY} AS body, {OBJ} AS node FROM lineitem WHERE l_linenumber = 1",
+    "return_root": f"SELECT DISTINCT {BODY} AS body, {OBJ} AS node FROM lineitem WHERE l_linenumber = 2",
     "access_log": "SELECT user_id AS node, CASE WHEN event_type = 'purchase' THEN 2 ELSE 1 END AS n FROM events",
     "access_total": "SELECT node, CAST(sum(n) AS BIGINT) AS accesses FROM access_log GROUP BY node",
     "cell": "SELECT DISTINCT ptr AS val, obj AS node, CAST(0 AS BIGINT) AS off FROM points_to",
-    "object_link": f"SELECT DISTINCT {OBJ} AS node, CAST(8 * (l_linenumber % 4) AS BIGINT) AS off, ((l_partkey * 3 + l_linenumber) % 1999 + 1) * 2 + 1 AS dst, CAST(0 AS BIGINT) AS dst_off FROM lineitem WHERE l_quantity >= 49 AND l_linenumber <= 2",
+    "object_link": f"SELECT DISTINCT {OBJ} AS node, CAST(8 * (l_linenumber % 4) AS BIGINT) AS off, ({BODY} * 16 + (l_partkey * 3 + l_suppkey) % 16) * 2 + 1 AS dst, CAST(0 AS BIGINT) AS dst_off FROM lineitem",
+    "unwritten": f"SELECT node FROM node WHERE (flags & {M}) = 0",
 }
 TABLES = ("supplier", "part", "orders", "lineitem", "events", "nation", "customer", "region")
 
