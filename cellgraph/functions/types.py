@@ -53,6 +53,17 @@ def leaves(types: DataFrame) -> DataFrame:
     return types.withColumn("off", F.coalesce(F.sum("bytes").over(before), F.lit(0)).cast("long"))
 
 
+def type_sizes(leaf_table: DataFrame) -> DataFrame:
+    """type, bytes: where the last leaf (off, bytes) of each type ends."""
+    return leaf_table.groupBy("type").agg(F.max(F.col("off") + F.col("bytes")).alias("bytes"))
+
+
+def indexed_offsets(steps: DataFrame, leaf_table: DataFrame) -> DataFrame:
+    """inst, off: the byte offset that the indices (inst, type, idx) of an insertion or extraction lead to, one step for each level."""
+    at = leaf_table.select("type", "idx", "off")
+    return steps.join(at, ["type", "idx"], "left").groupBy("inst").agg(F.sum("off").alias("off"))
+
+
 def first_primitive(leaf_of: DataFrame, max_depth: int = 64) -> DataFrame:
     """(type, primitive): follow first fields (type, first) to a type without fields; a cycle ends at the type itself.
 

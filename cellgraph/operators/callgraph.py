@@ -9,7 +9,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .fixpoint import SMALL, cut, in_one_task, reach
+from .fixpoint import SMALL, cut, in_one_task, ranked, reach
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -91,7 +91,7 @@ def scc(functions: DataFrame, calls: DataFrame, small: int = SMALL) -> DataFrame
     return done if done is not None else functions.select("func", F.col("func").alias("scc"))
 
 
-def levels(functions: DataFrame, calls: DataFrame, components: DataFrame, max_rounds: int = 500, small: int = SMALL) -> DataFrame:
+def levels(functions: DataFrame, calls: DataFrame, components: DataFrame, max_rounds: int = 100_000, small: int = SMALL) -> DataFrame:
     """func, scc, level: longest chain of calls below, in the condensation (leaves are 0)."""
     if calls.count() + functions.count() <= small:
         return _condensed(functions, calls)
@@ -165,3 +165,63 @@ def alloc_wrappers(seeds: DataFrame, calls: DataFrame) -> DataFrame:
     """
     passes = calls.filter("returned and not stored").select(F.col("callee").alias("src"), F.col("caller").alias("dst")).distinct()
     return reach(seeds.select(F.lit("alloc").alias("tag"), F.col("func").alias("id")), passes).select(F.col("id").alias("func"))
+
+
+def stripped_callees(calls: DataFrame, casts: DataFrame) -> DataFrame:
+    """Calls (cs, callee, called_val) with callees that casts (dst, src) hide: the function at the end of the chain of casts.
+
+    ``casts`` lead from a value to the value or function that was cast.
+    """
+    ends = casts.join(casts.select(F.col("dst").alias("src")), "src", "left_anti").select(F.col("src").alias("id")).distinct()
+    at = reach(calls.filter("callee is null").select(F.col("called_val").alias("tag"), F.col("called_val").alias("id")), casts.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    found = at.join(ends, "id").select(F.col("tag").alias("called_val"), F.col("id").alias("end"))
+    return calls.join(found, "called_val", "left").select("cs", F.coalesce("callee", "end").alias("callee"), "called_val")
+
+
+def cloned_sites(calls: DataFrame, sites: DataFrame) -> DataFrame:
+    """Call sites that callers get from their callees' graphs: (caller, cs, via, cloned), the callee's own ones marked as cloned.
+
+    ``calls`` is (caller, callee); ``sites`` is (caller, cs) of unresolved calls.
+    """
+    own = sites.select("caller", "cs", F.col("caller").alias("via"), F.lit(False).alias("cloned"))
+    up = calls.select("caller", "callee").distinct().filter("caller <> callee").join(sites.select(F.col("caller").alias("callee"), "cs"), "callee")
+    return own.union(up.select("caller", "cs", F.col("callee").alias("via"), F.lit(True).alias("cloned"))).distinct()
+
+
+def merged_by_cycles(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(old, new) of graphs whose components (func, scc) new edges have joined: each old graph is imported into the new one."""
+    j = before.select("func", F.col("scc").alias("old")).join(after.select("func", F.col("scc").alias("new")), "func")
+    return j.select("old", "new").distinct().filter("old <> new")
+
+
+def completeness(calls: DataFrame, edges: DataFrame) -> DataFrame:
+    """cs, is_complete, n_callees: whether all callees of a call site are known (direct, asm, or resolved and not open), and how many there are.
+
+    ``calls`` is (cs, direct, is_asm), ``edges`` (cs, callee).
+    """
+    n = edges.groupBy("cs").agg(F.count_distinct("callee").alias("n"))
+    out = calls.select("cs", "direct", "is_asm").join(n, "cs", "left")
+    return out.select("cs", (F.col("direct") | F.col("is_asm") | F.col("n").isNotNull()).alias("is_complete"), F.coalesce("n", F.lit(0)).alias("n_callees"))
+
+
+def listing(calls: DataFrame, edges: DataFrame) -> DataFrame:
+    """cs, callees of each indirect call that was resolved, by name order."""
+    return calls.filter("not direct").join(edges, "cs").groupBy("cs").agg(F.array_join(F.transform(F.sort_array(F.collect_set("callee")), lambda c: c.cast("string")), ",").alias("callees"))
+
+
+def ordered_edges(calls: DataFrame, functions: DataFrame) -> DataFrame:
+    """Edges in order of the caller's and callee's names: (place, caller, callee)."""
+    a, b = functions.select(F.col("func").alias("caller"), F.col("name").alias("x")), functions.select(F.col("func").alias("callee"), F.col("name").alias("y"))
+    rows = calls.select("caller", "callee").distinct().join(a, "caller").join(b, "callee")
+    return ranked(rows, "x", "y", "caller", "callee", name="place").select("place", "caller", "callee")
+
+
+def with_specs(calls: DataFrame, specs: DataFrame, functions: DataFrame) -> DataFrame:
+    """cs, callee: the call site of each edge, its callee replaced by the function that specifies it; ``specs`` is (name, spec)."""
+    named = functions.select(F.col("func").alias("callee"), "name").join(specs, "name").select("callee", "spec")
+    return calls.join(named, "callee", "left").select("cs", F.coalesce("spec", "callee").alias("callee"))
+
+
+def frontier(changed: DataFrame, calls: DataFrame) -> DataFrame:
+    """Call sites to look at again once functions (func) changed: those that call them or are in them, each once."""
+    return calls.join(changed.select(F.col("func").alias("callee")), "callee", "left_semi").select("cs").union(calls.join(changed.select(F.col("func").alias("caller")), "caller", "left_semi").select("cs")).distinct()

@@ -71,12 +71,34 @@ def _least_labels(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]
         lab = new
 
 
+def cut_folder(spark: SparkSession) -> str:
+    """A fresh folder name in the shared folder."""
+    return f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Compute ``df`` once and cut its lineage."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
+    path = cut_folder(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def appended(df: DataFrame, folder: str) -> DataFrame:
+    """Append ``df`` to the folder and read all that it then holds; nothing that is there is written again."""
+    df.write.mode("append").parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def ranked(df: DataFrame, *columns: str, parts: int = 64, name: str = "rank") -> DataFrame:
+    """Rows with their place from 1 in the order of the columns: range partitions number their own rows, and the counts of those before are added.
+
+    ``columns`` must tell all rows apart, or ties fall in any order.
+    """
+    rows = cut(df.repartitionByRange(parts, *columns).sortWithinPartitions(*columns).withColumn("__part", F.spark_partition_id()))
+    counts = rows.groupBy("__part").agg(F.count(F.lit(1)).alias("n"))
+    before = counts.select("__part", F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))  # one row for each range
+    place = F.row_number().over(Window.partitionBy("__part").orderBy(*columns))
+    return rows.join(F.broadcast(before), "__part").withColumn(name, (F.col("__before") + place).cast("long")).drop("__part", "__before")
 
 
 def components(edges: DataFrame, max_rounds: int = 60, small: int = SMALL) -> DataFrame:
@@ -130,28 +152,29 @@ def _closure(source: np.ndarray, ids: np.ndarray, src: np.ndarray, dst: np.ndarr
     return known // n, nodes[known % n]
 
 
-def reach(seeds: DataFrame, edges: DataFrame, max_rounds: int = 200, small: int = SMALL) -> DataFrame:
+def reach(seeds: DataFrame, edges: DataFrame, max_rounds: int = 100_000, small: int = SMALL) -> DataFrame:
     """Semi-naive closure. ``seeds`` has (tag, id), ``edges`` (src, dst); gives all (tag, id), seeds included.
 
-    Where the edges, the seeds and tags times edges are few (counted first), one
-    task computes it; else a loop of joins over the newly reached.
+    Where the edges, the seeds and tags times edges are few (counted first) and
+    ids are longs, one task computes it; else a loop of joins over the newly reached.
     """
     known = cut(seeds.select("tag", "id").distinct())
     edges = cut(edges.select("src", "dst").distinct())
     n, m, tags = edges.count(), *known.agg(F.count(F.lit(1)), F.count_distinct("tag")).first()
-    if n + m <= small and tags * (n + 1) <= 20 * small:
+    if n + m <= small and tags * (n + 1) <= 20 * small and known.schema["id"].dataType.simpleString() == "bigint":
         codes = known.select("tag").distinct().select("tag", F.row_number().over(Window.orderBy("tag")).cast("long").alias("code"))  # few tags, counted above
         codes = cut(codes)
         rows = known.join(codes, "tag").select(F.col("code").alias("x"), F.col("id").alias("y"), F.lit(0).alias("kind")).union(edges.select("src", "dst", F.lit(1).alias("kind")))
         found = in_one_task(rows, lambda t: _closure(t["x"][t["kind"] == 0], t["y"][t["kind"] == 0], t["x"][t["kind"] == 1], t["y"][t["kind"] == 1]), "code long, id long")
         return found.join(F.broadcast(codes), "code").select("tag", "id")
-    fresh = known
+    fresh, folder = known, cut_folder(known.sparkSession)
+    known = appended(known, folder)
     for _ in range(max_rounds):
         step = fresh.join(edges, F.col("id") == F.col("src")).select("tag", F.col("dst").alias("id")).distinct()
         fresh = cut(step.join(known, ["tag", "id"], "left_anti"))
         if fresh.isEmpty():
             return known
-        known = cut(known.union(fresh))
+        known = appended(fresh, folder)
     raise RuntimeError(f"no fixpoint in {max_rounds} rounds")
 
 

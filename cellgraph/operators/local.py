@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.types import field_type, is_byte_pointer, is_pointer
-from ..schema import EDB, FLAG
+from ..schema import ANY_TYPE, EDB, FLAG
 
 LINK = "graph, node, off, ftype, dst, dst_off"
 #: What each specification function does; ``extern`` and ``external`` are one.
@@ -131,10 +131,41 @@ def facts(p: Program, graph_of: DataFrame, type_aware: bool = True, omni: bool =
     return out
 
 
-def global_links(p: Program, graph: int = 0) -> DataFrame:
-    """Links that initialisers of globals make, in the graph of ``main``."""
-    n = lambda v: value_node(F.lit(graph).cast("long"), F.col(v))
-    return p["global_init"].select(n("gv").alias("node"), "off", F.lit("?").alias("ftype"), n("target").alias("dst"), F.lit(0).cast("long").alias("dst_off"))
+def initialised(init: DataFrame, node) -> DataFrame:
+    """Links that initialisers of globals (gv, off, target) make; ``node`` gives a value's node by its column."""
+    return init.select(node("gv").alias("node"), F.col("off").cast("long").alias("off"), F.lit(ANY_TYPE).alias("ftype"), node("target").alias("dst"), F.lit(0).cast("long").alias("dst_off"))
+
+
+def global_links(p: Program, graph) -> DataFrame:
+    """Links that initialisers of globals make, in the graph given (of ``main``, or of the whole program)."""
+    return initialised(p["global_init"], lambda v: value_node(graph, F.col(v)))
+
+
+def only_compared(uses: DataFrame) -> DataFrame:
+    """Values (val) all of whose uses (src, kind) are comparisons."""
+    return uses.groupBy(F.col("src").alias("val")).agg(F.bool_and(F.col("kind") == "cmp").alias("every")).filter("every").select("val")
+
+
+def indirect_records(calls: DataFrame, cells: DataFrame) -> DataFrame:
+    """cs, caller, node, off: indirect calls (cs, caller, called_val) with the cell that they call."""
+    return calls.join(cells.select(F.col("val").alias("called_val"), "node", "off"), "called_val").select("cs", "caller", "node", "off")
+
+
+def resolved(values: DataFrame, most: int = 10_000) -> DataFrame:
+    """val, base, off: what each constant expression (val, base, off) stands for, through all that it refers to.
+
+    ``base`` is null for an object. Chains double with every round; cycles raise.
+    """
+    from .fixpoint import cut
+
+    at = cut(values.select("val", F.coalesce("base", "val").alias("base"), F.when(F.col("base").isNull(), 0).otherwise(F.col("off")).cast("long").alias("off")))
+    for _ in range(most):
+        jump = at.select(F.col("val").alias("base"), F.col("base").alias("up"), F.col("off").alias("more"))
+        new = cut(at.join(jump, "base", "left").select("val", F.coalesce("up", "base").alias("base"), (F.col("off") + F.when(F.col("up") == F.col("base"), 0).otherwise(F.coalesce("more", F.lit(0)))).alias("off"), (F.coalesce("up", "base") != F.col("base")).alias("moved")))
+        at = new.drop("moved")
+        if new.filter("moved").isEmpty():
+            return at
+    raise RuntimeError("constant expressions refer to themselves")
 
 
 def escaping_casts(uses: DataFrame) -> DataFrame:

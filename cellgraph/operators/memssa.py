@@ -34,7 +34,7 @@ def may_clobber(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("clobbers", F.when(F.col("is_init"), True).when(apart, False).when(sites, False).otherwise(True))
 
 
-def solve_uses(uses: DataFrame, defs: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def solve_uses(uses: DataFrame, defs: DataFrame, max_rounds: int = 100_000) -> DataFrame:
     """Walk each use (use, at) up the chain of definitions (d, before, clobbers) to the first that may clobber it."""
     from .fixpoint import cut
 

@@ -1,11 +1,17 @@
-"""Simulation relations between a callee's and a caller's graph."""
+"""Simulation relations between two graphs: of a callee and its caller, or of one function before and after."""
 
 from __future__ import annotations
 
+import sys
+
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .fixpoint import cut
+from .fixpoint import SMALL, appended, cut, cut_folder
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def not_functions(sim: DataFrame) -> DataFrame:
@@ -19,20 +25,99 @@ def not_injective(sim: DataFrame, modified: DataFrame) -> DataFrame:
     return hit.join(modified.select(F.col("node").alias("n2")), "n2", "left_semi").select("cs", "n2", "off", "sources")
 
 
-def simulate(seeds: DataFrame, links1: DataFrame, links2: DataFrame, max_rounds: int = 200) -> tuple[DataFrame, DataFrame]:
-    """Closure of (cs, n1, n2, off) along equal fields, and the violations (cs, n1, n2) where a field has no image."""
-    l1 = links1.select(F.col("node").alias("n1"), F.col("off").alias("f"), "ftype", F.col("dst").alias("d1"), F.col("dst_off").alias("x1"))
-    l2 = links2.select(F.col("node").alias("n2"), F.col("off").alias("g"), F.col("ftype").alias("t2"), F.col("dst").alias("d2"), F.col("dst_off").alias("x2"))
-    known = fresh = cut(seeds.select("cs", "n1", "n2", "off").distinct())
-    bad = None
+def images(wanted: DataFrame, sim: DataFrame) -> DataFrame:
+    """cs, n1, n2, off: the one image of each wanted node (cs, n1); nulls where there is none or more than one."""
+    one = sim.groupBy("cs", "n1").agg(F.count_distinct("n2", "off").alias("n"), F.min(F.struct("n2", "off")).alias("at")).filter("n = 1")
+    return wanted.select("cs", "n1").join(one, ["cs", "n1"], "left").select("cs", "n1", "at.n2", "at.off")
+
+
+def seeds_of_cells(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Seeds (cs, n1, n2, off) from cells (cs, key, node, off) of two graphs that stand for the same thing, and the violations (cs, key).
+
+    It is a violation if only one of the two is null, or if the target's offset
+    is smaller than the source's and the target is no array (column ``is_array``
+    of ``right``).
+    """
+    a = left.select("cs", "key", F.col("node").alias("n1"), F.col("off").alias("f1"))
+    b = right.select("cs", "key", F.col("node").alias("n2"), F.col("off").alias("f2"), "is_array")
+    j = a.join(b, ["cs", "key"])
+    bad = F.col("n1").isNull() != F.col("n2").isNull()
+    bad = bad | ((F.col("f2") < F.col("f1")) & ~F.coalesce("is_array", F.lit(False)))
+    ok = j.filter(~F.coalesce(bad, F.lit(False)) & F.col("n1").isNotNull())
+    return ok.select("cs", "n1", "n2", F.greatest(F.col("f2") - F.col("f1"), F.lit(0).cast("long")).alias("off")).distinct(), j.filter(F.coalesce(bad, F.lit(False))).select("cs", "key").distinct()
+
+
+def state_violations(sim: DataFrame, nodes1: DataFrame, nodes2: DataFrame) -> DataFrame:
+    """(cs, n1, n2) whose states do not fit: a collapsed or array node mapped to one that is not, an array at an offset, or elements that do not divide."""
+    a = nodes1.select(F.col("node").alias("n1"), F.col("collapsed").alias("c1"), F.col("stride").alias("s1"))
+    b = nodes2.select(F.col("node").alias("n2"), F.col("collapsed").alias("c2"), F.col("stride").alias("s2"))
+    j = sim.join(a, "n1").join(b, "n2")
+    open_ = ~F.col("c2")
+    bad = open_ & (F.col("c1") | ((F.col("s1") > 0) & ((F.col("s2") <= 0) | (F.col("off") % F.greatest("s2", F.lit(1)) != 0) | (F.col("s1") % F.greatest("s2", F.lit(1)) != 0))))
+    return j.filter(bad).select("cs", "n1", "n2").distinct()
+
+
+def _step(fresh: DataFrame, l1: DataFrame, l2: DataFrame) -> DataFrame:
+    return fresh.join(l1, "n1").join(l2, (F.col("n2") == F.col("m2")) & (F.col("f") + F.col("off") == F.col("g")) & (F.col("ftype") == F.col("t2")), "left")
+
+
+def simulate(seeds: DataFrame, links1: DataFrame, links2: DataFrame, max_rounds: int = 10_000, small: int = SMALL) -> tuple[DataFrame, DataFrame]:
+    """Closure of (cs, n1, n2, off) along equal fields, and the violations (cs, n1, n2) where a field has no image.
+
+    Where seeds and links are few (counted first), one task closes each group of
+    call sites; else a loop of joins, each round of which appends what is new.
+    """
+    l1 = cut(links1.select(F.col("node").alias("n1"), F.col("off").alias("f"), "ftype", F.col("dst").alias("d1"), F.col("dst_off").alias("x1")))
+    l2 = cut(links2.select(F.col("node").alias("m2"), F.col("off").alias("g"), F.col("ftype").alias("t2"), F.col("dst").alias("d2"), F.col("dst_off").alias("x2")))
+    fresh = cut(seeds.select("cs", "n1", "n2", "off").distinct())
+    spark = fresh.sparkSession
+    # fields of the two graphs that match, whatever the offset between them: joined once
+    if fresh.count() + l1.count() + l2.count() <= small:
+        types = l1.select("ftype").union(l2.select(F.col("t2").alias("ftype"))).distinct().select("ftype", F.xxhash64("ftype").alias("t"))
+        types = F.broadcast(cut(types))  # of links counted above
+        rows = fresh.select(F.lit(0).alias("kind"), F.col("cs").alias("a"), F.col("n1").alias("b"), F.col("n2").alias("c"), F.col("off").alias("d"), F.lit(0).cast("long").alias("e"))
+        rows = rows.union(l1.join(types, "ftype").select(F.lit(1), "n1", "f", "t", "d1", "x1")).union(l2.withColumnRenamed("t2", "ftype").join(types, "ftype").select(F.lit(2), "m2", "g", "t", "d2", "x2"))
+        found = rows.withColumn("one", F.lit(0)).groupBy("one").applyInArrow(_close, "bad boolean, cs long, n1 long, n2 long, off long")
+        found = cut(found)
+        return found.filter("not bad").select("cs", "n1", "n2", "off"), found.filter("bad").select("cs", "n1", "n2").distinct()
+    folder, bad_folder = cut_folder(spark), cut_folder(spark)
+    known = appended(fresh, folder)
+    bad = appended(fresh.select("cs", "n1", "n2").filter("false"), bad_folder)
     for _ in range(max_rounds):
-        step = fresh.join(l1, "n1").join(l2.withColumnRenamed("n2", "m2"), (F.col("n2") == F.col("m2")) & (F.col("f") + F.col("off") == F.col("g")) & (F.col("ftype") == F.col("t2")), "left")
-        step = cut(step)
-        missing = step.filter("d2 is null or x2 < x1").select("cs", "n1", "n2").distinct()
-        bad = cut(missing if bad is None else bad.union(missing))
+        step = cut(_step(fresh, l1, l2))
+        bad = appended(step.filter("d2 is null or x2 < x1").select("cs", "n1", "n2").distinct(), bad_folder)
         new = step.filter("d2 is not null and x2 >= x1").select("cs", F.col("d1").alias("n1"), F.col("d2").alias("n2"), (F.col("x2") - F.col("x1")).alias("off")).distinct()
         fresh = cut(new.join(known, ["cs", "n1", "n2", "off"], "left_anti"))
         if fresh.isEmpty():
             return known, bad.distinct()
-        known = cut(known.union(fresh))
+        known = appended(fresh, folder)
     raise RuntimeError(f"no fixpoint in {max_rounds} rounds")
+
+
+def _close(table: pa.Table) -> pa.Table:
+    """The closure over all rows of a counted table, breadth first."""
+    kind = table.column("kind").to_numpy(zero_copy_only=False)
+    seeds, ones, twos = ([table.column(x).to_numpy(zero_copy_only=False)[kind == k].tolist() for x in "abcde"] for k in range(3))
+    right: dict[tuple, list] = {}
+    for m2, g, t, d2, x2 in zip(*twos):
+        right.setdefault((m2, g, t), []).append((d2, x2))
+    left: dict[int, list] = {}
+    for n1, *field in zip(*ones):
+        left.setdefault(n1, []).append(field)
+    known = set(zip(*seeds[:4]))
+    todo, bad = list(known), set()
+    while todo:
+        cs, n1, n2, off = todo.pop()
+        for f, t, d1, x1 in left.get(n1, ()):
+            targets = right.get((n2, f + off, t), ())
+            if not targets:
+                bad.add((cs, n1, n2))
+            for d2, x2 in targets:
+                if x2 < x1:
+                    bad.add((cs, n1, n2))
+                elif (new := (cs, d1, d2, x2 - x1)) not in known:
+                    known.add(new)
+                    todo.append(new)
+    rows = [(False, *k) for k in known] + [(True, *k, 0) for k in bad]
+    names = ["bad", "cs", "n1", "n2", "off"]
+    return pa.table([pa.array([r[i] for r in rows], pa.bool_() if i == 0 else pa.int64()) for i in range(5)], names)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import FLAG
+from .fixpoint import ranked
 
 
 def access_counts(accesses: DataFrame) -> DataFrame:
@@ -21,8 +22,7 @@ def live_nodes(nodes: DataFrame) -> DataFrame:
 def alloc_site_ids(sites: DataFrame) -> DataFrame:
     """Ids from 1 for alloc sites, in order of their first (node, name)."""
     first = sites.groupBy("val").agg(F.min(F.struct("node", "name")).alias("at"))
-    # a single ordered numbering: the window sees one row for each site, range-partitioned blocks of them at a time
-    return first.select("val", F.row_number().over(Window.orderBy("at", "val")).cast("long").alias("site_id"))
+    return ranked(first, "at", "val", name="site_id").select("val", "site_id")
 
 
 def topk_nodes(counts: DataFrame, k: int = 20) -> DataFrame:

@@ -562,8 +562,12 @@ def weighted_unify(f):
 
 
 def queries() -> dict:
+    from . import more  # noqa: F401  registers its queries
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
+    from . import more  # noqa: F401
+
     return dict(SQL)

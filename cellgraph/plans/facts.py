@@ -44,6 +44,14 @@ FACTS = {
     "cell": "SELECT DISTINCT ptr AS val, obj AS node, CAST(0 AS BIGINT) AS off FROM points_to",
     "object_link": f"SELECT DISTINCT {OBJ} AS node, CAST(8 * (l_linenumber % 4) AS BIGINT) AS off, ({BODY} * 16 + (l_partkey * 3 + l_suppkey) % 16) * 2 + 1 AS dst, CAST(0 AS BIGINT) AS dst_off FROM lineitem",
     "unwritten": f"SELECT node FROM node WHERE (flags & {M}) = 0",
+    # instructions: one for each line of an order, in the order of its lines; a body is a function of up to eight orders
+    "raw_line": f"SELECT l_orderkey AS ord, CAST(l_linenumber AS BIGINT) AS val, {BODY} AS body, min(l_partkey) AS part, min(l_suppkey) AS func, max(l_returnflag) AS flag, max(l_linestatus) AS status FROM lineitem GROUP BY l_orderkey, l_linenumber, {BODY}",
+    "line": "SELECT ord * 8 + val AS inst, ord, val, body, part, func, flag, status, ((body + CASE WHEN val = 7 THEN 1 ELSE 0 END) * 16 + part % 16) * 2 + 1 AS node, 8 * val AS off, 1 + func % 16 AS bytes FROM raw_line",
+    "chain": "SELECT inst, ord, val, body, part, func, flag, status, node, off, bytes, lag(inst) OVER (PARTITION BY ord ORDER BY val) AS prev FROM line",
+    "tleaf": "SELECT DISTINCT p_type AS type, CAST(p_size % 4 AS BIGINT) AS idx, CAST(8 * (p_size % 4) AS BIGINT) AS off, CASE WHEN p_size % 4 = 3 THEN 'i8*' ELSE concat('i', CAST(8 * (1 + p_size % 4) AS VARCHAR(5))) END AS leaf, CAST(1 + p_size % 4 AS BIGINT) AS bytes FROM part",
+    "uniq_link": "SELECT node, off, ftype, min(dst) AS dst, min(dst_off) AS dst_off FROM typed_field GROUP BY node, off, ftype",
+    "new_link": "SELECT node, off, ftype, max(dst) AS dst, CAST(4 AS BIGINT) AS dst_off FROM typed_field WHERE ftype = 'omni' GROUP BY node, off, ftype",
+    "edge": "SELECT DISTINCT ord AS src, CAST(body * 8 + part % 8 AS BIGINT) AS dst, body FROM line UNION SELECT ord AS src, ord + 1 AS dst, body FROM line WHERE (ord + 1) % 8 <> 0",
 }
 TABLES = ("supplier", "part", "orders", "lineitem", "events", "nation", "customer", "region")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import flag_letters
@@ -30,9 +30,13 @@ def dot_nodes(nodes: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     return rows.select("node", F.concat(name, F.lit(' [shape=record,label="{'), F.coalesce("label", F.lit("void")), F.lit("}:"), flag_letters(F.col("flags")), F.lit('"];')).alias("line"))
 
 
-def dot_edges(links: DataFrame) -> DataFrame:
+def _edge_line() -> Column:
     text = lambda c: F.col(c).cast("string")
-    return links.select(F.concat(F.lit("n"), text("node"), F.lit(" -> n"), text("dst"), F.lit(' [label="'), text("off"), F.lit(", "), text("dst_off"), F.lit('"];')).alias("line"))
+    return F.concat(F.lit("n"), text("node"), F.lit(" -> n"), text("dst"), F.lit(' [label="'), text("off"), F.lit(", "), text("dst_off"), F.lit('"];'))
+
+
+def dot_edges(links: DataFrame) -> DataFrame:
+    return links.select(_edge_line().alias("line"))
 
 
 def type_labels(accessed: DataFrame) -> DataFrame:
@@ -54,7 +58,34 @@ def write_dot(nodes: DataFrame, links: DataFrame, path: str, by: str | None = No
     if by is None:
         lines.write.text(path)
     else:
-        n = nodes.select(by, "node").join(dot_nodes(nodes), "node").select(by, "line")
-        e = links.join(nodes.select(by, "node"), "node")
-        e = e.select(by, *[c for c in links.columns]).transform(lambda d: d.select(by, dot_edges(d).columns[0]) if "line" in d.columns else d.withColumn("line", F.concat(F.lit("n"), F.col("node").cast("string"), F.lit(" -> n"), F.col("dst").cast("string"), F.lit(";"))).select(by, "line"))
+        owner = nodes.select(by, "node").distinct()
+        n = dot_nodes(nodes).join(owner, "node").select(by, "line")
+        # edges keep their labels: the statement is made beside the owner's column
+        e = links.join(owner, "node").withColumn("line", _edge_line()).select(by, "line")
         n.union(e).write.partitionBy(by).text(path)
+
+
+def colored_nodes(nodes: DataFrame, sim: DataFrame) -> DataFrame:
+    """node, line: DOT statements with a colour for each image under a simulation (n1, n2): nodes that one node simulates are alike; white without image."""
+    of = sim.groupBy(F.col("n1").alias("node")).agg(F.min("n2").alias("image"))
+    hue = F.lower(F.lpad(F.hex(F.pmod(F.col("image") * F.lit(2654435761), F.lit(16777216))), 6, "0"))
+    rows = nodes.select("node").join(of, "node", "left")
+    return rows.select("node", F.concat(F.lit("n"), F.col("node").cast("string"), F.lit(' [style=filled,fillcolor="#'), F.coalesce(hue, F.lit("ffffff")), F.lit('"];')).alias("line"))
+
+
+def text_dump(nodes: DataFrame, cells: DataFrame) -> DataFrame:
+    """part, key, line: the textual dump of a graph: a line for each node, then one for each value with its cells."""
+    text = lambda c: F.col(c).cast("string")
+    n = nodes.select(F.lit(0).alias("part"), F.col("node").alias("key"), F.concat(F.lit("Node "), text("node"), F.lit(": flags=["), flag_letters(F.col("flags")), F.lit("] size="), text("size")).alias("line"))
+    at = F.transform(F.sort_array(F.collect_set(F.struct("node", "off"))), lambda c: F.concat(F.lit("("), c["node"].cast("string"), F.lit(", "), c["off"].cast("string"), F.lit(")")))
+    return n.union(cells.groupBy("val").agg(F.array_join(at, " ").alias("at")).select(F.lit(1), "val", F.concat(F.lit("Value "), text("val"), F.lit(": "), F.col("at"))))
+
+
+def write_accesses(accesses: DataFrame, path: str) -> None:
+    """The instrumented program: its memory accesses as a table."""
+    accesses.write.parquet(path)
+
+
+def alias_report(verdicts: DataFrame) -> DataFrame:
+    """verdict, pairs: how often each alias verdict was given."""
+    return verdicts.groupBy("verdict").agg(F.count(F.lit(1)).alias("pairs"))
