@@ -2,7 +2,7 @@
 
 Word counts are taken over all training documents. The words seen ``often``
 times, and at least the ``vocabulary`` most frequent ones (and the end mark),
-form classes of equal size by frequency, about as many as a class has words;
+form classes of equal size by frequency, of ``class_size`` words or as many words as classes;
 all other words form one tail class. The next token's probability is that of its
 class times that of the word in its class, both softmax outputs of a GRU; in
 the tail class it is the word's add-one frequency. The network is trained by
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from collections import Counter
 from dataclasses import dataclass
+from itertools import repeat
 from math import ceil, sqrt
 
 import numpy as np
@@ -42,12 +43,12 @@ class Config:
 
     vocabulary: int = 1024
     often: int = 1000
-    class_size: int = 32
-    hidden: int = 12
+    class_size: int = 128
+    hidden: int = 8
     window: int = 16
-    lanes: int = 256
+    lanes: int = 512
     rounds: int = 3
-    rate: float = 0.3
+    rate: float = 0.4
     resolved: int = 150_000
     tokens_per_part: int = 1_500_000
     seed: int = 7
@@ -259,7 +260,7 @@ class GRU:
         if not total:
             return 0
         # one stream, cut into lanes
-        lanes = max(1, min(cfg.lanes, total // (4 * cfg.window)))
+        lanes = max(1, min(cfg.lanes, total // (100 * cfg.window)))  # a hundred steps at least
         steps = -(-total // lanes)
         y = np.full(lanes * steps, -1, np.int64)
         y[:total] = np.concatenate([docs[i] for i in order])
@@ -329,8 +330,7 @@ class Words:
 
     def tokens(self, words: list[bytes]) -> np.ndarray:
         """Positions of the words and of the end; -1 for words that are not here."""
-        at = self.at
-        return np.fromiter((at.get(w, -1) for w in words), np.int64, len(words))
+        return np.fromiter(map(self.at.get, words, repeat(-1)), np.int64, len(words))
 
     def network(self, positions: np.ndarray) -> np.ndarray:
         """The network's tokens: its vocabulary, or the tail."""
