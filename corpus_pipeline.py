@@ -1,13 +1,16 @@
 """Corpus pipeline: language, near duplicates, PII, mixture, tokens.
 
 Each stage takes what the one before it kept, as Parquet; all but the last
-return the columns of ``documents``.
+return the columns of ``documents``. Null, empty and blank texts have no
+language and are rejected by the first stage; a later stage that is given some
+keeps them. Null ids stay null and are told apart row by row. Repeated rows are
+copies, of which near_duplicates keeps one. Null languages and sources are
+values of their own in the mixture. An empty table gives an empty result, and
+columns other than those of ``documents`` are dropped.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +36,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")
     least = groups.join(rows.select("row_key", "doc_id"), "row_key").groupBy("component_id").agg(F.min(order).alias("least")).select("least.row_key")
     gone = common.materialize(groups.join(least, "row_key", "left_anti").select("row_key"), "gone")
+    common.release(groups)
     return common.within_ids(rows, gone, "row_key", "left_anti").select(*COLUMNS)
 
 
@@ -67,10 +71,12 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written to the shared folder and read again by the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
-            path = f"{common.shared_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
-            docs.write.parquet(path)
-            docs = spark.read.parquet(path)
+            docs = common.materialize(docs, f"pipeline-{name}")
+            if before is not None:
+                common.release(before)  # written and read again: nothing reads it any more
+            before = docs
     return docs
