@@ -1,24 +1,31 @@
-"""Analyses over whole programs: context-insensitive, flat, per-function, bottom-up, top-down, context-sensitive."""
+"""Analyses over whole programs: context-insensitive, flat, per-function, bottom-up, top-down, context-sensitive, complete call graphs.
+
+The context-insensitive analysis is one distributed fixpoint. The others have a
+graph for each component of the call graph; each program is a group of rows that
+one task solves (:mod:`cellgraph.operators.whole`), and a corpus of programs
+(column ``program`` of the functions) is solved in as many tasks.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..schema import FLAG
-from . import graph, simulate
 from .callgraph import levels, positional, scc
 from .fixpoint import cut
 from .local import Program, facts, value_node
 from .unify import MemoryGraph, solve
+from .whole import SCHEMA, analysed
 
 WHOLE = 0
 
 
 def argument_equations(p: Program, whole: int = WHOLE) -> DataFrame:
-    """Actual and formal pointer arguments, and results and returned values, are equal (all returns are unified)."""
-    args = positional(p["i_actual"], p["formal"], p["i_call"].select("cs", "callee"))
-    back = p["i_call"].filter("ret_val is not null").select("callee", F.col("ret_val").alias("a")).join(p["i_ret"].select(F.col("func").alias("callee"), F.col("val").alias("b")), "callee").select("a", "b")
+    """Actual and formal pointer arguments, and results and returned values, are equal (all returns are unified); nulls are equal to nothing."""
+    none = p["value"].filter("kind in ('null', 'undef')").select("val")
+    args = positional(p["i_actual"].join(none, "val", "left_anti"), p["formal"], p["i_call"].select("cs", "callee"))
+    returned = p["i_ret"].filter("val is not null").join(none, "val", "left_anti")
+    back = p["i_call"].filter("ret_val is not null").select("callee", F.col("ret_val").alias("a")).join(returned.select(F.col("func").alias("callee"), F.col("val").alias("b")), "callee").select("a", "b")
     n = lambda c: value_node(F.lit(whole).cast("long"), F.col(c))
     zero = F.lit(0).cast("long")
     return args.union(back).select(n("a").alias("n1"), zero.alias("o1"), n("b").alias("n2"), zero.alias("o2")).distinct()
@@ -44,173 +51,111 @@ def flat(p: Program) -> DataFrame:
     return flags.join(types, "k").join(sites, "k").select(F.lit(0).cast("long").alias("node"), "flags", "types", "sites")
 
 
-def _graph_nodes(m: MemoryGraph) -> DataFrame:
-    """(tag, id): the nodes of each graph, those that its cells reach."""
-    return graph.reachable_nodes(m.cell.select(F.col("graph").alias("tag"), F.col("node").alias("id")), m.link)
-
-
-def _as_facts(m: MemoryGraph, graphs: DataFrame) -> dict[str, DataFrame]:
-    """A solved graph as facts again, for the graphs (graph) given."""
-    own = _graph_nodes(m).join(graphs.select(F.col("graph").alias("tag")), "tag", "left_semi").select(F.col("id").alias("node")).distinct()
-    cell = m.cell.join(graphs, "graph", "left_semi")
-    return _restricted(m, own) | {"cell": cell, "eq": _no_equations(cell)}
-
-
-def _no_equations(df: DataFrame) -> DataFrame:
-    n = F.lit(0).cast("long")
-    return df.filter("false").select(n.alias("n1"), n.alias("o1"), n.alias("n2"), n.alias("o2"))
-
-
-def _restricted(m: MemoryGraph, own: DataFrame) -> dict[str, DataFrame]:
-    nodes = m.node.join(own, "node", "left_semi")
-    return {
-        "link": m.link.join(own, "node", "left_semi").select("node", "off", "ftype", "dst", "dst_off"),
-        "flag": nodes.select("node", "flags"),
-        "accessed": m.accessed.join(own, "node", "left_semi").select("node", "off", "type", "bytes"),
-        "site": m.site.join(own, "node", "left_semi").select("node", "val"),
-        "array": nodes.filter("stride > 0").select("node", "stride"),
-        "collapse": nodes.filter("collapsed").select("node"),
-    }
-
-
-def _clones(m: MemoryGraph, roots: DataFrame, way: str, strip: DataFrame | None = None) -> dict[str, DataFrame]:
-    """Facts of copies of what the roots (tag: call site, id: node) reach, one copy for each call site.
-
-    ``strip`` names values (val) whose sites are not copied: the stack of a callee does not outlive it.
-    """
-    part = cut(graph.reachable_nodes(roots, m.link).select(F.col("tag").alias("cs"), F.col("id").alias("node")))
-    new = lambda c: F.xxhash64(F.lit(way), "cs", c)
-    own = _restricted(m, part.select("node").distinct())
-    out = {k: own[k].join(part, "node").withColumn("node", new("node")) for k in own}
-    out["link"] = out["link"].withColumn("dst", new("dst")).select("node", "off", "ftype", "dst", "dst_off")
-    site = out["site"] if strip is None else out["site"].join(strip, "val", "left_anti")
-    return {"link": out["link"], "flag": out["flag"].select("node", "flags"), "accessed": out["accessed"].select("node", "off", "type", "bytes"), "site": site.select("node", "val"), "array": out["array"].select("node", "stride"), "collapse": out["collapse"].select("node")}
-
-
 def _pairs(p: Program, graph_of: DataFrame) -> DataFrame:
     """(cs, caller_graph, callee_graph, kind, a, b): caller value a stands for callee value b, by argument or result."""
     calls = p["i_call"].filter("callee is not null").select("cs", F.col("func").alias("caller"), "callee", "ret_val")
     calls = calls.join(graph_of.select(F.col("func").alias("caller"), F.col("graph").alias("caller_graph")), "caller").join(graph_of.select(F.col("func").alias("callee"), F.col("graph").alias("callee_graph"), F.col("level")), "callee")
-    args = calls.join(p["i_actual"], "cs").join(p["formal"].select(F.col("func").alias("callee"), "idx", F.col("val").alias("b")), ["callee", "idx"]).select("cs", "caller_graph", "callee_graph", F.lit("formal").alias("kind"), F.col("val").alias("a"), "b")
-    back = calls.filter("ret_val is not null").join(p["i_ret"].filter("val is not null").select(F.col("func").alias("callee"), F.col("val").alias("b")), "callee").select("cs", "caller_graph", "callee_graph", F.lit("ret").alias("kind"), F.col("ret_val").alias("a"), "b")
+    none = p["value"].filter("kind in ('null', 'undef') or not is_ptr").select("val")
+    args = calls.join(p["i_actual"].join(none, "val", "left_anti"), "cs").join(p["formal"].select(F.col("func").alias("callee"), "idx", F.col("val").alias("b")), ["callee", "idx"]).select("cs", "caller_graph", "callee_graph", F.lit("formal").alias("kind"), F.col("val").alias("a"), "b")
+    back = calls.filter("ret_val is not null").join(p["i_ret"].filter("val is not null").join(none, "val", "left_anti").select(F.col("func").alias("callee"), F.col("val").alias("b")), "callee").select("cs", "caller_graph", "callee_graph", F.lit("ret").alias("kind"), F.col("ret_val").alias("a"), "b")
     return args.union(back)
 
 
-def _plus(a: dict[str, DataFrame], b: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    return {k: a[k].unionByName(b[k]) if k in b else a[k] for k in a}
-
-
-def _joined(a: MemoryGraph | None, b: MemoryGraph) -> MemoryGraph:
-    if a is None:
-        return b
-    names = ("node", "link", "accessed", "site", "cell", "lab")
-    return MemoryGraph(*[cut(getattr(a, n).unionByName(getattr(b, n)).distinct()) for n in names])
-
-
 def _levels(p: Program) -> DataFrame:
     """(func, graph, level): components of the call graph share a graph."""
     calls = p["i_call"].filter("callee is not null").select(F.col("func").alias("caller"), "callee").distinct()
     funcs = p["func"].select("func")
-    return cut(levels(funcs, calls, scc(funcs, calls)).select("func", F.col("scc").alias("graph"), "level"))
-
-
-def _cells(m: MemoryGraph, name: str, value: str) -> DataFrame:
-    """Cells of values by graph: (<name>_graph, <value>, node, off)."""
-    return m.cell.select(F.col("graph").alias(name), F.col("val").alias(value), "node", "off").distinct()
-
-
-def _equate(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
-    j = pairs.join(left, ["cs", "a", "b"]).join(right, ["cs", "a", "b"])
-    return j.select("n1", "o1", "n2", "o2").distinct()
+    return cut(levels(funcs, calls, scc(funcs, calls)).select("func", F.col("scc").alias("graph"), "level").coalesce(max(1, int(p.spark.conf.get("spark.sql.shuffle.partitions")))))
 
 
-def _pull(p: Program, solved: MemoryGraph, own: dict[str, DataFrame], pairs: DataFrame, base: str) -> MemoryGraph:
-    """Callers with copies of their callees' graphs unified at the calls ``pairs``; ``own`` are the callers' facts."""
-    b = pairs.join(_cells(solved, "callee_graph", "b"), ["callee_graph", "b"])
-    stack = p["i_alloca"].select("val")
-    copies = _clones(solved, b.select(F.col("cs").alias("tag"), F.col("node").alias("id")).distinct(), "up", stack)
-    right = b.select("cs", "a", "b", F.xxhash64(F.lit("up"), "cs", "node").alias("n2"), F.col("off").alias("o2"))
-    return solve(_plus(own, copies), _equate(pairs, _ends(solved, pairs, base), right))
-
-
-def _ends(solved: MemoryGraph, pairs: DataFrame, base: str) -> DataFrame:
-    """The caller's side of each pair: the value itself in fresh facts, its cell in solved ones."""
-    if base == "facts":
-        return pairs.select("cs", "a", "b", value_node(F.col("caller_graph"), F.col("a")).alias("n1"), F.lit(0).cast("long").alias("o1"))
-    return pairs.join(_cells(solved, "caller_graph", "a"), ["caller_graph", "a"]).select("cs", "a", "b", F.col("node").alias("n1"), F.col("off").alias("o1"))
+def _rows(p: Program, type_aware: bool) -> DataFrame:
+    """Facts, calls, levels and stack values of all programs as rows of one table (:data:`cellgraph.operators.whole.SCHEMA`)."""
+    graph_of = _levels(p)
+    f = facts(p, graph_of, type_aware)
+    none, text = F.lit(None).cast("long"), F.lit(None).cast("string")
+
+    def row(df, kind, a, b=none, c=none, d=none, s=text, g="graph"):
+        col = lambda x: F.col(x).cast("long") if isinstance(x, str) else x
+        return df.select(F.lit(kind).alias("kind"), F.col(g).alias("g"), col(a).alias("a"), col(b).alias("b"), col(c).alias("c"), col(d).alias("d"), (F.col(s) if isinstance(s, str) else s).alias("s"))
+
+    out = row(f["eq"], "eq", "n1", "o1", "n2", "o2")
+    out = out.union(row(f["link"], "link", "node", "off", "dst", "dst_off", "ftype")).union(row(f["flag"], "flag", "node", "flags")).union(row(f["accessed"], "accessed", "node", "off", "bytes", s="type"))
+    out = out.union(row(f["site"], "site", "node", "val")).union(row(f["array"], "array", "node", "stride")).union(row(f["collapse"], "collapse", "node")).union(row(f["cell"], "cell", "val", "node", "off", s="kind"))
+    out = out.union(row(_pairs(p, graph_of), "pair", "cs", "callee_graph", "a", "b", "kind", "caller_graph")).union(row(graph_of.select("graph", "level").distinct(), "level", "level"))
+    out = out.union(row(p["i_alloca"].join(graph_of, "func"), "stack", "val"))
+    home = p["func"].join(graph_of, "func").groupBy(F.col("graph").alias("g")).agg(F.coalesce(F.min("program"), F.lit(0)).cast("long").alias("program"))
+    # a union has the partitions of all its parts
+    return out.coalesce(max(1, int(p.spark.conf.get("spark.sql.shuffle.partitions")))).join(home, "g").select("program", "kind", "g", "a", "b", "c", "d", "s")
+
+
+def _solved(rows: DataFrame, mode: str) -> MemoryGraph:
+    done = cut(rows.groupBy("program").applyInArrow(analysed(mode), SCHEMA))
+    of = lambda kind: done.filter(F.col("kind") == kind)
+    g = F.col("g").alias("graph")
+    node = of("node").select(g, F.col("a").alias("node"), F.col("b").cast("int").alias("flags"), F.col("c").alias("size"), F.col("d").alias("stride"), (F.col("s") == "collapsed").alias("collapsed"))
+    link = of("link").select(g, F.col("a").alias("node"), F.col("b").alias("off"), F.col("s").alias("ftype"), F.col("c").alias("dst"), F.col("d").alias("dst_off"))
+    accessed = of("accessed").select(g, F.col("a").alias("node"), F.col("b").alias("off"), F.col("s").alias("type"), F.col("c").alias("bytes"))
+    cell = of("cell").select(g, F.col("s").alias("kind"), F.col("a").alias("val"), F.col("b").alias("node"), F.col("c").alias("off"))
+    lab = node.select(F.col("node").alias("id"), "node", F.lit(0).cast("long").alias("off"))
+    return MemoryGraph(node, link, accessed, of("site").select(g, F.col("a").alias("node"), F.col("b").alias("val")), cell, lab)
 
 
 def bottom_up(p: Program, type_aware: bool = True) -> MemoryGraph:
-    """Summaries, callees first: each call copies the callee's graph into the caller's and unifies arguments and results.
+    """Summaries, callees first: each call copies the callee's graph into the caller's and unifies arguments, results and globals.
 
-    All functions of one level of the condensed call graph are solved together;
-    calls inside a component equate the values directly.
+    Functions of one component of the call graph share a graph; the stack of a callee leaves no sites behind. The tables have a column ``graph``.
     """
-    graph_of = _levels(p)
-    pairs = cut(_pairs(p, graph_of))
-    solved = None
-    top = graph_of.agg(F.max("level")).first()[0]
-    for level in range((top if top is not None else -1) + 1):
-        here = cut(graph_of.filter(F.col("level") == level).select("func", "graph"))
-        own = facts(p, here, type_aware)
-        mine = pairs.join(here.select(F.col("graph").alias("caller_graph")).distinct(), "caller_graph", "left_semi")
-        inner = mine.filter("caller_graph = callee_graph")
-        zero = F.lit(0).cast("long")
-        own["eq"] = own["eq"].unionByName(inner.select(value_node(F.col("caller_graph"), F.col("a")).alias("n1"), zero.alias("o1"), value_node(F.col("caller_graph"), F.col("b")).alias("n2"), zero.alias("o2")))
-        outer = mine.filter("caller_graph <> callee_graph")
-        solved = _joined(solved, solve(own) if solved is None else _pull(p, solved, own, outer, "facts"))
-    return solved
-
-
-def _push(p: Program, solved: MemoryGraph, pairs: DataFrame) -> MemoryGraph:
-    """All graphs, with copies of the callers' graphs in their callees' at the calls ``pairs``."""
-    graphs = solved.cell.select("graph").distinct()
-    own = _as_facts(solved, graphs)
-    a = pairs.join(_cells(solved, "caller_graph", "a"), ["caller_graph", "a"])
-    copies = _clones(solved, a.select(F.col("cs").alias("tag"), F.col("node").alias("id")).distinct(), "down")
-    left = a.select("cs", "a", "b", F.xxhash64(F.lit("down"), "cs", "node").alias("n1"), F.col("off").alias("o1"))
-    right = pairs.join(_cells(solved, "callee_graph", "b"), ["callee_graph", "b"]).select("cs", "a", "b", F.col("node").alias("n2"), F.col("off").alias("o2"))
-    return solve(_plus(own, copies), _equate(pairs, left, right))
+    return _solved(_rows(p, type_aware), "bottom-up")
 
 
 def bottom_up_top_down(p: Program, type_aware: bool = True) -> MemoryGraph:
-    """Bottom-up summaries, then callers' graphs copied down level by level."""
-    solved = bottom_up(p, type_aware)
-    graph_of = _levels(p)
-    pairs = cut(_pairs(p, graph_of).filter("caller_graph <> callee_graph").join(graph_of.select(F.col("graph").alias("caller_graph"), "level").distinct(), "caller_graph"))
-    top = graph_of.agg(F.max("level")).first()[0] or 0
-    for level in range(top, 0, -1):
-        solved = _push(p, solved, pairs.filter(F.col("level") == level).drop("level"))
-    return solved
+    """Bottom-up summaries, then what callers pass is copied down, callers first; what nothing reaches is removed."""
+    return _solved(_rows(p, type_aware), "top-down")
+
+
+def context_sensitive(p: Program, type_aware: bool = True) -> MemoryGraph:
+    """Bottom-up summaries, then calls propagate up where their simulation fails or is no function, and down where it is not injective on modified nodes, until none does; sites agree along all calls."""
+    return _solved(_rows(p, type_aware), "context-sensitive")
 
 
-def call_simulation(solved: MemoryGraph, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Callee-to-caller simulation at each call, and its violations."""
-    b = pairs.join(_cells(solved, "callee_graph", "b"), ["callee_graph", "b"]).select("cs", "a", "b", F.col("node").alias("n1"), F.col("off").alias("f1"))
-    a = pairs.join(_cells(solved, "caller_graph", "a"), ["caller_graph", "a"]).select("cs", "a", "b", F.col("node").alias("n2"), F.col("off").alias("f2"))
-    seeds = b.join(a, ["cs", "a", "b"]).select("cs", "n1", "n2", (F.col("f2") - F.col("f1")).alias("off"))
-    return simulate.simulate(seeds, solved.link, solved.link)
+def resolved_edges(p: Program, m: MemoryGraph) -> DataFrame:
+    """cs, callee: functions whose address the cell of an indirect call holds, in whatever graph, and whose type is the call's (or not known)."""
+    site = m.site.join(p["value"].filter("kind = 'func'").select("val", "name"), "val")
+    held = m.cell.filter("kind = 'callsite'").select("graph", F.col("val").alias("cs"), "node").join(site, ["graph", "node"])
+    named = held.join(p["func"].select("name", F.col("func").alias("callee"), F.col("type").alias("has")), "name")
+    wants = p["i_call"].filter("callee is null").select("cs", F.col("type").alias("wants"))
+    return named.join(wants, "cs").filter("wants is null or has is null or wants = has").select("cs", "callee").distinct()
 
 
-def context_sensitive(p: Program, type_aware: bool = True, max_rounds: int = 30) -> MemoryGraph:
-    """Bottom-up summaries, then propagation until every call's simulation is an injective function.
+def complete_call_graph(p: Program, type_aware: bool = True) -> tuple[Program, DataFrame]:
+    """The program with the calls that indirect call sites make, and those edges (cs, callee).
 
-    In each round all calls whose simulation fails or is no function pull the
-    callee's graph up, and all whose simulation is a function but maps several
-    nodes to one modified node push the caller's graph down.
+    Each pass analyses the program bottom-up with the edges found so far; call
+    sites come up with their callees' graphs, so that a site is resolved where
+    its function pointer is known. The loop ends when a pass finds no new edge.
     """
-    solved = bottom_up(p, type_aware)
-    pairs = cut(_pairs(p, _levels(p)).filter("caller_graph <> callee_graph"))
-    for _ in range(max_rounds):
-        sim, bad = call_simulation(solved, pairs)
-        up = cut(bad.select("cs").union(simulate.not_functions(sim).select("cs")).distinct())
-        modified = solved.node.filter(F.col("flags").bitwiseAND(F.lit(FLAG["modified"])) != 0).select("node")
-        down = cut(simulate.not_injective(sim, modified).select("cs").distinct().join(up, "cs", "left_anti"))
-        if up.isEmpty() and down.isEmpty():
-            return solved
-        if not up.isEmpty():
-            own = _as_facts(solved, solved.cell.select("graph").distinct())
-            solved = _pull(p, solved, own, pairs.join(up, "cs", "left_semi"), "cells")
-        else:
-            solved = _push(p, solved, pairs.join(down, "cs", "left_semi"))
-    raise RuntimeError(f"no fixpoint in {max_rounds} rounds")
+    calls, found = p["i_call"], None
+    while True:
+        now = Program(p.spark, **p.tables | {"i_call": calls})
+        edges = cut(resolved_edges(now, bottom_up(now, type_aware)))
+        if found is not None and edges.join(found, ["cs", "callee"], "left_anti").isEmpty():
+            return now, found
+        found = cut(edges if found is None else edges.union(found).distinct())
+        open_ = p["i_call"].filter("callee is null")
+        calls = cut(p["i_call"].unionByName(open_.drop("callee").join(found, "cs").select(*p["i_call"].columns)))
+
+
+class Graphs:
+    """Answers about solved graphs: which there are, and the tables of one function's graph."""
+
+    def __init__(self, p: Program, m: MemoryGraph):
+        self.of = cut(_levels(p).select("func", "graph"))
+        self.m = m
+
+    def has(self, func: int) -> bool:
+        return not self.of.filter(F.col("func") == func).isEmpty()
+
+    def get(self, func: int) -> MemoryGraph:
+        """The tables of the graph that the function's component has."""
+        own = self.of.filter(F.col("func") == func).select("graph")
+        return MemoryGraph(*[getattr(self.m, t).join(own, "graph", "left_semi") for t in ("node", "link", "accessed", "site", "cell")], self.m.lab)

@@ -32,7 +32,8 @@ def fresh_node(graph, val):
 
 
 def empty(spark: SparkSession, name: str) -> DataFrame:
-    return spark.createDataFrame([], EDB[name])
+    """A fact table without rows; the planner drops what is derived from it."""
+    return spark.sql("SELECT " + ", ".join(f"CAST(NULL AS {f.dataType.simpleString()}) AS `{f.name}`" for f in EDB[name].fields) + " WHERE false")
 
 
 class Program:
@@ -65,20 +66,20 @@ def facts(p: Program, graph_of: DataFrame, type_aware: bool = True, omni: bool =
 
     def eq(df, a, b, off=zero):
         """Byte 0 of value a is byte ``off`` of value b."""
-        return df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).select(node(a).alias("n1"), zero.alias("o1"), node(b).alias("n2"), off.cast("long").alias("o2"))
+        return df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).select("graph", node(a).alias("n1"), zero.alias("o1"), node(b).alias("n2"), off.cast("long").alias("o2"))
 
     def flag(df, v, *names):
-        return df.filter(F.col(v).isNotNull()).select(node(v).alias("node"), F.lit(sum(FLAG[n] for n in names)).alias("flags"))
+        return df.filter(F.col(v).isNotNull()).select("graph", node(v).alias("node"), F.lit(sum(FLAG[n] for n in names)).alias("flags"))
 
     def access(df, v, off=zero):
-        return df.filter(F.col(v).isNotNull()).select(node(v).alias("node"), off.cast("long").alias("off"), F.col("type"), F.coalesce("bytes", F.lit(1)).cast("long").alias("bytes"))
+        return df.filter(F.col(v).isNotNull()).select("graph", node(v).alias("node"), off.cast("long").alias("off"), F.col("type"), F.coalesce("bytes", F.lit(1)).cast("long").alias("bytes"))
 
     def link(df, v, target, off=zero):
         hit = df.filter(F.col(v).isNotNull() & F.col(target).isNotNull() & is_pointer(F.col("type")))
-        return hit.select(node(v).alias("node"), off.cast("long").alias("off"), field_type(F.col("type"), type_aware, omni).alias("ftype"), node(target).alias("dst"), zero.alias("dst_off"))
+        return hit.select("graph", node(v).alias("node"), off.cast("long").alias("off"), field_type(F.col("type"), type_aware, omni).alias("ftype"), node(target).alias("dst"), zero.alias("dst_off"))
 
     def site(df, v):
-        return df.select(node(v).alias("node"), F.col(v).alias("val"))
+        return df.select("graph", node(v).alias("node"), F.col(v).alias("val"))
 
     alloca, cast, gep, phi, select = at("i_alloca"), at("i_cast"), at("i_gep"), at("i_phi"), at("i_select")
     load, store, memset, memcpy = at("i_load"), at("i_store"), at("i_memset"), at("i_memcpy")
@@ -89,8 +90,17 @@ def facts(p: Program, graph_of: DataFrame, type_aware: bool = True, omni: bool =
     better = _union([load, store.select(*load.columns[:0], "func", F.col("val").alias("dst"), "ptr", "type", "bytes", "graph")]).filter(is_pointer(F.col("type")) & ~is_byte_pointer(F.col("type"))).groupBy("graph", "ptr").agg(F.min("type").alias("slot"))
     store = store.join(better, ["graph", "ptr"], "left").withColumn("type", F.when(is_byte_pointer(F.col("type")) & F.col("slot").isNotNull(), F.col("slot")).otherwise(F.col("type"))).drop("slot")
     null = p["value"].filter("kind in ('null', 'undef')").select(F.col("val").alias("src"))
+    no_pointer = p["value"].filter("kind in ('null', 'undef') or not is_ptr").select("val")
+    # globals and functions are objects wherever an operand names them
+    operands = _union([d.select("graph", F.col(c).alias("val")) for d, c in ((load, "ptr"), (store, "ptr"), (store, "val"), (cast, "src"), (gep, "base"), (phi, "src"), (select, "a"), (select, "b"), (memset, "dst"), (memcpy, "dst"), (memcpy, "src"), (atomic, "ptr"), (atomic, "newval"))])
+    actual = p["i_actual"].join(p["i_call"].select("cs", "func"), "cs").join(g, "func").select("graph", "val").join(no_pointer, "val", "left_anti").select("graph", "val")
+    returned = p["i_ret"].join(g, "func").filter("val is not null").join(no_pointer, "val", "left_anti").select("graph", "val")
+    of_main = p["func"].filter("is_main").join(g, "func").select("graph").distinct()
+    initial = p["global_init"].withColumn("one", F.lit(1)).join(of_main.withColumn("one", F.lit(1)), "one")  # one main function in a program
+    objects = _union([operands, actual, returned, initial.select("graph", F.col("gv").alias("val")), initial.select("graph", F.col("target").alias("val"))]).join(p["value"].filter("kind in ('global', 'func')").select("val"), "val", "left_semi").select("graph", "val").distinct()
     sites_of_calls = p["i_call"].join(p["func"].select(F.col("func").alias("callee"), "is_decl", "alloc_kind", "ret_noalias"), "callee", "left").withColumnRenamed("func", "func")
-    calls = sites_of_calls.join(g, "func").filter("ret_val is not null")
+    every_call = sites_of_calls.join(g, "func")
+    calls = every_call.filter("ret_val is not null")
     heap = calls.filter("alloc_kind is not null")
     outside = calls.filter("alloc_kind is null and (coalesce(is_asm, false) or is_decl)")
     const = gep.filter("coalesce(stride, 0) = 0")
@@ -108,6 +118,7 @@ def facts(p: Program, graph_of: DataFrame, type_aware: bool = True, omni: bool =
         "link": _union([
             link(load, "ptr", "dst"), link(store, "ptr", "val"), link(insert, "agg", "val", F.col("off")), link(extract, "agg", "dst", F.col("off")), link(atomic.filter("kind = 'cmpxchg'"), "ptr", "dst"),
             link(spec.filter("kind like 'link%'").withColumn("off", F.col("arg1")), "arg0", "arg2", F.col("arg1")),
+            initialised(initial, node, "graph"),
         ]).distinct(),
         "flag": _union([
             flag(alloca, "val", "alloca"), flag(load, "ptr", "read"), flag(store, "ptr", "modified"), flag(memset, "dst", "modified"), flag(memcpy, "dst", "modified"), flag(memcpy, "src", "read"),
@@ -119,26 +130,30 @@ def facts(p: Program, graph_of: DataFrame, type_aware: bool = True, omni: bool =
             access(load, "ptr"), access(store, "ptr"), access(insert, "agg", F.col("off")), access(extract, "agg", F.col("off")), access(atomic, "ptr"),
             access(spec.filter("kind like 'access%'").withColumn("bytes", F.lit(1).cast("long")), "arg0", F.col("arg1")),
         ]).distinct(),
-        "site": _union([site(alloca, "val"), site(made, "dst"), site(heap, "ret_val"), site(outside.filter("coalesce(ret_noalias, false) or coalesce(is_asm, false)"), "ret_val"), site(formal.join(main, "func", "left_semi"), "val")]).distinct(),
-        "array": _union([variable.select(node("dst").alias("node"), F.col("stride").alias("stride")), spec.filter("kind = 'mk_seq' and arg1 > 0").select(node("arg0").alias("node"), F.col("arg1").alias("stride"))]),
-        "collapse": spec.filter("kind = 'collapse'").select(node("arg0").alias("node")),
+        "site": _union([site(alloca, "val"), site(made, "dst"), site(heap, "ret_val"), site(outside.filter("coalesce(ret_noalias, false) or coalesce(is_asm, false)"), "ret_val"), site(formal.join(main, "func", "left_semi"), "val"), site(objects, "val")]).distinct(),
+        "array": _union([variable.select("graph", node("dst").alias("node"), F.col("stride").alias("stride")), spec.filter("kind = 'mk_seq' and arg1 > 0").select("graph", node("arg0").alias("node"), F.col("arg1").alias("stride"))]),
+        "collapse": spec.filter("kind = 'collapse'").select("graph", node("arg0").alias("node")),
     }
-    returned = p["i_ret"].join(g, "func").filter("val is not null")
-    scalar = _union([d.select("graph", F.col(c).alias("val")) for d, c in ((alloca, "val"), (cast, "dst"), (gep, "dst"), (phi, "dst"), (select, "dst"), (load.filter(is_pointer(F.col("type"))), "dst"), (store, "ptr"), (load, "ptr"), (memset, "dst"), (memcpy, "dst"), (memcpy, "src"), (i2p, "dst"), (insert, "dst"), (extract.filter("is_ptr"), "dst"), (calls, "ret_val"))])
-    scalar = scalar.filter("val is not null").distinct().select("graph", F.lit("scalar").alias("kind"), "val")
-    cell = _union([formal.select("graph", F.lit("formal").alias("kind"), "val"), returned.select("graph", F.lit("ret").alias("kind"), "val"), scalar]).distinct()
-    out["cell"] = cell.select("graph", "kind", "val", value_node(F.col("graph"), F.col("val")).alias("node"), zero.alias("off"))
+    scalar = _union([d.select("graph", F.col(c).alias("val")) for d, c in ((alloca, "val"), (cast, "dst"), (gep, "dst"), (phi, "dst"), (select, "dst"), (load.filter(is_pointer(F.col("type"))), "dst"), (store, "ptr"), (load, "ptr"), (memset, "dst"), (memcpy, "dst"), (memcpy, "src"), (i2p, "dst"), (insert, "dst"), (extract.filter("is_ptr"), "dst"), (calls, "ret_val"), (actual, "val"), (store.filter(is_pointer(F.col("type"))), "val"))])
+    scalar = scalar.filter("val is not null").join(no_pointer, "val", "left_anti").distinct().select("graph", F.lit("scalar").alias("kind"), "val")
+    cell = _union([formal.select("graph", F.lit("formal").alias("kind"), "val"), returned.select("graph", F.lit("ret").alias("kind"), "val"), scalar, objects.select("graph", F.lit("global").alias("kind"), "val")]).distinct()
+    cell = cell.select("graph", "kind", "val", value_node(F.col("graph"), F.col("val")).alias("node"), zero.alias("off"))
+    # an indirect call is a cell of its own: that of the value called
+    indirect = every_call.filter("callee is null and called_val is not null").select("graph", F.lit("callsite").alias("kind"), F.col("cs").alias("val"), node("called_val").alias("node"), zero.alias("off"))
+    out["cell"] = cell.union(indirect).distinct()
     return out
 
 
-def initialised(init: DataFrame, node) -> DataFrame:
+def initialised(init: DataFrame, node, *more: str) -> DataFrame:
     """Links that initialisers of globals (gv, off, target) make; ``node`` gives a value's node by its column."""
-    return init.select(node("gv").alias("node"), F.col("off").cast("long").alias("off"), F.lit(ANY_TYPE).alias("ftype"), node("target").alias("dst"), F.lit(0).cast("long").alias("dst_off"))
+    return init.select(*more, node("gv").alias("node"), F.col("off").cast("long").alias("off"), F.lit(ANY_TYPE).alias("ftype"), node("target").alias("dst"), F.lit(0).cast("long").alias("dst_off"))
 
 
-def global_links(p: Program, graph) -> DataFrame:
-    """Links that initialisers of globals make, in the graph given (of ``main``, or of the whole program)."""
-    return initialised(p["global_init"], lambda v: value_node(graph, F.col(v)))
+def with_escapes(p: Program) -> Program:
+    """The program with ``escapes`` of its pointer-to-integer casts found from the uses of their results (table ``use``)."""
+    out = escaping_casts(p["use"]).withColumn("escapes", F.lit(True))
+    casts = p["i_ptrtoint"].drop("escapes").join(out, "src", "left").select("func", "src", F.coalesce("escapes", F.lit(False)).alias("escapes"))
+    return Program(p.spark, **p.tables | {"i_ptrtoint": casts})
 
 
 def only_compared(uses: DataFrame) -> DataFrame:

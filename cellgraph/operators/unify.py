@@ -54,9 +54,10 @@ def solve(facts: dict[str, DataFrame], extra_eq: DataFrame | None = None, max_ro
     ``facts`` are those of :func:`cellgraph.operators.local.facts`. Classes only
     merge and states only rise, so the loop ends; it raises after ``max_rounds``.
     """
-    eq = facts["eq"] if extra_eq is None else facts["eq"].unionByName(extra_eq)
-    eq, link, cell, site = cut(eq), cut(facts["link"]), cut(facts["cell"]), cut(facts["site"])
-    accessed = cut(facts["accessed"])
+    eq = facts["eq"].select("n1", "o1", "n2", "o2")
+    eq = eq if extra_eq is None else eq.unionByName(extra_eq)
+    eq, link, cell, site = cut(eq), cut(facts["link"].select("node", "off", "ftype", "dst", "dst_off")), cut(facts["cell"]), cut(facts["site"].select("node", "val"))
+    accessed = cut(facts["accessed"].select("node", "off", "type", "bytes"))
     ids = [eq.select(F.col("n1").alias("node")), eq.select(F.col("n2").alias("node")), link.select("node"), link.select(F.col("dst").alias("node")), cell.select("node"), accessed.select("node"), facts["flag"].select("node"), facts["array"].select("node")]
     nodes = ids[0]
     for d in ids[1:]:
@@ -65,7 +66,7 @@ def solve(facts: dict[str, DataFrame], extra_eq: DataFrame | None = None, max_ro
     flags = facts["flag"].groupBy("node").agg(F.bit_or("flags").alias("flags"))
     sizes = accessed.groupBy("node").agg(F.max(F.col("off") + F.col("bytes")).alias("size"))
     strides = facts["array"].groupBy("node").agg(F.min("stride").alias("stride"))
-    gone = facts["collapse"].distinct().withColumn("collapsed", F.lit(True))
+    gone = facts["collapse"].select("node").distinct().withColumn("collapsed", F.lit(True))
     nodes = nodes.join(flags, "node", "left").join(sizes, "node", "left").join(strides, "node", "left").join(gone, "node", "left")
     nodes = cut(nodes.select("node", F.coalesce("flags", F.lit(0)).alias("flags"), F.coalesce("size", F.lit(0)).alias("size"), F.coalesce("stride", F.lit(0)).alias("stride"), F.coalesce("collapsed", F.lit(False)).alias("collapsed")))
     where = nodes.select(F.col("node").alias("id"), "node", F.lit(0).cast("long").alias("off"))

@@ -37,7 +37,7 @@ def _table(spec: str) -> T.StructType:
 
 #: One table for each kind of fact; columns are long unless marked s (string) or b (boolean).
 EDB = {
-    "func": _table("func name:s is_decl:b is_main:b ret_is_ptr:b ret_noalias:b alloc_kind:s"),
+    "func": _table("func name:s is_decl:b is_main:b ret_is_ptr:b ret_noalias:b alloc_kind:s type:s program"),
     "value": _table("val func kind:s name:s type:s is_ptr:b"),
     "type_leaf": _table("type:s idx off leaf:s bytes is_ptr:b"),
     "i_alloca": _table("func val"),
@@ -55,10 +55,11 @@ EDB = {
     "i_ptrtoint": _table("func src escapes:b"),
     "i_atomic": _table("func kind:s dst ptr newval type:s bytes"),
     "i_ret": _table("func val"),
-    "i_call": _table("cs func callee called_val ret_val is_asm:b"),
+    "i_call": _table("cs func callee called_val ret_val is_asm:b type:s"),
     "i_actual": _table("cs idx val"),
     "formal": _table("func idx val"),
     "global_init": _table("gv off target"),
+    "use": _table("src user kind:s"),
     "spec_call": _table("cs func kind:s arg0 arg1 arg2 type:s"),
 }
 
