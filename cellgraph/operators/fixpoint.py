@@ -133,8 +133,8 @@ def components(edges: DataFrame, max_rounds: int = 60, small: int = SMALL) -> Da
     return found.union(alone.join(found, "id", "left_anti").select("id", F.col("id").alias("rep")))
 
 
-def _closure(source: np.ndarray, ids: np.ndarray, src: np.ndarray, dst: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(source, id) pairs of the closure: breadth-first over sorted adjacency, for all sources at once."""
+def _closure(source: np.ndarray, ids: np.ndarray, src: np.ndarray, dst: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(source, id) pairs of the closure: breadth-first over sorted adjacency, for all sources at once; the one pair (-1, -1) if they are more than ``most``."""
     order = np.argsort(src, kind="stable")
     src, dst = src[order], dst[order]
     nodes, code = np.unique(np.concatenate([ids, dst]), return_inverse=True)
@@ -149,24 +149,27 @@ def _closure(source: np.ndarray, ids: np.ndarray, src: np.ndarray, dst: np.ndarr
         new = np.unique(np.repeat(fresh // n, size) * n + target[pick])
         fresh = new[~np.isin(new, known, assume_unique=True)]
         known = np.union1d(known, fresh)
+        if len(known) > most:
+            return np.array([-1]), np.array([-1])
     return known // n, nodes[known % n]
 
 
 def reach(seeds: DataFrame, edges: DataFrame, max_rounds: int = 100_000, small: int = SMALL) -> DataFrame:
     """Semi-naive closure. ``seeds`` has (tag, id), ``edges`` (src, dst); gives all (tag, id), seeds included.
 
-    Where the edges, the seeds and tags times edges are few (counted first) and
-    ids are longs, one task computes it; else a loop of joins over the newly reached.
+    Where the edges and the seeds are few (counted first) and ids are longs, one
+    task computes it, unless it meets more than 20 pairs for each row that is
+    few; else a loop of joins over the newly reached.
     """
     known = cut(seeds.select("tag", "id").distinct())
     edges = cut(edges.select("src", "dst").distinct())
-    n, m, tags = edges.count(), *known.agg(F.count(F.lit(1)), F.count_distinct("tag")).first()
-    if n + m <= small and tags * (n + 1) <= 20 * small and known.schema["id"].dataType.simpleString() == "bigint":
-        codes = known.select("tag").distinct().select("tag", F.row_number().over(Window.orderBy("tag")).cast("long").alias("code"))  # few tags, counted above
-        codes = cut(codes)
+    if known.schema["id"].dataType.simpleString() == "bigint" and edges.count() + known.count() <= small:
+        codes = cut(ranked(known.select("tag").distinct(), "tag", parts=4, name="code"))
         rows = known.join(codes, "tag").select(F.col("code").alias("x"), F.col("id").alias("y"), F.lit(0).alias("kind")).union(edges.select("src", "dst", F.lit(1).alias("kind")))
-        found = in_one_task(rows, lambda t: _closure(t["x"][t["kind"] == 0], t["y"][t["kind"] == 0], t["x"][t["kind"] == 1], t["y"][t["kind"] == 1]), "code long, id long")
-        return found.join(F.broadcast(codes), "code").select("tag", "id")
+        most = 20 * small
+        found = cut(in_one_task(rows, lambda t: _closure(t["x"][t["kind"] == 0], t["y"][t["kind"] == 0], t["x"][t["kind"] == 1], t["y"][t["kind"] == 1], most), "code long, id long"))
+        if found.filter("code = -1").isEmpty():
+            return found.join(F.broadcast(codes), "code").select("tag", "id")  # at most as many as the seeds counted above
     fresh, folder = known, cut_folder(known.sparkSession)
     known = appended(known, folder)
     for _ in range(max_rounds):
