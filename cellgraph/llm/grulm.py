@@ -42,7 +42,7 @@ class Config:
     """
 
     vocabulary: int = 1024
-    often: int = 1000
+    often: int = 4000
     class_size: int = 128
     hidden: int = 8
     window: int = 16
