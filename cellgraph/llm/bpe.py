@@ -9,6 +9,7 @@ word's ids follow by stepping back through the last tokens.
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import json
 import re
@@ -88,7 +89,7 @@ class Vocabulary:
         """
         known = self.compatible.get(left << 32 | right)
         if known is None:
-            if len(self.compatible) > 200_000:
+            if len(self.compatible) > 100_000:
                 self.compatible.clear()
             made, parts, pair = self.made, self.parts, self.pair
             x, y, cx, cy, known = left, right, 1 << 60, 1 << 60, True
@@ -193,7 +194,7 @@ class Encoder:
     strings of added tokens in a text become their ids, as there.
     """
 
-    def __init__(self, path: str, limit: int = 160_000, block_chars: int = 1 << 20):
+    def __init__(self, path: str, limit: int = 80_000, block_chars: int = 1 << 20):
         self.vocabulary = v = Vocabulary(path)
         self.pretoken, self.low, self.high = regex.compile(PRETOKEN, regex.V1), re.compile(low_pattern()), re.compile(f"[^\x00-\x1b -{chr(LOW - 1)}]")
         self.cut = re.compile(r"(?<=\S)[ \t\n\r\f\v]")
@@ -325,6 +326,13 @@ def default_path() -> str:
 ROWS = 200
 
 
+def _return_memory() -> None:
+    """Give freed memory back to the system, where the C library can."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def _worker_encoder(path: str) -> Encoder:
     """The encoder of this worker process, kept from task to task where workers are reused."""
     kept = sys.modules.setdefault("_cellgraph_bpe_worker", types.ModuleType("_cellgraph_bpe_worker"))
@@ -352,6 +360,7 @@ def _round_trip(path: str, with_decoded: bool):
         finally:
             gc.enable()
             encoder.forget()  # the worker may serve other operators next
+            _return_memory()
 
     return run
 
