@@ -177,11 +177,11 @@ def _project(cfg: Config, dimension: int, cells: Cells | None):
     return run
 
 
-def _visits(cfg: Config, cells: Cells):
+def _visits(cfg: Config, cells: Cells, rows_at_once: int = 256):
     """The cells besides its own that the chi-square test does not rule out for a query."""
 
     def run(batches):
-        for batch in batches:
+        for batch in (whole.slice(at, rows_at_once) for whole in batches for at in range(0, whole.num_rows, rows_at_once)):
             ids, vs, ps, cell, kth = (batch.column(i) for i in range(5))
             gaps = cells.gaps(np.array(ps.to_pylist(), np.float64).reshape(-1, cfg.dimensions))
             rows, to = [], []
