@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import sys
 import tempfile
 import uuid
@@ -27,12 +28,14 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
+    """The folder that driver and executors share; one of our own only where a local session names none."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         if current.isDefined():
             named = current.get()
+        elif not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         else:
             named = tempfile.mkdtemp(prefix="cellgraph-")
             spark.sparkContext.setCheckpointDir(named)
