@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize, release, ship, within_ids
+from .common import BROADCAST_IDS, connected_components, materialize, release, ship, within_ids
 
 ship(__name__)
 
@@ -305,6 +305,25 @@ def _linked_in_buckets(held: DataFrame, reps: DataFrame, texts: DataFrame, cfg:
     return out
 
 
+def _members(sig: DataFrame, classes: DataFrame, many: int = 1000) -> DataFrame:
+    """``id``, ``n`` and the class representative ``rep`` (null for empty sets and null ids) of every row.
+
+    Classes of more than ``many`` copies are broadcast, up to BROADCAST_IDS of
+    them, so that no class is dealt to one task; beyond that the join is left
+    to be split where it is skewed.
+    """
+    on = ["d0", "d1", "n"]
+    takes_part = F.coalesce((F.col("n") > 0) & F.col("id").isNotNull(), F.lit(False))
+    rows, out = sig.filter(takes_part).select("id", *on), ["id", "n", "rep"]
+    none = sig.filter(~takes_part).select("id", "n", F.lit(None).cast("long").alias("rep"))
+    large = classes.filter(F.col("copies") > many).select(*on, "rep")
+    count = large.count()
+    if not 0 < count <= BROADCAST_IDS:
+        return rows.join(classes, on).select(*out).union(none)
+    large, small = F.broadcast(large), classes.filter(F.col("copies") <= many)
+    return rows.join(large, on).select(*out).union(rows.join(large, on, "left_anti").join(small, on).select(*out)).union(none)
+
+
 def near_duplicates(docs: DataFrame, cfg: Config, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Group near-duplicate documents.
 
@@ -318,10 +337,10 @@ def near_duplicates(docs: DataFrame, cfg: Config, id_col: str = "doc_id", text_c
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"))
     sig = materialize(signatures(docs, cfg, id_col, text_col), "signatures")
     real = sig.filter("n > 0 and id is not null")
-    classes = real.groupBy("d0", "d1", "n").agg(F.min("id").alias("rep"))
-    member = materialize(sig.select("id", "n", "d0", "d1").join(classes, ["d0", "d1", "n"], "left").select("id", "n", F.when(F.col("id").isNotNull(), F.col("rep")).alias("rep")), "members")
-    reps = materialize(real.join(classes.withColumnRenamed("rep", "id"), ["d0", "d1", "n", "id"], "left_semi").dropDuplicates(["id", "d0", "d1", "n"]).select("id", "bands", "sketch"), "reps")
-    release(sig)
+    classes = materialize(real.groupBy("d0", "d1", "n").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")), "classes")
+    member = materialize(_members(sig, classes), "members")
+    reps = materialize(real.join(classes.select("d0", "d1", "n", F.col("rep").alias("id")), ["d0", "d1", "n", "id"], "left_semi").dropDuplicates(["id", "d0", "d1", "n"]).select("id", "bands", "sketch"), "reps")
+    release(sig, classes)
     keys = reps.select("id", F.explode("bands").alias("key"))
     counts = keys.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
     buckets = materialize(keys.join(counts, "key").select("key", "id", "m"), "buckets")
