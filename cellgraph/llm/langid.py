@@ -24,24 +24,34 @@ ship(__name__)
 #: Closely related languages; a language that is in no family is one of its own.
 FAMILIES = {"en": "germanic", "de": "germanic", "nl": "germanic", "sv": "germanic", "da": "germanic", "fr": "romance", "es": "romance", "it": "romance", "pt": "romance", "ro": "romance", "ru": "slavic", "pl": "slavic", "cs": "slavic", "uk": "slavic"}
 DIMENSIONS = 4096
+#: Long texts are counted in pieces of so many bytes.
+PIECE = 1 << 20
 UNKNOWN = "und"
 
 
 def features(text: str) -> np.ndarray | None:
     """Unit-length root counts of hashed byte trigrams of the whole text; None without a letter."""
     raw = text.lower().encode("utf-8", "replace")
-    c = np.frombuffer(raw, np.uint8)
-    letter = ((c >= 97) & (c <= 122)) | (c >= 128)
-    if not letter.any() or not (bool(((c >= 97) & (c <= 122)).any()) or regex.search(r"\p{L}", text)):
+    counts, latin, other = np.zeros(DIMENSIONS, np.int64), False, False
+    tail, before = np.array([32], np.uint32), True
+    for at in range(0, len(raw), PIECE):
+        c = np.frombuffer(raw, np.uint8, min(PIECE, len(raw) - at), at)
+        low, high = (c >= 97) & (c <= 122), c >= 128
+        latin, other = latin or bool(low.any()), other or bool(high.any())
+        letter = low | high
+        keep = letter.copy()
+        keep[1:] |= letter[:-1]  # one blank for each run of other characters
+        keep[0] |= before
+        before = letter[-1]
+        c = np.concatenate([tail, np.where(letter, c, 32)[keep], np.full(int(at + PIECE >= len(raw)), 32, np.uint8)]).astype(np.uint32)
+        h = (c[:-2] * np.uint32(961) + c[1:-1]) * np.uint32(961) + c[2:]
+        h = (h * np.uint32(2654435761)) >> np.uint32(20)
+        counts += np.bincount(h, minlength=DIMENSIONS)[:DIMENSIONS]
+        tail = c[-2:]
+    if not latin and not (other and regex.search(r"\p{L}", text)):
         return None
-    c = np.where(letter, c, 32).astype(np.uint32)
-    keep = np.ones(len(c), bool)
-    keep[1:] = letter[1:] | letter[:-1]  # one blank for each run of other characters
-    c = np.concatenate([[32], c[keep], [32]]).astype(np.uint32)
-    h = (c[:-2] * np.uint32(961) + c[1:-1]) * np.uint32(961) + c[2:]
-    h = (h * np.uint32(2654435761)) >> np.uint32(20)
-    counts = np.sqrt(np.bincount(h, minlength=DIMENSIONS)[:DIMENSIONS].astype(np.float32))
-    return counts / np.linalg.norm(counts)
+    roots = np.sqrt(counts.astype(np.float32))
+    return roots / np.linalg.norm(roots)
 
 
 def fit_svm(x: np.ndarray, y: np.ndarray, c: float = 4.0, rounds: int = 12, seed: int = 5) -> np.ndarray:
@@ -125,7 +135,7 @@ def _vectors(batches):
 
 
 def train(labelled: DataFrame, per_language: int = 500, families: dict[str, str] | None = None) -> Model:
-    """Fit on about ``per_language`` rows of each language (the documented bound), chosen by a hash of text and id.
+    """Fit on about ``per_language`` rows of each language (the documented bound), chosen by a hash of key and text; rows that repeat both count once.
 
     ``labelled`` has ``key`` (any column, for the choice only), ``text``, ``lang``; rows with a null in text or lang are left out.
     """
@@ -136,8 +146,8 @@ def train(labelled: DataFrame, per_language: int = 500, families: dict[str, str]
     share = F.lit(0.0)
     for lang, n in counts.items():
         share = F.when(F.col("lang") == lang, F.lit(min(1.0, per_language / n))).otherwise(share)
-    u = F.pmod(F.xxhash64(F.col("key"), F.lit(11)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = rows.filter(u < share).select("lang", "text").mapInArrow(_vectors, "lang string, v binary").filter("v is not null").collect()
+    u = F.pmod(F.xxhash64(F.col("key"), F.col("text"), F.lit(11)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    sample = rows.filter(u < share).select("key", "lang", "text").distinct().select("lang", "text").mapInArrow(_vectors, "lang string, v binary").filter("v is not null").collect()
     sample = sorted((r[0], bytes(r[1])) for r in sample)
     if not sample:
         return Model({})
@@ -145,17 +155,19 @@ def train(labelled: DataFrame, per_language: int = 500, families: dict[str, str]
     return Model.fit(x, [a for a, _ in sample], families)
 
 
-def _predictor(model: Model):
+def _predictor(model: Model, at: int, keep: int):
+    """Predictions for the texts in column ``at``; the first ``keep`` columns are handed on."""
+
     def predict(batches):
         for batch in batches:
             langs, scores = [], []
-            for text in batch.column(batch.num_columns - 1):
+            for text in batch.column(at):
                 v = features(text.as_py() or "")
                 lang, score = (UNKNOWN, 0.0) if v is None else model.predict(v)
                 langs.append(lang)
                 scores.append(min(1.0, max(0.0, score)))
-            names = [*batch.schema.names[:-1], "lang_pred", "score"]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names)
+            names = [*batch.schema.names[:keep], "lang_pred", "score"]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:keep], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names)
 
     return predict
 
@@ -166,9 +178,12 @@ def identify(rows: DataFrame, model: Model, text_col: str = "text", keep: tuple[
     A text that is null, empty or has no letter is ``und`` with score 0, and so
     is everything where the model saw no labelled row.
     """
-    rows = rows.select(*keep, F.col(text_col).cast("string").alias("__text"))
+    if text_col in keep and rows.schema[text_col].dataType.simpleString() == "string":
+        rows, at = rows.select(*keep), keep.index(text_col)  # the text crosses to Python once
+    else:
+        rows, at = rows.select(*keep, F.col(text_col).cast("string").alias("__text")), len(keep)
     schema = "".join(f"`{c}` {rows.schema[c].dataType.simpleString()}, " for c in keep) + "lang_pred string, score double"
-    return rows.mapInArrow(_predictor(model), schema)
+    return rows.mapInArrow(_predictor(model, at, len(keep)), schema)
 
 
 def held_out(doc_id, parts: int = 4):

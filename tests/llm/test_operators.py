@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import types
 import zlib
 from collections import Counter, defaultdict
 from math import log10
@@ -65,6 +66,16 @@ def test_minhash_equals_brute_force(spark, docs):
     assert minhash.near_duplicates(docs.limit(0), cfg).count() == 0
 
 
+def test_members_of_classes_of_any_size(spark, docs):
+    cfg = minhash.for_similarity(3, 85)
+    sig = common.materialize(minhash.signatures(docs, cfg, "doc_id", "text"), "test-signatures")
+    classes = sig.filter("n > 0 and id is not null").groupBy("d0", "d1", "n").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    want = sorted(tuple(r) for r in minhash._members(sig, classes).collect() if r.rep is not None)
+    got = [tuple(r) for r in minhash._members(sig, classes, many=1).collect()]
+    assert len(got) == sig.count() and sorted(r for r in got if r[2] is not None) == want
+    assert sum(r[0] != r[2] for r in want) >= 3  # copies
+
+
 def test_odd_sketch_estimates():
     cfg = minhash.for_similarity(3, 85)
     a, b = minhash._samplers(cfg)
@@ -191,6 +202,39 @@ def test_language_awkward(spark, docs):
     assert all(r.lang_pred == "und" for r in langid.identify(docs, langid.fit_documents(docs.limit(0)), keep=("doc_id",)).collect())
 
 
+def test_features_of_long_texts(monkeypatch):
+    texts = ["Größe und Maß, 12 mal!", "a", " b ", "1 2 3", "", "日本語 text", "x--y  z" * 50, "é"]
+    want = [langid.features(t) for t in texts]
+    for piece in (1, 2, 3, 7):
+        monkeypatch.setattr(langid, "PIECE", piece)
+        for t, v in zip(texts, want):
+            got = langid.features(t)
+            assert (v is None) == (got is None) and (v is None or np.array_equal(v, got)), t
+    assert want[3] is None and want[4] is None and want[7] is not None
+
+
+def test_language_text_kept_or_not_and_repeated_rows(spark, docs):
+    model = langid.fit_documents(docs)
+    a = langid.identify(docs, model, keep=("doc_id", "text")).select("doc_id", "lang_pred", "score").collect()
+    b = langid.identify(docs, model, keep=("doc_id",)).collect()
+    assert sorted(map(tuple, a)) == sorted(map(tuple, b)) and len(a) == docs.count()
+    assert langid.identify(docs.limit(0), model, keep=("doc_id", "text")).count() == 0
+    one = spark.createDataFrame([(1, "ein und derselbe Satz", "de")] * 3000 + [(2, "the same sentence", "en")], "key long, text string, lang string")
+    assert set(langid.train(one, per_language=3000).pair_weights) | set(langid.train(one, per_language=3000).families) == {("de", "en"), "germanic"}
+
+
+def test_bpe_of_nothing(spark, docs):
+    assert bpe.digests(bpe.encode_decode(docs.limit(0))).count() == 0
+
+
+def test_shared_folder_is_asked_for_on_a_cluster():
+    conf = types.SimpleNamespace(get=lambda _: None)
+    jsc = types.SimpleNamespace(sc=lambda: types.SimpleNamespace(getCheckpointDir=lambda: types.SimpleNamespace(isDefined=lambda: False)))
+    sc = types.SimpleNamespace(getConf=lambda: conf, _jsc=jsc, master="spark://somewhere:7077")
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        common.shared_dir(types.SimpleNamespace(sparkContext=sc))
+
+
 def test_scores_of_language_model(spark, docs):
     cfg = grulm.Config(vocabulary=20, class_size=8, resolved=50, hidden=4)
     got = grulm.score_documents(docs, langid.held_out(F.col("doc_id"), 7), cfg).collect()
