@@ -24,7 +24,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents in a language that is known with some certainty; ``lang`` becomes the language predicted."""
     model = langid.fit_documents(docs)
-    out = langid.identify(docs.select("doc_id", "text", "source", "n_chars", F.col("text").alias("whole")), model, text_col="whole", keep=("doc_id", "text", "source", "n_chars"))
+    out = langid.identify(docs, model, keep=("doc_id", "text", "source", "n_chars"))
     kept = out.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
     return kept.select("doc_id", "text", F.col("lang_pred").alias("lang"), "source", "n_chars")
 
