@@ -7,6 +7,7 @@ executors, keeps plans short and gives the planner true sizes.
 
 from __future__ import annotations
 
+import re
 import sys
 import tempfile
 import uuid
@@ -22,12 +23,14 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need not
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder shared by driver and executors."""
+    """The folder shared by driver and executors; one of our own only where a local session names none."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         if current.isDefined():
             named = current.get()
+        elif not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         else:
             named = tempfile.mkdtemp(prefix="cellgraph-")
             spark.sparkContext.setCheckpointDir(named)
