@@ -9,7 +9,6 @@ word's ids follow by stepping back through the last tokens.
 
 from __future__ import annotations
 
-import ctypes
 import gc
 import json
 import re
@@ -24,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import load, ship
+from .common import load, return_memory, ship
 
 ship(__name__)
 
@@ -326,13 +325,6 @@ def default_path() -> str:
 ROWS = 200
 
 
-def _return_memory() -> None:
-    """Give freed memory back to the system, where the C library can."""
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim is not None:
-        trim(0)
-
-
 def _worker_encoder(path: str) -> Encoder:
     """The encoder of this worker process, kept from task to task where workers are reused."""
     kept = sys.modules.setdefault("_cellgraph_bpe_worker", types.ModuleType("_cellgraph_bpe_worker"))
@@ -360,7 +352,7 @@ def _round_trip(path: str, with_decoded: bool):
         finally:
             gc.enable()
             encoder.forget()  # the worker may serve other operators next
-            _return_memory()
+            return_memory()
 
     return run
 

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import sys
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Up to this many ids (16 MB of longs) a side is broadcast after it was counted.
 BROADCAST_IDS = 1_000_000
+# Batches with texts are taken and handed on in pieces of so many rows.
+PIECE_ROWS = 1000
 
 
 def ship(module: str) -> None:
@@ -23,6 +27,33 @@ def ship(module: str) -> None:
 ship(__name__)
 
 
+def pieces(batches):
+    """The rows of all batches, at most PIECE_ROWS at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, PIECE_ROWS):
+            yield batch.slice(at, PIECE_ROWS)
+
+
+def return_memory() -> None:
+    """Give freed memory back to the system: Arrow's, and the C library's where it can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def lean(run):
+    """``run`` for mapInArrow over pieces; what the task has freed goes back after it, as the worker stays for later tasks."""
+
+    def over(batches):
+        try:
+            yield from run(pieces(batches))
+        finally:
+            return_memory()
+
+    return over
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

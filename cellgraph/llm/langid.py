@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import load, ship
+from .common import lean, load, ship
 
 ship(__name__)
 
@@ -147,7 +147,7 @@ def train(labelled: DataFrame, per_language: int = 500, families: dict[str, str]
     for lang, n in counts.items():
         share = F.when(F.col("lang") == lang, F.lit(min(1.0, per_language / n))).otherwise(share)
     u = F.pmod(F.xxhash64(F.col("key"), F.col("text"), F.lit(11)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = rows.filter(u < share).select("key", "lang", "text").distinct().select("lang", "text").mapInArrow(_vectors, "lang string, v binary").filter("v is not null").collect()
+    sample = rows.filter(u < share).select("key", "lang", "text").distinct().select("lang", "text").mapInArrow(lean(_vectors), "lang string, v binary").filter("v is not null").collect()
     sample = sorted((r[0], bytes(r[1])) for r in sample)
     if not sample:
         return Model({})
@@ -183,7 +183,7 @@ def identify(rows: DataFrame, model: Model, text_col: str = "text", keep: tuple[
     else:
         rows, at = rows.select(*keep, F.col(text_col).cast("string").alias("__text")), len(keep)
     schema = "".join(f"`{c}` {rows.schema[c].dataType.simpleString()}, " for c in keep) + "lang_pred string, score double"
-    return rows.mapInArrow(_predictor(model, at, len(keep)), schema)
+    return rows.mapInArrow(lean(_predictor(model, at, len(keep))), schema)
 
 
 def held_out(doc_id, parts: int = 4):

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, connected_components, materialize, release, ship, within_ids
+from .common import BROADCAST_IDS, connected_components, lean, materialize, release, ship, within_ids
 
 ship(__name__)
 
@@ -156,31 +156,29 @@ def _signer(cfg: Config):
         a, b = _samplers(cfg)
         hasher = WordHasher()
         salt = np.arange(cfg.bands, dtype=np.uint64)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                ns, d0, d1, bands, sketches = [], [], [], [], []
-                for text in part.column(1):
-                    s = shingle_set(text.as_py(), cfg.words, hasher)
-                    ns.append(len(s))
-                    if not len(s):
-                        d0.append(0)
-                        d1.append(0)
-                        bands.append(None)
-                        sketches.append(None)
-                        continue
-                    d0.append(int(np.bitwise_xor.reduce(_mix(s)).view(np.int64)))
-                    d1.append(int(np.add.reduce(_mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5))).view(np.int64)))
-                    m = minhash(s, a, b)
-                    key = salt
-                    for row in m.reshape(cfg.bands, cfg.rows).T:
-                        key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + row.astype(np.uint64))
-                    bands.append(key.view(np.int64))
-                    sketches.append(odd_sketch(m, cfg.sketch_longs))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(ns, pa.int64()), pa.array(d0, pa.int64()), pa.array(d1, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))],
-                    ["id", "n", "d0", "d1", "bands", "sketch"],
-                )
+        for part in batches:
+            ns, d0, d1, bands, sketches = [], [], [], [], []
+            for text in part.column(1):
+                s = shingle_set(text.as_py(), cfg.words, hasher)
+                ns.append(len(s))
+                if not len(s):
+                    d0.append(0)
+                    d1.append(0)
+                    bands.append(None)
+                    sketches.append(None)
+                    continue
+                d0.append(int(np.bitwise_xor.reduce(_mix(s)).view(np.int64)))
+                d1.append(int(np.add.reduce(_mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5))).view(np.int64)))
+                m = minhash(s, a, b)
+                key = salt
+                for row in m.reshape(cfg.bands, cfg.rows).T:
+                    key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + row.astype(np.uint64))
+                bands.append(key.view(np.int64))
+                sketches.append(odd_sketch(m, cfg.sketch_longs))
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), pa.array(ns, pa.int64()), pa.array(d0, pa.int64()), pa.array(d1, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))],
+                ["id", "n", "d0", "d1", "bands", "sketch"],
+            )
 
     return sign
 
@@ -188,7 +186,7 @@ def _signer(cfg: Config):
 def signatures(docs: DataFrame, cfg: Config, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n (set size), d0 and d1 (128-bit digest of the set), bands, sketch; both null for an empty set."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"))
-    return rows.mapInArrow(_signer(cfg), "id long, n long, d0 long, d1 long, bands array<long>, sketch array<long>")
+    return rows.mapInArrow(lean(_signer(cfg)), "id long, n long, d0 long, d1 long, bands array<long>, sketch array<long>")
 
 
 def _confirmer(cfg: Config):
@@ -222,7 +220,7 @@ def _confirmed(pairs: DataFrame, reps: DataFrame, texts: DataFrame, cfg: Config)
     t = within_ids(texts, ids, "id")
     full = near.join(t.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
     full = full.join(t.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
-    out = materialize(full.mapInArrow(_confirmer(cfg), "a long, b long").distinct(), "links")
+    out = materialize(full.mapInArrow(lean(_confirmer(cfg)), "a long, b long").distinct(), "links")
     release(near, ids)
     return out
 
@@ -300,7 +298,7 @@ def _linked_in_buckets(held: DataFrame, reps: DataFrame, texts: DataFrame, cfg:
     full = within_ids(texts, ids, "id").join(within_ids(reps, ids, "id"), "id")
     rows = rows.join(full, "id").withColumn("band", F.array_position("bands", F.col("key")).cast("int") - 1)
     rows = rows.select("grp", "id", "c", "side", "band", "bands", "sketch", "text").repartition("grp").sortWithinPartitions("grp")
-    out = materialize(rows.mapInArrow(_bucket_linker(cfg), "a long, b long").distinct(), "links")
+    out = materialize(rows.mapInArrow(lean(_bucket_linker(cfg)), "a long, b long").distinct(), "links")
     release(ids)
     return out
 

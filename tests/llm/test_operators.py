@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 from math import log10
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import same
 from pyspark.sql import functions as F
@@ -223,6 +224,39 @@ def test_language_text_kept_or_not_and_repeated_rows(spark, docs):
     assert set(langid.train(one, per_language=3000).pair_weights) | set(langid.train(one, per_language=3000).families) == {("de", "en"), "germanic"}
 
 
+def test_language_hands_on_small_batches(spark, docs, monkeypatch):
+    """A partition of many texts does not pass as one batch, and what a task has freed goes back, also if it is not read to its end."""
+    model, ran, returned = langid.fit_documents(docs), [], []
+    rows = docs.select("doc_id", "text")
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, schema: ran.append(run) or self)
+    langid.identify(rows, model, keep=("doc_id", "text"))
+    texts = [r.text for r in rows.collect()]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2500), pa.int64()), pa.array([texts[i % len(texts)] for i in range(2500)], pa.string())], ["doc_id", "text"])
+    got = list(ran[0](iter([batch])))
+    assert [b.num_rows for b in got] == [1000, 1000, 500]
+    assert pa.Table.from_batches(got).equals(pa.Table.from_batches(langid._predictor(model, 1, 2)([batch])))
+    monkeypatch.setattr(common, "return_memory", lambda: returned.append(1))
+    part = ran[0](iter([batch]))
+    next(part)
+    part.close()
+    assert returned
+
+
+def test_links_in_buckets_of_several_batches(monkeypatch):
+    """Buckets that cross the pieces of a batch lose no link."""
+    cfg = minhash.for_similarity(3, 85)
+    texts = [f"w{i // 3} " * 2 + " ".join(f"x{i // 3}y{j}" for j in range(60)) + f" end{i}" for i in range(30)]
+    sign = next(minhash._signer(cfg)([pa.record_batch([pa.array(range(30), pa.int64()), pa.array([t.encode() for t in texts], pa.binary())], ["id", "text"])])).to_pylist()
+    rows = [(r["id"] // 3, r["id"], r["id"], 0, 0, r["bands"], r["sketch"], texts[r["id"]].encode()) for r in sign]
+    names = ["grp", "id", "c", "side", "band", "bands", "sketch", "text"]
+    batch = pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows])
+    want = {(3 * g + a, 3 * g + b) for g in range(10) for a, b in ((0, 1), (0, 2), (1, 2))}
+    for n in (1, 4, 7, 1000):
+        monkeypatch.setattr(common, "PIECE_ROWS", n)
+        got = [(r["a"], r["b"]) for b in common.lean(minhash._bucket_linker(cfg))(iter([batch])) for r in b.to_pylist()]
+        assert sorted(got) == sorted(want)
+
+
 def test_bpe_of_nothing(spark, docs):
     assert bpe.digests(bpe.encode_decode(docs.limit(0))).count() == 0
 
