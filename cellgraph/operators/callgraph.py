@@ -5,22 +5,27 @@ from __future__ import annotations
 import sys
 
 import numpy as np
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .fixpoint import SMALL, cut, in_one_task, ranked, reach
+from .fixpoint import BIN, columns_of, cut, in_parts, ranked, reach
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
+#: Call graphs of at most so many functions and different edges (counted first) are searched in one task, which takes some 60 bytes for each.
+ONE_TASK = 10_000_000
+
+
 def _tarjan(funcs: np.ndarray, src: np.ndarray, dst: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """func, least member of its component, level (longest chain of components below), by one depth-first search."""
-    nodes, code = np.unique(np.concatenate([funcs, src, dst]), return_inverse=True)
-    s, d = code[len(funcs) : len(funcs) + len(src)], code[len(funcs) + len(src) :]
-    out: list[list[int]] = [[] for _ in nodes]
-    for a, b in zip(s.tolist(), d.tolist()):
-        out[a].append(b)
+    nodes = np.unique(np.concatenate([funcs, src, dst]))
+    s, d = np.searchsorted(nodes, src).astype(np.int32), np.searchsorted(nodes, dst).astype(np.int32)
+    order = np.argsort(s, kind="stable")
+    out = memoryview(d[order])
+    first = np.searchsorted(s[order], np.arange(len(nodes) + 1), "left").tolist()
     index, low, comp = [-1] * len(nodes), [0] * len(nodes), [-1] * len(nodes)
     level: list[int] = []
     least: list[int] = []
@@ -29,19 +34,19 @@ def _tarjan(funcs: np.ndarray, src: np.ndarray, dst: np.ndarray) -> tuple[np.nda
     for root in range(len(nodes)):
         if index[root] >= 0:
             continue
-        work = [(root, 0)]
+        work = [(root, first[root])]
         while work:
             v, i = work.pop()
-            if i == 0:
+            if index[v] < 0:
                 index[v] = low[v] = count
                 count += 1
                 stack.append(v)
-            elif index[out[v][i - 1]] >= 0 and comp[out[v][i - 1]] < 0:
-                low[v] = min(low[v], low[out[v][i - 1]])
-            for j in range(i, len(out[v])):
-                w = out[v][j]
+            elif i > first[v] and comp[out[i - 1]] < 0:
+                low[v] = min(low[v], low[out[i - 1]])
+            for j in range(i, first[v + 1]):
+                w = out[j]
                 if index[w] < 0:
-                    work += [(v, j + 1), (w, 0)]
+                    work += [(v, j + 1), (w, first[w])]
                     break
                 if comp[w] < 0:
                     low[v] = min(low[v], index[w])
@@ -51,28 +56,51 @@ def _tarjan(funcs: np.ndarray, src: np.ndarray, dst: np.ndarray) -> tuple[np.nda
                     while not members or members[-1] != v:
                         members.append(stack.pop())
                         comp[members[-1]] = len(level)
-                    below = [level[comp[w]] + 1 for m in members for w in out[m] if comp[w] != len(level)]
+                    below = [level[comp[w]] + 1 for m in members for w in out[first[m] : first[m + 1]] if comp[w] != len(level)]
                     level.append(max(below, default=0))
                     least.append(min(members))
-    at = code[: len(funcs)]
-    c = np.array(comp)[at]
-    return funcs, nodes[np.array(least)[c]], np.array(level)[c]
+    c = np.array(comp, np.int64)[np.searchsorted(nodes, funcs)]
+    return funcs, nodes[np.array(least, np.int64)[c]], np.array(level, np.int64)[c]
+
 
+def _condense_batches(batches):
+    t = columns_of(batches)
+    if t:
+        edge = t["kind"] == 1
+        found = _tarjan(t["x"][~edge], t["x"][edge], t["y"][edge])
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["func", "scc", "level"])
 
-def _condensed(functions: DataFrame, calls: DataFrame) -> DataFrame:
-    rows = functions.select(F.col("func").alias("x"), F.lit(None).cast("long").alias("y"), F.lit(0).alias("kind")).union(calls.select("caller", "callee", F.lit(1).alias("kind")).distinct())
-    return in_one_task(rows, lambda t: _tarjan(t["x"][t["kind"] == 0], t["x"][t["kind"] == 1], t["y"][t["kind"] == 1].astype(np.int64)), "func long, scc long, level long")
 
+def _condensed(functions: DataFrame, edges: DataFrame, key: str | None = None) -> DataFrame:
+    """func, scc, level in one task, or within each range of functions by itself."""
+    rows = functions.select(F.col("func").alias("x"), F.lit(0).cast("long").alias("y"), F.lit(0).alias("kind")).union(edges.select("caller", "callee", F.lit(1)))
+    schema = "func long, scc long, level long"
+    if key is None:
+        return in_parts(rows, _condense_batches, schema)
+    return rows.repartitionByRange(max(2, -(-rows.count() // BIN)), key).mapInArrow(_condense_batches, schema)
 
-def scc(functions: DataFrame, calls: DataFrame, small: int = SMALL) -> DataFrame:
+
+def scc(functions: DataFrame, calls: DataFrame, small: int = ONE_TASK) -> DataFrame:
     """func, scc (its smallest member): who reaches each other is one component.
 
-    Small graphs (counted first) are searched in one task. For others: forward-backward search from the least function of every weakly closed part
+    Small graphs (counted first) are searched in one task. Larger ones are first
+    condensed within ranges of functions; if what is left is still large:
+    forward-backward search from the least function of every weakly closed part
     left: each round settles one component in each part and splits the rest.
     """
     edges = cut(calls.select("caller", "callee").distinct())
     if edges.count() + functions.count() <= small:
         return _condensed(functions, edges).select("func", "scc")
+    funcs = cut(functions.select("func").union(edges.select("caller")).union(edges.select("callee")).distinct())
+    local = cut(_condensed(funcs, edges, "x").select("func", "scc"))
+    src, dst = local.select(F.col("func").alias("caller"), F.col("scc").alias("s")), local.select(F.col("func").alias("callee"), F.col("scc").alias("d"))
+    left = cut(edges.join(src, "caller").join(dst, "callee").filter("s <> d").select(F.col("s").alias("caller"), F.col("d").alias("callee")).distinct())
+    reps = cut(local.select(F.col("scc").alias("func")).distinct())
+    whole = _condensed(reps, left).select("func", "scc") if left.count() + reps.count() <= small else _forward_backward(reps, left)
+    return local.join(functions, "func", "left_semi").join(whole.select(F.col("func").alias("scc"), F.col("scc").alias("top")), "scc").select("func", F.col("top").alias("scc"))
+
+
+def _forward_backward(functions: DataFrame, edges: DataFrame) -> DataFrame:
     back = edges.select(F.col("callee").alias("src"), F.col("caller").alias("dst"))
     todo = cut(functions.select(F.col("func"), F.lit(0).cast("long").alias("part")))
     done = None
@@ -91,8 +119,9 @@ def scc(functions: DataFrame, calls: DataFrame, small: int = SMALL) -> DataFrame
     return done if done is not None else functions.select("func", F.col("func").alias("scc"))
 
 
-def levels(functions: DataFrame, calls: DataFrame, components: DataFrame, max_rounds: int = 100_000, small: int = SMALL) -> DataFrame:
+def levels(functions: DataFrame, calls: DataFrame, components: DataFrame, max_rounds: int = 100_000, small: int = ONE_TASK) -> DataFrame:
     """func, scc, level: longest chain of calls below, in the condensation (leaves are 0)."""
+    calls = cut(calls.select("caller", "callee").distinct())
     if calls.count() + functions.count() <= small:
         return _condensed(functions, calls)
     src = components.select(F.col("func").alias("caller"), F.col("scc").alias("s"))

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from cellgraph.operators import sites
+from cellgraph.operators import callgraph, sites
 
 
 def test_call_paths_of_any_length(spark):
@@ -15,3 +15,12 @@ def test_call_paths_of_any_length(spark):
     few = spark.createDataFrame([(1, 2), (2, 1), (2, 3), (3, 3), (1, 3)], "callee long, caller long")
     one, many = (sorted(map(str, sites.call_paths(start.select((F.col("func") + 1).alias("func")), few, small=k).collect())) for k in (100, -1))
     assert one == many and len(one) == 6
+
+
+def test_levels_count_different_calls(spark):
+    """Calls that are repeated do not make a graph large."""
+    funcs = spark.range(40).withColumnRenamed("id", "func")
+    once = funcs.filter("func > 0").select(F.col("func").alias("caller"), (F.col("func") - 1).alias("callee"))
+    calls = once.crossJoin(spark.range(50))
+    got = callgraph.levels(funcs, calls, funcs.withColumn("scc", F.col("func")), max_rounds=3, small=200)
+    assert {(r.func, r.level) for r in got.collect()} == {(i, i) for i in range(40)}
