@@ -1,8 +1,20 @@
 """Graphs above the size of one task, and long ones: small inputs with a small limit."""
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
-from cellgraph.operators import callgraph, sites
+from cellgraph.operators import callgraph, fixpoint, shadow, simulate, sites
+from cellgraph.sources import specs
+
+
+def chains(spark, n=12, length=12):
+    """Edges (src, dst) of some chains: chain i has the ids from 100 * i."""
+    return spark.range(n * length).select((F.floor(F.col("id") / length) * 100 + F.col("id") % length).alias("src")).select("src", (F.col("src") + 1).alias("dst"))
+
+
+def rows(df):
+    return sorted(map(tuple, df.collect()))
 
 
 def test_call_paths_of_any_length(spark):
@@ -24,3 +36,10 @@ def test_levels_count_different_calls(spark):
     calls = once.crossJoin(spark.range(50))
     got = callgraph.levels(funcs, calls, funcs.withColumn("scc", F.col("func")), max_rounds=3, small=200)
     assert {(r.func, r.level) for r in got.collect()} == {(i, i) for i in range(40)}
+
+
+def test_weighted_classes_by_components(spark):
+    eq = chains(spark).select(F.col("src").alias("n1"), F.lit(4).cast("long").alias("o1"), F.col("dst").alias("n2"), F.lit(0).cast("long").alias("o2"))
+    nodes = eq.select(F.col("n1").alias("node")).union(spark.createDataFrame([(5000,)], "node long"))
+    want = [(100 * i + j, 100 * i, 4 * j, False) for i in range(12) for j in range(13)] + [(5000, 5000, 0, False)]
+    assert rows(fixpoint.weighted_components(nodes, eq, max_rounds=2, small=50)) == sorted(want)
