@@ -38,6 +38,22 @@ def test_levels_count_different_calls(spark):
     assert {(r.func, r.level) for r in got.collect()} == {(i, i) for i in range(40)}
 
 
+def test_reach_by_components(spark):
+    """More edges than a task takes, in small components: no round for each step."""
+    seeds = spark.createDataFrame([(7, 0), (7, 105), (8, 100), (9, 5000)], "tag long, id long")
+    want = [(7, i) for i in range(13)] + [(7, 100 + i) for i in range(5, 13)] + [(8, 100 + i) for i in range(13)] + [(9, 5000)]
+    assert rows(fixpoint.reach(seeds, chains(spark), max_rounds=3, small=50)) == sorted(want)
+    named = fixpoint.reach(seeds.withColumn("tag", F.struct(F.lit("x"), "tag")), chains(spark), max_rounds=3, small=50).select("tag.tag", "id")
+    assert rows(named) == sorted(want)
+
+
+def test_reach_with_one_large_component(spark):
+    """Components that fit go in parts, the one that does not in the loop."""
+    edges = chains(spark, 4, 5).union(spark.range(1000, 1030).select("id", F.col("id") + 1))
+    seeds = spark.createDataFrame([(1, 0), (1, 1000), (2, 1020)], "tag long, id long")
+    assert rows(fixpoint.reach(seeds, edges, small=20)) == sorted([(1, i) for i in range(6)] + [(1, 1000 + i) for i in range(31)] + [(2, 1020 + i) for i in range(11)])
+
+
 def test_weighted_classes_by_components(spark):
     eq = chains(spark).select(F.col("src").alias("n1"), F.lit(4).cast("long").alias("o1"), F.col("dst").alias("n2"), F.lit(0).cast("long").alias("o2"))
     nodes = eq.select(F.col("n1").alias("node")).union(spark.createDataFrame([(5000,)], "node long"))
