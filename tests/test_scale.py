@@ -54,6 +54,13 @@ def test_reach_with_one_large_component(spark):
     assert rows(fixpoint.reach(seeds, edges, small=20)) == sorted([(1, i) for i in range(6)] + [(1, 1000 + i) for i in range(31)] + [(2, 1020 + i) for i in range(11)])
 
 
+def test_regions_by_components(spark, monkeypatch):
+    monkeypatch.setattr(shadow, "reach", partial(fixpoint.reach, max_rounds=3, small=50))
+    links = chains(spark).withColumnRenamed("src", "node")
+    got = shadow.regions(spark.createDataFrame([(1, 6)], "func long, node long"), spark.createDataFrame([(1, 3), (2, 110)], "func long, node long"), links)
+    assert rows(got) == sorted([(1, i, "in") for i in range(6, 13)] + [(1, i, "out") for i in range(3, 6)] + [(2, i, "out") for i in range(110, 113)])
+
+
 def test_weighted_classes_by_components(spark):
     eq = chains(spark).select(F.col("src").alias("n1"), F.lit(4).cast("long").alias("o1"), F.col("dst").alias("n2"), F.lit(0).cast("long").alias("o2"))
     nodes = eq.select(F.col("n1").alias("node")).union(spark.createDataFrame([(5000,)], "node long"))
