@@ -9,7 +9,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .fixpoint import SMALL, appended, cut, cut_folder
+from .fixpoint import SMALL, appended, components, cut, cut_folder, in_parts, split_by_component
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -64,22 +64,36 @@ def _step(fresh: DataFrame, l1: DataFrame, l2: DataFrame) -> DataFrame:
 def simulate(seeds: DataFrame, links1: DataFrame, links2: DataFrame, max_rounds: int = 10_000, small: int = SMALL) -> tuple[DataFrame, DataFrame]:
     """Closure of (cs, n1, n2, off) along equal fields, and the violations (cs, n1, n2) where a field has no image.
 
-    Where seeds and links are few (counted first), one task closes each group of
-    call sites; else a loop of joins, each round of which appends what is new.
+    Where seeds and links are few (counted first), one task closes all. For more
+    of them, nodes that seeds or links tie to each other are a component, many
+    tasks close some components each, and only components that are too large
+    for a task take a loop of joins, each round of which appends what is new.
     """
     l1 = cut(links1.select(F.col("node").alias("n1"), F.col("off").alias("f"), "ftype", F.col("dst").alias("d1"), F.col("dst_off").alias("x1")))
     l2 = cut(links2.select(F.col("node").alias("m2"), F.col("off").alias("g"), F.col("ftype").alias("t2"), F.col("dst").alias("d2"), F.col("dst_off").alias("x2")))
     fresh = cut(seeds.select("cs", "n1", "n2", "off").distinct())
-    spark = fresh.sparkSession
-    # fields of the two graphs that match, whatever the offset between them: joined once
+    none = F.lit(None).cast("string")
+    rows = fresh.select(F.lit(0).alias("kind"), F.col("cs").alias("a"), F.col("n1").alias("b"), F.col("n2").alias("c"), F.col("off").alias("d"), none.alias("s"), F.col("n1").alias("node"))
+    rows = rows.union(l1.select(F.lit(1), "n1", "f", "d1", "x1", "ftype", "n1")).union(l2.filter("t2 is not null").select(F.lit(2), "m2", "g", "d2", "x2", "t2", "m2"))
+    schema = "bad boolean, cs long, n1 long, n2 long, off long"
+    rest = None
     if fresh.count() + l1.count() + l2.count() <= small:
-        types = l1.select("ftype").union(l2.select(F.col("t2").alias("ftype"))).distinct().select("ftype", F.xxhash64("ftype").alias("t"))
-        types = F.broadcast(cut(types))  # of links counted above
-        rows = fresh.select(F.lit(0).alias("kind"), F.col("cs").alias("a"), F.col("n1").alias("b"), F.col("n2").alias("c"), F.col("off").alias("d"), F.lit(0).cast("long").alias("e"))
-        rows = rows.union(l1.join(types, "ftype").select(F.lit(1), "n1", "f", "t", "d1", "x1")).union(l2.withColumnRenamed("t2", "ftype").join(types, "ftype").select(F.lit(2), "m2", "g", "t", "d2", "x2"))
-        found = rows.withColumn("one", F.lit(0)).groupBy("one").applyInArrow(_close, "bad boolean, cs long, n1 long, n2 long, off long")
-        found = cut(found)
-        return found.filter("not bad").select("cs", "n1", "n2", "off"), found.filter("bad").select("cs", "n1", "n2").distinct()
+        found = in_parts(rows.drop("node"), _close, schema)
+    else:
+        ties = fresh.select(F.col("n1").alias("a"), F.col("n2").alias("b")).union(l1.select("n1", "d1")).union(l2.select("m2", "d2"))
+        fit, rest = split_by_component(rows, cut(components(ties, small=small)), small)
+        found = in_parts(fit.drop("node"), _close, schema, "rep", 100_000)
+    found = cut(found)
+    sim, bad = found.filter("not bad").select("cs", "n1", "n2", "off"), found.filter("bad").select("cs", "n1", "n2")
+    if rest is not None:
+        of = lambda k, *names: cut(rest.filter(F.col("kind") == k).select(*[F.col(c).alias(n) for c, n in zip("abcds", names)]))
+        more, worse = _simulate_loop(of(0, "cs", "n1", "n2", "off"), of(1, "n1", "f", "d1", "x1", "ftype"), of(2, "m2", "g", "d2", "x2", "t2"), max_rounds)
+        sim, bad = sim.union(more), bad.union(worse)
+    return sim, bad.distinct()
+
+
+def _simulate_loop(fresh: DataFrame, l1: DataFrame, l2: DataFrame, max_rounds: int) -> tuple[DataFrame, DataFrame]:
+    spark = fresh.sparkSession
     folder, bad_folder = cut_folder(spark), cut_folder(spark)
     known = appended(fresh, folder)
     bad = appended(fresh.select("cs", "n1", "n2").filter("false"), bad_folder)
@@ -94,21 +108,25 @@ def simulate(seeds: DataFrame, links1: DataFrame, links2: DataFrame, max_rounds:
     raise RuntimeError(f"no fixpoint in {max_rounds} rounds")
 
 
-def _close(table: pa.Table) -> pa.Table:
-    """The closure over all rows of a counted table, breadth first."""
-    kind = table.column("kind").to_numpy(zero_copy_only=False)
-    seeds, ones, twos = ([table.column(x).to_numpy(zero_copy_only=False)[kind == k].tolist() for x in "abcde"] for k in range(3))
+def _close(batches):
+    """The closure over all rows of some tasks' components, breadth first."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    table = pa.Table.from_batches(held)
+    kind = table.column("kind").to_numpy()
+    columns = lambda k, names: [table.column(x).filter(pa.array(kind == k)).to_pylist() for x in names]
     right: dict[tuple, list] = {}
-    for m2, g, t, d2, x2 in zip(*twos):
+    for m2, g, d2, x2, t in zip(*columns(2, "abcds")):
         right.setdefault((m2, g, t), []).append((d2, x2))
     left: dict[int, list] = {}
-    for n1, *field in zip(*ones):
+    for n1, *field in zip(*columns(1, "abcds")):
         left.setdefault(n1, []).append(field)
-    known = set(zip(*seeds[:4]))
+    known = set(zip(*columns(0, "abcd")))
     todo, bad = list(known), set()
     while todo:
         cs, n1, n2, off = todo.pop()
-        for f, t, d1, x1 in left.get(n1, ()):
+        for f, d1, x1, t in left.get(n1, ()):
             targets = right.get((n2, f + off, t), ())
             if not targets:
                 bad.add((cs, n1, n2))
@@ -118,6 +136,7 @@ def _close(table: pa.Table) -> pa.Table:
                 elif (new := (cs, d1, d2, x2 - x1)) not in known:
                     known.add(new)
                     todo.append(new)
-    rows = [(False, *k) for k in known] + [(True, *k, 0) for k in bad]
-    names = ["bad", "cs", "n1", "n2", "off"]
-    return pa.table([pa.array([r[i] for r in rows], pa.bool_() if i == 0 else pa.int64()) for i in range(5)], names)
+    for flag, found in ((False, known), (True, [(*k, 0) for k in bad])):
+        if found:
+            values = [pa.array(x, pa.int64()) for x in zip(*found)]
+            yield pa.RecordBatch.from_arrays([pa.array([flag] * len(found)), *values], ["bad", "cs", "n1", "n2", "off"])

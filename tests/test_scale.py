@@ -61,6 +61,14 @@ def test_regions_by_components(spark, monkeypatch):
     assert rows(got) == sorted([(1, i, "in") for i in range(6, 13)] + [(1, i, "out") for i in range(3, 6)] + [(2, i, "out") for i in range(110, 113)])
 
 
+def test_simulation_by_components(spark):
+    links = chains(spark).select(F.col("src").alias("node"), F.lit(0).cast("long").alias("off"), F.lit("t").alias("ftype"), "dst", F.lit(0).cast("long").alias("dst_off"))
+    seeds = spark.createDataFrame([(1, 0, 101, 0), (2, 200, 200, 0)], "cs long, n1 long, n2 long, off long")
+    sim, bad = simulate.simulate(seeds, links, links, max_rounds=3, small=50)
+    assert rows(sim) == sorted([(1, i, 101 + i, 0) for i in range(12)] + [(2, 200 + i, 200 + i, 0) for i in range(13)])
+    assert rows(bad) == [(1, 11, 112)]
+
+
 def test_weighted_classes_by_components(spark):
     eq = chains(spark).select(F.col("src").alias("n1"), F.lit(4).cast("long").alias("o1"), F.col("dst").alias("n2"), F.lit(0).cast("long").alias("o2"))
     nodes = eq.select(F.col("n1").alias("node")).union(spark.createDataFrame([(5000,)], "node long"))
