@@ -61,6 +61,14 @@ def test_regions_by_components(spark, monkeypatch):
     assert rows(got) == sorted([(1, i, "in") for i in range(6, 13)] + [(1, i, "out") for i in range(3, 6)] + [(2, i, "out") for i in range(110, 113)])
 
 
+def test_summary_specs_by_components(spark, monkeypatch):
+    monkeypatch.setattr(specs, "reach", partial(fixpoint.reach, max_rounds=3, small=50))
+    links = chains(spark).select(F.col("src").alias("node"), F.lit(8).cast("long").alias("off"), "dst")
+    none = spark.createDataFrame([(2, 0, True, 0)], "node long, flags int, collapsed boolean, stride long")
+    got = specs.summary_spec(spark.createDataFrame([(1, 1)], "func long, node long"), none, links)
+    assert {r[1:] for r in rows(got.na.fill(-1))} == {("link", i, 8, i + 1) for i in range(1, 12)} | {("collapse", 2, -1, -1)}
+
+
 def test_simulation_by_components(spark):
     links = chains(spark).select(F.col("src").alias("node"), F.lit(0).cast("long").alias("off"), F.lit("t").alias("ftype"), "dst", F.lit(0).cast("long").alias("dst_off"))
     seeds = spark.createDataFrame([(1, 0, 101, 0), (2, 200, 200, 0)], "cs long, n1 long, n2 long, off long")
