@@ -82,3 +82,16 @@ def test_weighted_classes_by_components(spark):
     nodes = eq.select(F.col("n1").alias("node")).union(spark.createDataFrame([(5000,)], "node long"))
     want = [(100 * i + j, 100 * i, 4 * j, False) for i in range(12) for j in range(13)] + [(5000, 5000, 0, False)]
     assert rows(fixpoint.weighted_components(nodes, eq, max_rounds=2, small=50)) == sorted(want)
+
+
+def test_cycles_are_condensed_within_ranges_first(spark, monkeypatch):
+    """Many small cycles in a long chain: what is left of them fits one task, so that no search from pivots is needed."""
+    monkeypatch.setattr(callgraph, "reach", None)
+    funcs = spark.range(100).withColumnRenamed("id", "func")
+    f, low = F.col("func"), F.col("func") - F.col("func") % 10
+    calls = funcs.select(f.alias("caller"), (low + (f + 1) % 10).alias("callee")).union(funcs.filter("func >= 10").select("func", f - 10)).union(funcs.filter("func >= 10").select("func", low - 10))
+    calls = calls.withColumn("cs", F.monotonically_increasing_id())
+    found = callgraph.scc(funcs, calls, small=150)
+    assert rows(found) == [(i, i - i % 10) for i in range(100)]
+    assert {r.n_uses for r in callgraph.uses_and_defs(calls, found).filter("func < 10").collect()} == {30}
+    assert rows(callgraph.merged_by_cycles(funcs.withColumn("scc", f), found)) == [(i, i - i % 10) for i in range(100) if i % 10]
