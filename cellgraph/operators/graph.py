@@ -70,7 +70,7 @@ def collapse_offsets(links: DataFrame, collapsed: DataFrame) -> DataFrame:
 
 def reachable_nodes(roots: DataFrame, links: DataFrame) -> DataFrame:
     """(tag, id) of all nodes that links lead to from the roots (tag, id)."""
-    return reach(roots, links.select(F.col("node").alias("src"), F.col("dst")).distinct())
+    return reach(roots, links.select(F.col("node").alias("src"), F.col("dst")))
 
 
 def remove_dead(nodes: DataFrame, cells: DataFrame, links: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from functools import partial
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from cellgraph.operators import callgraph, fixpoint, shadow, simulate, sites
@@ -95,3 +96,13 @@ def test_cycles_are_condensed_within_ranges_first(spark, monkeypatch):
     assert rows(found) == [(i, i - i % 10) for i in range(100)]
     assert {r.n_uses for r in callgraph.uses_and_defs(calls, found).filter("func < 10").collect()} == {30}
     assert rows(callgraph.merged_by_cycles(funcs.withColumn("scc", f), found)) == [(i, i - i % 10) for i in range(100) if i % 10]
+
+
+def test_reach_writes_few_tables(spark, monkeypatch):
+    """Components are found while rows are dealt to ranges: six tables are written, not one for each step."""
+    cuts, cut = [], fixpoint.cut
+    monkeypatch.setattr(fixpoint, "cut", lambda df: cuts.append(1) or cut(df))
+    seeds = spark.createDataFrame([(7, 0), (7, 105), (8, 1100)], "tag long, id long")
+    got = rows(fixpoint.reach(seeds, chains(spark).union(chains(spark)), max_rounds=3, small=50))
+    assert got == sorted([(7, i) for i in range(13)] + [(7, 100 + i) for i in range(5, 13)] + [(8, 1100 + i) for i in range(13)])
+    assert len(cuts) <= 6
