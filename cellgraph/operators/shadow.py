@@ -25,11 +25,9 @@ def regions(arguments: DataFrame, returns: DataFrame, links: DataFrame) -> DataF
 
     ``arguments`` and ``returns`` are (func, node).
     """
-    edges = links.select(F.col("node").alias("src"), "dst").distinct()
     seed = lambda df: df.select(F.col("func").alias("tag"), F.col("node").alias("id"))
-    inside, result = reach(seed(arguments), edges), reach(seed(returns), edges)
-    only = result.join(inside, ["tag", "id"], "left_anti")
-    return inside.withColumn("side", F.lit("in")).union(only.withColumn("side", F.lit("out"))).select(F.col("tag").alias("func"), F.col("id").alias("node"), "side")
+    found = reach(seed(arguments), links.select(F.col("node").alias("src"), "dst"), then=seed(returns))
+    return found.select(F.col("tag").alias("func"), F.col("id").alias("node"), F.when(F.col("turn") == 0, "in").otherwise("out").alias("side"))
 
 
 def operations(instructions: DataFrame, alloc_is_def: bool = False) -> DataFrame:

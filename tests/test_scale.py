@@ -106,3 +106,15 @@ def test_reach_writes_few_tables(spark, monkeypatch):
     got = rows(fixpoint.reach(seeds, chains(spark).union(chains(spark)), max_rounds=3, small=50))
     assert got == sorted([(7, i) for i in range(13)] + [(7, 100 + i) for i in range(5, 13)] + [(8, 1100 + i) for i in range(13)])
     assert len(cuts) <= 6
+
+
+def test_regions_by_one_closure(spark, monkeypatch):
+    """What only the result reaches is found in the closure of the arguments, without a second one; large components likewise."""
+    calls = []
+    monkeypatch.setattr(shadow, "reach", lambda *a, **k: calls.append(1) or fixpoint.reach(*a, **k, small=small))
+    arguments, returns = (spark.createDataFrame(x, "func long, node long") for x in ([(1, 6), (3, 100)], [(1, 3), (2, 110), (3, 1000), (3, 105)]))
+    for small in (10, 50, 1000):
+        got = shadow.regions(arguments, returns, chains(spark).withColumnRenamed("src", "node"))
+        want = [(1, i, "in") for i in range(6, 13)] + [(1, i, "out") for i in range(3, 6)] + [(2, i, "out") for i in range(110, 113)]
+        assert rows(got) == sorted(want + [(3, i, "in") for i in range(100, 113)] + [(3, i, "out") for i in range(1000, 1013)])
+    assert len(calls) == 3
