@@ -40,13 +40,15 @@ def kind_of(name, prefix: str):
 def summary_spec(formals: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame:
     """func, kind, arg0, arg1, arg2: calls that rebuild a summary graph: flags, collapses, arrays and links of all nodes that the formals (func, node) reach."""
     own = reach(formals.select(F.col("func").alias("tag"), F.col("node").alias("id")), links.select(F.col("node").alias("src"), "dst")).select(F.col("tag").alias("func"), F.col("id").alias("node"))
-    at = own.join(nodes, "node")
     none = F.lit(None).cast("long")
-    out = links.join(own, "node").select("func", F.lit("link").alias("kind"), F.col("node").alias("arg0"), F.col("off").alias("arg1"), F.col("dst").alias("arg2"))
-    for flag, kind in FLAG_KINDS.items():
-        out = out.union(at.filter(F.col("flags").bitwiseAND(F.lit(FLAG[flag])) != 0).select("func", F.lit(kind), "node", none, none))
-    out = out.union(at.filter("collapsed").select("func", F.lit("collapse"), "node", none, none))
-    return out.union(at.filter("stride > 0").select("func", F.lit("mk_seq"), "node", "stride", none)).distinct()
+    items = links.select("node", "off", "dst").distinct().select("node", F.lit("link").alias("kind"), F.col("off").alias("arg1"), F.col("dst").alias("arg2"))
+    # what is said of a node is made distinct before it is repeated for each function
+    once = nodes.groupBy("node").agg(F.bit_or("flags").alias("flags"), F.bool_or("collapsed").alias("collapsed"), F.collect_set(F.when(F.col("stride") > 0, F.col("stride").cast("long"))).alias("strides"))
+    call = lambda kind, arg1: F.struct(F.lit(kind).alias("kind"), arg1.alias("arg1"))
+    said = [F.when(F.col("flags").bitwiseAND(F.lit(FLAG[flag])) != 0, call(kind, none)) for flag, kind in FLAG_KINDS.items()]
+    said = F.filter(F.array(*said, F.when(F.col("collapsed"), call("collapse", none))), lambda x: x.isNotNull())
+    of_nodes = once.select("node", F.explode(F.concat(said, F.transform("strides", lambda s: call("mk_seq", s)))).alias("x")).select("node", "x.kind", "x.arg1", none.alias("arg2"))
+    return own.join(items.union(of_nodes), "node").select("func", "kind", F.col("node").alias("arg0"), "arg1", "arg2")
 
 
 def pointer_bytes(layout):

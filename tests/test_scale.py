@@ -118,3 +118,14 @@ def test_regions_by_one_closure(spark, monkeypatch):
         want = [(1, i, "in") for i in range(6, 13)] + [(1, i, "out") for i in range(3, 6)] + [(2, i, "out") for i in range(110, 113)]
         assert rows(got) == sorted(want + [(3, i, "in") for i in range(100, 113)] + [(3, i, "out") for i in range(1000, 1013)])
     assert len(calls) == 3
+
+
+def test_summary_specs_say_each_thing_once_before_the_join(spark):
+    """Repeated rows of nodes and links are made distinct before they meet the functions, not after."""
+    nodes = spark.createDataFrame([(2, 1, True, 8), (2, 1, False, 8), (2, 2, None, 4)], "node long, flags int, collapsed boolean, stride long")
+    links = spark.createDataFrame([(1, 8, 2), (1, 8, 2)], "node long, off long, dst long")
+    got = specs.summary_spec(spark.createDataFrame([(1, 1)], "func long, node long"), nodes, links)
+    top = got._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
+    assert "Aggregate" not in top
+    found = rows(got.na.fill(-1))
+    assert len(found) == len(set(found)) and {x for x in found if x[1] in ("link", "collapse", "mk_seq")} == {(1, "link", 1, 8, 2), (1, "collapse", 2, -1, -1), (1, "mk_seq", 2, 8, -1), (1, "mk_seq", 2, 4, -1)}
