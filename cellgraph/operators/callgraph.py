@@ -6,11 +6,12 @@ import sys
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .fixpoint import BIN, columns_of, cut, in_parts, ranked, reach
+from .fixpoint import BIN, FEW, columns_of, cut, in_parts, ranked, reach
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -109,8 +110,8 @@ def _forward_backward(functions: DataFrame, edges: DataFrame) -> DataFrame:
         fwd = edges.join(side, F.col("caller") == F.col("f")).select("caller", "callee", F.col("part").alias("p")).join(side, F.col("callee") == F.col("f")).filter("p = part").select(F.col("caller").alias("src"), F.col("callee").alias("dst"))
         bwd = back.join(side, F.col("src") == F.col("f")).select("src", "dst", F.col("part").alias("p")).join(side, F.col("dst") == F.col("f")).filter("p = part").select("src", "dst")
         seeds = todo.groupBy("part").agg(F.min("func").alias("id")).select(F.col("part").alias("tag"), "id")
-        f = reach(seeds, cut(fwd)).select(F.col("id").alias("func"), F.lit(1).alias("f"))
-        b = reach(seeds, cut(bwd)).select(F.col("id").alias("func"), F.lit(1).alias("b"))
+        f = cut(reach(seeds, cut(fwd))).select(F.col("id").alias("func"), F.lit(1).alias("f"))
+        b = cut(reach(seeds, cut(bwd))).select(F.col("id").alias("func"), F.lit(1).alias("b"))
         split = todo.join(f, "func", "left").join(b, "func", "left").join(seeds.select(F.col("tag").alias("part"), F.col("id").alias("pivot")), "part")
         settled = split.filter("f = 1 and b = 1").select("func", F.col("pivot").alias("scc"))
         done = cut(settled if done is None else done.union(settled))
@@ -160,13 +161,33 @@ def statistics(calls: DataFrame) -> DataFrame:
 
 def uses_and_defs(calls: DataFrame, components: DataFrame) -> DataFrame:
     """func, n_uses, n_defs: call sites where it or a member of its component is callee or caller."""
-    by = components.select("func", "scc")
-    use = calls.join(by.withColumnRenamed("func", "callee"), "callee").groupBy("scc").agg(F.count_distinct("cs").alias("u"))
-    dfn = calls.join(by.withColumnRenamed("func", "caller"), "caller").groupBy("scc").agg(F.count_distinct("cs").alias("d"))
-    out = by.join(use, "scc", "left").join(dfn, "scc", "left")
+    by = cut(components.select("func", "scc"))
+    few = F.broadcast if by.count() <= FEW else lambda df: df
+    at = calls.join(few(by.select(F.col("func").alias("callee"), F.col("scc").alias("u"))), "callee", "left").join(few(by.select(F.col("func").alias("caller"), F.col("scc").alias("d"))), "caller", "left")
+    # all rows of a call site come to one task, which counts it once for each component
+    parts = in_parts(at.select("cs", "u", "d", F.col("cs").alias("key")), _site_counts, "scc long, u long, d long", "key", 2 * BIN, calls.count())
+    n = parts.groupBy("scc").agg(F.sum("u").alias("u"), F.sum("d").alias("d"))
+    out = by.join(few(n), "scc", "left")
     return out.select("func", F.coalesce("u", F.lit(0)).alias("n_uses"), F.coalesce("d", F.lit(0)).alias("n_defs"))
 
 
+def _site_counts(batches):
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    t = pa.Table.from_batches(held)
+    for i, side in enumerate(("u", "d")):
+        pairs = t.filter(pc.and_(t.column("cs").is_valid(), t.column(side).is_valid()))
+        c, k = pairs.column(side).to_numpy(), pairs.column("cs").to_numpy()
+        order = np.lexsort((c, k))
+        c, k = c[order], k[order]
+        fresh = np.ones(len(c), bool)
+        fresh[1:] = (c[1:] != c[:-1]) | (k[1:] != k[:-1])
+        scc, n = np.unique(c[fresh], return_counts=True)
+        none = np.zeros(len(n), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (scc, none if i else n, n if i else none)], ["scc", "u", "d"])
+
+
 def positional(actuals: DataFrame, formals: DataFrame, calls: DataFrame, pointers: bool = False) -> DataFrame:
     """Equations (a, b) between actual and formal values by position.
 

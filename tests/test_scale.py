@@ -129,3 +129,24 @@ def test_summary_specs_say_each_thing_once_before_the_join(spark):
     assert "Aggregate" not in top
     found = rows(got.na.fill(-1))
     assert len(found) == len(set(found)) and {x for x in found if x[1] in ("link", "collapse", "mk_seq")} == {(1, "link", 1, 8, 2), (1, "collapse", 2, -1, -1), (1, "mk_seq", 2, 8, -1), (1, "mk_seq", 2, 4, -1)}
+
+
+def test_weighted_classes_do_not_hang_on_the_order_of_rows():
+    """Classes with conflicts too; and long chains in any order."""
+    rng = np.random.default_rng(1)
+    a, b, w = rng.integers(0, 300, 400), rng.integers(0, 300, 400), rng.integers(0, 4, 400)
+    one = fixpoint._weighted_labels(np.arange(300), a, b, w)
+    mixed = rng.permutation(400)
+    assert all((x == y).all() for x, y in zip(one, fixpoint._weighted_labels(np.arange(300), a[mixed], b[mixed], w[mixed])))
+    n = rng.permutation(20_000)
+    ids, rep, delta, bad = fixpoint._weighted_labels(ids_ := np.arange(20_001), n, n + 1, np.full(20_000, 3))
+    assert (rep == 0).all() and (delta == 3 * ids_).all() and not bad.any()
+
+
+def test_uses_count_a_site_once_for_each_component(spark):
+    """Sites with several callees, and functions of no call; one table of calls is dealt out by site."""
+    comp = spark.createDataFrame([(1, 1), (2, 1), (3, 3), (4, 4)], "func long, scc long")
+    calls = spark.createDataFrame([(10, 1, 1), (10, 1, 2), (10, 1, 3), (11, 3, 2), (11, 3, 2), (12, 3, 9)], "cs long, caller long, callee long")
+    got = callgraph.uses_and_defs(calls, comp)
+    assert rows(got) == [(1, 2, 1), (2, 2, 1), (3, 1, 2), (4, 0, 0)]
+    assert "MapInArrow" in got._jdf.queryExecution().optimizedPlan().toString()
