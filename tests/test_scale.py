@@ -150,3 +150,12 @@ def test_uses_count_a_site_once_for_each_component(spark):
     got = callgraph.uses_and_defs(calls, comp)
     assert rows(got) == [(1, 2, 1), (2, 2, 1), (3, 1, 2), (4, 0, 0)]
     assert "MapInArrow" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_merged_by_cycles_reads_the_calls_once(spark, monkeypatch):
+    from cellgraph.plans import facts, more
+
+    taken, get = [], facts.Facts.__getitem__
+    monkeypatch.setattr(facts.Facts, "__getitem__", lambda self, name: taken.append(name) or get(self, name))
+    assert more.graphs_merged_by_cycles(facts.Facts(spark, "/root/testdata/sf0.001")).columns == ["old", "new"]
+    assert sorted(taken) == ["call", "func"]
