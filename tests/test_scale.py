@@ -159,3 +159,35 @@ def test_merged_by_cycles_reads_the_calls_once(spark, monkeypatch):
     monkeypatch.setattr(facts.Facts, "__getitem__", lambda self, name: taken.append(name) or get(self, name))
     assert more.graphs_merged_by_cycles(facts.Facts(spark, "/root/testdata/sf0.001")).columns == ["old", "new"]
     assert sorted(taken) == ["call", "func"]
+
+
+def test_weighted_classes_within_ranges(spark, monkeypatch):
+    """Pointers have lower ids than all objects: classes are solved where the objects are, only shared ones again; conflicts come out as in one task."""
+    monkeypatch.setattr(fixpoint, "BIN", 100)
+    monkeypatch.setattr(fixpoint, "by_component", None)
+    rng = np.random.default_rng(4)
+    body = np.repeat(np.arange(-30, 70), 6)
+    x, y, o = body * 8 + rng.integers(0, 8, 600), (1000 + body + (rng.random(600) < 0.05)) * 16 + rng.integers(0, 16, 600), rng.integers(0, 2, 600) * 8
+    none = [(7, None, 17000, 0), (None, 0, 17000, 0), (7, 0, None, 0)]
+    eq = spark.createDataFrame([(a, c, b, 0) for a, b, c in zip(x.tolist(), y.tolist(), o.tolist())] + none, "n1 long, o1 long, n2 long, o2 long")
+    nodes = spark.createDataFrame([(5,), (-900,), (99_999,), (None,)], "node long")
+    want = list(zip(*(v.tolist() for v in fixpoint._weighted_labels(np.array([5, -900, 99_999]), x, y, o))))
+    assert 10 < sum(r[3] for r in want) < len(want) - 10
+    assert rows(fixpoint.weighted_components(nodes, eq, small=400)) == sorted(want)
+
+
+def test_ids_in_two_ranges(spark):
+    words = [(-1, -(2**63)), (-1, -(2**63) + 1), (3, 5), (3, 4), (3, 12), (4, 1)]
+    assert rows(fixpoint._in_two_ranges(spark.createDataFrame(words, "word long, bits long"))) == [(-1,), (194,)]
+
+
+def test_weighted_unify_of_rows_with_nulls(spark, sf, tmp_path):
+    """A row with a null tells no equation, but what it names is a vertex."""
+    from cellgraph.plans import catalog, facts
+
+    line = spark.read.parquet(f"{sf}/lineitem.parquet").limit(200)
+    for i, c in enumerate(("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")):
+        line = line.withColumn(c, F.when(F.col("l_quantity") % 8 != 2 * i, F.col(c)))
+    line.write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = rows(catalog.queries()["weighted_unify"](spark, str(tmp_path)).select("node"))
+    assert got == rows(facts.Facts(spark, str(tmp_path))["vertex"].dropna())
