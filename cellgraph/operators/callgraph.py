@@ -64,11 +64,28 @@ def _tarjan(funcs: np.ndarray, src: np.ndarray, dst: np.ndarray) -> tuple[np.nda
     return funcs, nodes[np.array(least, np.int64)[c]], np.array(level, np.int64)[c]
 
 
+def _different(src: np.ndarray, dst: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different edges, by source."""
+    if not len(src):
+        return src, dst
+    low, wide = dst.min(), int(dst.max()) - int(dst.min()) + 1
+    base = src.min()
+    if (int(src.max()) - int(base) + 1) * wide < 2**63:
+        at = np.sort((src - base) * wide + (dst - low))  # np.unique hashes, which is slower
+        at = at[np.append(True, at[1:] != at[:-1])]
+        up = at // wide
+        return up + base, at - up * wide + low
+    order = np.lexsort((dst, src))
+    src, dst = src[order], dst[order]
+    fresh = np.append(True, (src[1:] != src[:-1]) | (dst[1:] != dst[:-1]))
+    return src[fresh], dst[fresh]
+
+
 def _condense_batches(batches):
     t = columns_of(batches)
     if t:
         edge = t["kind"] == 1
-        found = _tarjan(t["x"][~edge], t["x"][edge], t["y"][edge])
+        found = _tarjan(t["x"][~edge], *_different(t["x"][edge], t["y"][edge]))
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["func", "scc", "level"])
 
 
@@ -81,16 +98,45 @@ def _condensed(functions: DataFrame, edges: DataFrame, key: str | None = None) -
     return rows.repartitionByRange(max(2, -(-rows.count() // BIN)), key).mapInArrow(_condense_batches, schema)
 
 
+def _fewer_calls(batches):
+    """Calls with the same components as those of this task: each once; those in cycles found here are replaced by calls to and from the cycle's least function, which takes over all others."""
+    held, more, n = (np.empty(0, np.int64),) * 2, [], 0
+
+    def out(src, dst):
+        for i in range(0, len(src), BIN):
+            a, b = src[i : i + BIN], dst[i : i + BIN]
+            funcs, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+            top = _tarjan(funcs, a, b)[1]
+            s, d = top[at[: len(a)]], top[at[len(a) :]]
+            low = funcs != top
+            s, d = np.concatenate([s, funcs[low], top[low]]), np.concatenate([d, top[low], funcs[low]])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in _different(s[s != d], d[s != d])], ["caller", "callee"])
+
+    for b in batches:
+        more.append([b.column(c).to_numpy() for c in ("caller", "callee")])
+        n += b.num_rows
+        if n >= 2 * BIN:
+            held, more, n = _different(*map(np.concatenate, zip(held, *more))), [], 0
+            if len(held[0]) > 4 * BIN:
+                yield from out(*held)
+                held = held[0][:0], held[1][:0]
+    yield from out(*_different(*map(np.concatenate, zip(held, *more))))
+
+
 def scc(functions: DataFrame, calls: DataFrame, small: int = ONE_TASK) -> DataFrame:
     """func, scc (its smallest member): who reaches each other is one component.
 
-    Small graphs (counted first) are searched in one task. Larger ones are first
+    Cycles are condensed where the calls are read, before any shuffle. What is
+    left, if small (counted), is searched in one task. Larger graphs are next
     condensed within ranges of functions; if what is left is still large:
     forward-backward search from the least function of every weakly closed part
     left: each round settles one component in each part and splits the rest.
     """
-    edges = cut(calls.select("caller", "callee").distinct())
-    if edges.count() + functions.count() <= small:
+    edges = cut(calls.select(F.col("caller").cast("long"), F.col("callee").cast("long")).dropna().mapInArrow(_fewer_calls, "caller long, callee long"))
+    n = functions.count()
+    if edges.count() + n > small:
+        edges = cut(edges.distinct())
+    if edges.count() + n <= small:
         return _condensed(functions, edges).select("func", "scc")
     funcs = cut(functions.select("func").union(edges.select("caller")).union(edges.select("callee")).distinct())
     local = cut(_condensed(funcs, edges, "x").select("func", "scc"))

@@ -191,3 +191,31 @@ def test_weighted_unify_of_rows_with_nulls(spark, sf, tmp_path):
     line.write.parquet(str(tmp_path / "lineitem.parquet"))
     got = rows(catalog.queries()["weighted_unify"](spark, str(tmp_path)).select("node"))
     assert got == rows(facts.Facts(spark, str(tmp_path))["vertex"].dropna())
+
+
+def test_calls_are_condensed_where_they_are_read(spark, monkeypatch):
+    """Of ten groups that call all of their group, calls to and from the least are left, whatever is repeated; nulls call nothing."""
+    sizes, cut = [], callgraph.cut
+    monkeypatch.setattr(callgraph, "cut", lambda df: sizes.append((kept := cut(df)).count()) or kept)
+    f, g = F.col("func"), F.floor(F.col("func") / 10) * 10
+    funcs = spark.range(100).withColumnRenamed("id", "func").coalesce(1)
+    calls = funcs.select(f.alias("caller"), F.explode(F.sequence(g, g + 9)).alias("callee")).union(funcs.filter("func >= 10").select(f, f - 10))
+    calls = calls.unionAll(calls).coalesce(1).union(spark.createDataFrame([(None, 3), (3, None)], "caller long, callee long"))
+    assert rows(callgraph.scc(funcs, calls)) == [(i, i - i % 10) for i in range(100)]
+    assert sizes[0] <= 10 * 18 + 9
+
+
+def test_components_of_calls_in_several_tasks(spark, monkeypatch):
+    """Cycles across tasks and their slices, far ids, few slices or many: the same as by reachability."""
+    monkeypatch.setattr(callgraph, "BIN", 7)
+    rng = np.random.default_rng(6)
+    for scale in (1, 2**55):
+        pairs = [(int(a) * scale, int(b) * scale) for a, b in rng.integers(-30, 30, (75, 2))]
+        nodes = sorted({n for p in pairs for n in p})
+        sees = {n: {n} for n in nodes}
+        while any(len(sees[a]) < len(new := sees[a] | sees[b]) and not sees.update({a: new}) for a, b in pairs):
+            pass
+        want = [(n, min(m for m in sees[n] if n in sees[m])) for n in nodes]
+        assert any(a != b for a, b in want)
+        got = callgraph.scc(spark.createDataFrame([(n,) for n in nodes], "func long"), spark.createDataFrame(pairs, "caller long, callee long").repartition(3))
+        assert rows(got) == want
