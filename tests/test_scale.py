@@ -176,6 +176,16 @@ def test_weighted_classes_within_ranges(spark, monkeypatch):
     assert rows(fixpoint.weighted_components(nodes, eq, small=400)) == sorted(want)
 
 
+def test_least_of_each_by_numbers_or_rows():
+    """Large gaps do not fit one number with both ends: the same either way."""
+    rng = np.random.default_rng(5)
+    hi, lo, gap = rng.integers(0, 50, 300), rng.integers(0, 5, 300), rng.integers(-3, 3, 300)
+    for scale in (1, 2**58):
+        got = fixpoint._least_of_each(hi, lo, gap * scale, 50)
+        want = {h: min((x, g) for k, x, g in zip(hi.tolist(), lo.tolist(), (gap * scale).tolist()) if k == h) for h in hi.tolist()}
+        assert list(zip(*(v.tolist() for v in got))) == [(h, *want[h]) for h in sorted(want)]
+
+
 def test_ids_in_two_ranges(spark):
     words = [(-1, -(2**63)), (-1, -(2**63) + 1), (3, 5), (3, 4), (3, 12), (4, 1)]
     assert rows(fixpoint._in_two_ranges(spark.createDataFrame(words, "word long, bits long"))) == [(-1,), (194,)]
